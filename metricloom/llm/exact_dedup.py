@@ -53,6 +53,10 @@ def _merged(rows: pa.Table) -> pa.Table:
     return rows.group_by(["sha", "size", "seal"]).aggregate([("keep", "max"), ("copies", "sum")]).sort_by([("sha", "ascending"), ("size", "ascending"), ("seal", "ascending")])
 
 
+def _entries(merged: pa.Table) -> pa.Table:
+    return merged.rename_columns({"keep_max": "keep", "copies_sum": "copies"}).select(["sha", "size", "seal", "keep", "copies"])
+
+
 def _owner(sha: pa.Array, slots: int) -> np.ndarray:
     head = pc.binary_slice(sha, 0, 4).cast(pa.binary(4))
     return (np.frombuffer(head.combine_chunks().buffers()[1] if isinstance(head, pa.ChunkedArray) else head.buffers()[1], ">u4")[-len(sha) :] % slots).astype(np.int64) if len(sha) else np.zeros(0, np.int64)
@@ -70,13 +74,14 @@ def _emit(table: pa.Table, slot: int, bits: tuple[int, int], slots: int) -> Iter
 
 def _local_run(slots: int, bits: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        runs: list[pa.Table] = []  # each at least twice as long as the next, so that a row is merged log(n) times
         for b in batches:
             t = pa.table({"sha": b.column("sha"), "size": b.column("size"), "seal": b.column("seal"), "keep": b.column("id"), "copies": pa.array(np.ones(b.num_rows, np.int64))})
-            held = t if held is None else pa.concat_tables([held, t])
-            held = _merged(held).rename_columns({"keep_max": "keep", "copies_sum": "copies"}).select(t.column_names)
-        if held is not None:
-            yield from _emit(_merged(held), TaskContext.get().partitionId() % slots, bits, slots)
+            while runs and runs[-1].num_rows < 2 * t.num_rows:
+                t = _entries(_merged(pa.concat_tables([runs.pop(), t])))
+            runs.append(t)
+        if runs:
+            yield from _emit(_merged(pa.concat_tables(runs)), TaskContext.get().partitionId() % slots, bits, slots)
 
     return run
 
@@ -92,7 +97,7 @@ def _merge_level(slots: int, bits: tuple[int, int]):
             slot = b.column("slot")[0].as_py()
             t = pa.Table.from_batches([b]).select(["sha", "size", "seal", "keep", "copies"])
             t = _merged(t if held is None else pa.concat_tables([held, t]))
-            held = t.slice(t.num_rows - 1).rename_columns({"keep_max": "keep", "copies_sum": "copies"})
+            held = _entries(t.slice(t.num_rows - 1))
             yield from _emit(t.slice(0, t.num_rows - 1), slot, bits, slots)
         if held is not None:
             yield from _emit(_merged(held), slot, bits, slots)
@@ -122,8 +127,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     no rows; other columns are ignored.
     """
     digests = written(text_digests(docs, id_col, text_col), "digests")
-    merged = merged_runs(digests).select("sha", "keep", "copies")
-    return digests.join(merged, "sha").select(
+    return digests.join(merged_runs(digests), ["sha", "size", "seal"]).select(
         F.col("id").alias("doc_id"),
         F.col("keep").alias("keep_id"),
         F.col("copies").alias("group_size"),
