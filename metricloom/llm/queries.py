@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, token_files, warc
+from . import bpe, fingerprints, ngram_join, token_files, warc
 from .exact_dedup import exact_dedup
 
 
@@ -36,12 +36,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op5_fingerprints": op5_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -55,6 +60,26 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM g
     """,
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+            FROM w
+        ), n AS (
+            SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s
+        ), t AS (
+            SELECT doc_id, unnest(shingles) AS shingle FROM s
+        ), o AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS overlap FROM t a JOIN t b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * overlap >= 80 * (p.n_shingles + q.n_shingles - overlap)
+        ), reach(x, y) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+        )
+        SELECT doc_id, n_shingles, min(y) AS component_id FROM n JOIN reach ON x = doc_id GROUP BY doc_id, n_shingles
+    """,
     "op9_exact_dedup": """
         WITH n AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
