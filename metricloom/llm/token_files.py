@@ -14,7 +14,7 @@ import re
 import struct
 import unicodedata
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from .common import partitions, scratch, written
 FRAME_BYTES = 1 << 20
 LEVEL = 3
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+GROUP = 64
 BATCH_BYTES = 4 << 20
 MANIFEST = "part int, file string, docs long, tokens long"
 
@@ -136,8 +137,8 @@ class WordEncoder:
     """Whole texts to little-endian uint32 ids, as the tokenizers library encodes them.
 
     The library encodes each pre-token on its own, so for texts whose normalisation is plain (below U+0250, where
-    it is lower-casing and white space) words are looked up, and the library is asked for unknown ones only. All
-    other texts go to the library whole.
+    it is lower-casing and white space) words are looked up, and the library encodes unknown ones only, many
+    together with spaces between. All other texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -150,36 +151,47 @@ class WordEncoder:
         low = [chr(c) for c in range(0x250)]
         letters = "".join(c for c in low if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in low if unicodedata.category(c)[0] == "N")
-        space = "\t\n\x0b\x0c\r \x85\xa0"
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
-        self.odd = re.compile(r"[^\u0000-ɏ]|İ|<\|").search
+        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\x0b\x0c\r \x85\xa0{letters}{numbers}]+").findall
+        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+").findall
+        self.wide = re.compile("[^\u0000-\u024f]").search
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         missing = []
         for w in words:
             if (known := self.old.get(w)) is not None:
                 self.cache[w] = known
             else:
                 missing.append(w)
-        for lo in range(0, len(missing), 4096):
-            part = missing[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        words = self.words(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache, self.old = {}, self.cache
-            self._learn({w for w in words if w not in self.cache})
-            return b"".join(map(self.cache.__getitem__, words))
+        if not missing:
+            return
+        e = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
+        of = np.array(e.word_ids, np.int64)
+        cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+        if len(cut) + 1 != len(missing):
+            raise ValueError("words and pre-tokens differ")
+        ids = np.array(e.ids, "<u4").tobytes()
+        edges = [0, *(4 * cut).tolist(), len(ids)]
+        self.cache.update((w, ids[lo:hi]) for w, lo, hi in zip(missing, edges, edges[1:]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | list[str]] = []
+        seen: set[str] = set()
+        for text in texts:
+            plain = text.isascii()
+            if "<|" in text or not plain and ("\u0130" in text or self.wide(text)):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append((self.ascii_words if plain else self.words)(text.lower()))
+                seen.update(out[-1])
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache, self.old = {}, self.cache
+        if missing := seen.difference(self.cache):
+            self._learn(missing)
+        get = self.cache.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
 
 
 @functools.lru_cache(maxsize=2)
@@ -202,11 +214,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
         encoder, out, name = load(tokenizer), None, ""
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if out is None:
-                    name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
-                    out = TokenFileWriter(fs.open_output_stream(f"{root}/{name}", compression=None), width)
-                out.add(key, np.frombuffer(encoder.encode(text.as_py() or "") + end, "<u4"))
+            if out is None and b.num_rows:
+                name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
+                out = TokenFileWriter(fs.open_output_stream(f"{root}/{name}", compression=None), width)
+            for lo in range(0, b.num_rows, GROUP):
+                keys, texts = (c.to_pylist() for c in b.slice(lo, GROUP).columns)
+                for key, ids in zip(keys, encoder.encode_all([t or "" for t in texts]), strict=True):
+                    out.add(key, np.frombuffer(ids + end, "<u4"))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "docs": [len(out.counts)], "tokens": [int(sum(out.counts))]})
