@@ -124,6 +124,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b, ...) of nodes with `overlap`."""
+    pairs = written(pairs, "pairs")  # used three times
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = written(_sets_of(docs, nodes.join(ends, "node", "left_semi")), "sets")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x")), "a")
