@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ from .common import written
 #: The most labelled documents that are learnt from, chosen by a hash of doc_id.
 MAX_TRAINING_DOCS = 8000
 MAX_TELLING, MAX_PLAIN = 600, 6000
-LANDMARKS = 96
+LANDMARKS = 256
 ROUNDS = 2
 DECAY, SPAN = 0.8, 8
 WINDOW, STRIDE = 24, 16
@@ -165,48 +166,58 @@ def _best(texts: pa.Array, cache: _Cache, group: int = 128) -> Iterator[tuple[fl
 # ---- training --------------------------------------------------------------------------------------------------
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 2.0, epochs: int = 40) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by dual coordinate descent; y is 1 or -1."""
-    rng = np.random.default_rng(11)
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, by Newton steps on its support vectors; y is 1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha, top, square = np.zeros(x.shape[1]), np.zeros(len(x)), cost * weight, (x * x).sum(axis=1)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / square[i], 0.0), top[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]))
-                alpha[i] = new
-        if moved < 1e-3:
+    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    loss = lambda w: w @ w / 2 + cost * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    now = loss(w)
+    for _ in range(rounds):
+        inside = y * (x @ w) < 1
+        part, own = x[inside], 2 * cost * weight[inside]
+        aim = np.linalg.solve(ridge + (part * own[:, None]).T @ part, part.T @ (own * y[inside]))
+        step = 1.0
+        while (new := loss(w + step * (aim - w))) > now and step > 1e-3:
+            step /= 2
+        w = w + step * (aim - w)
+        if now - new < 1e-9 * now:
             break
+        now = new
     return w[:-1], float(w[-1])
 
 
-def _machine(telling: list[str], plain: list[str]) -> Machine:
-    """A machine from fragments that are toxic and clean, most telling and most frequent first."""
-    half = min(len(telling), LANDMARKS * 3 // 4)
+def _machine(found: dict[str, float], plain: list[str]) -> Machine:
+    """A machine from toxic fragments with their counts of documents and clean fragments, the most telling and
+    the most frequent first."""
+    telling = list(found)
+    half = min(len(telling), LANDMARKS * 5 // 8)
     landmarks = telling[:half] + plain[: LANDMARKS - half]
     rows = [_features(f) for f in landmarks]
-    table = np.zeros((len(rows), 1 << 4 * SYMBOLS), np.float32)
+    codes = np.unique([c for r in rows for c in r])
+    table = np.zeros((len(rows), len(codes)), np.float32)
     for k, r in enumerate(rows):
-        table[k, list(r.keys())] = list(r.values())
+        table[k, np.searchsorted(codes, list(r.keys()))] = list(r.values())
 
     def kernel(strings: Iterable[str]) -> np.ndarray:
         out = []
         for f in strings:
             r = _features(f)
-            out.append(table[:, list(r.keys())] @ np.array(list(r.values())) if r else np.zeros(len(rows)))
+            own, times = np.array(list(r.keys()), np.int64), np.array(list(r.values()))
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            known = codes[at] == own
+            out.append(table[:, at[known]] @ times[known])
         return np.array(out)
 
     values, vectors = np.linalg.eigh(kernel(landmarks))
-    keep = values > 1e-6 * values.max()
+    keep = values > 5e-3 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     x = np.vstack([kernel(telling), kernel(plain)]) @ root
     y = np.concatenate([np.ones(len(telling)), -np.ones(len(plain))])
-    weight = np.concatenate([np.full(len(telling), min(10.0, max(1.0, len(plain) / len(telling) / 4))), np.ones(len(plain))])
+    weight = np.concatenate([np.clip(np.array(list(found.values())), 1, 25), np.ones(len(plain))])
     w, bias = _svm(x, y, weight)
-    return Machine((table.T @ (root @ w)).astype(np.float32), bias)
+    weights = np.zeros(1 << 4 * SYMBOLS, np.float32)
+    weights[codes] = table.T @ (root @ w)
+    return Machine(weights, bias)
 
 
 def _calibrated(machine: Machine, values: np.ndarray, labels: np.ndarray) -> Machine:
@@ -255,26 +266,28 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     counts = written(counts.withColumn("z", z), "pieces")
-    telling = [r["w"] for r in counts.where("t >= 3 AND z > 2 AND c <= 0.02 * t").orderBy(F.desc("z"), "w").limit(MAX_TELLING).collect()]
-    if not telling:
-        telling = [r["w"] for r in counts.where("t > 0").orderBy(F.desc("z"), "w").limit(20).collect()]
+    # telling: more toxic documents than chance gives any fragment if labels fell at random
+    surely = (math.log(counts.count() + 1) + 2) / -math.log(toxic / (toxic + clean))
+    found = {r["w"]: r["t"] for r in counts.where(f"t >= 3 AND t >= {surely} AND c <= 0.02 * t").orderBy(F.desc("z"), "w").limit(MAX_TELLING).collect()}
+    if not found:
+        found = {r["w"]: r["t"] for r in counts.where("t > 0").orderBy(F.desc("z"), "w").limit(20).collect()}
     ordinary = counts.where("c > 0 AND z < 1 AND w NOT LIKE '%\\0'")
     frequent = [r["w"] for r in ordinary.orderBy(F.desc("c"), "w").limit(MAX_PLAIN // 4).collect()]
     spread = [r["w"] for r in ordinary.orderBy(F.xxhash64("w"), "w").limit(MAX_PLAIN * 3 // 4).collect()]
     plain = list(dict.fromkeys(frequent + spread))
-    machine = _machine(telling, plain)
+    machine = _machine(found, plain)
     for k in range(ROUNDS + 1):
         best = _scored(sample.select("toxic", "text"), machine, ["toxic"]).toPandas()
         if k == ROUNDS:
             break
-        hit = best[best["fragment"] != ""]
-        clean_ones = hit[hit["toxic"] == 0].groupby("fragment")["value"].max().sort_values(ascending=False)
-        banned = set(clean_ones.index)
-        toxic_ones = hit[(hit["toxic"] == 1) & ~hit["fragment"].isin(banned)].groupby("fragment")["value"].agg(["size", "max"])
-        toxic_ones = toxic_ones[(toxic_ones["max"] > -0.25) | (toxic_ones["size"] > 2)].sort_values(["size", "max"], ascending=False)
-        telling = list(dict.fromkeys([w for w in telling if w not in banned] + sorted(toxic_ones.index[: MAX_TELLING])))
-        plain = list(dict.fromkeys(plain + sorted(clean_ones.index[:MAX_PLAIN])))
-        machine = _machine(telling, plain)
+        hit = best[(best["fragment"] != "") & (best["value"] > -1)]
+        near = hit[hit["toxic"] == 0].groupby("fragment")["value"].max().sort_values(ascending=False)
+        floor = max(0.0, float(best[best["toxic"] == 0]["value"].quantile(0.995)))
+        chosen = hit[(hit["toxic"] == 1) & (hit["value"] > floor) & ~hit["fragment"].isin(near.index)].groupby("fragment").size()
+        chosen = chosen.sort_values(ascending=False, kind="stable")[:MAX_TELLING]
+        found |= {w: float(n) for w, n in chosen.items() if w not in found}
+        plain = list(dict.fromkeys([w for w in near.index[:MAX_PLAIN] if w not in found] + plain))
+        machine = _machine(found, plain)
     return _calibrated(machine, best["value"].to_numpy(float), best["toxic"].to_numpy(float))
 
 
