@@ -164,11 +164,13 @@ def _similar(n, m, overlap):
 
 def _stars(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links of nodes to their nearest pivot, and (node, star, far) with far the distance to the centre.
-    Pivots are the smallest and the largest node that share a least hash."""
+    Each of a node's least hashes names the smallest and the largest node that share it; its pivots are the one
+    smallest and the one largest node that most of its hashes name."""
     keyed = nodes.select("node", "n", F.posexplode("least").alias("k", "h"))
-    ends = keyed.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    near = keyed.join(ends, ["k", "h"]).select("node", "n", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b")
-    pairs = near.select(F.col("node").alias("a"), F.col("n").alias("na"), "b").distinct()
+    ends = keyed.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    other = lambda c: F.mode(F.when(F.col(c) != F.col("node"), F.col(c)), True)
+    own = keyed.join(ends, ["k", "h"]).groupBy("node", "n").agg(F.array(other("lo"), other("hi")).alias("pivots"))
+    pairs = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array_compact(F.array_distinct("pivots"))).alias("b"))
     pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     pairs = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").withColumn("limit", F.expr("na + nb - 2 * ((4 * (na + nb) + 8) div 9)"))
     nearest = _sketch_bounds(nodes, pairs).groupBy("a", "na").agg(F.min_by(F.struct("b", "nb"), F.struct("bound", "b")).alias("p"))
