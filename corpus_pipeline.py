@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.common import written
 from metricloom.llm.exact_dedup import drop_copies
+from metricloom.llm.ngram_join import one_of_each
+from metricloom.llm.packing import pack_documents
+from metricloom.llm.toxicity import without_toxic
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier, trained on `labels`, predicts to be toxic."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +21,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of documents that links of similar shingle sets join the one with the smallest doc_id."""
+    return one_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A batch and a slot in it for every document."""
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("ngram_join", near_stage), ("packing", packing_stage)]
 
 #: The toxicity stage is a trained model, which SQL cannot express; a test holds run() against a plain version.
 ORACLE_SQL = None
