@@ -1,3 +1,119 @@
-"""DuckDB equivalents of the registered queries."""
+"""DuckDB equivalents of the registered queries, written independently of the Spark plans."""
 
-ORACLES: dict = {}
+from __future__ import annotations
+
+LEAF = "region, product_line, channel, segment"
+
+LINES = """
+lines AS (
+    SELECT cast(date_trunc('week', o_orderdate) AS DATE) + 6 AS week, r_name AS region, p_type AS product_line, o_orderpriority AS channel,
+           c_mktsegment AS segment, n_name AS nation, cast(l_quantity AS DECIMAL(18,2)) AS quantity,
+           cast(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amount, l_returnflag = 'R' AS returned,
+           cast(l_shipdate AS DATE) <= cast(o_orderdate AS DATE) + 30 AS in_time
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
+         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)"""
+
+PANEL = f"""{LINES}, facts AS (
+    SELECT week, {LEAF}, coalesce(sum(amount) FILTER (WHERE NOT returned), 0) AS revenue, coalesce(sum(quantity) FILTER (WHERE NOT returned), 0) AS net_units,
+           sum(quantity) AS gross_orders, coalesce(sum(quantity) FILTER (WHERE returned), 0) AS cancellations,
+           count(*) AS deliveries, count(*) FILTER (WHERE in_time) AS in_time
+    FROM lines GROUP BY week, {LEAF}
+), tickets AS (
+    SELECT week, region, product_line, channel, count(*) AS tickets FROM lines WHERE returned GROUP BY ALL
+), panel AS (
+    SELECT f.*, cast(revenue AS DOUBLE) / nullif(cast(net_units AS DOUBLE), 0) AS asp, cast(cancellations AS DOUBLE) / nullif(cast(gross_orders AS DOUBLE), 0) AS cancellation_rate,
+           cast(in_time AS DOUBLE) / nullif(cast(deliveries AS DOUBLE), 0) AS delivery_sla_pct,
+           tickets * coalesce(cast(revenue AS DOUBLE) / nullif(cast(sum(revenue) OVER (PARTITION BY f.week, f.region, f.product_line, f.channel) AS DOUBLE), 0), 0) AS ticket_volume
+    FROM facts f LEFT JOIN tickets t ON f.week = t.week AND f.region = t.region AND f.product_line = t.product_line AND f.channel = t.channel
+)"""
+
+LATTICE = f"""{PANEL}, slices AS (
+    SELECT week, {LEAF}, cast(grouping_id({LEAF}) AS INT) AS level, sum(revenue) AS revenue, sum(net_units) AS net_units, sum(gross_orders) AS gross_orders,
+           sum(cancellations) AS cancellations, cast(sum(cancellations) AS DOUBLE) / nullif(cast(sum(gross_orders) AS DOUBLE), 0) AS cancellation_rate
+    FROM panel GROUP BY week, CUBE ({LEAF})
+)"""
+
+LEAVES = f"""{PANEL}, final_week AS (SELECT max(week) AS aw FROM panel), means AS (
+    SELECT {LEAF}, cast(sum(revenue) FILTER (WHERE week = aw) AS DOUBLE) AS actual,
+           cast(sum(revenue) FILTER (WHERE week BETWEEN aw - 56 AND aw - 7) AS DOUBLE) / nullif(count(*) FILTER (WHERE week BETWEEN aw - 56 AND aw - 7), 0) AS recent_mean,
+           cast(sum(revenue) FILTER (WHERE week BETWEEN aw - 371 AND aw - 357) AS DOUBLE) / nullif(count(*) FILTER (WHERE week BETWEEN aw - 371 AND aw - 357), 0) AS yoy_mean,
+           cast(sum(revenue) FILTER (WHERE week BETWEEN aw - 427 AND aw - 371) AS DOUBLE) / nullif(count(*) FILTER (WHERE week BETWEEN aw - 427 AND aw - 371), 0) AS yoy_recent_mean
+    FROM panel, final_week GROUP BY {LEAF}
+), leaves AS (
+    SELECT *, actual - expected AS gap FROM (
+        SELECT *, recent_mean * CASE WHEN yoy_mean / nullif(yoy_recent_mean, 0) IS NULL THEN 1 ELSE greatest(0.5::DOUBLE, least(2::DOUBLE, yoy_mean / nullif(yoy_recent_mean, 0))) END AS expected FROM means WHERE actual IS NOT NULL
+    ) WHERE expected IS NOT NULL
+)"""
+
+_BITS = {"region": 8, "product_line": 4, "channel": 2, "segment": 1}
+VALUES = f"""{LEAVES}, groups AS (
+    SELECT cast(grouping_id({LEAF}) AS INT) AS open, count(*) AS n, sum(gap) AS g FROM leaves GROUP BY CUBE ({LEAF})
+), total AS (SELECT sum(gap * gap) AS total FROM leaves), v AS (
+    SELECT 15 - open AS coalition, CASE WHEN open = 15 THEN 0 ELSE coalesce(sum(g * g / n) / any_value(total), 0) END AS v FROM groups, total GROUP BY open
+)"""
+
+ANY = lambda d: f"CASE WHEN open & {_BITS[d]} <> 0 THEN 'ALL' ELSE {d} END AS {d}"
+
+_TOTALS = f"""{PANEL}, final_week AS (SELECT max(week) AS aw FROM panel), recent AS (
+    SELECT * FROM panel, final_week WHERE week BETWEEN aw - 56 AND aw
+)"""
+
+ORACLES: dict[str, str] = {
+    "panel_align": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
+        cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct FROM panel""",
+    "ratio_weighted": f"""WITH {LINES} SELECT week, region, cast(sum(quantity) FILTER (WHERE returned) AS DOUBLE) / cast(sum(quantity) AS DOUBLE) AS cancellation_rate,
+        cast(count(*) FILTER (WHERE in_time) AS DOUBLE) / cast(count(*) AS DOUBLE) AS delivery_sla_pct
+        FROM lines GROUP BY week, region HAVING sum(quantity) FILTER (WHERE returned) IS NOT NULL""",
+    "ticket_allocation": f"WITH {PANEL} SELECT week, {LEAF}, round(ticket_volume, 6) AS ticket_volume FROM panel",
+    "source_freshness": f"""WITH {LINES}, s AS (
+            SELECT 'warehouse' AS source, 'daily' AS native_grain, max(week) AS latest, 1440.0 AS refresh, 36.0 AS tolerance_hours FROM lines WHERE NOT returned
+            UNION ALL SELECT 'order_system', 'transaction', max(week), 5, 2 FROM lines
+            UNION ALL SELECT 'logistics', 'hourly', max(week), 60, 6 FROM lines
+            UNION ALL SELECT 'tickets', 'daily', max(week), 1440, 36 FROM lines WHERE returned
+        ), a AS (SELECT *, (DATE '2001-08-19' - latest) * 24.0 AS behind FROM s)
+        SELECT source, native_grain, latest AS latest_period, round(cast(greatest(least(behind, greatest(behind - 168, refresh / 60)), 0) AS DOUBLE), 1) AS age_hours, cast(tolerance_hours AS DOUBLE) AS tolerance_hours,
+               CASE WHEN round(cast(greatest(least(behind, greatest(behind - 168, refresh / 60)), 0) AS DOUBLE), 1) > tolerance_hours THEN 'stale' ELSE 'fresh' END AS status FROM a""",
+    "source_conflicts": f"""WITH {LINES}, w AS (
+            SELECT cast(sum(quantity) AS DOUBLE) * avg(cast(amount AS DOUBLE) / cast(quantity AS DOUBLE)) AS quoted, cast(sum(amount) AS DOUBLE) AS revenue FROM lines WHERE NOT returned GROUP BY week, {LEAF}
+        ) SELECT count(*) AS n_conflicts, round(max(abs(quoted - revenue) / revenue), 6) AS largest_gap FROM w WHERE abs(quoted - revenue) / nullif(revenue, 0) > 0.02""",
+    "slice_lattice": f"WITH {LATTICE} SELECT week, {LEAF}, level, cast(revenue AS DOUBLE) AS revenue, cancellation_rate FROM slices",
+    "lattice_wow": f"""WITH {LATTICE}, w AS (
+            SELECT *, lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS before FROM slices WHERE level IN (7, 15)
+        ) SELECT week, region, level, (cast(revenue AS DOUBLE) - before) / nullif(abs(before), 0) * 100 AS wow_pct FROM w""",
+    "eligible_series": f"""WITH {LATTICE}, s AS (
+            SELECT level, {LEAF}, count(*) AS n_weeks, max(week) AS latest, stddev_pop(cast(revenue AS DOUBLE)) AS spread FROM slices GROUP BY level, {LEAF}
+        ) SELECT level, {LEAF}, n_weeks FROM s WHERE n_weeks >= 10 AND spread > 1e-8 AND latest = (SELECT max(week) FROM slices)""",
+    "leaf_expectation": f"WITH {LEAVES} SELECT {LEAF}, actual, expected, gap FROM leaves",
+    "shapley_value_fn": f"WITH {VALUES} SELECT cast(coalition AS INT) AS coalition, round(v, 6) AS v FROM v",
+    "shapley_dimensions": f"""WITH {VALUES}, d AS (SELECT * FROM (VALUES ('region', 8), ('product_line', 4), ('channel', 2), ('segment', 1)) t(dimension, bit)), phi AS (
+            SELECT dimension, sum([6, 2, 2, 6][bit_count(a.coalition) + 1] / 24 * (b.v - a.v)) AS phi FROM d, v a, v b WHERE a.coalition & bit = 0 AND b.coalition = a.coalition + bit GROUP BY dimension
+        ) SELECT dimension, round(100 * phi / sum(phi) OVER (), 2) AS share_pct FROM phi""",
+    "pvm_bridge": f"""WITH {_TOTALS}, k AS (
+            SELECT product_line, coalesce(cast(sum(net_units) FILTER (WHERE week = aw) AS DOUBLE), 0) AS u1, coalesce(cast(sum(revenue) FILTER (WHERE week = aw) AS DOUBLE), 0) AS r1,
+                   coalesce(cast(sum(net_units) FILTER (WHERE week < aw) AS DOUBLE) / nullif(count(DISTINCT week) FILTER (WHERE week < aw), 0), 0) AS u0,
+                   coalesce(cast(sum(revenue) FILTER (WHERE week < aw) AS DOUBLE) / nullif(count(DISTINCT week) FILTER (WHERE week < aw), 0), 0) AS r0
+            FROM recent GROUP BY product_line
+        ), t AS (SELECT sum(u0) AS tu0, sum(u1) AS tu1, sum(r0) AS tr0, sum(r1) AS tr1 FROM k), o AS (
+            SELECT (any_value(tu1) - any_value(tu0)) * any_value(tr0) / any_value(tu0) AS volume, sum((u1 - u0 * tu1 / tu0) * (coalesce(r0 / nullif(u0, 0), 0) - tr0 / tu0)) AS mix,
+                   sum(u1 * (coalesce(r1 / nullif(u1, 0), 0) - coalesce(r0 / nullif(u0, 0), 0))) AS price, any_value(tr1 - tr0) AS total_change FROM k, t
+        ) SELECT round(volume, 2) AS volume, round(price, 2) AS price, round(mix, 2) AS mix, round(total_change, 2) AS total_change,
+                 CASE greatest(abs(volume), abs(price), abs(mix)) WHEN abs(volume) THEN 'volume' WHEN abs(price) THEN 'price' ELSE 'mix' END AS dominant FROM o""",
+    "funnel_split": f"""WITH {_TOTALS}, k AS (
+            SELECT cast(sum(gross_orders) FILTER (WHERE week = aw) AS DOUBLE) AS g1, cast(sum(cancellations) FILTER (WHERE week = aw) AS DOUBLE) / cast(sum(gross_orders) FILTER (WHERE week = aw) AS DOUBLE) AS c1,
+                   cast(sum(gross_orders) FILTER (WHERE week < aw) AS DOUBLE) / count(DISTINCT week) FILTER (WHERE week < aw) AS g0,
+                   cast(sum(cancellations) FILTER (WHERE week < aw) AS DOUBLE) / cast(sum(gross_orders) FILTER (WHERE week < aw) AS DOUBLE) AS c0 FROM recent
+        ), o AS (SELECT (g1 - g0) * (1 - c0) AS a, -g0 * (c1 - c0) AS b, -(g1 - g0) * (c1 - c0) AS c FROM k)
+        SELECT round(a, 4) AS orders_effect, round(b, 4) AS cancellation_effect, round(c, 4) AS interaction,
+               CASE greatest(abs(a), abs(b), abs(c)) WHEN abs(a) THEN 'orders' WHEN abs(b) THEN 'cancellations' ELSE 'interaction' END AS dominant FROM o""",
+    "top_leaves": f"""WITH {LEAVES} SELECT {LEAF}, round(gap, 4) AS gap, round(gap / (SELECT sum(gap) FROM leaves), 6) AS share FROM leaves ORDER BY abs(round(gap, 4)) DESC, {LEAF} LIMIT 10""",
+    "shortfall_80": f"""WITH {LEAVES}, c AS (
+            SELECT sum(round(gap, 4)) OVER (ORDER BY gap, {LEAF} ROWS UNBOUNDED PRECEDING) / sum(round(gap, 4)) OVER () AS cum FROM leaves WHERE round(gap, 4) < 0
+        ) SELECT count(*) AS n_negative, count(*) FILTER (WHERE cum <= 0.8) + CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS n_leaves FROM c""",
+    "best_slice_rule": f"""WITH {LEAVES}, g AS (
+            SELECT cast(grouping_id({LEAF}) AS INT) AS open, {LEAF}, round(sum(gap), 4) AS gap FROM leaves GROUP BY CUBE ({LEAF})
+        ), w AS (SELECT * FROM g WHERE open <> 15 QUALIFY row_number() OVER (PARTITION BY open ORDER BY gap, {LEAF}) = 1), s AS (
+            SELECT *, 4 - bit_count(open) AS depth, round(gap / (SELECT round(sum(gap), 4) FROM leaves), 6) AS share FROM w
+        ) SELECT {", ".join(ANY(d) for d in _BITS)}, cast(depth AS INT) AS depth, gap, share FROM s
+        ORDER BY share >= 0.45 DESC, CASE WHEN share >= 0.45 THEN depth ELSE 0 END DESC, share DESC, open LIMIT 1""",
+}
