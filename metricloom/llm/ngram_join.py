@@ -29,7 +29,7 @@ from .shingles import U, mix, shingle_sets
 HASHES = 8
 HOT_TOKENS = 1 << 20  # most entries of the table of frequent tokens that tasks get: 16 MB
 HOT_DF = 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SHORT_LIST = 48
 FILTER_BUCKETS = 1 << 20
 _ODD = np.random.default_rng(7).integers(1, 2**62, HASHES, dtype=np.uint64) * U(2) + U(1)
