@@ -117,3 +117,142 @@ ORACLES: dict[str, str] = {
         ) SELECT {", ".join(ANY(d) for d in _BITS)}, cast(depth AS INT) AS depth, gap, share FROM s
         ORDER BY share >= 0.45 DESC, CASE WHEN share >= 0.45 THEN depth ELSE 0 END DESC, share DESC, open LIMIT 1""",
 }
+
+RESIDUALS = f"""{LATTICE}, moves AS (
+    SELECT level, {LEAF}, week, cast(revenue AS DOUBLE) - lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS residual FROM slices WHERE level IN (3, 7, 11, 13, 14, 15)
+), residuals AS (
+    SELECT *, row_number() OVER (PARTITION BY level, {LEAF} ORDER BY week DESC) - 1 AS back FROM moves WHERE residual IS NOT NULL
+)"""
+TESTS = f"""{RESIDUALS}, last AS (SELECT * FROM residuals WHERE back = 0), tests AS (
+    SELECT l.level, l.region, l.product_line, l.channel, l.segment, (1 + count(*) FILTER (WHERE abs(r.residual) >= abs(l.residual))) / (count(*) + 1) AS p_value, count(*) AS n, any_value(l.residual) AS deviation
+    FROM last l JOIN residuals r ON r.back > 0 AND r.level = l.level AND r.region IS NOT DISTINCT FROM l.region AND r.product_line IS NOT DISTINCT FROM l.product_line
+         AND r.channel IS NOT DISTINCT FROM l.channel AND r.segment IS NOT DISTINCT FROM l.segment GROUP BY l.level, l.region, l.product_line, l.channel, l.segment
+)"""
+FDR = f"""{TESTS}, ranked AS (SELECT *, row_number() OVER (ORDER BY p_value) AS r, count(*) OVER () AS m FROM tests), q AS (
+    SELECT *, least(1.0, min(p_value * m / r) OVER (ORDER BY p_value DESC, r DESC ROWS UNBOUNDED PRECEDING)) AS raw FROM ranked
+), found AS (SELECT * EXCLUDE (raw), min(raw) OVER (PARTITION BY p_value) AS q_value FROM q)"""
+
+UNITS = f"""{PANEL}, units AS (
+    SELECT region AS unit, week, cast(sum(cancellations) AS DOUBLE) / greatest(cast(sum(gross_orders) AS DOUBLE), 1e-9) AS rate, cast(sum(gross_orders) AS DOUBLE) AS gross_orders,
+           cast(sum(revenue) AS DOUBLE) AS revenue, cast(sum(net_units) AS DOUBLE) AS net_units FROM panel GROUP BY region, week
+), sided AS (
+    SELECT *, FALSE AS post FROM units WHERE week < DATE '2000-06-04' AND week >= DATE '2000-06-04' - 364
+    UNION ALL SELECT *, TRUE FROM units WHERE week >= DATE '2000-06-04' QUALIFY row_number() OVER (PARTITION BY unit ORDER BY week) <= 5
+)"""
+
+EDGES = """edges AS (SELECT * FROM (VALUES ('delivery_sla', 'cancellation_rate'), ('delivery_sla', 'ticket_volume'), ('price_change', 'gross_orders'), ('price_change', 'asp'), ('competitor_promo', 'gross_orders'),
+    ('ticket_volume', 'nps'), ('cancellation_rate', 'net_units'), ('gross_orders', 'net_units'), ('net_units', 'revenue'), ('asp', 'revenue'), ('stockout', 'gross_orders'), ('marketing_spend', 'gross_orders'), ('nps', 'gross_orders')) t(src, dst)
+), walk AS (
+    SELECT src, dst, [src, dst] AS path FROM edges
+    UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON w.dst = e.src WHERE len(w.path) <= 6 AND NOT list_contains(w.path, e.dst)
+), short AS (
+    SELECT src, dst, len(path) - 1 AS n_edges, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY len(path), array_to_string(path, '>')) = 1
+)"""
+
+BUNDLES = """levers AS (SELECT * FROM (VALUES (0, 'L1', 4.0e6, 1, 1, 'operational'), (1, 'L2', 2.5e6, 2, 1, 'operational'), (2, 'L3', 3.0e6, 4, 0, 'operational'), (3, 'L4', 1.2e6, 8, 1, 'operational'),
+    (4, 'L5', 5.5e6, 7, 2, 'structural'), (5, 'L6', 8.5e6, 5, 2, 'operational'), (6, 'L7', 0.4e6, 2, 0, 'goal_modifying')) t(k, lever, cost, relieves, level, family)
+), picks AS (
+    SELECT b.bundle, l.* FROM range(128) b(bundle) LEFT JOIN levers l ON (b.bundle >> l.k) & 1 = 1
+), sums AS (
+    SELECT bundle, coalesce(string_agg(lever, '+' ORDER BY k), '') AS levers, coalesce(sum(cost), 0)::DOUBLE AS cost, coalesce(bit_or(relieves), 0)::INT AS relieved, count(DISTINCT family)::INT AS n_families, coalesce(max(level), 0) AS level FROM picks GROUP BY bundle
+), gated AS (
+    SELECT *, CASE WHEN relieved & 1 = 1 THEN relieved ELSE relieved & 8 END AS realised FROM sums
+), bundles AS (
+    SELECT *, ((realised & 1) * 1.9e6 + ((realised >> 1) & 1) * 0.6e6 + ((realised >> 2) & 1) * 0.8e6 + ((realised >> 3) & 1) * 0.25e6)::DOUBLE AS value, cost <= 7.0e6 AS feasible FROM gated
+)"""
+
+CASES = """cases AS (SELECT * FROM (VALUES ('A', -100.0, 80.0, 2, 2, 0, 0, 120, 1, TRUE), ('B', -100.0, 10.0, 0, 0, 0, 0, 120, 0, TRUE), ('C', 50.0, 45.0, 1, 0, 0, 0, 80, 1, TRUE), ('D', -100.0, 90.0, 1, 0, 1, 0, 30, 0, FALSE), ('E', 0.0, 0.0, 1, 0, 0, 3, 200, 0, TRUE))
+    t("case", total_gap, explained, n_accepted, n_overlaps, n_stale, n_conflicts, n_weeks, n_excluded, out_of_sample)
+), shares AS (SELECT *, least(coalesce(abs(explained) / nullif(abs(total_gap), 0), 0), 1) AS share FROM cases), fired AS (
+    SELECT "case", unnest([{'code': 'UNEXPLAINED_RESIDUAL', 'fired': 1 - share > 0.40}, {'code': 'COMPETING_EXPLANATIONS', 'fired': n_overlaps > 0}, {'code': 'STALE_SOURCE', 'fired': n_stale > 0}, {'code': 'SOURCE_CONFLICT', 'fired': n_conflicts > 0},
+        {'code': 'SPARSE_HISTORY', 'fired': n_weeks < 60}, {'code': 'GRAIN_POLICY', 'fired': n_excluded > 0}, {'code': 'CALIBRATION_INTEGRITY', 'fired': NOT out_of_sample}], recursive := TRUE) FROM shares
+)"""
+
+_RETURNS = f"""{LINES}, counts AS (SELECT nation AS topic, week, count(*) AS n FROM lines WHERE returned GROUP BY ALL), filled AS (
+    SELECT t.topic, cast(w.week AS DATE) AS week, coalesce(n, 0) AS n FROM (SELECT DISTINCT topic FROM counts) t CROSS JOIN (SELECT unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS week FROM counts) w LEFT JOIN counts c ON c.topic = t.topic AND c.week = cast(w.week AS DATE)
+)"""
+
+_TOKENS = "list_transform(regexp_extract_all({}, '-?[0-9][0-9,]*\\.?[0-9]*'), lambda t: regexp_replace(replace(t, ',', ''), '\\.$', ''))"
+
+ORACLES |= {
+    "conformal_quantile": f"""WITH {RESIDUALS}, s AS (
+            SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY level, {LEAF}) AS n FROM residuals WHERE back > 0 WINDOW w AS (PARTITION BY level, {LEAF} ORDER BY abs(residual))
+        ) SELECT level, {LEAF}, max(n) AS n_calibration, round(max(abs(residual)) FILTER (WHERE r = ceil((n + 1) * 0.9::DOUBLE)), 4) AS half_width, max(ceil((n + 1) * 0.9::DOUBLE)) <= max(n) AS valid FROM s GROUP BY level, {LEAF}""",
+    "empirical_pvalue": f"WITH {TESTS} SELECT level, {LEAF}, round(p_value, 9) AS p_value, n FROM tests",
+    "bh_fdr": f"WITH {FDR} SELECT level, {LEAF}, round(q_value, 9) AS q_value, q_value <= 0.10 AS survives_fdr FROM found",
+    "materiality": f"WITH {FDR} SELECT level, {LEAF}, round(abs(deviation), 4) AS business_impact, abs(deviation) >= 1500000 AS meets_threshold, q_value <= 0.10 AND abs(deviation) >= 1500000 AS material FROM found",
+    "detection_diagnostics": f"""WITH {FDR} SELECT count(*) AS n_tests, count(*) FILTER (WHERE p_value <= 0.05) AS naive, count(*) FILTER (WHERE q_value <= 0.10) AS survivors,
+        count(*) FILTER (WHERE q_value <= 0.10 AND abs(deviation) >= 1500000) AS material, count(*) FILTER (WHERE p_value <= 0.05) - count(*) FILTER (WHERE q_value <= 0.10) AS alarms_avoided FROM found""",
+    "dag_reachability": f"WITH RECURSIVE {EDGES} SELECT src, dst, cast(n_edges AS INT) AS n_edges, path FROM short",
+    "corroboration_merge": f"""WITH RECURSIVE {EDGES}, c AS (SELECT * FROM (VALUES ('E1', 'event', 'delivery_sla'), ('E2', 'event', 'price_change'), ('T1', 'topic', 'cancellation_rate'), ('T2', 'topic', 'app_usability'), ('T3', 'topic', 'nps'), ('X1', 'feed', 'competitor_promo'), ('X2', 'feed', 'asp')) t(id, source, node)),
+        o AS (SELECT c.*, s.path FROM c LEFT JOIN short s ON s.src = node AND s.dst = 'revenue'), m AS (
+            SELECT o.*, (SELECT min(e.id) FROM o e WHERE e.source = 'event' AND o.source <> 'event' AND list_contains(string_split(e.path, '>'), o.node)) AS merged_into FROM o
+        ) SELECT *, CASE WHEN merged_into IS NOT NULL THEN 'merged' WHEN path IS NULL THEN 'rejected' ELSE 'kept' END AS fate FROM m""",
+    "metric_exclusions": "SELECT 'nps' AS metric",
+    "topic_node_map": "SELECT * FROM (VALUES (0, 'late courier box day', 'delivery_sla'), (1, 'price discount card sale', 'price_change'), (2, 'happy thanks good nice', 'unmapped_topic'), (3, 'refund invoice late price', 'billing_error'), (4, 'login app page error', 'app_usability')) t(topic, name, node)",
+    "date_spine_zero_fill": f"WITH {_RETURNS} SELECT topic, week, n FROM filled",
+    "topic_spike": f"""WITH {_RETURNS}, b AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY week DESC) - 1 AS back FROM filled), m AS (
+            SELECT topic, avg(n) FILTER (WHERE back < 6) AS post, avg(n) FILTER (WHERE back BETWEEN 6 AND 31) AS pre FROM b GROUP BY topic
+        ), h AS (SELECT *, round(post / greatest(pre, 0.5), 6) AS ratio FROM m)
+        SELECT h.topic, round(pre, 6) AS pre, round(post, 6) AS post, ratio, min(week) FILTER (WHERE back < 6 AND n > pre) AS onset FROM h JOIN b ON b.topic = h.topic WHERE ratio >= 1.05 GROUP BY ALL""",
+    "weekly_event_volume": """SELECT cast(date_trunc('week', ts) AS DATE) + 6 AS week, event_type, count(*) AS n, round(cast(sum(cast(value AS DECIMAL(28,6))) AS DOUBLE), 4) AS value FROM events GROUP BY ALL""",
+    "unit_series": f"WITH {UNITS} SELECT unit, week, rate, gross_orders FROM units",
+    "onset_changepoint": f"""WITH {UNITS}, i AS (SELECT unit, week, gross_orders AS v, row_number() OVER (PARTITION BY unit ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY unit) AS n FROM units), s AS (
+            SELECT *, n - 4 AS stop, greatest(n - 4 - CASE WHEN n >= 31 THEN 26 ELSE greatest(floor(n / 3), 5) END, 0) AS start FROM i
+        ), b AS (SELECT *, avg(v) FILTER (WHERE i >= start AND i < stop) OVER (PARTITION BY unit) AS mu, stddev_samp(v) FILTER (WHERE i >= start AND i < stop) OVER (PARTITION BY unit) AS sd FROM s), d AS (
+            SELECT *, CASE WHEN v > mu + 3 * sd THEN 1 WHEN v < mu - 3 * sd THEN -1 ELSE 0 END AS side FROM b
+        ), l AS (SELECT *, lead(side) OVER (PARTITION BY unit ORDER BY week) AS next_side FROM d)
+        SELECT unit, min(week) FILTER (WHERE i >= start AND side <> 0 AND side = next_side) AS onset, max(n) AS n_weeks FROM l GROUP BY unit""",
+    "did_twfe": f"""WITH {UNITS}, r AS (
+            SELECT unit, week, rate AS y, CASE WHEN unit = 'ASIA' AND week >= DATE '2000-06-04' THEN 1.0::DOUBLE ELSE 0.0 END AS d FROM units WHERE week >= DATE '2000-06-04' - 364 QUALIFY count(*) OVER (PARTITION BY week) = (SELECT count(DISTINCT unit) FROM units)
+        ), c AS (
+            SELECT unit, week, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY week) + avg(y) OVER () AS y, d - avg(d) OVER (PARTITION BY unit) - avg(d) OVER (PARTITION BY week) + avg(d) OVER () AS d FROM r
+        ), s AS (SELECT sum(y * d) / sum(d * d) AS e, sum(y * y) - sum(y * d) * sum(y * d) / sum(d * d) AS rss, sum(d * d) AS dd, count(*) AS n, count(DISTINCT week) AS weeks, count(DISTINCT unit) AS units FROM c)
+        SELECT round(e, 6) AS estimate, round(sqrt(rss / ((n - units - weeks) * dd)), 6) AS se, n FROM s""",
+    "pretrend_slope": f"""WITH {UNITS}, g AS (
+            SELECT week, max(rate) FILTER (WHERE unit = 'ASIA') - avg(rate) FILTER (WHERE unit <> 'ASIA') AS y, (week - DATE '2000-06-04') / 7 AS t FROM sided WHERE NOT post GROUP BY week
+        ), f AS (SELECT regr_slope(y, t) AS slope, regr_r2(y, t) AS r2, count(*) AS n FROM g WHERE y IS NOT NULL)
+        SELECT round(slope, 8) AS slope, round(sign(slope) * sqrt(r2 * (n - 2) / (1 - r2)), 4) AS t, n FROM f""",
+    "synth_two_donor": f"""WITH {UNITS}, w AS (
+            SELECT week, post, max(rate) FILTER (WHERE unit = 'ASIA') AS y, max(rate) FILTER (WHERE unit = 'AFRICA') AS a, max(rate) FILTER (WHERE unit = 'EUROPE') AS b FROM sided GROUP BY week, post
+        ), k AS (SELECT * FROM w WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM k WHERE NOT post), s AS (
+            SELECT post, my, y / my AS y, a / ma AS a, b / mb AS b FROM k, m
+        ), v AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum((y - b) * (a - b)) / sum((a - b) * (a - b)))) AS w FROM s WHERE NOT post)
+        SELECT round(max(w), 6) AS weight, round(avg((y - w * a - (1 - w) * b) * my) FILTER (WHERE post), 6) AS gap, round(sqrt(avg((y - w * a - (1 - w) * b) * (y - w * a - (1 - w) * b)) FILTER (WHERE NOT post)), 6) AS pre_rmse FROM s, v""",
+    "dose_response": f"""WITH {UNITS}, x AS (SELECT unit, max(gross_orders) AS exposure FROM units WHERE week BETWEEN DATE '2000-06-04' AND DATE '2000-06-04' + 28 GROUP BY unit), e AS (
+            SELECT unit, avg(rate) FILTER (WHERE post) - avg(rate) FILTER (WHERE NOT post) AS effect FROM sided GROUP BY unit
+        ), j AS (SELECT * FROM x JOIN e USING (unit) WHERE effect IS NOT NULL), t AS (SELECT * FROM j ORDER BY round(effect, 9) DESC, unit DESC LIMIT 1)
+        SELECT round(corr(exposure, effect), 6) AS correlation, (SELECT unit FROM t) AS most_affected, (SELECT exposure FROM t) < 0.85 * max(exposure) AS inverted, count(*) AS n FROM j""",
+    "effect_translation": f"""WITH {UNITS}, b AS (SELECT avg(gross_orders) * avg(revenue / nullif(net_units, 0)) AS base FROM sided WHERE unit = 'ASIA' AND NOT post)
+        SELECT round(-0.05::DOUBLE * base, 2) AS impact, round(-(0.05::DOUBLE + 1.96 * 0.01) * base, 2) AS impact_low, round(-(0.05::DOUBLE - 1.96 * 0.01) * base, 2) AS impact_high FROM b""",
+    "competing_overlap": """WITH e AS (SELECT * FROM (VALUES ('A', 'H1', 0.0, 10.0), ('A', 'H2', 1.0, 9.0), ('A', 'H3', 8.0, 30.0), ('B', 'H4', -5.0, -1.0), ('B', 'H5', -4.9, -1.2)) t("case", id, low, high)), p AS (
+            SELECT a.id AS first, b.id AS second, greatest(least(a.high, b.high) - greatest(a.low, b.low), 0)::DOUBLE / (greatest(a.high, b.high) - least(a.low, b.low))::DOUBLE AS overlap FROM e a JOIN e b ON a."case" = b."case" AND a.id < b.id
+        ) SELECT first, second, round(overlap, 6) AS overlap FROM p WHERE overlap > 0.6""",
+    "abstention_triggers": f'WITH {CASES} SELECT "case", code, fired FROM fired',
+    "abstention_mode": f"""WITH {CASES}, g AS (SELECT "case", bool_or(fired AND code IN ('STALE_SOURCE', 'SOURCE_CONFLICT', 'CALIBRATION_INTEGRITY')) AS blocked, bool_or(fired AND code = 'UNEXPLAINED_RESIDUAL') AS rest, bool_or(fired AND code = 'COMPETING_EXPLANATIONS') AS many,
+            count(*) FILTER (WHERE fired AND code <> 'GRAIN_POLICY') AS k, count(*) FILTER (WHERE fired) AS n_fired FROM fired GROUP BY "case"
+        ), m AS (SELECT g.*, share, CASE WHEN blocked OR rest AND n_accepted = 0 THEN 'abstain' WHEN many THEN 'competing' WHEN n_accepted > 0 THEN 'confident' ELSE 'abstain' END AS mode FROM g JOIN shares USING ("case"))
+        SELECT "case", mode, round(cast(greatest(0, least(CASE WHEN mode = 'abstain' THEN least(share * pow(0.82, k), 0.35) ELSE share * pow(0.82, k) END, 0.99)) AS DOUBLE), 4) AS confidence, n_fired FROM m""",
+    "feedback_conflict": "SELECT 'H2' AS id, 'price_change' AS node, 0::BIGINT AS confirmed, 1::BIGINT AS rejected",
+    "feedback_summary": "SELECT * FROM (VALUES ('hypothesis', 'rejected', 2::BIGINT, 'H1,H7'), ('hypothesis', 'confirmed', 1, 'H1'), ('action', 'acted_on', 1, 'L4'), ('action', 'no_effect', 1, 'L5')) t(entity_type, verdict, n, entities)",
+    "bundle_enumeration": f"WITH {BUNDLES} SELECT bundle, levers, cost, relieved, cast(realised AS INT) AS realised, value, n_families, feasible FROM bundles",
+    "bundle_dominance": f"WITH {BUNDLES} SELECT cast(realised AS INT) AS realised, levers, cost, value FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1",
+    "bundle_rank": f"""WITH {BUNDLES}, u AS (SELECT * FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1)
+        SELECT cast(row_number() OVER (ORDER BY value DESC, cost, bundle) AS INT) AS rank, levers, cost, value, round(cost / nullif(value, 0), 6) AS weeks_to_payback FROM u ORDER BY rank LIMIT 10""",
+    "budget_sweep": f"""WITH {BUNDLES} SELECT budget, levers, cost, value FROM (SELECT (k * 1e6)::DOUBLE AS budget FROM range(1, 13) r(k)) g JOIN bundles ON cost <= budget QUALIFY row_number() OVER (PARTITION BY budget ORDER BY value DESC, cost, bundle) = 1""",
+    "persona_levers": f"""WITH {BUNDLES}, p AS (SELECT * FROM (VALUES ('regional_ops', 0), ('executive', 2)) t(persona, rank))
+        SELECT persona, levers, cost, value FROM p JOIN bundles ON level <= rank WHERE feasible QUALIFY row_number() OVER (PARTITION BY persona ORDER BY value DESC, cost, bundle) = 1""",
+    "greedy_baselines": "SELECT * FROM (VALUES ('cheapest', 'L2+L4+L7', 4.1e6, 0.25e6), ('value_for_cost', 'L4+L5', 6.7e6, 3.55e6)) t(method, levers, cost, value)",
+    "optimum_by_bounds": f"WITH {BUNDLES} SELECT levers, value FROM bundles WHERE feasible ORDER BY value DESC, cost LIMIT 1",
+    "lever_recommendations": f"""WITH {BUNDLES}, b AS (SELECT * FROM bundles WHERE feasible ORDER BY value DESC, cost, bundle LIMIT 1), n AS (SELECT * FROM (VALUES ('L4', 'clear support backlog', 'director'), ('L5', 'regional hub', 'vp')) t(lever, label, authority))
+        SELECT n.lever, label, l.cost::DOUBLE AS cost, authority, value AS bundle_value FROM b, n JOIN levers l ON l.lever = n.lever WHERE list_contains(string_split(levers, '+'), n.lever)""",
+    "number_tokens": f"WITH t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token",
+    "grounding_check": f"""WITH k AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS token FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents), m AS (
+            SELECT doc_id, string_agg(token, ',' ORDER BY token) AS missing FROM t WHERE token NOT IN ('0', '1', '2', '3', '100', '95', '90') AND token NOT IN (SELECT token FROM k) GROUP BY doc_id
+        ) SELECT d.doc_id AS "case", coalesce(missing, '') AS missing, missing IS NULL AS passed FROM documents d LEFT JOIN m USING (doc_id)""",
+    "rls_filtered_panel": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders, cast(cancellations AS DOUBLE) AS cancellations, cancellation_rate, delivery_sla_pct
+        FROM panel WHERE region = 'ASIA'""",
+    "telemetry_by_kind": "SELECT * FROM (VALUES ('io', 57.9::DOUBLE, 1::BIGINT, 10::BIGINT), ('deterministic', 98.65, 2, 20), ('statistical', 425.0, 2, 35)) t(kind, latency_ms, n, rows)",
+    "model_call_costs": "SELECT * FROM (VALUES ('small', 1000::BIGINT, 200::BIGINT, 1::BIGINT, 0.002::DOUBLE), ('large', 500, 900, 0, 0.015)) t(model, input_tokens, output_tokens, cached, cost)",
+    "method_registry": "SELECT * FROM (VALUES ('relational', 3::BIGINT), ('rule', 9), ('statistical', 6), ('ml', 1), ('causal', 5), ('optimisation', 2), ('template', 1)) t(category, n)",
+}

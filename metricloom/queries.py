@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attribution, lattice, panel
+from .operators import attribution, causal, decision, detect, graph, lattice, narrative, panel, policy, telemetry, topics
 from .sources import tables
-from .sources.contracts import DIMENSIONS
+from .sources.contracts import DIMENSIONS, METRICS, PORTFOLIO
+from .streaming import weekly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -116,3 +117,312 @@ def shortfall_80(spark, d):
 @query
 def best_slice_rule(spark, d):
     return attribution.best_slice(_leaves(spark, d))
+
+
+# ---- detection -------------------------------------------------------------------------------------------------
+
+SHALLOW = "level IN (7, 11, 13, 14, 15, 3)"
+
+
+def _residuals(spark, d):
+    return detect.naive_residuals(lattice.lattice(panel.panel_of(spark, d)).where(SHALLOW), "revenue")
+
+
+def _tests(spark, d):
+    return detect.empirical_p_values(_residuals(spark, d))
+
+
+@query
+def conformal_quantile(spark, d):
+    return detect.conformal_quantiles(_residuals(spark, d), 0.10).select("level", *DIMENSIONS, "n_calibration", F.round("half_width", 4).alias("half_width"), "valid")
+
+
+@query
+def empirical_pvalue(spark, d):
+    return _tests(spark, d).select("level", *DIMENSIONS, F.round("p_value", 9).alias("p_value"), "n")
+
+
+@query
+def bh_fdr(spark, d):
+    found = detect.benjamini_hochberg(_tests(spark, d), 0.10)
+    return found.select("level", *DIMENSIONS, F.round("q_value", 9).alias("q_value"), "survives_fdr")
+
+
+def _material(spark, d):
+    tests = detect.benjamini_hochberg(_tests(spark, d), 0.10).withColumn("metric", F.lit("revenue"))
+    return detect.with_impact(tests)
+
+
+@query
+def materiality(spark, d):
+    return _material(spark, d).select("level", *DIMENSIONS, F.round("business_impact", 4).alias("business_impact"), "meets_threshold", (F.col("survives_fdr") & F.col("meets_threshold")).alias("material"))
+
+
+@query
+def detection_diagnostics(spark, d):
+    return detect.diagnostics(_material(spark, d))
+
+
+@query
+def forecast_findings(spark, d):
+    return detect.detect(panel.panel_of(spark, d), ["revenue", "cancellation_rate"])
+
+
+@query
+def interval_coverage(spark, d):
+    return forecast_findings(spark, d).agg(F.round(detect.coverage(), 4).alias("coverage"), F.sum("holdouts").alias("holdouts"))
+
+
+# ---- graph and topics ------------------------------------------------------------------------------------------
+
+
+@query
+def dag_reachability(spark, d):
+    return graph.shortest_paths(METRICS.edge_table(spark))
+
+
+CANDIDATES = [("E1", "event", "delivery_sla"), ("E2", "event", "price_change"), ("T1", "topic", "cancellation_rate"), ("T2", "topic", "app_usability"), ("T3", "topic", "nps"), ("X1", "feed", "competitor_promo"), ("X2", "feed", "asp")]
+
+
+@query
+def corroboration_merge(spark, d):
+    return graph.corroborated(spark.createDataFrame(CANDIDATES, "id string, source string, node string"), METRICS.edge_table(spark), "revenue")
+
+
+@query
+def metric_exclusions(spark, d):
+    return panel.excluded_metrics(spark).select("metric")
+
+
+TOPIC_NAMES = [(0, "late courier box day"), (1, "price discount card sale"), (2, "happy thanks good nice"), (3, "refund invoice late price"), (4, "login app page error")]
+
+
+@query
+def topic_node_map(spark, d):
+    return topics.topic_nodes(spark.createDataFrame(TOPIC_NAMES, "topic int, name string"))
+
+
+@query
+def topics_tfidf_kmeans(spark, d):
+    docs = tables.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    found, names = topics.topics(docs, 6)
+    return found.groupBy("topic").agg(F.count("*").alias("n")).join(F.broadcast(names), "topic")
+
+
+def _weekly_returns(spark, d):
+    return tables.order_lines(spark, d).where("returned").groupBy(F.col("nation").alias("topic"), "week").agg(F.count("*").alias("n"))
+
+
+@query
+def date_spine_zero_fill(spark, d):
+    return topics.zero_filled(_weekly_returns(spark, d), "topic")
+
+
+@query
+def topic_spike(spark, d):
+    return topics.spikes(topics.zero_filled(_weekly_returns(spark, d), "topic"), "topic", least=1.05)
+
+
+@query
+def weekly_event_volume(spark, d):
+    events = weekly.weekly_events(tables.table(spark, d, "events"))
+    return events.select("week", "event_type", "n", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+# ---- causes ----------------------------------------------------------------------------------------------------
+
+START = "2000-06-04"
+
+
+def _units(spark, d):
+    return causal.unit_series(panel.panel_of(spark, d))
+
+
+def _nations(spark, d):
+    lines = tables.order_lines(spark, d)
+    sums = lines.groupBy(F.col("nation").alias("unit"), "week").agg(F.sum(F.when(F.col("returned"), F.col("quantity")).otherwise(0)).cast("double").alias("c"), F.sum("quantity").cast("double").alias("g"))
+    return sums.select("unit", "week", (F.col("c") / F.col("g")).alias("rate"))
+
+
+@query
+def unit_series(spark, d):
+    return _units(spark, d).select("unit", "week", "rate", "gross_orders")
+
+
+@query
+def onset_changepoint(spark, d):
+    return causal.onsets(_units(spark, d), "gross_orders").select("unit", "onset", "n_weeks")
+
+
+@query
+def did_twfe(spark, d):
+    return causal.did(_units(spark, d), "ASIA", F.lit(START).cast("date"))
+
+
+@query
+def pretrend_slope(spark, d):
+    return causal.pretrend(_units(spark, d), "ASIA", F.lit(START).cast("date"))
+
+
+@query
+def synth_two_donor(spark, d):
+    return causal.two_donor_synthetic(_units(spark, d), "ASIA", ("AFRICA", "EUROPE"), F.lit(START).cast("date"))
+
+
+@query
+def dose_response(spark, d):
+    at = F.lit(START).cast("date")
+    exposure = _units(spark, d).where(F.col("week").between(at, F.date_add(at, 28))).groupBy("unit").agg(F.max("gross_orders").alias("exposure"))
+    return causal.dose_response(exposure, _units(spark, d), at)
+
+
+@query
+def effect_translation(spark, d):
+    return causal.effect_in_revenue(_units(spark, d), "ASIA", F.lit(START).cast("date"), 0.05, 0.01)
+
+
+@query
+def synthetic_control(spark, d):
+    return causal.synthetic_controls(_units(spark, d), ["ASIA"], F.lit(START).cast("date"))
+
+
+@query
+def placebo_inference(spark, d):
+    units = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    return causal.placebo_ranks(causal.synthetic_controls(_units(spark, d), units, F.lit(START).cast("date")), "ASIA")
+
+
+@query
+def refutations(spark, d):
+    return causal.refutations(_units(spark, d), "ASIA", START)
+
+
+# ---- policy ----------------------------------------------------------------------------------------------------
+
+EFFECTS = [("A", "H1", 0.0, 10.0), ("A", "H2", 1.0, 9.0), ("A", "H3", 8.0, 30.0), ("B", "H4", -5.0, -1.0), ("B", "H5", -4.9, -1.2)]
+CASES = [("A", -100.0, 80.0, 2, 2, 0, 0, 120, 1, True), ("B", -100.0, 10.0, 0, 0, 0, 0, 120, 0, True), ("C", 50.0, 45.0, 1, 0, 0, 0, 80, 1, True), ("D", -100.0, 90.0, 1, 0, 1, 0, 30, 0, False), ("E", 0.0, 0.0, 1, 0, 0, 3, 200, 0, True)]
+CASE = "case string, total_gap double, explained double, n_accepted int, n_overlaps int, n_stale int, n_conflicts int, n_weeks int, n_excluded int, out_of_sample boolean"
+FEEDBACK_ROWS = [
+    ("hypothesis", "H1", "rejected", "delivery_sla", "", "ana", "2026-01-01T00:00:00"), ("hypothesis", "H1", "confirmed", "delivery_sla", "", "ben", "2026-01-02T00:00:00"), ("hypothesis", "H7", "rejected", "price_change", "", "ana", "2026-01-03T00:00:00"),
+    ("action", "L4", "acted_on", "", "", "ana", "2026-01-04T00:00:00"), ("action", "L5", "no_effect", "", "", "ana", "2026-01-05T00:00:00"),
+]
+HYPOTHESES = [("H1", "delivery_sla", "accepted"), ("H2", "price_change", "accepted"), ("H3", "stockout", "accepted"), ("H4", "price_change", "rejected")]
+
+
+@query
+def competing_overlap(spark, d):
+    return policy.overlaps(spark.createDataFrame(EFFECTS, "case string, id string, low double, high double"))
+
+
+@query
+def abstention_triggers(spark, d):
+    return policy.triggers(spark.createDataFrame(CASES, CASE)).select("case", "code", "fired")
+
+
+@query
+def abstention_mode(spark, d):
+    return policy.verdicts(policy.triggers(spark.createDataFrame(CASES, CASE)))
+
+
+def _feedback(spark):
+    return spark.createDataFrame(FEEDBACK_ROWS, tables.FEEDBACK)
+
+
+@query
+def feedback_conflict(spark, d):
+    return policy.feedback_conflicts(policy.feedback_history(spark.createDataFrame(HYPOTHESES, "id string, node string, verdict string"), _feedback(spark)))
+
+
+@query
+def feedback_summary(spark, d):
+    return policy.feedback_summary(_feedback(spark)).select("entity_type", "verdict", "n", F.array_join("entities", ",").alias("entities"))
+
+
+# ---- decisions -------------------------------------------------------------------------------------------------
+
+
+@query
+def bundle_enumeration(spark, d):
+    return decision.bundles(spark).select("bundle", "levers", "cost", "relieved", "realised", "value", "n_families", "feasible")
+
+
+@query
+def bundle_dominance(spark, d):
+    return decision.undominated(decision.bundles(spark)).select("realised", "levers", "cost", "value")
+
+
+@query
+def bundle_rank(spark, d):
+    return decision.ranked(decision.bundles(spark)).select("rank", "levers", "cost", "value", F.round("weeks_to_payback", 6).alias("weeks_to_payback"))
+
+
+@query
+def budget_sweep(spark, d):
+    return decision.budget_sweep(decision.bundles(spark), [k * 1e6 for k in range(1, 13)])
+
+
+@query
+def persona_levers(spark, d):
+    rows = None
+    for p in PORTFOLIO.personas:
+        best = decision.ranked(decision.bundles(spark, authority=p.authority), 1).select(F.lit(p.id).alias("persona"), "levers", "cost", "value")
+        rows = best if rows is None else rows.unionByName(best)
+    return rows
+
+
+@query
+def greedy_baselines(spark, d):
+    return decision.greedy(spark)
+
+
+@query
+def optimum_by_bounds(spark, d):
+    levers, value = decision.best_by_bounds()
+    return spark.createDataFrame([("+".join(levers), value)], "levers string, value double")
+
+
+@query
+def lever_recommendations(spark, d):
+    return decision.recommendations(decision.ranked(decision.bundles(spark), 1), PORTFOLIO, "delivery_sla", 0.63).select("lever", "label", "cost", "authority", "bundle_value")
+
+
+# ---- narratives, access, telemetry -----------------------------------------------------------------------------
+
+
+@query
+def number_tokens(spark, d):
+    docs = tables.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(narrative.number_tokens(F.col("text")))).alias("token"))
+    return docs.groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query
+def grounding_check(spark, d):
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("case"), "text")
+    known = tables.table(spark, d, "benchmark").select(F.explode(narrative.number_tokens(F.col("text"))).alias("token")).distinct()
+    vocabulary = docs.select("case").join(F.broadcast(known))
+    return narrative.ungrounded(docs, vocabulary)
+
+
+@query
+def rls_filtered_panel(spark, d):
+    p = panel.scoped(panel.panel_of(spark, d), PORTFOLIO.personas[0])
+    return p.select(*(c if c in ("week", *DIMENSIONS, "cancellation_rate", "delivery_sla_pct") else F.col(c).cast("double").alias(c) for c in p.columns if c not in ("ticket_volume", "deliveries", "in_time")))
+
+
+STAGES = [("load", 57.9, "io", "", 10), ("align", 96.6, "deterministic", "", 20), ("detect", 340.2, "statistical", "", 30), ("attribute", 84.8, "statistical", "", 5), ("render", 2.05, "deterministic", "", None)]
+CALLS = [("render", "small", 1000, 200, 5.0, False), ("render", "small", 0, 0, 0.1, True), ("render", "large", 500, 900, 9.0, False)]
+
+
+@query
+def telemetry_by_kind(spark, d):
+    return telemetry.by_kind(spark.createDataFrame(STAGES, telemetry.STAGE))
+
+
+@query
+def model_call_costs(spark, d):
+    return telemetry.call_costs(spark.createDataFrame(CALLS, telemetry.CALL), {"small": (1.0, 5.0), "large": (3.0, 15.0)}).select("model", "input_tokens", "output_tokens", "cached", F.round("cost", 9).alias("cost"))
+
+
+@query
+def method_registry(spark, d):
+    return telemetry.registry(spark).groupBy("category").agg(F.count("*").alias("n"))

@@ -76,7 +76,7 @@ class Catalog:
         return spark.createDataFrame(list(self.edges), "src string, dst string")
 
     def metric_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(m.name, m.source, m.unit, m.aggregation, m.grain, m.refresh_minutes, m.tolerance_hours, m.impact_floor, m.impact_scale, m.supports_weeks()[0]) for m in self.metrics.values()]
+        rows = [(m.name, m.source, m.unit, m.aggregation, m.grain, float(m.refresh_minutes), float(m.tolerance_hours), float(m.impact_floor), m.impact_scale, m.supports_weeks()[0]) for m in self.metrics.values()]
         return spark.createDataFrame(rows, "metric string, source string, unit string, aggregation string, grain string, refresh_minutes double, tolerance_hours double, impact_floor double, impact_scale double, weekly boolean")
 
 
