@@ -49,3 +49,11 @@ def utf8_list(column: pa.Array) -> list[bytes]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches have at most so many rows in this session, unless it has a setting of its own: texts are
+    long, and a batch is held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

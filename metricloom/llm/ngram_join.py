@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, short_batches, written
 from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
@@ -428,7 +428,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     link with nothing and are their own component. Ids that are null are never the smallest; a component of
     null ids only has a null component_id. Rows that repeat an id are each compared; an empty table gives no rows.
     """
-    spark: SparkSession = docs.sparkSession
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profiles = written(_profiles(docs), "profiles")
     grouped = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("least").alias("least"))

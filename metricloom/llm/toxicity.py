@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import short_batches, written
 
 #: The most labelled documents that are learnt from, chosen by a hash of doc_id.
 MAX_TRAINING_DOCS = 8000
@@ -37,7 +37,7 @@ LANDMARKS = 256
 ROUNDS = 2
 DECAY, SPAN = 0.8, 8
 WINDOW, STRIDE = 24, 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 SYMBOLS = 5  # bits
 MARK, OTHER = 27, 28
 
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     """A machine from docs (doc_id, text) and labels (doc_id, toxic): of the labels outside the held-out fold, at
     most max_docs. Repeated labels of a document count as toxic if one does; null labels don't count. Without
     both kinds of labels the result is the share of toxic ones."""
-    spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
