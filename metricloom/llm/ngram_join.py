@@ -162,22 +162,42 @@ def _similar(n, m, overlap):
     return F.expr(f"180 * {overlap} >= 80 * ({n} + {m})")
 
 
+def _near(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tries: int) -> DataFrame:
+    """Verified links (a, b, na, nb, overlap) among pairs (a, na, b), of each a to the `tries` candidates that its
+    sketch puts nearest."""
+    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").withColumn("limit", F.expr("na + nb - 2 * ((4 * (na + nb) + 8) div 9)"))
+    near = _sketch_bounds(nodes, pairs).groupBy("a", "na").agg(F.slice(F.array_sort(F.collect_set(F.struct("bound", "b", "nb"))), 1, tries).alias("p"))
+    near = near.select("a", "na", F.explode("p").alias("p")).select("a", "na", F.col("p.b").alias("b"), F.col("p.nb").alias("nb"))
+    return _overlaps(docs, nodes, near).where(_similar("na", "nb", "overlap"))
+
+
 def _stars(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links of nodes to their nearest pivot, and (node, star, far) with far the distance to the centre.
-    Each of a node's least hashes names the smallest and the largest node that share it; its pivots are the one
-    smallest and the one largest node that most of its hashes name."""
+    """Verified links of nodes to pivots, and (node, star, far) with far the distance to the centre.
+
+    Each of a node's least hashes names the smallest and the largest node that share it; its first pivots are the
+    one smallest and the one largest that most of its hashes name. Nodes that this links with nothing are compared
+    with every node that any of their hashes names, and with two more each: the first and last in another order."""
     keyed = nodes.select("node", "n", F.posexplode("least").alias("k", "h"))
     ends = keyed.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     other = lambda c: F.mode(F.when(F.col(c) != F.col("node"), F.col(c)), True)
     own = keyed.join(ends, ["k", "h"]).groupBy("node", "n").agg(F.array(other("lo"), other("hi")).alias("pivots"))
     pairs = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array_compact(F.array_distinct("pivots"))).alias("b"))
-    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").withColumn("limit", F.expr("na + nb - 2 * ((4 * (na + nb) + 8) div 9)"))
-    nearest = _sketch_bounds(nodes, pairs).groupBy("a", "na").agg(F.min_by(F.struct("b", "nb"), F.struct("bound", "b")).alias("p"))
-    found = _overlaps(docs, nodes, nearest.select("a", "na", F.col("p.b").alias("b"), F.col("p.nb").alias("nb")))
-    links = found.where(_similar("na", "nb", "overlap"))
+    links = _near(docs, nodes, pairs, 1)
+
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("linked", F.lit(True))
+    marked = keyed.join(linked, "node", "left")
+    mixed = F.xxhash64("node", F.lit(1))
+    known = F.when(F.col("linked"), F.col("node"))
+    picks = marked.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", mixed).alias("first"), F.max_by("node", mixed).alias("last"), F.min(known).alias("known"), F.max(known).alias("also"))
+    picks = picks.where("lo < hi").select("k", "h", F.array_compact(F.array("lo", "hi", "first", "last", "known", "also")).alias("picks"))
+    rest = marked.where("linked IS NULL").join(picks, ["k", "h"]).groupBy("node", "n").agg(F.array_distinct(F.flatten(F.collect_list("picks"))).alias("picks"))
+    pairs = rest.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("picks").alias("b")).where("a <> b")
+    links = written(links.unionByName(_near(docs, nodes, pairs, 3)), "links")
+
     centres = links.select(F.col("b").alias("node")).distinct()
-    members = links.join(centres, links.a == centres.node, "left_anti").select(F.col("a").alias("node"), F.col("b").alias("star"), F.expr("na + nb - 2 * overlap").alias("far"))
+    stars = links.join(centres, links.a == centres.node, "left_anti").withColumn("far", F.expr("na + nb - 2 * overlap"))
+    members = stars.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.struct("far", "b")).alias("star"), F.min("far").alias("far"))
     return links.select("a", "b"), members
 
 
