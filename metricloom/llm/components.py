@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, written
+from .common import arrow_map, batch, written
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +42,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b: long, not null) -> one row (node, root) per node that has an edge to another; root is the
     smallest node of its component. Loops and repeated edges are harmless; no edges give no rows."""
-    e = written(edges.where("a <> b").mapInArrow(_forest, "a long, b long"), "edges")
+    e = written(arrow_map(edges.where("a <> b"), _forest, "a long, b long"), "edges")
     while True:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, short_batches, written
+from .common import arrow_map, partitions, short_batches, written
 from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
@@ -99,7 +99,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 mins = pa.array([np.array(x, np.uint64).view(np.int64) for x in least], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), mins], ["id", "n", "digest", "sketch", "least"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, sketch binary, least array<long>")
+    return arrow_map(docs, run, "id long, n long, digest binary, sketch binary, least array<long>")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "tokens"])
 
-    found = docs.mapInArrow(run, "id long, digest binary, tokens binary")
+    found = arrow_map(docs, run, "id long, digest binary, tokens binary")
     of = nodes.select("node", "first", "digest")
     joined = found.join(of, (found.digest == of.digest) & found.id.eqNullSafe(of["first"]))
     return joined.select("node", "tokens").dropDuplicates(["node"])
@@ -136,7 +136,7 @@ def _overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.int64())], [*b.schema.names[:-2], "overlap"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", overlap long"
-    return written(both.mapInArrow(run, schema), "overlaps")
+    return written(arrow_map(both, run, schema), "overlaps")
 
 
 def _sketch_bounds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _sketch_bounds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield out.filter(pa.array(found <= np.array(b.column(limit_at))))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", bound long"
-    return both.mapInArrow(run, schema)
+    return arrow_map(both, run, schema)
 
 
 # ---- stars -----------------------------------------------------------------------------------------------------
@@ -250,8 +250,8 @@ def _hot_tokens(docs: DataFrame, slots: int) -> tuple[int, np.ndarray, np.ndarra
             hot = df >= HOT_DF
             yield pa.RecordBatch.from_arrays([pa.array((keys[first][hot].astype(np.uint64) + starts[slot]).view(np.int64)), pa.array(df[hot])], ["key", "df"])
 
-    runs = docs.mapInArrow(count, "slot int, once binary, more binary, times binary").repartitionById(slots, F.col("slot"))
-    hot = runs.mapInArrow(total, "key long, df long").orderBy(F.desc("df"), "key").limit(HOT_TOKENS).toPandas().sort_values("key")
+    runs = arrow_map(docs, count, "slot int, once binary, more binary, times binary").repartitionById(slots, F.col("slot"))
+    hot = arrow_map(runs, total, "key long, df long").orderBy(F.desc("df"), "key").limit(HOT_TOKENS).toPandas().sort_values("key")
     return bits, hot["key"].to_numpy(np.int64).view(np.uint64), hot["df"].to_numpy(np.int64)
 
 
@@ -405,10 +405,10 @@ def _candidates(docs: DataFrame, nodes: DataFrame, slots: int) -> DataFrame:
                 part = found[lo : lo + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
 
-    own = docs.mapInArrow(prefixes, "id long, digest binary, prefix binary")
+    own = arrow_map(docs, prefixes, "id long, digest binary, prefix binary")
     joined = own.join(nodes, (own.digest == nodes.digest) & own.id.eqNullSafe(nodes["first"])).select("star", "comp", "n", "prefix")
-    dealt = joined.mapInArrow(postings, "slot int, entries binary").repartitionById(slots, F.col("slot"))
-    return dealt.mapInArrow(lists, "a long, b long").distinct()
+    dealt = arrow_map(joined, postings, "slot int, entries binary").repartitionById(slots, F.col("slot"))
+    return arrow_map(dealt, lists, "a long, b long").distinct()
 
 
 # ---- the join --------------------------------------------------------------------------------------------------

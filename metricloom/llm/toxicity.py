@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, written
+from .common import arrow_map, short_batches, written
 
 #: The most labelled documents that are learnt from, chosen by a hash of doc_id.
 MAX_TRAINING_DOCS = 8000
@@ -308,7 +308,7 @@ def _scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, pa.float64()), pa.array(best, pa.string())], [*keep, "value", "fragment"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", value double, fragment string")
+    return arrow_map(docs.select(*keep, "text"), run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", value double, fragment string")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> DataFrame:
@@ -349,4 +349,4 @@ def _keeping(docs: DataFrame, machine: Machine) -> DataFrame:
                 values = np.array([v for v, _ in _best(part.column(at), cache)])
                 yield part.filter(pa.array(cache.machine.probability(values) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
