@@ -126,7 +126,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
     rows = rows.select("doc_id", "body", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), F.col("body").alias("tie"))
     rows = with_fingerprint(rows, "body", "print")
-    rows = with_next(rows, ["doc_id", "body", "print"], 2 * partitions(docs.sparkSession)).drop("tie", "next_doc_id")
+    rows = with_next(rows, ["doc_id", "body", "print"], 8 * partitions(docs.sparkSession)).drop("tie", "next_doc_id")
     rows = rows.withColumn("n_chars", F.char_length("body").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("body", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_body", F.lit(1), cut)))
