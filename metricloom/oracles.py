@@ -50,7 +50,7 @@ _BITS = {"region": 8, "product_line": 4, "channel": 2, "segment": 1}
 VALUES = f"""{LEAVES}, groups AS (
     SELECT cast(grouping_id({LEAF}) AS INT) AS open, count(*) AS n, sum(gap) AS g FROM leaves GROUP BY CUBE ({LEAF})
 ), total AS (SELECT sum(gap * gap) AS total FROM leaves), v AS (
-    SELECT 15 - open AS coalition, CASE WHEN open = 15 THEN 0 ELSE coalesce(sum(g * g / n) / any_value(total), 0) END AS v FROM groups, total GROUP BY open
+    SELECT 15 - open AS coalition, CASE WHEN open = 15 THEN 0 ELSE coalesce(sum(g * g / n) / any_value(total), 0) END AS v FROM groups, total WHERE n > 0 GROUP BY open
 )"""
 
 ANY = lambda d: f"CASE WHEN open & {_BITS[d]} <> 0 THEN 'ALL' ELSE {d} END AS {d}"
