@@ -27,6 +27,7 @@ from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
 HASHES = 8
+PICKS = 5
 HOT_TOKENS = 1 << 20  # most entries of the table of frequent tokens that tasks get: 16 MB
 HOT_DF = 16
 CHUNK = 1 << 18
@@ -177,7 +178,8 @@ def _stars(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each of a node's least hashes names the smallest and the largest node that share it; its first pivots are the
     one smallest and the one largest that most of its hashes name. Nodes that this links with nothing are compared
-    with every node that any of their hashes names, and with two more each: the first and last in another order."""
+    with the PICKS nodes that most of their hashes name, where each hash names up to six: the first and last in two
+    orders and among linked nodes. What this misses, the inverted lists find."""
     keyed = nodes.select("node", "n", F.posexplode("least").alias("k", "h"))
     ends = keyed.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     other = lambda c: F.mode(F.when(F.col(c) != F.col("node"), F.col(c)), True)
@@ -191,8 +193,10 @@ def _stars(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = F.when(F.col("linked"), F.col("node"))
     picks = marked.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", mixed).alias("first"), F.max_by("node", mixed).alias("last"), F.min(known).alias("known"), F.max(known).alias("also"))
     picks = picks.where("lo < hi").select("k", "h", F.array_compact(F.array("lo", "hi", "first", "last", "known", "also")).alias("picks"))
-    rest = marked.where("linked IS NULL").join(picks, ["k", "h"]).groupBy("node", "n").agg(F.array_distinct(F.flatten(F.collect_list("picks"))).alias("picks"))
-    pairs = rest.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("picks").alias("b")).where("a <> b")
+    rest = marked.where("linked IS NULL").join(picks, ["k", "h"]).groupBy("node", "n").agg(F.flatten(F.collect_list("picks")).alias("all"))
+    rest = rest.withColumn("all", F.array_remove("all", F.col("node")))
+    named = F.transform(F.array_distinct("all"), lambda p: F.struct((-F.size(F.filter("all", lambda x: x == p))).alias("times"), p.alias("b")))
+    pairs = rest.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.slice(F.array_sort(named), 1, PICKS)["b"]).alias("b"))
     links = written(links.unionByName(_near(docs, nodes, pairs, 3)), "links")
 
     centres = links.select(F.col("b").alias("node")).distinct()
