@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.common import written
 from metricloom.llm.exact_dedup import drop_copies
 from metricloom.llm.ngram_join import one_of_each
-from metricloom.llm.packing import pack_documents
+from metricloom.llm.packing import pack_tokens
 from metricloom.llm.toxicity import without_toxic
 
 
@@ -27,8 +28,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A batch and a slot in it for every document."""
-    return pack_documents(docs)
+    """A batch and a slot in it for every document, by its number of tokens."""
+    return pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("ngram_join", near_stage), ("packing", packing_stage)]

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import arrow_map, partitions, written
+from .token_files import GROUP, load
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -117,3 +118,24 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
 def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """pack() of documents by their number of words (null text: 0); any column of token counts packs the same way."""
     return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), buckets, budget)
+
+
+def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and n_tokens of every row: how many ids the tokenizer at that path gives the whole text, without marks
+    of its own around it. Null and empty texts have 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = load(tokenizer)
+        for b in batches:
+            counts: list[int] = []
+            for lo in range(0, b.num_rows, GROUP):
+                texts = [t or "" for t in b.column(1).slice(lo, GROUP).to_pylist()]
+                counts += [len(ids) // 4 for ids in encoder.encode_all(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long")
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """pack() of documents by their number of tokens."""
+    return pack(token_counts(docs, tokenizer), buckets, budget)

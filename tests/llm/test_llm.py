@@ -363,6 +363,25 @@ def test_packing(docs, none, spark):
     assert packing.pack(spark.createDataFrame([(1, None), (1, None), (None, 5)], "doc_id long, n_tokens long")).count() == 3
 
 
+def test_the_query_and_the_pipeline_pack_by_tokens(spark, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from metricloom.llm import queries
+
+    own = [*variants(), (90, "iVBORw0KGgoAAAANSUhEUgAA" * 500, None, None, None), (91, "\u4e2d\u6587\u5b57\u7b26" * 300, None, None, None)]
+    table = spark.createDataFrame(own, SCHEMA)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(WORD_BPE)
+    want = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in own)
+    for out in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, table, str(tmp_path))):
+        got = out.toPandas()
+        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out.collect()) == want
+        sums = got.groupby(["bucket", "batch"]).agg(n=("slot", "size"), width=("bucket_tokens", "max"))
+        assert (got["n_tokens"] <= got["bucket_tokens"]).all() and ((sums["n"] * sums["width"] <= packing.BUDGET) | (sums["n"] == 1)).all()
+    assert packing.pack_tokens(none, WORD_BPE).count() == 0
+
+
 def test_pipeline_against_a_plain_version(spark, sf_dir):
     import corpus_pipeline
 
