@@ -122,14 +122,13 @@ def series_findings(long: DataFrame, alpha: float = 0.10, gamma: float = 0.05) -
 
 def detect(panel: DataFrame, metrics: list[str] | None = None, alpha: float = 0.10, q: float = 0.10, catalog: Catalog = METRICS) -> DataFrame:
     """Findings of all slices and metrics: forecast, interval, p-value and q-value over all tests, impact against
-    the contract, and material (survives and reaches the floor). Metrics that contracts keep from weekly use are
-    refused."""
-    usable = [m.name for m in catalog.weekly()[0]]
+    the contract, and material (survives and reaches the floor). Without metrics given, all that contracts
+    allow weekly; those that contracts keep from weekly use are refused."""
     for m in metrics or []:
         ok, why = catalog.metric(m).supports_weeks()
         if not ok:
             raise ValueError(why)
-    chosen = metrics or [m for m in usable if m != "ticket_volume"]
+    chosen = metrics or [m.name for m in catalog.weekly()[0]]
     found = benjamini_hochberg(series_findings(long_metrics(lattice(panel), chosen), alpha), q)
     return with_impact(labelled(found), catalog).withColumn("material", F.col("survives_fdr") & F.col("meets_threshold"))
 

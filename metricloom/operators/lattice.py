@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.contracts import DIMENSIONS
 from .panel import MEASURES, with_ratios
 
+#: What is summed in every slice.
+SUMMED = (*MEASURES, "ticket_volume")
+
 
 def subsets() -> list[tuple[str, ...]]:
     return [c for n in range(len(DIMENSIONS) + 1) for c in combinations(DIMENSIONS, n)]
@@ -17,10 +20,12 @@ def subsets() -> list[tuple[str, ...]]:
 
 def lattice(panel: DataFrame) -> DataFrame:
     """Every slice's weekly measures and ratios. Rows are summed to leaf weeks before they are expanded 16 times;
-    level has a set bit for each dimension that is left open, the last dimension's lowest."""
-    leaves = panel.groupBy("week", *DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+    level has a set bit for each dimension that is left open, the last dimension's lowest. Allocated tickets are
+    fractions: as decimals their sums don't depend on the order."""
+    panel = panel.withColumn("ticket_volume", F.col("ticket_volume").cast("decimal(28,12)"))
+    leaves = panel.groupBy("week", *DIMENSIONS).agg(*(F.sum(m).alias(m) for m in SUMMED))
     sets = [[F.col(c) for c in ("week", *s)] for s in subsets()]
-    return with_ratios(leaves.groupingSets(sets, "week", *DIMENSIONS).agg(F.grouping_id().cast("int").alias("level"), *(F.sum(m).alias(m) for m in MEASURES)))
+    return with_ratios(leaves.groupingSets(sets, "week", *DIMENSIONS).agg(F.grouping_id().cast("int").alias("level"), *(F.sum(m).alias(m) for m in SUMMED)))
 
 
 def labelled(slices: DataFrame) -> DataFrame:

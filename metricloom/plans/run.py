@@ -68,7 +68,7 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
         at = p.agg(F.max("week")).first()[0]
         report |= {"week": at, "excluded": catalog.weekly()[1], "freshness": [r.asDict() for r in panel.freshness(given, F.lit(at).cast("date"), catalog).collect()], "conflicts": panel.conflicts(given["warehouse"]).first().asDict()}
     with t.stage("detect", "statistical") as info:
-        detect.detect(p, ["revenue", "cancellation_rate"], catalog=catalog).write.mode("overwrite").parquet(f"{out}/findings")
+        detect.detect(p, catalog=catalog).write.mode("overwrite").parquet(f"{out}/findings")
         findings = spark.read.parquet(f"{out}/findings")
         report["detection"] = detect.diagnostics(findings).first().asDict() | findings.agg(F.round(detect.coverage(), 4).alias("coverage"), F.bool_and(F.col("sparse") | F.col("out_of_sample")).alias("out_of_sample")).first().asDict()
         info["rows"] = report["detection"]["n_tests"]

@@ -165,7 +165,7 @@ def detection_diagnostics(spark, d):
 
 @query
 def forecast_findings(spark, d):
-    return detect.detect(panel.panel_of(spark, d), ["revenue", "cancellation_rate"])
+    return detect.detect(panel.panel_of(spark, d))
 
 
 @query

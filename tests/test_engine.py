@@ -103,6 +103,27 @@ def test_refuses_a_metric_of_coarser_grain(spark):
         detect.detect(_lines(spark), ["nps"])
 
 
+def test_detection_tests_all_weekly_metrics_of_the_contract(spark, sf_dir):
+    from metricloom.operators import lattice
+    from metricloom.queries import QUERIES
+
+    rng, rows = np.random.default_rng(7), []
+    for k in range(40):
+        for r in ("N", "S"):
+            for s, share in (("x", 0.25), ("y", 0.75)):
+                tickets = float(rng.integers(90, 110)) + (4000 if r == "N" and k == 39 else 0)
+                rows.append((dt.date(2024, 1, 7) + dt.timedelta(weeks=k), r, "P", "C", s, 1000 + float(rng.normal(0, 5)), 10.0, 12.0, 1 + float(rng.normal(0, 0.02)), 100, int(rng.integers(93, 97)) - (40 if r == "N" and k == 39 else 0), tickets * share))
+    p = spark.createDataFrame(rows, "week date, region string, product_line string, channel string, segment string, revenue double, net_units double, gross_orders double, cancellations double, deliveries long, in_time long, ticket_volume double")
+    sums = {r["region"]: float(r["ticket_volume"]) for r in lattice.lattice(p).where("level = 7 AND week = (DATE '2024-01-07' + 273)").collect()}
+    assert sums == pytest.approx({r: sum(x[-1] for x in rows if x[1] == r and x[0] == rows[-1][0]) for r in "NS"})
+    found = detect.detect(p).toPandas()
+    wanted = {"revenue", "cancellation_rate", "delivery_sla_pct", "ticket_volume"}
+    assert set(found["metric"]) == wanted
+    large = found[(found["level"] == 7) & found["outside_interval"] & found["meets_threshold"]]
+    assert set(zip(large["region"], large["metric"], strict=True)) == {("N", "delivery_sla_pct"), ("N", "ticket_volume")}
+    assert {r["metric"] for r in QUERIES["forecast_findings"](spark, sf_dir).select("metric").distinct().collect()} == wanted
+
+
 def test_gates_follow_chains(spark):
     c = contracts.Constraint
     chain = contracts.Portfolio((c("A", "", 1.0), c("B", "", 2.0, ("A",)), c("C", "", 4.0, ("B",))), (contracts.Lever("X", "", 1.0, ("C",), "manager"), contracts.Lever("Y", "", 1.0, ("B",), "manager"), contracts.Lever("Z", "", 1.0, ("A",), "manager")), 2.0)
