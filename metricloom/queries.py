@@ -256,7 +256,8 @@ def onset_changepoint(spark, d):
 
 @query
 def did_twfe(spark, d):
-    return causal.did(_units(spark, d), "ASIA", F.lit(START).cast("date"))
+    at = F.lit(START).cast("date")
+    return causal.did(causal.full_weeks(_units(spark, d), at), "ASIA", at)  # its SQL keeps the weeks of all units only
 
 
 @query

@@ -151,6 +151,22 @@ def test_did_equals_least_squares_with_dummies(spark):
     assert abs(got["estimate"] - beta[0]) < 1e-5
 
 
+def test_did_keeps_weeks_that_a_unit_lacks(spark):
+    rng = np.random.default_rng(9)
+    weeks = [dt.date(2024, 1, 7) + dt.timedelta(weeks=k) for k in range(40)]
+    data = [(u, w, float(k * 0.01 + i + rng.normal(0, 0.1) + (0.5 if u == "A" and k >= 30 else 0))) for i, u in enumerate("ABCD") for k, w in enumerate(weeks) if not (u == "D" and k < 25) and not (u == "C" and k % 3 == 0)]
+    rows = [*data, ("B", weeks[-1] + dt.timedelta(weeks=1), None)]
+    got = causal.did(spark.createDataFrame(rows, "unit string, week date, rate double"), "A", F.lit(weeks[30]).cast("date")).first()
+    y = np.array([v for *_, v in data])
+    x = np.array([[float(u == "A" and w >= weeks[30]), *(float(u == o) for o in "ABCD"), *(float(w == o) for o in weeks[1:])] for u, w, _ in data])
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    error = y - x @ beta
+    se = (error @ error / (len(y) - np.linalg.matrix_rank(x)) * np.linalg.inv(x.T @ x)[0, 0]) ** 0.5
+    assert got["n"] == len(data) and abs(got["estimate"] - beta[0]) < 1e-5 and abs(got["se"] - se) < 1e-5
+    sparse = [("A", w, v) for u, w, v in data if u == "A"] + [("B", w, v) for (u, w, v) in data if u == "B" and w < weeks[5]]
+    assert causal.did(spark.createDataFrame(sparse, "unit string, week date, rate double"), "A", F.lit(weeks[30]).cast("date")).first()["estimate"] is None
+
+
 def test_graph_paths_are_simple(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "src string, dst string")
     found = {(r["src"], r["dst"]): r["path"] for r in graph.shortest_paths(edges).collect()}
