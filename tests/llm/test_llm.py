@@ -239,6 +239,28 @@ def test_licences(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licences_of_identifiers_and_wrapped_notices():
+    import textwrap
+
+    model = licenses.train()
+    families = lambda t: [r[2] for r in licenses.scan_text(t, model)]
+    for t, family in (("Distributed under AGPL-3.0.", "agpl"), ("Code is Apache-2.0.", "apache-2.0"), ("Terms: LGPL-2.1 or later", "lgpl"), ("CC-BY-4.0", "cc-by"), ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY", "mit")):
+        assert families(t) == [family], t
+    assert families("Dual MPL-2.0 / MIT")[0] in ("mpl-2.0", "mit")
+    prose = "The river rose in the night and they moved the cattle to the hill.\n\n"
+    for family in ("gpl", "lgpl", "agpl", "mit", "bsd", "isc"):
+        notice = max(licenses.TEMPLATES[family], key=len)
+        for width in (40, 60, 76):
+            wrapped = textwrap.fill(notice, width)
+            found = licenses.scan_text(f"{prose}{wrapped}\n\n{prose}", model)
+            assert [r[2] for r in found] == [family], (family, width, found)
+            assert found[0][:2] == (len(prose), len(prose) + len(wrapped))
+    for family in licenses.TEMPLATES:
+        for t in licenses.known_texts(family):
+            assert not licenses._TELLING.isdisjoint(licenses.words(t))
+    assert families(prose * 30) == [] and families("Er ging mit dem Hund\nund kam mit der Katze, mit Hut.\n\nDamit war es gut.") == []
+
+
 # ---- fingerprints ----------------------------------------------------------------------------------------------
 
 
