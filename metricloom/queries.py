@@ -204,7 +204,7 @@ def topic_node_map(spark, d):
 
 @query
 def topics_tfidf_kmeans(spark, d):
-    docs = tables.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = tables.table(spark, d, "documents").select("doc_id", "text")
     found, names = topics.topics(docs, 6)
     return found.groupBy("topic").agg(F.count("*").alias("n")).join(F.broadcast(names), "topic")
 

@@ -167,6 +167,12 @@ def test_did_keeps_weeks_that_a_unit_lacks(spark):
     assert causal.did(spark.createDataFrame(sparse, "unit string, week date, rate double"), "A", F.lit(weeks[30]).cast("date")).first()["estimate"] is None
 
 
+def test_topics_read_documents_of_all_languages(spark, sf_dir):
+    from metricloom.queries import QUERIES
+
+    assert QUERIES["topics_tfidf_kmeans"](spark, sf_dir).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_graph_paths_are_simple(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "src string, dst string")
     found = {(r["src"], r["dst"]): r["path"] for r in graph.shortest_paths(edges).collect()}
