@@ -16,13 +16,21 @@ from ..sources.contracts import DIMENSIONS, METRICS, PORTFOLIO, Catalog, Portfol
 
 WINDOW_WEEKS = 10
 EVENTS = "id string, label string, node string, unit string, start date, impact_rate double"
+#: What external sources say of nodes of the causal graph: how strong in each unit and week, 0 where not active.
+FEED = "week date, unit string, node string, label string, intensity double"
+LEAST_DOSES = 4
 
 
-def candidates(events: DataFrame, at: Any, texts: DataFrame | None = None, k: int = 6) -> DataFrame:
-    """Candidate causes: events that began within ten weeks of the analysis week, and topics of texts (doc_id, text,
-    week) that spike. id, source, node, label, start, unit, impact_rate."""
+def candidates(events: DataFrame, at: Any, texts: DataFrame | None = None, k: int = 6, feed: DataFrame | None = None, unit: str | None = None) -> DataFrame:
+    """Candidate causes: events that began within ten weeks of the analysis week, nodes that an external feed shows
+    active in them and no such event names (with the unit given), and topics of texts (doc_id, text, week) that
+    spike. id, source, node, label, start, unit, impact_rate."""
     recent = events.where((F.col("start") >= F.date_sub(F.lit(at), 7 * WINDOW_WEEKS)) & (F.col("start") <= F.lit(at)))
     found = recent.select("id", F.lit("event").alias("source"), "node", "label", "start", "unit", "impact_rate")
+    if feed is not None:
+        active = feed.where((F.col("intensity") > 0) & (F.col("week") >= F.date_sub(F.lit(at), 7 * WINDOW_WEEKS)) & (F.col("week") <= F.lit(at)))
+        shown = active.join(recent.select("node").distinct(), "node", "left_anti").groupBy("node").agg(F.min("label").alias("label"), F.min("week").alias("start"))
+        found = found.unionByName(shown.select(F.concat(F.lit("X:"), "node").alias("id"), F.lit("feed").alias("source"), "node", "label", "start", F.lit(unit).cast("string").alias("unit"), F.lit(None).cast("double").alias("impact_rate")))
     if texts is None or texts.limit(40).count() < 40:
         return found
     labelled, names = topics.topics(texts, k)
@@ -31,8 +39,15 @@ def candidates(events: DataFrame, at: Any, texts: DataFrame | None = None, k: in
     return found.unionByName(spiking.select(F.concat(F.lit("T"), "topic").alias("id"), F.lit("topic").alias("source"), "node", F.col("name").alias("label"), F.col("onset").alias("start"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("impact_rate")))
 
 
-def prosecute(row: Any, series: DataFrame, onset: Any) -> dict:
-    """The evidence for and against one candidate, cheapest first; tests that can't change the verdict don't run."""
+def exposures(feed: DataFrame, node: str, at: Any) -> DataFrame:
+    """Each unit's largest intensity of the node up to the analysis week; units without any are left out."""
+    active = feed.where((F.col("node") == node) & (F.col("intensity") > 0) & (F.col("week") <= F.lit(at)))
+    return active.groupBy("unit").agg(F.max("intensity").cast("double").alias("exposure"))
+
+
+def prosecute(row: Any, series: DataFrame, onset: Any, exposure: DataFrame | None = None) -> dict:
+    """The evidence for and against one candidate, cheapest first; tests that can't change the verdict don't run. With
+    exposure (unit, exposure) of four units or more that varies, the unit on trial must be among the most exposed."""
     evidence: dict = {"path": row["path"], "onset": onset, "start": row["start"]}
     if causal.verdict(evidence | {"did_p": 0, "parallel": True, "placebo_p": 0})[0] != "accepted" or row["unit"] is None:
         return evidence
@@ -50,12 +65,19 @@ def prosecute(row: Any, series: DataFrame, onset: Any) -> dict:
     evidence |= {"placebo_p": placebo["p_value"]}
     if causal.verdict(evidence)[0] != "accepted":
         return evidence
+    if exposure is not None:
+        dose = causal.dose_response(exposure, series, at).first()
+        most = exposure.agg(F.max("exposure").alias("top"), F.coalesce(F.max(F.when(F.col("unit") == row["unit"], F.col("exposure"))), F.lit(0.0)).alias("own")).first()
+        if dose["n"] >= LEAST_DOSES and dose["correlation"] is not None and dose["correlation"] == dose["correlation"]:
+            evidence |= {"dose": dose["correlation"], "inverted": most["own"] < 0.85 * most["top"]}
+            if causal.verdict(evidence)[0] != "accepted":
+                return evidence
     evidence["refutations"] = {r["test"]: r["passed"] for r in causal.refutations(series, row["unit"], str(row["start"])).collect()}
     money = causal.effect_in_revenue(series, row["unit"], at, effect["estimate"], effect["se"]).first()
     return evidence | {"impact": money["impact"], "low": money["impact_low"], "high": money["impact_high"]}
 
 
-def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: DataFrame | None = None, feedback: DataFrame | None = None, catalog: Catalog = METRICS, portfolio: Portfolio = PORTFOLIO) -> dict:
+def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: DataFrame | None = None, feedback: DataFrame | None = None, catalog: Catalog = METRICS, portfolio: Portfolio = PORTFOLIO, feed: DataFrame | None = None) -> dict:
     """Runs all stages on the sources' last week and writes findings (Parquet), the method registry (CSV), the
     report (JSON) and released narratives (text) under `out`. Returns the report. What is collected are single
     rows, contracts and candidates, never panels or findings."""
@@ -82,10 +104,12 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
     with t.stage("causes", "causal"):
         series = causal.unit_series(p).persist()
         onset = {r["unit"]: r["onset"] for r in causal.onsets(series).collect()}
-        judged = graph.corroborated(candidates(events, at, texts).select("id", "source", "node"), catalog.edge_table(spark), "revenue").join(candidates(events, at, texts).drop("source", "node"), "id")
+        accused = report["slice"]["region"] if report["slice"]["region"] in onset else None  # of feeds, which name no unit
+        found = candidates(events, at, texts, feed=feed, unit=accused)
+        judged = graph.corroborated(found.select("id", "source", "node"), catalog.edge_table(spark), "revenue").join(found.drop("source", "node"), "id")
         hypotheses = []
         for row in judged.collect():
-            evidence = prosecute(row, series, onset.get(row["unit"])) if row["fate"] == "kept" else {"path": row["path"]}
+            evidence = prosecute(row, series, onset.get(row["unit"]), None if feed is None else exposures(feed, row["node"], at)) if row["fate"] == "kept" else {"path": row["path"]}
             verdict, reason = ("merged", f"part of {row['merged_into']}") if row["fate"] == "merged" else causal.verdict(evidence)
             hypotheses.append({"id": row["id"], "label": row["label"][:58], "node": row["node"], "unit": row["unit"], "start": row["start"], "verdict": verdict, "reason": reason[:90], "evidence": evidence})
         report["hypotheses"] = hypotheses
@@ -93,7 +117,7 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
         accepted = [h for h in hypotheses if h["verdict"] == "accepted"]
         effects = spark.createDataFrame([(h["id"], h["evidence"]["low"], h["evidence"]["high"]) for h in accepted], "id string, low double, high double")
         weeks = p.agg(F.count_distinct("week")).first()[0]
-        case = [("week", float(report["gap"]), float(sum(h["evidence"]["impact"] for h in accepted)), len(accepted), policy.overlaps(effects).count(), sum(r["status"] == "stale" for r in report["freshness"]), report["conflicts"]["n_conflicts"], weeks, 0, bool(report["detection"]["out_of_sample"]))]
+        case = [("week", float(report["gap"]), float(sum(h["evidence"]["impact"] for h in accepted)), len(accepted), policy.overlaps(effects).count(), sum(r["status"] == "stale" for r in report["freshness"]), report["conflicts"]["n_conflicts"], weeks, len(report["excluded"]), bool(report["detection"]["out_of_sample"]))]
         fired = policy.triggers(spark.createDataFrame(case, "case string, total_gap double, explained double, n_accepted int, n_overlaps int, n_stale int, n_conflicts int, n_weeks int, n_excluded int, out_of_sample boolean"))
         report["triggers"] = [r.asDict() for r in fired.select("code", "fired", "detail").collect()]
         report |= policy.verdicts(fired).first().asDict()

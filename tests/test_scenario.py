@@ -54,3 +54,18 @@ def test_planted_cause_is_found_and_decoys_are_not(spark, tmp_path):
     written = json.loads((tmp_path / "out/report.json").read_text())
     assert written["week"] == str(WEEKS[-1]) and (tmp_path / "out/narratives.txt").exists()
     assert run.worst_slices(spark.read.parquet(str(tmp_path / "out/findings"))).count() >= 0
+
+
+def test_feeds_are_tried_by_dose_and_exclusions_are_told(spark, tmp_path):
+    def feed(node, **doses):
+        return [(w, r, node, f"{node} in the feed", doses.get(r, 0.5) if w >= START else 0.0) for w in WEEKS[-12:] for r in REGIONS]
+
+    rows = feed("competitor_promo", South=0.9, North=0.3) + feed("marketing_spend", North=0.9) + feed("stockout", South=0.9)
+    events = spark.createDataFrame([("E1", "empty shelves", "stockout", "North", START, None)], run.EVENTS)
+    report = run.analyse(sources(spark), str(tmp_path / "out"), events, feed=spark.createDataFrame(rows, run.FEED))
+    told = {h["id"]: h for h in report["hypotheses"]}
+    assert set(told) == {"E1", "X:competitor_promo", "X:marketing_spend"}
+    for inverted in ("E1", "X:competitor_promo"):
+        assert (told[inverted]["verdict"], told[inverted]["reason"]) == ("rejected", "the most affected unit is little exposed")
+    assert told["X:marketing_spend"]["verdict"] == "accepted" and told["X:marketing_spend"]["unit"] == "North", told["X:marketing_spend"]
+    assert {t["code"]: t["fired"] for t in report["triggers"]}["GRAIN_POLICY"] and list(report["excluded"]) == ["nps"]
