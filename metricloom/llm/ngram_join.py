@@ -7,7 +7,10 @@ entry a star, in blocks of similar set size, each sorted by the tokens left behi
 a probe skips whole blocks, and the rest of a block, where too few tokens are left for the overlap needed.
 What lists bring together is a pair of stars. The answers of members are derived from those of their centres:
 distance is a metric, so a pair of stars is skipped whole where the centres are further apart than the limit
-plus both radii, and of other pairs only members are compared whose own distances can make up the difference.
+plus both radii. The members of the few pairs of stars that this leaves open go through lists of their own, where
+each has its own size and position, so that members meet only if they share tokens that their star's centre does
+not explain; of these only pairs are compared whose distances to their centres can make up the difference. The
+product of two stars is never formed.
 
 Nothing is capped: heavy tokens only come last in the order of prefixes, and any order gives the same result.
 """
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,29 +90,36 @@ def _overlap(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum())
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def _profiles(docs: DataFrame, hot: Broadcast) -> DataFrame:
+    """A row a document; `own` is the share of its tokens that few other documents have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                n, digests, sketches, least = [], [], [], []
+                n, digests, sketches, least, own = [], [], [], [], []
                 for s in shingle_sets(part.column(1)):
                     n.append(len(s))
                     digests.append(_digest(s) if len(s) else None)
                     sketches.append(_sketch(s) if len(s) else None)
                     least.append([(s * odd).min() for odd in _ODD] if len(s) else [])
+                    own.append(1 - _places(s, *hot.value)[0].mean() if len(s) else 1.0)
                 mins = pa.array([np.array(x, np.uint64).view(np.int64) for x in least], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), mins], ["id", "n", "digest", "sketch", "least"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), mins, pa.array(own, pa.float64())], ["id", "n", "digest", "sketch", "least", "own"])
 
-    return arrow_map(docs, run, "id long, n long, digest binary, sketch binary, least array<long>")
+    return arrow_map(docs, run, "id long, n long, digest binary, sketch binary, least array<long>, own double")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens) of the nodes given: their first documents' texts are read again. Other documents are kept
-    out by a table of at most FILTER_BUCKETS hash buckets of doc_id."""
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be that of a node's first document. Others are kept out by a table of at most
+    FILTER_BUCKETS hash buckets of the id."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
     buckets = nodes.select(bucket("first").alias("bucket")).distinct()
-    docs = docs.join(F.broadcast(buckets), bucket("id") == F.col("bucket"), "left_semi")
+    return docs.join(F.broadcast(buckets), bucket("id") == F.col("bucket"), "left_semi")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tokens) of the nodes given: their first documents' texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +128,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "tokens"])
 
-    found = arrow_map(docs, run, "id long, digest binary, tokens binary")
+    found = arrow_map(_texts_of(docs, nodes), run, "id long, digest binary, tokens binary")
     of = nodes.select("node", "first", "digest")
     joined = found.join(of, (found.digest == of.digest) & found.id.eqNullSafe(of["first"]))
     return joined.select("node", "tokens").dropDuplicates(["node"])
@@ -176,12 +187,14 @@ def _near(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tries: int) -> Da
 def _stars(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links of nodes to pivots, and (node, star, far) with far the distance to the centre.
 
-    Each of a node's least hashes names the smallest and the largest node that share it; its first pivots are the
-    one smallest and the one largest that most of its hashes name. Nodes that this links with nothing are compared
-    with the PICKS nodes that most of their hashes name, where each hash names up to six: the first and last in two
-    orders and among linked nodes. What this misses, the inverted lists find."""
-    keyed = nodes.select("node", "n", F.posexplode("least").alias("k", "h"))
-    ends = keyed.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    Each of a node's least hashes names two of the nodes that share it: the one with the least share of tokens of its
+    own, which in a group of near copies is the nearest to what they were made from, and the largest. Its first pivots
+    are the two that most of its hashes name. Nodes that this links with nothing are compared with the PICKS nodes
+    that most of their hashes name, where each hash names up to six: the first and last in three orders and among
+    linked nodes. What this misses, the inverted lists find."""
+    keyed = nodes.select("node", "n", "own", F.posexplode("least").alias("k", "h"))
+    central = F.struct("own", "node")
+    ends = keyed.groupBy("k", "h").agg(F.min_by("node", central).alias("lo"), F.max("node").alias("hi"))
     other = lambda c: F.mode(F.when(F.col(c) != F.col("node"), F.col(c)), True)
     own = keyed.join(ends, ["k", "h"]).groupBy("node", "n").agg(F.array(other("lo"), other("hi")).alias("pivots"))
     pairs = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array_compact(F.array_distinct("pivots"))).alias("b"))
@@ -190,8 +203,8 @@ def _stars(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("linked", F.lit(True))
     marked = keyed.join(linked, "node", "left")
     mixed = F.xxhash64("node", F.lit(1))
-    known = F.when(F.col("linked"), F.col("node"))
-    picks = marked.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", mixed).alias("first"), F.max_by("node", mixed).alias("last"), F.min(known).alias("known"), F.max(known).alias("also"))
+    linked = F.when(F.col("linked"), central)
+    picks = marked.groupBy("k", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", mixed).alias("first"), F.max_by("node", mixed).alias("last"), F.min_by("node", central).alias("known"), F.min_by("node", linked).alias("also"))
     picks = picks.where("lo < hi").select("k", "h", F.array_compact(F.array("lo", "hi", "first", "last", "known", "also")).alias("picks"))
     rest = marked.where("linked IS NULL").join(picks, ["k", "h"]).groupBy("node", "n").agg(F.flatten(F.collect_list("picks")).alias("all"))
     rest = rest.withColumn("all", F.array_remove("all", F.col("node")))
@@ -259,15 +272,20 @@ def _hot_tokens(docs: DataFrame, slots: int) -> tuple[int, np.ndarray, np.ndarra
     return bits, hot["key"].to_numpy(np.int64).view(np.uint64), hot["df"].to_numpy(np.int64)
 
 
+def _places(s: np.ndarray, bits: int, keys: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of a set are frequent, and where the table has them."""
+    if not len(keys):
+        return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+    own = s >> U(64 - bits)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return keys[at] == own, at
+
+
 def _prefix(s: np.ndarray, bits: int, keys: np.ndarray, df: np.ndarray) -> np.ndarray:
     """The first tokens of a set in the global order (tokens that aren't frequent by hash, then the frequent by
     frequency and hash): one more than a similar set can lack."""
     length = len(s) - needed_alone(len(s)) + 1
-    if not len(keys):
-        return s[:length]
-    own = s >> U(64 - bits)
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    hot = keys[at] == own
+    hot, at = _places(s, bits, keys, df)
     rare = s[~hot]
     if len(rare) >= length:
         return rare[:length]
@@ -353,11 +371,9 @@ def _pairs_of_lists(e: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0)
 
 
-def _candidates(docs: DataFrame, nodes: DataFrame, slots: int) -> DataFrame:
-    """Distinct pairs (a, b) of stars of different components from the inverted lists; nodes: node, first,
-    digest, n, star, comp."""
-    bits, keys, df = _hot_tokens(docs, slots)
-    hot = docs.sparkSession.sparkContext.broadcast((bits, keys, df))
+def _candidates(docs: DataFrame, nodes: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of stars of different components from the inverted lists; nodes: first,
+    digest, n, star, comp; hot: what _hot_tokens returns."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -423,24 +439,27 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
-def _star_links(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _star_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
     """Links between stars of different components; nodes: node, first, digest, n, sketch, star, far, comp."""
     stars = nodes.groupBy("star").agg(F.max("far").alias("radius"), F.max("n").alias("high"))
     stars = stars.join(nodes.select(F.col("node").alias("star"), F.col("n").alias("size")), "star")
     side = lambda c: stars.select(F.col("star").alias(c), F.col("size").alias(f"n{c}"), F.col("radius").alias(f"r{c}"), F.col("high").alias(f"h{c}"))
-    pairs = _candidates(docs, nodes.select("first", "digest", "n", "star", "comp"), partitions(docs.sparkSession))
+    pairs = _candidates(docs, nodes.select("first", "digest", "n", "star", "comp"), slots, hot)
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", F.expr("(ha + hb) div 9 + ra + rb"))
     near = _overlaps(docs, nodes, _sketch_bounds(nodes, pairs).drop("bound"))
     direct = near.where(_similar("na", "nb", "overlap")).select("a", "b")
     open_ = near.where("ra + rb > 0 AND NOT (180 * overlap >= 80 * (na + nb)) AND na + nb - 2 * overlap <= limit")
-    open_ = open_.select("a", "b", F.expr("na + nb - 2 * overlap").alias("gap"))
+    open_ = open_.select(F.col("a").alias("low"), F.col("b").alias("high"), F.expr("na + nb - 2 * overlap").alias("gap"))
     if not open_.limit(1).count():
         return direct
     now = written(_roots(nodes.drop("comp"), links.union(direct)), "roots")
-    member = lambda c: now.select(F.col("star").alias(c), F.col("node").alias(f"s{c}"), F.col("far").alias(f"f{c}"), F.col("n").alias(f"m{c}"), F.col("comp").alias(f"c{c}"))
-    inner = open_.join(member("a"), "a").join(member("b"), "b")
-    inner = inner.where("ca <> cb AND fa + fb + (ma + mb) div 9 >= gap AND 5 * least(ma, mb) >= 4 * greatest(ma, mb)")
-    inner = inner.select(F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("ma").alias("na"), F.col("mb").alias("nb"), F.expr("ma + mb - 2 * ((4 * (ma + mb) + 8) div 9)").alias("limit"))
+    stars = open_.select(F.col("low").alias("star")).union(open_.select("high")).distinct()
+    inside = written(now.join(stars, "star", "left_semi"), "inside")
+    inner = _candidates(_texts_of(docs, inside), inside.select("first", "digest", "n", F.col("node").alias("star"), "comp"), slots, hot)
+    member = lambda c: inside.select(F.col("node").alias(c), F.col("star").alias(f"s{c}"), F.col("far").alias(f"f{c}"), F.col("n").alias(f"n{c}"))
+    inner = inner.join(member("a"), "a").join(member("b"), "b").withColumns({"low": F.least("sa", "sb"), "high": F.greatest("sa", "sb")})
+    inner = inner.join(open_, ["low", "high"]).where("fa + fb + (na + nb) div 9 >= gap AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    inner = inner.select("a", "b", "na", "nb", F.expr("na + nb - 2 * ((4 * (na + nb) + 8) div 9)").alias("limit"))
     exact = _overlaps(docs, nodes, _sketch_bounds(nodes, inner).drop("bound"))
     return direct.union(exact.where(_similar("na", "nb", "overlap")).select("a", "b"))
 
@@ -454,15 +473,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profiles = written(_profiles(docs), "profiles")
-    grouped = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("least").alias("least"))
+    slots = partitions(docs.sparkSession)
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(docs, slots))
+    profiles = written(_profiles(docs, hot), "profiles")
+    grouped = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("least").alias("least"), F.first("own").alias("own"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links, members = _stars(docs, nodes)
-    linked = _roots(nodes.drop("least").join(members, "node", "left").withColumns({"star": F.coalesce("star", "node"), "far": F.coalesce("far", F.lit(0))}), links)
+    linked = _roots(nodes.drop("least", "own").join(members, "node", "left").withColumns({"star": F.coalesce("star", "node"), "far": F.coalesce("far", F.lit(0))}), links)
     linked = written(linked, "linked")
-    more = _star_links(docs, linked, links)
+    more = _star_links(docs, linked, links, slots, hot)
     final = _roots(nodes.select("node", "digest", "first"), links.union(more))
-    smallest = final.groupBy("comp").agg(F.min("first").alias("component_id"))
+    smallest = written(final.groupBy("comp").agg(F.min("first").alias("component_id")), "smallest")
     of_digest = final.join(smallest, "comp").select("digest", "component_id")
     out = profiles.select("id", "n", "digest").join(of_digest, "digest", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
