@@ -1,46 +1,80 @@
-"""Token counts that follow edits: a segment tree of pre-token counts per document.
-
-The leaves are short runs of pre-tokens with their token counts; inner nodes hold sums of characters and tokens.
-An edit is located by descending the tree; only the pre-tokens it touches are encoded again, from the last
-boundary that cannot depend on the edited characters to the first boundary behind the edit where old and new
-pre-tokens meet again. Then the sums above the changed leaves are updated. Strings of added tokens count as
-ordinary text here.
+"""Token counts that follow edits: a segment tree of pre-token counts per document, kept in a table.
+
+The leaves are short runs of pre-tokens with their token counts; inner nodes hold sums of characters and tokens. A
+stored tree is a row: the text, each pre-token's width and token count, and the sums. An edit is located by
+descending the sums; only the leaves it touches are cut out of the text, and only the pre-tokens it can change are
+encoded again, from the last boundary that cannot depend on the edited characters to the first boundary behind the
+edit where old and new pre-tokens meet again. Then the sums above the changed leaves are updated. Strings of added
+tokens are one token, as in encoding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LOOKAHEAD, Bpe, load, pretokens
+from .common import arrow_map, written
 
 LEAF = 64
 CONTEXT = 8
+STORED = "text string, widths array<int>, counts array<int>, chars array<int>, tokens array<int>"
+Piece = tuple[str, int]
 
 
-class TokenTree:
-    """The pre-tokens of one text and their token counts."""
+def pieces_of(text: str, bpe: Bpe) -> list[Piece]:
+    """The pre-tokens and added tokens of a text, with their token counts."""
+    out: list[Piece] = []
+    for part, added in bpe.parts(text):
+        out += [(part, 1)] if added is not None else [(p, len(bpe[p])) for p in pretokens(part)]
+    return out
 
-    def __init__(self, text: str, bpe: Bpe):
-        self.bpe = bpe
-        self.encoded_chars = 0
-        self._build(pretokens(text))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, leaf in enumerate(self.leaves):
-            self.chars[self.size + k], self.tokens[self.size + k] = self._sums(leaf)
-        for k in range(self.size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
-    def _sums(self, pieces: list[str]) -> tuple[int, int]:
-        return sum(map(len, pieces)), sum(map(len, map(self.bpe.__getitem__, pieces)))
+def _sums(leaves: np.ndarray) -> list[int]:
+    """Leaf values under the sums of all inner nodes: node 1 is the root, 2k and 2k + 1 are below k."""
+    size = 1 << max(len(leaves) - 1, 0).bit_length()
+    level, levels = np.concatenate([leaves, np.zeros(size - len(leaves), np.int64)]), []
+    while len(level) > 1:
+        levels.append(level)
+        level = level.reshape(-1, 2).sum(axis=1)
+    return [0, *np.concatenate([level, *reversed(levels)]).tolist()]
+
+
+class TokenTree:
+    """The pre-tokens of one text and their token counts. Leaves are cut out of the text when they are needed."""
+
+    def __init__(self, text: str, widths: np.ndarray, counts: np.ndarray, chars: list[int], tokens: list[int], bpe: Bpe):
+        self.text, self.widths, self.counts, self.chars, self.tokens, self.bpe = text, widths, counts, chars, tokens, bpe
+        self.n_leaves = max(-(-len(widths) // LEAF), 1)
+        self.size = len(chars) // 2
+        self.first = np.concatenate(([0], np.cumsum(chars[self.size :])))
+        self.held: dict[int, list[Piece]] = {}
+        self.encoded_chars = 0
+        self.context = LOOKAHEAD + max(map(len, bpe.added), default=0)
+
+    @classmethod
+    def of(cls, text: str, bpe: Bpe) -> TokenTree:
+        """The tree of a text, which is encoded once as a whole."""
+        return cls._of_pieces(text, pieces_of(text, bpe), bpe)
+
+    @classmethod
+    def _of_pieces(cls, text: str, pieces: list[Piece], bpe: Bpe) -> TokenTree:
+        widths, counts = (np.array(x, np.int32) for x in zip(*((len(p), n) for p, n in pieces), strict=True)) if pieces else (np.zeros(0, np.int32),) * 2
+        edges = np.arange(0, max(len(widths), 1), LEAF)
+        by_leaf = lambda v: _sums(np.add.reduceat(v.astype(np.int64), edges) if len(v) else np.zeros(1, np.int64))
+        return cls(text, widths, counts, by_leaf(widths), by_leaf(counts), bpe)
+
+    def stored(self) -> tuple[str, np.ndarray, np.ndarray, list[int], list[int]]:
+        """The row of a tree: of the edited text, in leaves of full length again if an edit has changed any."""
+        if not self.held:
+            return self.text, self.widths, self.counts, self.chars, self.tokens
+        pieces = [p for k in range(self.n_leaves) for p in self.leaf(k)]
+        new = TokenTree._of_pieces("".join(p for p, _ in pieces), pieces, self.bpe)
+        return new.text, new.widths, new.counts, new.chars, new.tokens
 
     @property
     def count(self) -> int:
@@ -50,10 +84,18 @@ class TokenTree:
     def length(self) -> int:
         return self.chars[1]
 
+    def leaf(self, k: int) -> list[Piece]:
+        if k in self.held:
+            return self.held[k]
+        own = slice(k * LEAF, (k + 1) * LEAF)
+        ends = int(self.first[k]) + np.cumsum(self.widths[own])
+        starts = ends - self.widths[own]
+        return [(self.text[a:b], n) for a, b, n in zip(starts.tolist(), ends.tolist(), self.counts[own].tolist(), strict=True)]
+
     def _locate(self, at: int) -> tuple[int, int]:
         """The leaf that has character `at` (the last leaf at the end), and where the leaf starts."""
         k, start = 1, 0
-        last = self.size + len(self.leaves) - 1
+        last = self.size + self.n_leaves - 1
         while k < self.size:
             k *= 2
             first_right = k + 1
@@ -64,10 +106,10 @@ class TokenTree:
                 k += 1
         return k - self.size, start
 
-    def _set(self, k: int, pieces: list[str]) -> None:
-        self.leaves[k] = pieces
+    def _set(self, k: int, pieces: list[Piece]) -> None:
+        self.held[k] = pieces
         k += self.size
-        self.chars[k], self.tokens[k] = self._sums(pieces)
+        self.chars[k], self.tokens[k] = sum(len(p) for p, _ in pieces), sum(n for _, n in pieces)
         while k > 1:
             k //= 2
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -77,95 +119,127 @@ class TokenTree:
         """Replaces the characters [start, end), cut to the text."""
         start = min(max(start, 0), self.length)
         end = min(max(end, start), self.length)
-        first, base = self._locate(max(0, start - LOOKAHEAD - 1))
-        while first and base + LOOKAHEAD > start:
+        first, base = self._locate(max(0, start - self.context - 1))
+        while first and base + self.context > start:
             first -= 1
-            base -= sum(map(len, self.leaves[first]))
-        kept: list[str] = []
-        at = base
-        pieces = self.leaves[first]
-        for piece in pieces:
-            if at + len(piece) + LOOKAHEAD > start:
+            base -= self.chars[self.size + first]
+        pieces, kept, at = self.leaf(first), 0, base
+        for piece, _ in pieces:
+            if at + len(piece) + self.context > start:
                 break
-            kept.append(piece)
+            kept += 1
             at += len(piece)
-        stale, leaf, old_end = pieces[len(kept) :], first, at + sum(map(len, pieces[len(kept) :]))
-        while old_end < end and leaf + 1 < len(self.leaves):
+        stale, leaf = pieces[kept:], first
+        old_end = at + sum(len(p) for p, _ in stale)
+        while old_end < end and leaf + 1 < self.n_leaves:
             leaf += 1
-            stale = stale + self.leaves[leaf]
-            old_end += sum(map(len, self.leaves[leaf]))
-        behind = CONTEXT
+            stale = stale + self.leaf(leaf)
+            old_end += self.chars[self.size + leaf]
+        behind, shift = CONTEXT, len(replacement) - (end - start)
         while True:
-            text = "".join(stale)
+            text = "".join(p for p, _ in stale)
             changed = text[: start - at] + replacement + text[end - at :]
-            shift = len(replacement) - (end - start)
-            whole = leaf + 1 == len(self.leaves)
-            bounds, p = set(), 0
-            for piece in stale:
+            whole = leaf + 1 == self.n_leaves
+            bounds, p = {}, 0
+            for k, (piece, _) in enumerate(stale):
                 p += len(piece)
-                bounds.add(p + shift)
+                bounds[p + shift] = k + 1
             fresh, p, met = [], 0, None
-            for piece in pretokens(changed):
+            for piece, added in self._cut(changed):
                 p += len(piece)
-                if not whole and p + LOOKAHEAD > len(changed):
+                if not whole and p + self.context > len(changed):
                     break
-                fresh.append(piece)
+                fresh.append((piece, added))
                 if p >= start - at + len(replacement) and p in bounds:
                     met = p
                     break
             if met is not None or whole:
                 break
             for _ in range(behind):
-                if leaf + 1 < len(self.leaves):
+                if leaf + 1 < self.n_leaves:
                     leaf += 1
-                    stale = stale + self.leaves[leaf]
+                    stale = stale + self.leaf(leaf)
             behind *= 2
-        self.encoded_chars += sum(map(len, fresh))
-        rest: list[str] = []
-        if met is not None:
-            p = shift
-            for k, piece in enumerate(stale):
-                p += len(piece)
-                if p >= met:
-                    rest = stale[k + 1 :]
-                    break
-        new = kept + fresh + rest
+        self.encoded_chars += sum(len(p) for p, _ in fresh)
+        again = [(p, 1 if added else len(self.bpe[p])) for p, added in fresh]
+        new = pieces[:kept] + again + (stale[bounds[met] :] if met is not None else [])
         for k in range(first + 1, leaf + 1):
             self._set(k, [])
+        self._set(first, new)
         if len(new) > 16 * LEAF:
-            self._build([x for k, held in enumerate(self.leaves) for x in (new if k == first else held)])
-        else:
-            self._set(first, new)
+            chars = self.encoded_chars
+            self.__init__(*self.stored(), self.bpe)
+            self.encoded_chars = chars
+
+    def _cut(self, text: str) -> Iterator[tuple[str, bool]]:
+        for part, added in self.bpe.parts(text):
+            if added is not None:
+                yield part, True
+            else:
+                yield from ((p, False) for p in pretokens(part))
 
 
 EDITS = "array<struct<start: bigint, end: bigint, replacement: string>>"
 
 
-def edited_counts(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text, edits: array of (start, end, replacement) in code points, applied in order) -> doc_id,
-    n_tokens before, edited_tokens after all edits, and encoded_chars, how many characters were encoded again.
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    text, *lists = zip(*rows, strict=True) if rows else ((),) * 5
+    return [pa.array(text, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in lists)]
+
 
-    Null texts, replacements and edits are empty; null positions are 0; edits are cut to the text. Repeated rows
-    and null ids are counted like others; an empty table gives no rows."""
+def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text and the columns `keep`) -> doc_id, these columns and the stored tree of each row: text,
+    widths, counts, chars, tokens. Null texts are empty. Each text is encoded once; write the result to keep it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                before, after, chars = [], [], []
-                for text, edits in zip(part.column(1), part.column(2), strict=True):
-                    tree = TokenTree(text.as_py() or "", bpe)
-                    before.append(tree.count)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                rows = [TokenTree.of(t or "", bpe).stored() for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_columns(rows)], [*part.schema.names[:-1], "text", "widths", "counts", "chars", "tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, "text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", " + STORED
+    return arrow_map(rows, run, schema)
+
+
+def apply_edits(trees: DataFrame, path: str, new_trees: bool = False) -> DataFrame:
+    """trees (doc_id, edits: array of (start, end, replacement) in code points, applied in order, and a stored tree)
+    -> doc_id, n_tokens before, edited_tokens after all edits, and encoded_chars, how many characters were encoded;
+    with new_trees also the stored tree of the edited text. Nothing else is encoded: counts come from the trees.
+
+    Null replacements and edits are empty; null positions are 0; edits are cut to the text. Repeated rows and null
+    ids are counted like others; an empty table gives no rows."""
+    names = ["doc_id", "n_tokens", "edited_tokens", "encoded_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                counts, rows = [], []
+                for edits, text, *lists in zip(*part.columns[1:], strict=True):
+                    widths, sizes, chars, tokens = (x.values.to_numpy() for x in lists)
+                    tree = TokenTree(text.as_py(), widths, sizes, chars.tolist(), tokens.tolist(), bpe)
+                    before = tree.count
                     for e in edits.as_py() or []:
                         if e is not None:
                             tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-                    after.append(tree.count)
-                    chars.append(tree.encoded_chars)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(chars, pa.int64())], ["doc_id", "n_tokens", "edited_tokens", "encoded_chars"])
+                    counts.append((before, tree.count, tree.encoded_chars))
+                    if new_trees:
+                        rows.append(tree.stored())
+                numbers = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, *(_columns(rows) if new_trees else [])], names + (["text", "widths", "counts", "chars", "tokens"] if new_trees else []))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("edits").cast(EDITS))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, edited_tokens long, encoded_chars long")
+    rows = trees.select(F.col("doc_id").cast("long"), F.col("edits").cast(EDITS), "text", "widths", "counts", "chars", "tokens")
+    return arrow_map(rows, run, "doc_id long, n_tokens long, edited_tokens long, encoded_chars long" + (", " + STORED if new_trees else ""))
+
+
+def edited_counts(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc_id, text, edits) by way of stored trees: each text is encoded once, its tree is written, and edits
+    are applied to the trees. Columns and odd inputs as in apply_edits."""
+    return apply_edits(written(build_trees(docs, path, ("edits",)), "trees", compression="zstd"), path)
 
 
 def with_sample_edits(docs: DataFrame) -> DataFrame:
