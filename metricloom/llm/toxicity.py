@@ -8,9 +8,11 @@ characters between spaces ("i d i o t") are also read as one word.
 Training is on a bounded sample of labelled documents outside the held-out fold. Sentences have no labels of
 their own: all fragments of a clean document are clean, and of a toxic document the most telling one is toxic.
 First fragments are picked by how much more often they occur in toxic documents; then the machine itself picks
-each document's best fragment and is trained again. It is linear in kernel values with landmarks, and since the
+each document's best fragment and is trained again. Strings are single words: white space always ends one, so
+an insult of several harmless words is not seen. (Windows of several words were tried: they confuse words of a
+language with the run of two shorter ones, and lost more than they found.) It is linear in kernel values with landmarks, and since the
 kernel has an explicit feature map, a trained machine is one table of weights over subsequences. A document
-scores as its best fragment, calibrated by a logistic curve.
+scores as its best fragment, calibrated by a logistic curve on documents that taught nothing else.
 """
 
 from __future__ import annotations
@@ -32,12 +34,21 @@ from .common import arrow_map, short_batches, written
 
 #: The most labelled documents that are learnt from, chosen by a hash of doc_id.
 MAX_TRAINING_DOCS = 8000
+#: One in so many of these calibrates and teaches nothing else.
+CALIBRATION_SHARE = 5
+#: Most toxic and most clean fragments that a machine is trained on: the most telling, and of clean ones the most
+#: frequent and others by a hash.
 MAX_TELLING, MAX_PLAIN = 600, 6000
+#: A fragment tells if so many toxic documents have it (and more than chance gives any), and so few clean ones for
+#: each of these. Where none does, the TOP fragments by the same order are taken.
+LEAST_TOXIC, MOST_CLEAN, TOP = 3, 0.02, 20
+#: Letters of beginnings of words that count as fragments beside the words.
+BEGINNINGS = (4, 5, 6)
 LANDMARKS = 256
 ROUNDS = 2
 DECAY, SPAN = 0.8, 8
 WINDOW, STRIDE = 24, 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 SYMBOLS = 5  # bits
 MARK, OTHER = 27, 28
 
@@ -46,11 +57,13 @@ _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 
 
 class _Symbols(dict):
-    """Character -> symbol, for str.translate: letters without case and accent, all else OTHER."""
+    """Character -> symbol, for str.translate: letters without case and accent, letters of other scripts dealt over
+    the same 26, all else OTHER."""
 
     def __missing__(self, c: int) -> str:
-        base = unicodedata.normalize("NFKD", chr(c))[0].lower()
-        self[c] = out = chr(ord(base) - 96) if "a" <= base <= "z" else chr(OTHER)
+        base = unicodedata.normalize("NFKD", chr(c))[0].lower()[0]
+        symbol = ord(base) - 96 if "a" <= base <= "z" else ord(base[0]) % 26 + 1 if base.isalpha() else OTHER
+        self[c] = out = chr(symbol)
         return out
 
 
@@ -251,16 +264,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     short_batches(docs.sparkSession)
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    sample = written(texts, "labelled")
-    count = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    toxic, clean = count.get(1, 0), count.get(0, 0)
-    if not toxic or not clean:
-        return float(bool(toxic))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+    apart = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATION_SHARE)) == 0
+    whole = written(texts.withColumn("apart", apart).select("toxic", "text", "apart"), "labelled")
+    count = {(r["toxic"], r["apart"]): r["count"] for r in whole.groupBy("toxic", "apart").count().collect()}
+    if len({t for t, _ in count}) < 2:
+        return float(any(t for t, _ in count))
+    split = len(count) == 4  # few labels teach and calibrate alike
+    sample, rest = (whole.where("NOT apart"), whole.where("apart")) if split else (whole, whole)
+    toxic, clean = (sum(n for (t, a), n in count.items() if t == label and not (split and a)) for label in (1, 0))
 
     words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w"))
     words = words.select("toxic", F.btrim("w", F.lit(_ENDS)).alias("w")).where("length(w) >= 3")
-    begun = [F.when(F.length("w") > n, F.concat(F.substring("w", 1, n), F.lit("\0"))) for n in (4, 5, 6)]
+    begun = [F.when(F.length("w") > n, F.concat(F.substring("w", 1, n), F.lit("\0"))) for n in BEGINNINGS]
     pieces = words.select("toxic", F.explode(F.array("w", *begun)).alias("w")).where("w IS NOT NULL")
     counts = pieces.groupBy("w").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
@@ -268,18 +284,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     counts = written(counts.withColumn("z", z), "pieces")
     # telling: more toxic documents than chance gives any fragment if labels fell at random
     surely = (math.log(counts.count() + 1) + 2) / -math.log(toxic / (toxic + clean))
-    found = {r["w"]: r["t"] for r in counts.where(f"t >= 3 AND t >= {surely} AND c <= 0.02 * t").orderBy(F.desc("z"), "w").limit(MAX_TELLING).collect()}
+    found = {r["w"]: r["t"] for r in counts.where(f"t >= {LEAST_TOXIC} AND t >= {surely} AND c <= {MOST_CLEAN} * t").orderBy(F.desc("z"), "w").limit(MAX_TELLING).collect()}
     if not found:
-        found = {r["w"]: r["t"] for r in counts.where("t > 0").orderBy(F.desc("z"), "w").limit(20).collect()}
+        found = {r["w"]: r["t"] for r in counts.where("t > 0").orderBy(F.desc("z"), "w").limit(TOP).collect()}
     ordinary = counts.where("c > 0 AND z < 1 AND w NOT LIKE '%\\0'")
     frequent = [r["w"] for r in ordinary.orderBy(F.desc("c"), "w").limit(MAX_PLAIN // 4).collect()]
     spread = [r["w"] for r in ordinary.orderBy(F.xxhash64("w"), "w").limit(MAX_PLAIN * 3 // 4).collect()]
     plain = list(dict.fromkeys(frequent + spread))
     machine = _machine(found, plain)
-    for k in range(ROUNDS + 1):
+    for _ in range(ROUNDS):
         best = _scored(sample.select("toxic", "text"), machine, ["toxic"]).toPandas()
-        if k == ROUNDS:
-            break
         hit = best[(best["fragment"] != "") & (best["value"] > -1)]
         near = hit[hit["toxic"] == 0].groupby("fragment")["value"].max().sort_values(ascending=False)
         floor = max(0.0, float(best[best["toxic"] == 0]["value"].quantile(0.995)))
@@ -288,6 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
         found |= {w: float(n) for w, n in chosen.items() if w not in found}
         plain = list(dict.fromkeys([w for w in near.index[:MAX_PLAIN] if w not in found] + plain))
         machine = _machine(found, plain)
+    best = _scored(rest.select("toxic", "text"), machine, ["toxic"]).toPandas()
     return _calibrated(machine, best["value"].to_numpy(float), best["toxic"].to_numpy(float))
 
 
