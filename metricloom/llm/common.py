@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder all executors and the driver see: spark.checkpoint.dir. Only where driver and executors are one
+    process and it is unset, as in tests, it is a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="metricloom-"))
     return base.rstrip("/")
 
@@ -27,16 +33,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, **options)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: all that was made of them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a path or URI, and the path in it."""
+    if "://" not in path and not path.startswith("file:"):
+        path = f"file://{path}"
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def _trim() -> None:
     """Gives memory that is free back to the system: Python workers outlive their tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
         ctypes.CDLL(None).malloc_trim(0)

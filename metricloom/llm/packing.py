@@ -24,8 +24,6 @@ from .token_files import GROUP, load
 
 BUCKETS = 16
 BUDGET = 65_536
-#: Lengths beyond this are rounded up to 8 significant bits for the histogram, which bounds its size.
-EXACT_LENGTHS = 1 << 16
 
 
 def word_count(text):
@@ -34,11 +32,6 @@ def word_count(text):
     return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
 
 
-def _rounded(n):
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 7)
-    return F.when(n <= EXACT_LENGTHS, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The upper ends of at most `buckets` ranges of lengths (ascending, distinct) with the least padding."""
     m = len(lengths)
@@ -73,9 +66,9 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 
 def boundaries(lengths: DataFrame, column: str, buckets: int = BUCKETS) -> list[int]:
-    """Optimal boundaries over the histogram of all rows (null counts as 0)."""
-    rounded = _rounded(F.coalesce(F.col(column), F.lit(0)).cast("long")).alias("n")
-    rows = lengths.select(rounded).groupBy("n").count().orderBy("n").toPandas()
+    """Optimal boundaries over the histogram of all rows (null counts as 0): one row for each length there is, which
+    is what the driver gets, whatever the number of documents."""
+    rows = lengths.select(F.coalesce(F.col(column), F.lit(0)).cast("long").alias("n")).groupBy("n").count().orderBy("n").toPandas()
     return optimal_boundaries(rows["n"].to_numpy(np.int64), rows["count"].to_numpy(np.int64), buckets) if len(rows) else []
 
 
@@ -130,7 +123,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
             counts: list[int] = []
             for lo in range(0, b.num_rows, GROUP):
                 texts = [t or "" for t in b.column(1).slice(lo, GROUP).to_pylist()]
-                counts += [len(ids) // 4 for ids in encoder.encode_all(texts)]
+                counts += encoder.counts(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long")

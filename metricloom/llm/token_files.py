@@ -18,22 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, written
+from .common import open_fs, partitions, scratch, written
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHE_WORDS = 600_000
+CACHE_WORDS, COUNTED_WORDS = 600_000, 200_000
 GROUP = 64
 BATCH_BYTES = 4 << 20
-MANIFEST = "part int, file string, docs long, tokens long"
+MANIFEST = "part int, file string, docs long, tokens long, least long, most long"
 
 
 class TokenFileWriter:
@@ -49,6 +48,8 @@ class TokenFileWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(ids))
+        if len(ids) and int(ids.max()) >= 1 << 8 * self.width:
+            raise ValueError(f"token id {int(ids.max())} does not fit into {self.width} bytes")
         data = ids.astype(self.kind).tobytes()
         for lo in range(0, len(data), FRAME_BYTES):
             part = data[lo : lo + FRAME_BYTES]
@@ -156,26 +157,31 @@ class WordEncoder:
         self.wide = re.compile("[^\u0000-\u024f]").search
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
+        self.old_sizes: dict[str, int] = {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _unknown(self, words: set[str], known: dict, old: dict) -> list[str]:
+        """The words that neither generation has; those of the older one move up."""
         missing = []
         for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.cache[w] = known
+            if (found := old.get(w)) is not None:
+                known[w] = found
             else:
                 missing.append(w)
-        if not missing:
-            return
+        return missing
+
+    def _encoded(self, missing: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of words and where each word's begin and end, in bytes."""
         e = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
         of = np.array(e.word_ids, np.int64)
         cut = np.flatnonzero(of[1:] != of[:-1]) + 1
         if len(cut) + 1 != len(missing):
             raise ValueError("words and pre-tokens differ")
         ids = np.array(e.ids, "<u4").tobytes()
-        edges = [0, *(4 * cut).tolist(), len(ids)]
-        self.cache.update((w, ids[lo:hi]) for w, lo, hi in zip(missing, edges, edges[1:]))
+        return ids, [0, *(4 * cut).tolist(), len(ids)]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def _parts(self, texts: list[str]) -> tuple[list[bytes | list[str]], set[str]]:
+        """Of each text its words or, if it isn't plain, its ids; and all words."""
         out: list[bytes | list[str]] = []
         seen: set[str] = set()
         for text in texts:
@@ -186,10 +192,26 @@ class WordEncoder:
             else:
                 out.append((self.ascii_words if plain else self.words)(text.lower()))
                 seen.update(out[-1])
+        return out, seen
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids each text has. Only counts of words are kept."""
+        out, seen = self._parts(texts)
+        if len(self.sizes) >= COUNTED_WORDS:
+            self.sizes, self.old_sizes = {}, self.sizes
+        if missing := self._unknown(seen.difference(self.sizes), self.sizes, self.old_sizes):
+            _, edges = self._encoded(missing)
+            self.sizes.update((w, (hi - lo) // 4) for w, lo, hi in zip(missing, edges, edges[1:]))
+        get = self.sizes.__getitem__
+        return [len(x) // 4 if isinstance(x, bytes) else sum(map(get, x)) for x in out]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out, seen = self._parts(texts)
         if len(self.cache) >= CACHE_WORDS:
             self.cache, self.old = {}, self.cache
-        if missing := seen.difference(self.cache):
-            self._learn(missing)
+        if missing := self._unknown(seen.difference(self.cache), self.cache, self.old):
+            ids, edges = self._encoded(missing)
+            self.cache.update((w, ids[lo:hi]) for w, lo, hi in zip(missing, edges, edges[1:]))
         get = self.cache.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
 
@@ -202,15 +224,22 @@ def load(path: str) -> WordEncoder:
 # ---- Spark -----------------------------------------------------------------------------------------------------
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, width: int = 2) -> DataFrame:
+def id_width(tokenizer: str, end_id: int | None) -> int:
+    """Bytes that each id of a vocabulary, or the id that ends documents, needs."""
+    most = max(load(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values())
+    return 2 if max(most, end_id or 0) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2) -> DataFrame:
     """Writes the ids of all documents under path in ascending doc_id order (nulls first, ties by text), a file
-    per range of doc_id, and returns the manifest: part, file, docs, tokens. Null texts are empty; each document
+    per range of doc_id, and returns the manifest: part, file, docs, tokens, least and most doc_id. Null texts are empty; each document
     ends with end_id. Only files in the manifest count, whatever failed tasks leave behind."""
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
+    width = id_width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = open_fs(path)
         encoder, out, name = load(tokenizer), None, ""
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for b in batches:
@@ -223,7 +252,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
                     out.add(key, np.frombuffer(ids + end, "<u4"))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "docs": [len(out.counts)], "tokens": [int(sum(out.counts))]})
+            known = [i for i in out.ids if i is not None]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "docs": [len(out.counts)], "tokens": [int(sum(out.counts))], "least": pa.array([min(known, default=None)], pa.int64()), "most": pa.array([max(known, default=None)], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -234,14 +264,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian uint32) of the documents under
-    path; with doc_ids only of those, whose frames alone are decompressed."""
+    path; with doc_ids only of those: files without any are not opened, and frames without any not decompressed."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
-    files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"))
+    files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"), "least", "most")
+    if doc_ids is not None:
+        ids = F.array(*(F.lit(int(i)) for i in sorted(doc_ids))).cast("array<bigint>")
+        files = files.where(F.exists(ids, lambda i: i.between(F.col("least"), F.col("most"))))
+    files = files.select("file", "base")
     wanted = None if doc_ids is None else np.array(sorted(doc_ids), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = open_fs(path)
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
