@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, written
+from .common import arrow_map, batch, release, written
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = written(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        last, e = e, written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        release(last, large)
         parents = e.select(F.col("b").alias("a")).distinct()
         nodes = e.groupBy("a").agg(F.count("*").alias("n"))
         if not nodes.where("n > 1").limit(1).count() and not nodes.join(parents, "a", "left_semi").limit(1).count():

@@ -138,7 +138,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; columns unchanged, repeated rows of the id that stays remain."""
-    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    keyed = docs.withColumn("_sha_of", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256))
-    return keyed.join(found, (F.col("_sha_of") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    return rows.join(found, (F.col("sha") == F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, short_batches, written
+from .common import arrow_map, partitions, release, short_batches, written
 from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
@@ -90,6 +90,11 @@ def _overlap(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum())
 
 
+def _seal(text: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def _profiles(docs: DataFrame, hot: Broadcast) -> DataFrame:
     """A row a document; `own` is the share of its tokens that few other documents have."""
 
@@ -105,9 +110,9 @@ def _profiles(docs: DataFrame, hot: Broadcast) -> DataFrame:
                     least.append([(s * odd).min() for odd in _ODD] if len(s) else [])
                     own.append(1 - _places(s, *hot.value)[0].mean() if len(s) else 1.0)
                 mins = pa.array([np.array(x, np.uint64).view(np.int64) for x in least], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), mins, pa.array(own, pa.float64())], ["id", "n", "digest", "sketch", "least", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), mins, pa.array(own, pa.float64())], ["id", "seal", "n", "digest", "sketch", "least", "own"])
 
-    return arrow_map(docs, run, "id long, n long, digest binary, sketch binary, least array<long>, own double")
+    return arrow_map(docs.withColumn("seal", _seal("text")), run, "id long, seal long, n long, digest binary, sketch binary, least array<long>, own double")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,7 +153,9 @@ def _overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.int64())], [*b.schema.names[:-2], "overlap"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", overlap long"
-    return written(arrow_map(both, run, schema), "overlaps")
+    out = written(arrow_map(both, run, schema), "overlaps")
+    release(pairs, sets)
+    return out
 
 
 def _sketch_bounds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -464,15 +471,9 @@ def _star_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, slots: int,
     return direct.union(exact.where(_similar("na", "nb", "overlap")).select("a", "b"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    component_id is the smallest doc_id that links lead to, the row's own included; documents without words
-    link with nothing and are their own component. Ids that are null are never the smallest; a component of
-    null ids only has a null component_id. Rows that repeat an id are each compared; an empty table gives no rows.
-    """
-    short_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _joined(docs: DataFrame) -> DataFrame:
+    """docs (id, text) -> id, seal, n, digest, and for sets that are not empty component_id, the smallest id of the
+    component, and chosen, the least digest that has it."""
     slots = partitions(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(docs, slots))
     profiles = written(_profiles(docs, hot), "profiles")
@@ -483,14 +484,33 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = written(linked, "linked")
     more = _star_links(docs, linked, links, slots, hot)
     final = _roots(nodes.select("node", "digest", "first"), links.union(more))
-    smallest = written(final.groupBy("comp").agg(F.min("first").alias("component_id")), "smallest")
-    of_digest = final.join(smallest, "comp").select("digest", "component_id")
-    out = profiles.select("id", "n", "digest").join(of_digest, "digest", "left")
+    best = F.min(F.struct(F.col("first").isNull(), "first", "digest")).alias("best")
+    smallest = written(final.groupBy("comp").agg(best).select("comp", F.col("best.first").alias("component_id"), F.col("best.digest").alias("chosen")), "smallest")
+    of_digest = final.join(smallest, "comp").select("digest", "component_id", "chosen")
+    return profiles.select("id", "seal", "n", "digest").join(of_digest, "digest", "left")
+
+
+def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    short_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id that links lead to, the row's own included; documents without words
+    link with nothing and are their own component. Ids that are null are never the smallest; a component of
+    null ids only has a null component_id. Rows that repeat an id are each compared; an empty table gives no rows.
+    """
+    out = _joined(_texts(docs, id_col, text_col))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are similar to a row of smaller doc_id, by way of links; columns unchanged. Rows
-    whose id is null stay."""
-    dropped = similar_components(docs).where("doc_id <> component_id").select("doc_id", "n_shingles").distinct()
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that are similar, by way of links, to a row of smaller doc_id, or of the same doc_id and
+    a shingle set of smaller digest; columns unchanged. Rows whose id is null stay, and so do rows without words and
+    rows that repeat both doc_id and text of one that stays."""
+    rest = (F.col("id") != F.col("component_id")) | (F.col("digest") != F.col("chosen"))
+    dropped = _joined(_texts(docs)).where((F.col("n") > 0) & rest).select("id", "seal").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), _seal("text").alias("seal"))
+    return rows.join(dropped, ["id", "seal"], "left_anti").select("row.*")
