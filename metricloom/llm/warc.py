@@ -12,8 +12,6 @@ without lengths, inflates past it without keeping it.
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import json
 import struct
 import uuid
@@ -27,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import open_fs, scratch, written
 
 RECORD = (
     "file string, offset long, record_id string, record_type string, date string, target_uri string, "
@@ -52,10 +50,6 @@ HEAD_LIMIT = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
-def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 # ---- writing ---------------------------------------------------------------------------------------------------
 
 
@@ -99,7 +93,7 @@ class WarcWriter(ds.DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         try:
@@ -127,13 +121,13 @@ class WarcWriter(ds.DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         for name in (x for m in messages if m for x in m.files):
             fs.delete_file(f"{root}/{name}")
 
@@ -300,7 +294,7 @@ class WarcReader(ds.DataSourceReader):
                 self.filters.append(f)
 
     def partitions(self) -> list[ds.InputPartition]:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [ds.InputPartition(root)]
         found = {i.base_name: i for i in fs.get_file_info(pafs.FileSelector(root)) if i.is_file}
@@ -314,7 +308,7 @@ class WarcReader(ds.DataSourceReader):
     def read(self, partition: ds.InputPartition) -> Iterator[pa.RecordBatch]:
         if not partition.value:
             return
-        fs, _ = _fs(self.path)
+        fs, _ = open_fs(self.path)
         tests = [_test(f) for f in self.filters]
         schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in RECORD.split(", ")])
         rows, held = [], 0
@@ -358,15 +352,6 @@ def register(spark: SparkSession) -> None:
 REVISIT_BYTES = 1000
 
 
-def _sha1_label(hex_digest: str) -> str:
-    return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
-
-
-def payload_label(payload: bytes) -> str:
-    """The digest of a payload as headers have it."""
-    return _sha1_label(hashlib.sha1(payload).hexdigest())
-
-
 def page_records(pages: DataFrame) -> DataFrame:
     """A record per page (page_id, url, html). Null html is an empty payload. Of pages with equal payloads of at
     least REVISIT_BYTES bytes, those with the largest page_id are responses and the others revisits of it; null
@@ -374,7 +359,10 @@ def page_records(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     pages = pages.select("page_id", "url", payload.alias("payload"))
     pages = pages.withColumns({"bytes": F.octet_length("payload").cast("long"), "sha": F.sha1("payload"), "seal": F.xxhash64("payload")})
-    key = ["sha", "bytes", "seal"]
+    # pages that can't be revisits have keys of their own, so that equal small ones don't meet in one task
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
+    pages = pages.withColumn("match", F.when(F.col("bytes") >= REVISIT_BYTES, F.col("sha")).otherwise(alone))
+    key = ["match", "bytes", "seal"]
     winners = pages.where(F.col("bytes") >= REVISIT_BYTES).groupBy(key).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return pages.join(winners, key, "left").select(
