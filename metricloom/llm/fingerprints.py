@@ -120,11 +120,11 @@ def with_next(rows: DataFrame, carried: list[str], buckets: int) -> DataFrame:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    Null texts are empty. The next document is the one with the next smaller doc_id (ties by text, null ids
-    last); after the last comes the first, so a single row is its own next. The edited text has the last
+    Null texts are empty. The next document is the one with the next smaller doc_id (ties by a hash of the text, null
+    ids last); after the last comes the first, so a single row is its own next. The edited text has the last
     floor(n_chars / 3) code points replaced by the first as many, or all, of the next text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    rows = rows.select("doc_id", "body", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), F.col("body").alias("tie"))
+    rows = rows.select("doc_id", "body", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), F.xxhash64("body").alias("tie"))
     rows = with_fingerprint(rows, "body", "print")
     rows = with_next(rows, ["doc_id", "body", "print"], 8 * partitions(docs.sparkSession)).drop("tie", "next_doc_id")
     rows = rows.withColumn("n_chars", F.char_length("body").cast("bigint"))
