@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import re
 import tempfile
@@ -12,9 +13,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+FILTER_BUCKETS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +53,20 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """docs without the rows whose values `on` are a row of dropped (nulls equal nulls); columns unchanged. A table of
+    at most FILTER_BUCKETS hash buckets, which tasks get, keeps most rows out of the join, so their texts aren't
+    shuffled."""
+    dropped = written(dropped.select(*on).distinct(), "dropped")
+    bucket = F.pmod(F.xxhash64(*on), F.lit(FILTER_BUCKETS)).alias("bucket")
+    buckets = F.broadcast(dropped.select(bucket).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in on.items())).select("row", *on, bucket)
+    some, other = rows.join(buckets, "bucket", "left_semi"), rows.join(buckets, "bucket", "left_anti")
+    gone = dropped.select(*(F.col(n).alias(f"gone_{n}") for n in on))
+    same = functools.reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"gone_{n}")) for n in on))
+    return other.select("row.*").unionByName(some.join(gone, same, "left_anti").select("row.*"))
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system of a path or URI, and the path in it."""
     if "://" not in path and not path.startswith("file:"):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, utf8_list, written
+from .common import arrow_map, partitions, utf8_list, without_rows, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 RUN = "slot int, sha binary, size long, seal long, keep long, copies long"
@@ -138,8 +138,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; columns unchanged, repeated rows of the id that stays remain."""
-    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    gone = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
-    return rows.join(found, (F.col("sha") == F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    return without_rows(docs, gone, {"id": F.col("doc_id").cast("long"), "sha": sha})

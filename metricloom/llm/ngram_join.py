@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, release, short_batches, written
+from .common import FILTER_BUCKETS, arrow_map, partitions, release, short_batches, without_rows, written
 from .components import connected_components
 from .shingles import U, mix, shingle_sets
 
@@ -34,9 +34,9 @@ HASHES = 8
 PICKS = 5
 HOT_TOKENS = 1 << 20  # most entries of the table of frequent tokens that tasks get: 16 MB
 HOT_DF = 16
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+SUBSLOTS = 8
 SHORT_LIST = 48
-FILTER_BUCKETS = 1 << 20
 _ODD = np.random.default_rng(7).integers(1, 2**62, HASHES, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -426,11 +426,15 @@ def _candidates(docs: DataFrame, nodes: DataFrame, slots: int, hot: Broadcast) -
                     at += n * kind.itemsize
                 if n:
                     parts.append(e)
-        if parts:
-            found = _pairs_of_lists(np.concatenate(parts))
-            for lo in range(0, len(found), 1 << 18):
-                part = found[lo : lo + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(SUBSLOTS):  # lists are whole in a part of the slot, and parts are sorted one after the other
+            own = [e[(mix(e["token"]) & U(SUBSLOTS - 1)) == U(k)] for e in parts]
+            if any(map(len, own)):
+                found.append(_pairs_of_lists(np.concatenate(own)))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        for lo in range(0, len(pairs), 1 << 18):
+            part = pairs[lo : lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
 
     own = arrow_map(docs, prefixes, "id long, digest binary, prefix binary")
     joined = own.join(nodes, (own.digest == nodes.digest) & own.id.eqNullSafe(nodes["first"])).select("star", "comp", "n", "prefix")
@@ -511,6 +515,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     a shingle set of smaller digest; columns unchanged. Rows whose id is null stay, and so do rows without words and
     rows that repeat both doc_id and text of one that stays."""
     rest = (F.col("id") != F.col("component_id")) | (F.col("digest") != F.col("chosen"))
-    dropped = _joined(_texts(docs)).where((F.col("n") > 0) & rest).select("id", "seal").distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), _seal("text").alias("seal"))
-    return rows.join(dropped, ["id", "seal"], "left_anti").select("row.*")
+    gone = _joined(_texts(docs)).where((F.col("n") > 0) & F.col("id").isNotNull() & rest).select("id", "seal")
+    return without_rows(docs, gone, {"id": F.col("doc_id").cast("long"), "seal": _seal("text")})

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, written
-from .token_files import GROUP, load
+from .token_files import GROUP, WordEncoder
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     of its own around it. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(tokenizer)
+        encoder = WordEncoder(tokenizer)  # of this task alone, so that workers don't hold it for later ones
         for b in batches:
             counts: list[int] = []
             for lo in range(0, b.num_rows, GROUP):

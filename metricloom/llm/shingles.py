@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 WIDTH = 5
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 U = np.uint64
 _MUL = U(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240521)
