@@ -24,6 +24,7 @@ LEAF = 64
 CONTEXT = 8
 STORED = "text string, widths array<int>, counts array<int>, chars array<int>, tokens array<int>"
 Piece = tuple[str, int]
+Row = tuple[str, np.ndarray, np.ndarray, list[int], list[int]]
 
 
 def pieces_of(text: str, bpe: Bpe) -> list[Piece]:
@@ -44,6 +45,22 @@ def _sums(leaves: np.ndarray) -> list[int]:
     return [0, *np.concatenate([level, *reversed(levels)]).tolist()]
 
 
+def _row(text: str, widths: list[int], counts: list[int]) -> Row:
+    widths, counts = np.array(widths, np.int32), np.array(counts, np.int32)
+    edges = np.arange(0, max(len(widths), 1), LEAF)
+    by_leaf = lambda v: _sums(np.add.reduceat(v, edges, dtype=np.int64) if len(v) else np.zeros(1, np.int64))
+    return text, widths, counts, by_leaf(widths), by_leaf(counts)
+
+
+def row_of(text: str, bpe: Bpe) -> Row:
+    """The stored tree of a text, which is encoded once as a whole."""
+    if bpe.special is not None and bpe.special.search(text):
+        pieces = pieces_of(text, bpe)
+        return _row(text, [len(p) for p, _ in pieces], [n for _, n in pieces])
+    plain = pretokens(text)
+    return _row(text, list(map(len, plain)), list(map(len, map(bpe.__getitem__, plain))))
+
+
 class TokenTree:
     """The pre-tokens of one text and their token counts. Leaves are cut out of the text when they are needed."""
 
@@ -59,22 +76,14 @@ class TokenTree:
     @classmethod
     def of(cls, text: str, bpe: Bpe) -> TokenTree:
         """The tree of a text, which is encoded once as a whole."""
-        return cls._of_pieces(text, pieces_of(text, bpe), bpe)
-
-    @classmethod
-    def _of_pieces(cls, text: str, pieces: list[Piece], bpe: Bpe) -> TokenTree:
-        widths, counts = (np.array(x, np.int32) for x in zip(*((len(p), n) for p, n in pieces), strict=True)) if pieces else (np.zeros(0, np.int32),) * 2
-        edges = np.arange(0, max(len(widths), 1), LEAF)
-        by_leaf = lambda v: _sums(np.add.reduceat(v.astype(np.int64), edges) if len(v) else np.zeros(1, np.int64))
-        return cls(text, widths, counts, by_leaf(widths), by_leaf(counts), bpe)
+        return cls(*row_of(text, bpe), bpe)
 
-    def stored(self) -> tuple[str, np.ndarray, np.ndarray, list[int], list[int]]:
+    def stored(self) -> Row:
         """The row of a tree: of the edited text, in leaves of full length again if an edit has changed any."""
         if not self.held:
             return self.text, self.widths, self.counts, self.chars, self.tokens
         pieces = [p for k in range(self.n_leaves) for p in self.leaf(k)]
-        new = TokenTree._of_pieces("".join(p for p, _ in pieces), pieces, self.bpe)
-        return new.text, new.widths, new.counts, new.chars, new.tokens
+        return _row("".join(p for p, _ in pieces), [len(p) for p, _ in pieces], [n for _, n in pieces])
 
     @property
     def count(self) -> int:
@@ -184,7 +193,9 @@ EDITS = "array<struct<start: bigint, end: bigint, replacement: string>>"
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
     text, *lists = zip(*rows, strict=True) if rows else ((),) * 5
-    return [pa.array(text, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in lists)]
+    ends = lambda x: pa.array(np.concatenate(([0], np.cumsum([len(v) for v in x]))).astype(np.int32))
+    flat = lambda x: pa.array(np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32))
+    return [pa.array(text, pa.string()), *(pa.ListArray.from_arrays(ends(x), flat(x)) for x in lists)]
 
 
 def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -196,7 +207,7 @@ def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataF
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                rows = [TokenTree.of(t or "", bpe).stored() for t in part.column(part.num_columns - 1).to_pylist()]
+                rows = [row_of(t or "", bpe) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_columns(rows)], [*part.schema.names[:-1], "text", "widths", "counts", "chars", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), *keep, "text")
