@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import log_bin, with_running_sum
 from ..sources.contracts import DIMENSIONS
 from .lattice import subsets
+from .panel import within
 
 N = len(DIMENSIONS)
 LOOKBACK = 8
+#: Weeks before the analysis week that expectations look back to.
+FURTHEST = 61
 
 
 def between(weeks_back_from: int, weeks_back_to: int) -> Column:
@@ -35,7 +40,7 @@ def leaf_expectations(panel: DataFrame, metric: str = "revenue", at: Column | No
     """Per leaf present in the analysis week: actual, expected and gap. Expected is the mean of the eight weeks
     before, times the change on last year (mean of weeks 53 to 51 back over 61 to 53 back) held to [0.5, 2] and 1
     if unknown. One aggregate pass over 61 weeks; week 53 back belongs to both windows."""
-    rows = with_analysis_week(panel, at).where(between(61, 0))
+    rows = with_analysis_week(panel, at).where(between(FURTHEST, 0))
     value = F.col(metric)
     means = rows.groupBy(*DIMENSIONS).agg(
         F.sum(F.when(F.col("week") == F.col("at"), value)).cast("double").alias("actual"),
@@ -82,10 +87,10 @@ def base_and_current(panel: DataFrame, keys: list[str], measures: list[str], at:
     return rows.groupBy(*keys).agg(*columns)
 
 
-def price_volume_mix(panel: DataFrame, at: Column | None = None) -> DataFrame:
-    """The revenue change split into volume, price and mix over product lines, and which is largest (ties: volume,
-    price, mix). A product without base weeks has base price 0, so all its revenue counts as price."""
-    products = base_and_current(panel, ["product_line"], ["net_units", "revenue"], at)
+def price_volume_mix(panel: DataFrame, at: Column | None = None, spec: Mapping[str, str | None] | None = None) -> DataFrame:
+    """The revenue change of a slice (none given: of all) split into volume, price and mix over product lines, and
+    which is largest (ties: volume, price, mix). The analysis week is that of the whole panel. A product without base weeks has base price 0, so all its revenue counts as price."""
+    products = base_and_current(within(with_analysis_week(panel, at), spec), ["product_line"], ["net_units", "revenue"], F.col("at"))
     price = lambda k: F.coalesce(F.try_divide(F.col(f"revenue{k}"), F.nullif(F.col(f"net_units{k}"), F.lit(0.0))), F.lit(0.0))
     products = products.withColumns({"p0": price(0), "p1": price(1)})
     totals = products.agg(F.sum("net_units0").alias("u0"), F.sum("net_units1").alias("u1"), F.sum("revenue0").alias("r0"), F.sum("revenue1").alias("r1"))
@@ -103,9 +108,9 @@ def price_volume_mix(panel: DataFrame, at: Column | None = None) -> DataFrame:
     return out.select(*(F.round(c, 2).alias(c) for c in ("volume", "price", "mix", "total_change")), dominant.alias("dominant"))
 
 
-def funnel(panel: DataFrame, at: Column | None = None) -> DataFrame:
-    """The change of net units split into orders, cancellations and their interaction."""
-    t = base_and_current(panel, [], ["gross_orders", "cancellations"], at)
+def funnel(panel: DataFrame, at: Column | None = None, spec: Mapping[str, str | None] | None = None) -> DataFrame:
+    """The change of a slice's net units (none given: of all) split into orders, cancellations and their interaction."""
+    t = base_and_current(within(with_analysis_week(panel, at), spec), [], ["gross_orders", "cancellations"], F.col("at"))
     rate = lambda k: F.coalesce(F.try_divide(F.col(f"cancellations{k}"), F.nullif(F.col(f"gross_orders{k}"), F.lit(0.0))), F.lit(0.0))
     t = t.select(F.col("gross_orders0").alias("g0"), F.col("gross_orders1").alias("g1"), rate(0).alias("c0"), rate(1).alias("c1"))
     t = t.select(((F.col("g1") - F.col("g0")) * (1 - F.col("c0"))).alias("orders_effect"), (-F.col("g0") * (F.col("c1") - F.col("c0"))).alias("cancellation_effect"), (-(F.col("g1") - F.col("g0")) * (F.col("c1") - F.col("c0"))).alias("interaction"))
@@ -122,13 +127,10 @@ def top_leaves(leaves: DataFrame, n: int = 10) -> DataFrame:
 
 
 def leaves_for_share(leaves: DataFrame, share: float = 0.8) -> DataFrame:
-    """How many of the largest shortfalls make up `share` of all of them. Shortfalls are summed by magnitude
-    first, so the running sum is over distinct magnitudes in one task, not over leaves."""
-    short = leaves.where("gap < 0").groupBy(F.round("gap", 4).alias("gap")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("gap")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = short.select("gap", "n", F.coalesce(F.sum(F.col("gap") * F.col("n")).over(before), F.lit(0.0)).alias("done"), F.sum(F.col("gap") * F.col("n")).over(whole).alias("total"))
+    """How many of the largest shortfalls make up `share` of all of them. Shortfalls are summed by magnitude first,
+    and the running sum is over bins of magnitudes and inside them, so that no task sees all leaves."""
+    short = leaves.where("gap < 0").groupBy(F.round("gap", 4).alias("gap")).agg(F.count("*").alias("n")).where("gap < 0")
+    runs = with_running_sum(short, log_bin(-F.col("gap"), 16), -F.col("gap"), F.col("gap") * F.col("n"), "done", "total", descending=True, inclusive=False)
     fit = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((share * F.col("total") - F.col("done")) / F.col("gap") + 1e-9)))
     return runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_negative"), (F.coalesce(F.sum(fit), F.lit(0)) + F.when(F.count("*") > 0, 1).otherwise(0)).alias("n_leaves"))
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics
-from .panel import ratio
+from .panel import ratio, within
 
 BASELINE, GUARD, SIGMAS = 26, 2, 3.0
 PRE_WEEKS, POST_WEEKS = 52, 5
 
 
-def unit_series(panel: DataFrame, unit: str = "region") -> DataFrame:
-    """Weekly cancellation rate (sum over sum), orders and revenue of each unit."""
+def unit_series(panel: DataFrame, unit: str = "region", spec: Mapping[str, str | None] | None = None) -> DataFrame:
+    """Weekly cancellation rate (sum over sum), orders and revenue of each unit, in a slice of the other dimensions
+    if one is given. A panel at any grain will do, also one of lines."""
+    panel = within(panel, {d: v for d, v in (spec or {}).items() if d != unit})
     sums = panel.groupBy(unit, "week").agg(*(F.sum(m).alias(m) for m in ("cancellations", "gross_orders", "revenue", "net_units")))
     return sums.select(F.col(unit).alias("unit"), "week", ratio(F.col("cancellations"), F.greatest(F.col("gross_orders"), F.lit(1e-9).cast("decimal(18,9)"))).alias("rate"), *(F.col(c).cast("double").alias(c) for c in ("gross_orders", "revenue", "net_units")))
 
@@ -64,24 +68,24 @@ def full_weeks(series: DataFrame, start: Column) -> DataFrame:
 
 def did(series: DataFrame, treated: str, start: Column, value: str = "rate") -> DataFrame:
     """Two-way fixed effects difference in differences over the year before and all weeks after: estimate, standard
-    error and n. All rows with a value count, also of weeks that some units lack. The rows of one case, units times
-    weeks, are fitted in one task."""
+    error, n and degrees of freedom. All rows with a value count, also of weeks that some units lack. The rows of one
+    case, units times weeks, are fitted in one task."""
     rows = series.where((F.col("week") >= F.date_sub(start, 7 * PRE_WEEKS)) & F.col(value).isNotNull() & F.col("unit").isNotNull())
     rows = rows.select(F.col("unit").cast("string").alias("unit"), F.col("week").cast("string").alias("week"), F.col(value).cast("double").alias("y"), ((F.col("unit") == treated) & (F.col("week") >= start)).cast("double").alias("d"))
     case = rows.agg(F.sort_array(F.collect_list(F.struct("unit", "week", "y", "d"))).alias("rows"))
 
-    @F.udf("estimate double, se double, n long")
+    @F.udf("estimate double, se double, n long, free long")
     def fit(given):
         n = len(given)
         if not n:
-            return None, None, 0
+            return None, None, 0, 0
         dd, yd, yy, rank = _two_way([tuple(r) for r in given])
         if dd <= 1e-9:
-            return None, None, n
+            return None, None, n, 0
         free = n - rank - 1
-        return yd / dd, (max(yy - yd * yd / dd, 0.0) / (free * dd)) ** 0.5 if free > 0 else None, n
+        return yd / dd, (max(yy - yd * yd / dd, 0.0) / (free * dd)) ** 0.5 if free > 0 else None, n, free
 
-    return case.select(fit("rows").alias("f")).select(F.round("f.estimate", 6).alias("estimate"), F.round("f.se", 6).alias("se"), "f.n")
+    return case.select(fit("rows").alias("f")).select("f.*")
 
 
 def pretrend(series: DataFrame, treated: str, start: Column, value: str = "rate") -> DataFrame:
@@ -91,7 +95,19 @@ def pretrend(series: DataFrame, treated: str, start: Column, value: str = "rate"
     diff = diff.withColumn("t", (F.datediff("week", start) / 7).cast("double"))
     fit = diff.agg(F.regr_slope("y", "t").alias("slope"), F.regr_r2("y", "t").alias("r2"), F.count("*").alias("n"))
     t = F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
-    return fit.select(F.round("slope", 8).alias("slope"), F.round(t, 4).alias("t"), "n")
+    return fit.select("slope", t.alias("t"), "n")
+
+
+def parallel_trends(series: DataFrame, treated: str, start: Column, value: str = "rate") -> DataFrame:
+    """pretrend() with its two-sided p-value and whether trends count as parallel: more than ten weeks, and a slope
+    that chance gives one time in twenty or more."""
+
+    @F.udf("double")
+    def two_sided(t, n):
+        return None if t is None or t != t or n < 3 else 2 * numerics.student_sf(abs(t), n - 2)
+
+    fit = pretrend(series, treated, start, value).withColumn("p", two_sided("t", "n"))
+    return fit.withColumn("parallel", F.coalesce((F.col("n") > 10) & (F.col("p") > 0.05), F.lit(False)))
 
 
 def _windows(series: DataFrame, start: Column) -> DataFrame:

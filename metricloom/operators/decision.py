@@ -19,7 +19,7 @@ def realised(relieved: Column, constraints: list[tuple[int, int]]) -> Column:
 
 def bundles(spark: SparkSession, portfolio: Portfolio = PORTFOLIO, budget: float | None = None, authority: str | None = None) -> DataFrame:
     """All sets of levers that the authority may use, the empty one included: bundle (mask of levers), levers,
-    cost, relieved, realised, value, n_families, feasible. Sets are numbers dealt over tasks, each summed by
+    cost, relieved, realised, value, n_families, feasible and, if not, the reason. Sets are numbers dealt over tasks, each summed by
     itself, without a shuffle."""
     levers = [v for v in portfolio.levers if authority is None or portfolio.rank_of(v.authority) <= portfolio.rank_of(authority)]
     budget = portfolio.budget if budget is None else budget
@@ -38,13 +38,16 @@ def bundles(spark: SparkSession, portfolio: Portfolio = PORTFOLIO, budget: float
     gates = [(portfolio.bit(c.id), portfolio.mask(c.requires)) for c in portfolio.constraints]
     rows = rows.withColumn("realised", realised(F.col("relieved"), gates).cast("int"))
     value = total([F.when(F.col("realised").bitwiseAND(portfolio.bit(c.id)) != 0, c.blocked_value).otherwise(0.0) for c in portfolio.constraints])
-    return rows.withColumns({"value": value, "feasible": F.col("cost") <= budget})
+    over = F.concat(F.lit("costs "), F.format_number(F.col("cost") - budget, 0), F.lit(" more than the budget"))
+    return rows.withColumns({"value": value, "feasible": F.col("cost") <= budget, "reason": F.when(F.col("cost") > budget, over)})
 
 
-def undominated(all_bundles: DataFrame) -> DataFrame:
-    """The cheapest feasible bundle (ties: lowest number) of each realised set."""
-    w = Window.partitionBy("realised").orderBy("cost", "bundle")
-    return all_bundles.where("feasible").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def undominated(all_bundles: DataFrame, infeasible: bool = False) -> DataFrame:
+    """The cheapest feasible bundle (ties: lowest number) of each realised set; with infeasible also all bundles that
+    the budget rules out, with their reasons."""
+    w = Window.partitionBy("realised", "feasible").orderBy("cost", "bundle")
+    rows = all_bundles if infeasible else all_bundles.where("feasible")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1 OR NOT feasible").drop("_r")
 
 
 def ranked(all_bundles: DataFrame, n: int = 10) -> DataFrame:

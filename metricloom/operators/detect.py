@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics
+from ..functions.running import log_bin, with_least_from, with_running_sum
 from ..sources.contracts import DIMENSIONS, METRICS, Catalog
 from .lattice import labelled, lattice, long_metrics
 
@@ -20,6 +21,7 @@ FINDING = (
     "sparse boolean, out_of_sample boolean, interval_valid boolean, width_pct double, n_calibration int, hits int, holdouts int"
 )
 LEAST_WEEKS = 10
+LEAST_RESIDUALS = 6
 SEASONAL_WEEKS = 60
 
 
@@ -40,6 +42,11 @@ def conformal_quantiles(residuals: DataFrame, alpha: float) -> DataFrame:
     return ranked.groupBy("level", *DIMENSIONS).agg(F.max("n").alias("n_calibration"), F.max(F.when(F.col("r") == F.col("k"), F.col("size"))).alias("half_width"), (F.max("k") <= F.max("n")).alias("valid"))
 
 
+def median_half_widths(quantiles: DataFrame) -> DataFrame:
+    """Per level the median half-width of the intervals that are valid, and how many those are."""
+    return quantiles.where("valid").groupBy("level").agg(F.median("half_width").alias("median_half_width"), F.count("*").alias("n"))
+
+
 def empirical_p_values(residuals: DataFrame) -> DataFrame:
     """Per series (1 + residuals at least as large as the last) / (n + 1)."""
     w = Window.partitionBy("level", *DIMENSIONS)
@@ -48,16 +55,15 @@ def empirical_p_values(residuals: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, q: float, p: str = "p_value") -> DataFrame:
-    """tests with q_value and survives_fdr: the step-up procedure over all rows.
+    """tests with q_value and survives_fdr: the step-up procedure over all rows with a p-value.
 
-    Ranks come from the distinct p-values with their counts, so the one window without a partition sees each
-    p-value once, however many tests share it; its result joins back by p-value."""
-    distinct = tests.groupBy(p).agg(F.count("*").alias("_n"))
-    up, whole = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = distinct.withColumns({"_rank": F.sum("_n").over(up), "_total": F.sum("_n").over(whole)})
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    values = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_total") / F.col("_rank")).over(down))).select(p, "q_value")
-    return tests.join(values, p).withColumn("survives_fdr", F.col("q_value") <= q)
+    Ranks come from the distinct p-values with their counts, dealt to bins of nearly equal p (a hundredth at most),
+    so that no task sees all of them; the result joins back by p-value."""
+    place = log_bin(F.col(p), 64)
+    distinct = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
+    ranked = with_running_sum(distinct, place, F.col(p), F.col("_n"), "_rank", "_total")
+    values = with_least_from(ranked, place, F.col(p), F.col(p) * F.col("_total") / F.col("_rank"), "_q")
+    return tests.join(values.select(p, F.least(F.lit(1.0), F.col("_q")).alias("q_value")), p).withColumn("survives_fdr", F.col("q_value") <= q)
 
 
 def with_impact(findings: DataFrame, catalog: Catalog = METRICS) -> DataFrame:
@@ -78,24 +84,35 @@ def diagnostics(findings: DataFrame) -> DataFrame:
     )
 
 
-def _finding(key: tuple, y: np.ndarray, alpha: float, gamma: float) -> tuple | None:
-    fit = numerics.fit_forecast(y, SEASONAL_WEEKS)
-    r = fit["residuals"]
-    if len(r) < 6:
+def _share(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """x in per cent of the magnitude of `of`; NaN where that is 0."""
+    of = np.abs(of)
+    return 100 * x / np.where(of > 1e-12, of, np.nan)
+
+
+def _findings(y: np.ndarray, alpha: float, gamma: float) -> dict[str, np.ndarray] | None:
+    """The findings' columns of series of one length, a row each; None if they are too short to calibrate."""
+    m, n = y.shape
+    split = numerics.split_of(n, SEASONAL_WEEKS)
+    r = numerics.residuals_of(y, split)
+    k = r.shape[1]
+    if k < LEAST_RESIDUALS:
         return None
-    adapted = numerics.adaptive_alpha(r, alpha, gamma)
-    half, valid = numerics.conformal_quantile(r, adapted)
-    actual, forecast = float(y[-1]), float(fit["forecast"][-1])
+    actual, forecast = y[:, -1], numerics.forecasts_of(y, split)[:, -1]
     deviation = actual - forecast
-    p, method = numerics.tail_p_value(r, deviation)
-    hits = holdouts = 0
-    if len(r) >= 16 and fit["out_of_sample"]:
-        first, second = r[: len(r) // 2], r[len(r) // 2 :]
-        width, _ = numerics.conformal_quantile(first, alpha)
-        hits, holdouts = int((np.abs(second) <= width).sum()), len(second)
-    share = lambda x, of: float(x / abs(of) * 100) if abs(of) > 1e-12 else None
-    return (*key, len(y), bool(fit["seasonal"]), actual, forecast, forecast - half, forecast + half, deviation, share(deviation, forecast), share(y[-1] - y[-2], y[-2]),
-            bool(abs(deviation) > half), float(p), method, float(adapted), len(y) < SEASONAL_WEEKS, bool(fit["out_of_sample"]), bool(valid), share(2 * half, forecast), len(r), hits, holdouts)
+    level = numerics.adaptive_levels(r, alpha, gamma)
+    half, valid = numerics.half_widths(r, level)
+    p, tail = numerics.tail_p_values(r, deviation)
+    hits, holdouts = np.zeros(m, int), 0
+    if k >= 16 and split.out_of_sample:
+        width, _ = numerics.half_widths(r[:, : k // 2], np.full(m, alpha))
+        hits, holdouts = (np.abs(r[:, k // 2 :]) <= width[:, None]).sum(axis=1), k - k // 2
+    return {
+        "n_history": np.full(m, n), "seasonal": np.full(m, split.seasonal), "actual": actual, "forecast": forecast, "lo": forecast - half, "hi": forecast + half,
+        "deviation": deviation, "deviation_pct": _share(deviation, forecast), "wow_pct": _share(y[:, -1] - y[:, -2], y[:, -2]), "outside_interval": np.abs(deviation) > half,
+        "p_value": p, "p_method": np.where(tail, "tail", "empirical"), "adapted_alpha": level, "sparse": np.full(m, n < SEASONAL_WEEKS), "out_of_sample": np.full(m, split.out_of_sample),
+        "interval_valid": valid, "width_pct": _share(2 * half, forecast), "n_calibration": np.full(m, k), "hits": hits, "holdouts": np.full(m, holdouts),
+    }
 
 
 def series_findings(long: DataFrame, alpha: float = 0.10, gamma: float = 0.05) -> DataFrame:
@@ -107,15 +124,15 @@ def series_findings(long: DataFrame, alpha: float = 0.10, gamma: float = 0.05) -
     usable = grouped.join(F.broadcast(last), F.col("latest") == F.col("last_week")).where((F.size("s") >= LEAST_WEEKS) & (F.col("spread") > 1e-8))
     rows = usable.select(*SERIES, F.col("s.value").alias("values"))
 
+    names = [c.split()[0] for c in FINDING.split(", ")]
+    whole = dict.fromkeys(("level", "n_history", "n_calibration", "hits", "holdouts"), "int32")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FINDING.split(", ")]
         for b in batches:
-            found = []
-            for row in b.itertuples(index=False):
-                one = _finding(tuple(row[:-1]), np.asarray(row[-1], float), alpha, gamma)
-                if one is not None:
-                    found.append(one)
-            yield pd.DataFrame(found, columns=names).astype({"level": "int32", "n_history": "int32", "n_calibration": "int32", "hits": "int32", "holdouts": "int32"})
+            for _, part in b.groupby(b["values"].str.len(), sort=False):
+                found = _findings(np.stack(part["values"].to_list()).astype(float), alpha, gamma)
+                if found is not None:
+                    yield part[list(SERIES)].assign(**found)[names].astype(whole)
 
     return rows.mapInPandas(run, FINDING)
 

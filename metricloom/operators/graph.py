@@ -10,15 +10,14 @@ MAX_DEPTH = 6
 
 def paths(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """All simple paths of at most max_depth edges: src, dst, path. The graph is a contract of a few edges."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"""
+    text = """
         WITH RECURSIVE walk(src, dst, path) AS (
-            SELECT src, dst, array(src, dst) FROM _edges
+            SELECT src, dst, array(src, dst) FROM {edges}
             UNION ALL
-            SELECT w.src, e.dst, array_append(w.path, e.dst) FROM walk w JOIN _edges e ON w.dst = e.src
+            SELECT w.src, e.dst, array_append(w.path, e.dst) FROM walk w JOIN {edges} e ON w.dst = e.src
             WHERE size(w.path) <= {max_depth} AND NOT array_contains(w.path, e.dst)
-        ) SELECT src, dst, path FROM walk""")
+        ) SELECT src, dst, path FROM walk"""
+    return edges.sparkSession.sql(text, edges=edges, max_depth=max_depth)
 
 
 def shortest_paths(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

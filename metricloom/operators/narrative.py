@@ -24,11 +24,14 @@ def number_tokens(text: Column) -> Column:
 
 
 def ungrounded(texts: DataFrame, vocabulary: DataFrame, text: str = "text", key: str = "case") -> DataFrame:
-    """Per text its numbers that the vocabulary (case, token) of its case lacks, and whether it may be released."""
-    tokens = texts.select(key, F.explode_outer(F.array_distinct(number_tokens(F.col(text)))).alias("token"))
-    known = vocabulary.select(key, "token").distinct().withColumn("_known", F.lit(True))
-    rows = tokens.join(known, [key, "token"], "left")
-    missing = F.sort_array(F.collect_list(F.when(F.col("_known").isNull() & F.col("token").isNotNull() & ~F.col("token").isin(*SAFE), F.col("token"))))
+    """Per text its numbers that the vocabulary lacks, and whether it may be released. A vocabulary (case, token) is
+    of one case each, one without that column of all texts."""
+    told = F.filter(F.array_distinct(number_tokens(F.col(text))), lambda t: ~t.isin(*SAFE))
+    tokens = texts.select(key, F.explode_outer(told).alias("token"))
+    on = [key, "token"] if key in vocabulary.columns else ["token"]
+    known = vocabulary.select(*on).distinct().withColumn("_known", F.lit(True))
+    rows = tokens.join(known, on, "left")
+    missing = F.sort_array(F.collect_list(F.when(F.col("_known").isNull() & F.col("token").isNotNull(), F.col("token"))))
     return rows.groupBy(key).agg(missing.alias("missing")).select(key, F.array_join("missing", ",").alias("missing"), (F.size("missing") == 0).alias("passed"))
 
 
@@ -89,14 +92,29 @@ class Templates:
         lines = [f"{e['metric']} in week {e['week']} was {abs(change):.1f}% {way} expectation ({e['gap']:,.0f})."]
         if e.get("slice"):
             lines.append(f"Most of it sits in {e['slice']}.")
+        if e.get("bridge"):
+            lines.append(f"There, {e['bridge']['dominant']} moved revenue most ({e['bridge'][e['bridge']['dominant']]:,.0f}).")
+        if e.get("funnel") and persona.style != "strategic":
+            lines.append(f"In units, the change comes from {e['funnel']}.")
         if e["mode"] == "abstain":
-            return " ".join([*lines, "The evidence does not support a cause; no action is recommended."])
+            lines.append("The evidence does not support a cause; no action is recommended.")
+            lines += [f"What would settle it: {t}." for t in e.get("tests", [])]
+            return " ".join(lines)
         for cause in e.get("causes", []):
-            lines.append(f"Cause: {cause['label']} (impact {cause['impact']:,.0f}).")
+            lines.append(f"Cause: {cause['label']} (impact {cause['impact']:,.0f}, between {cause['low']:,.0f} and {cause['high']:,.0f})." if "low" in cause else f"Cause: {cause['label']} (impact {cause['impact']:,.0f}).")
+        if e["mode"] == "competing":
+            lines.append("These explanations compete: their effects overlap.")
+        for out in e.get("ruled_out", []):
+            lines.append(f"Ruled out: {out['label']} ({out['reason']}).")
         if persona.style == "strategic":
             lines.append(f"Confidence {e['confidence']:.2f}. The best bundle costs {e['bundle_cost']:,.0f} and frees {e['bundle_value']:,.0f} a week.")
+            if e.get("payback"):
+                lines.append(f"It pays back in {e['payback']:.1f} weeks.")
+            if e.get("unreleased"):
+                lines.append(f"Held back by the gates of the portfolio: {', '.join(e['unreleased'])}.")
         elif e.get("actions"):
             lines.append("Your actions: " + "; ".join(e["actions"]) + ".")
+            lines.append("Compare the weekly value with the bundle's, and review after four weeks.")
         return " ".join(lines)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.contracts import DIMENSIONS, METRICS, Catalog, Persona
-from ..sources.tables import KEYS, sources
+from ..sources.tables import KEYS, measured, order_lines
 
 MEASURES = ("revenue", "net_units", "gross_orders", "cancellations", "deliveries", "in_time")
 
@@ -46,8 +49,28 @@ def align(given: dict[str, DataFrame]) -> DataFrame:
     return with_ratios(allocated(panel, given["tickets"], "tickets", "ticket_volume"))
 
 
-def panel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align(sources(spark, sf_dir))
+def summed(lines: DataFrame, *keys: str) -> DataFrame:
+    """measured() lines summed by keys, with ratios: each task sums its own lines first."""
+    return with_ratios(lines.groupBy(*keys).agg(*(F.sum(m).alias(m) for m in (*MEASURES, "returns"))))
+
+
+def panel_of(spark: SparkSession, sf_dir: str, since: date | None = None) -> DataFrame:
+    """The weekly panel of the star schema, of orders since a date if one is given: what align() gives of its
+    sources, from one pass over the lines. Tickets are counted by leaf, summed over the leaves that share them and
+    allocated by revenue; without any there they are null."""
+    leaves = summed(measured(order_lines(spark, sf_dir, since)), *KEYS)
+    together = Window.partitionBy(*KEYS[:-1])
+    share = F.coalesce(ratio(F.col("revenue"), F.sum("revenue").over(together)), F.lit(0.0))
+    tickets = F.nullif(F.sum("returns").over(together), F.lit(0).cast("bigint")) * share
+    return leaves.withColumn("ticket_volume", tickets).drop("returns").withMetadata("ticket_volume", {"grain": "imputed"})
+
+
+def within(df: DataFrame, spec: Mapping[str, str | None] | None) -> DataFrame:
+    """Rows of a slice: dimension -> value; dimensions that are missing, null or ALL are left open."""
+    for dimension, value in (spec or {}).items():
+        if value not in (None, "ALL"):
+            df = df.where(F.col(dimension) == value)
+    return df
 
 
 def excluded_metrics(spark: SparkSession, catalog: Catalog = METRICS) -> DataFrame:

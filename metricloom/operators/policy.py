@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 BLOCKING = ("STALE_SOURCE", "SOURCE_CONFLICT", "CALIBRATION_INTEGRITY")
 LEAST_HISTORY = 60
+#: What would settle a trigger that fired.
+TESTS = {
+    "UNEXPLAINED_RESIDUAL": "look for causes outside the graph in the slice with the largest rest",
+    "COMPETING_EXPLANATIONS": "hold out one of the causes in some units for two weeks",
+    "STALE_SOURCE": "run again when the late source has reported the week",
+    "SOURCE_CONFLICT": "reconcile units, prices and revenue of the leaves that contradict themselves",
+    "SPARSE_HISTORY": "judge the series against its parent slice until it has a year of weeks",
+    "GRAIN_POLICY": "ask the metric's owner for weekly values",
+    "CALIBRATION_INTEGRITY": "recalibrate on weeks that the fit has not seen",
+}
 
 
 def overlaps(effects: DataFrame, limit: float = 0.60) -> DataFrame:
@@ -21,7 +31,7 @@ def overlaps(effects: DataFrame, limit: float = 0.60) -> DataFrame:
 
 
 def triggers(case: DataFrame) -> DataFrame:
-    """One row per case and trigger: code, fired, detail. case: total_gap, explained (sum of accepted impacts),
+    """One row per case and trigger: code, fired, detail and, of those that fired, the test that would settle it. case: total_gap, explained (sum of accepted impacts),
     n_accepted, n_overlaps, n_stale, n_conflicts, n_weeks, n_excluded, out_of_sample."""
     residual = 1 - F.least(F.coalesce(F.try_divide(F.abs("explained"), F.nullif(F.abs("total_gap"), F.lit(0.0))), F.lit(0.0)), F.lit(1.0))
     rules: list[tuple[str, Column, Column]] = [
@@ -33,8 +43,9 @@ def triggers(case: DataFrame) -> DataFrame:
         ("GRAIN_POLICY", F.col("n_excluded") > 0, F.col("n_excluded").cast("string")),
         ("CALIBRATION_INTEGRITY", ~F.col("out_of_sample"), F.col("out_of_sample").cast("string")),
     ]
+    settled = F.create_map(*(F.lit(x) for pair in TESTS.items() for x in pair))[F.col("t.code")]
     rows = F.array(*(F.struct(F.lit(c).alias("code"), f.alias("fired"), d.alias("detail")) for c, f, d in rules))
-    return case.select(*[c for c in ("case",) if c in case.columns], "n_accepted", "explained", "total_gap", F.explode(rows).alias("t")).select("*", "t.code", "t.fired", "t.detail").drop("t")
+    return case.select(*[c for c in ("case",) if c in case.columns], "n_accepted", "explained", "total_gap", F.explode(rows).alias("t")).select("*", "t.code", "t.fired", "t.detail", F.when(F.col("t.fired"), settled).alias("test")).drop("t")
 
 
 def verdicts(fired: DataFrame) -> DataFrame:

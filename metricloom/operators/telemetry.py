@@ -57,6 +57,16 @@ def call_costs(calls: DataFrame, prices: dict[str, tuple[float, float]]) -> Data
     return rows.join(F.broadcast(table), "model", "left").withColumn("cost", (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6).drop("input_price", "output_price")
 
 
+def summary(stages: DataFrame, calls: DataFrame, prices: dict[str, tuple[float, float]], rate: float) -> DataFrame:
+    """One row of a run: its latency, the share of it that model calls took, their tokens, and their cost in the
+    currency of the prices and in another at `rate` of it."""
+    spent = call_costs(calls, prices).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+    waited = calls.agg(F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("model_ms"))
+    total = stages.agg(F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("latency_ms"), F.count("*").alias("stages"))
+    row = total.join(F.broadcast(spent)).join(F.broadcast(waited))
+    return row.select("latency_ms", "stages", F.coalesce(F.try_divide("model_ms", "latency_ms"), F.lit(0.0)).alias("model_share"), "input_tokens", "output_tokens", "cost", (F.col("cost") * rate).alias("cost_other"))
+
+
 #: The methods of the engine by phase and category.
 METHODS = (
     ("align", "weekly panel", "relational", "full outer join at leaf grain, ratios as sums over sums"),

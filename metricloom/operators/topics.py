@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from collections.abc import Mapping
+
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import within
+
 FEATURES = 400
 #: Words that point to nodes of the causal graph, in order of precedence.
 NODE_WORDS = (
@@ -21,20 +25,42 @@ NODE_WORDS = (
 )
 
 
+#: Texts of a slice that are needed before its own are read, and texts without which nothing is read.
+ENOUGH, FEWEST = 60, 40
+
+
+def of_slice(texts: DataFrame, spec: Mapping[str, str | None] | None) -> DataFrame | None:
+    """The texts of a slice; those of its region where it has under ENOUGH, and none under FEWEST."""
+    known = {d: v for d, v in (spec or {}).items() if d in texts.columns}
+    own = within(texts, known)
+    if own.limit(ENOUGH).count() < ENOUGH:
+        own = within(texts, {d: v for d, v in known.items() if d == "region"})
+    return own if own.limit(FEWEST).count() >= FEWEST else None
+
+
+def topic_count(n: int) -> int:
+    """How many topics to look for in n texts."""
+    return min(6, max(n // 20, 2))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: in the checkpoint folder, or on local disks where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+
+
 def topics(docs: DataFrame, k: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) with `topic`, and (topic, name) with each centre's four heaviest terms."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}]+", minTokenLength=2),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=FEATURES, minDF=3),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="features"),
-        KMeans(k=k, seed=seed),
-    ]
-    model = Pipeline(stages=stages).fit(docs)
-    words = model.stages[2].vocabulary
-    names = [(t, " ".join(words[i] for i in sorted(range(len(c)), key=lambda i: (-c[i], i))[:4])) for t, c in enumerate(model.stages[5].clusterCenters())]
-    found = model.transform(docs).withColumnRenamed("prediction", "topic")
+    """docs (doc_id, text) with `topic`, and (topic, name) with each centre's four heaviest terms. Texts are read and
+    cut into words once; all fits are on term vectors."""
+    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}]+", minTokenLength=2).transform(docs)
+    words = StopWordsRemover(inputCol="_words", outputCol="_kept").transform(words)
+    words = kept(words.select(*docs.columns, "_kept"))
+    counter = CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=FEATURES, minDF=3).fit(words)
+    counts = counter.transform(words).select(*docs.columns, "_tf")
+    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
+    vectors = kept(Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted).select(*docs.columns, "features"))
+    model = KMeans(k=k, seed=seed).fit(vectors)
+    names = [(t, " ".join(counter.vocabulary[i] for i in sorted(range(len(c)), key=lambda i: (-c[i], i))[:4])) for t, c in enumerate(model.clusterCenters())]
+    found = model.transform(vectors).withColumnRenamed("prediction", "topic")
     return found.select(*docs.columns, "topic"), docs.sparkSession.createDataFrame(names, "topic int, name string")
 
 

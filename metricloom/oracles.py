@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sources.contracts import METRICS, PORTFOLIO
+
 LEAF = "region, product_line, channel, segment"
 
 LINES = """
@@ -59,6 +61,32 @@ _TOTALS = f"""{PANEL}, final_week AS (SELECT max(week) AS aw FROM panel), recent
     SELECT * FROM panel, final_week WHERE week BETWEEN aw - 56 AND aw
 )"""
 
+_SLICED = _TOTALS.replace("WHERE week BETWEEN aw - 56 AND aw\n", "WHERE week BETWEEN aw - 56 AND aw AND region = 'ASIA' AND channel = '1-URGENT'\n")
+
+
+def _pvm(totals: str) -> str:
+    return f"""WITH {totals}, k AS (
+            SELECT product_line, coalesce(cast(sum(net_units) FILTER (WHERE week = aw) AS DOUBLE), 0) AS u1, coalesce(cast(sum(revenue) FILTER (WHERE week = aw) AS DOUBLE), 0) AS r1,
+                   coalesce(cast(sum(net_units) FILTER (WHERE week < aw) AS DOUBLE) / nullif(count(DISTINCT week) FILTER (WHERE week < aw), 0), 0) AS u0,
+                   coalesce(cast(sum(revenue) FILTER (WHERE week < aw) AS DOUBLE) / nullif(count(DISTINCT week) FILTER (WHERE week < aw), 0), 0) AS r0
+            FROM recent GROUP BY product_line
+        ), t AS (SELECT sum(u0) AS tu0, sum(u1) AS tu1, sum(r0) AS tr0, sum(r1) AS tr1 FROM k), o AS (
+            SELECT (any_value(tu1) - any_value(tu0)) * any_value(tr0) / any_value(tu0) AS volume, sum((u1 - u0 * tu1 / tu0) * (coalesce(r0 / nullif(u0, 0), 0) - tr0 / tu0)) AS mix,
+                   sum(u1 * (coalesce(r1 / nullif(u1, 0), 0) - coalesce(r0 / nullif(u0, 0), 0))) AS price, any_value(tr1 - tr0) AS total_change FROM k, t
+        ) SELECT round(volume, 2) AS volume, round(price, 2) AS price, round(mix, 2) AS mix, round(total_change, 2) AS total_change,
+                 CASE greatest(abs(volume), abs(price), abs(mix)) WHEN abs(volume) THEN 'volume' WHEN abs(price) THEN 'price' ELSE 'mix' END AS dominant FROM o"""
+
+
+def _funnel(totals: str) -> str:
+    return f"""WITH {totals}, k AS (
+            SELECT coalesce(cast(sum(gross_orders) FILTER (WHERE week = aw) AS DOUBLE), 0) AS g1, coalesce(cast(sum(cancellations) FILTER (WHERE week = aw) AS DOUBLE) / cast(sum(gross_orders) FILTER (WHERE week = aw) AS DOUBLE), 0) AS c1,
+                   cast(sum(gross_orders) FILTER (WHERE week < aw) AS DOUBLE) / count(DISTINCT week) FILTER (WHERE week < aw) AS g0,
+                   cast(sum(cancellations) FILTER (WHERE week < aw) AS DOUBLE) / cast(sum(gross_orders) FILTER (WHERE week < aw) AS DOUBLE) AS c0 FROM recent
+        ), o AS (SELECT (g1 - g0) * (1 - c0) AS a, -g0 * (c1 - c0) AS b, -(g1 - g0) * (c1 - c0) AS c FROM k)
+        SELECT round(a, 4) AS orders_effect, round(b, 4) AS cancellation_effect, round(c, 4) AS interaction,
+               CASE greatest(abs(a), abs(b), abs(c)) WHEN abs(a) THEN 'orders' WHEN abs(b) THEN 'cancellations' ELSE 'interaction' END AS dominant FROM o"""
+
+
 ORACLES: dict[str, str] = {
     "panel_align": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
         cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct FROM panel""",
@@ -67,11 +95,12 @@ ORACLES: dict[str, str] = {
         FROM lines GROUP BY week, region HAVING sum(quantity) FILTER (WHERE returned) IS NOT NULL""",
     "ticket_allocation": f"WITH {PANEL} SELECT week, {LEAF}, round(ticket_volume, 6) AS ticket_volume FROM panel",
     "source_freshness": f"""WITH {LINES}, s AS (
-            SELECT 'warehouse' AS source, 'daily' AS native_grain, max(week) AS latest, 1440.0 AS refresh, 36.0 AS tolerance_hours FROM lines WHERE NOT returned
-            UNION ALL SELECT 'order_system', 'transaction', max(week), 5, 2 FROM lines
-            UNION ALL SELECT 'logistics', 'hourly', max(week), 60, 6 FROM lines
-            UNION ALL SELECT 'tickets', 'daily', max(week), 1440, 36 FROM lines WHERE returned
-        ), a AS (SELECT *, (DATE '2001-08-19' - latest) * 24.0 AS behind FROM s)
+            SELECT 'warehouse' AS source, max(week) AS latest FROM lines WHERE NOT returned
+            UNION ALL SELECT 'order_system', max(week) FROM lines
+            UNION ALL SELECT 'logistics', max(week) FROM lines
+            UNION ALL SELECT 'tickets', max(week) FROM lines WHERE returned
+        ), m AS (SELECT * FROM (VALUES {", ".join(str((m.source, m.grain, m.refresh_minutes, m.tolerance_hours)) for m in METRICS.metrics.values())}) t(source, native_grain, refresh, tolerance_hours)
+        ), a AS (SELECT *, (DATE '2001-08-19' - latest) * 24.0 AS behind FROM s JOIN m USING (source))
         SELECT source, native_grain, latest AS latest_period, round(cast(greatest(least(behind, greatest(behind - 168, refresh / 60)), 0) AS DOUBLE), 1) AS age_hours, cast(tolerance_hours AS DOUBLE) AS tolerance_hours,
                CASE WHEN round(cast(greatest(least(behind, greatest(behind - 168, refresh / 60)), 0) AS DOUBLE), 1) > tolerance_hours THEN 'stale' ELSE 'fresh' END AS status FROM a""",
     "source_conflicts": f"""WITH {LINES}, w AS (
@@ -79,8 +108,8 @@ ORACLES: dict[str, str] = {
         ) SELECT count(*) AS n_conflicts, round(max(abs(quoted - revenue) / revenue), 6) AS largest_gap FROM w WHERE abs(quoted - revenue) / nullif(revenue, 0) > 0.02""",
     "slice_lattice": f"WITH {LATTICE} SELECT week, {LEAF}, level, cast(revenue AS DOUBLE) AS revenue, cancellation_rate FROM slices",
     "lattice_wow": f"""WITH {LATTICE}, w AS (
-            SELECT *, lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS before FROM slices WHERE level IN (7, 15)
-        ) SELECT week, region, level, (cast(revenue AS DOUBLE) - before) / nullif(abs(before), 0) * 100 AS wow_pct FROM w""",
+            SELECT *, lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS before FROM slices
+        ) SELECT week, {LEAF}, level, (cast(revenue AS DOUBLE) - before) / nullif(abs(before), 0) * 100 AS wow_pct FROM w""",
     "eligible_series": f"""WITH {LATTICE}, s AS (
             SELECT level, {LEAF}, count(*) AS n_weeks, max(week) AS latest, stddev_pop(cast(revenue AS DOUBLE)) AS spread FROM slices GROUP BY level, {LEAF}
         ) SELECT level, {LEAF}, n_weeks FROM s WHERE n_weeks >= 10 AND spread > 1e-8 AND latest = (SELECT max(week) FROM slices)""",
@@ -89,23 +118,10 @@ ORACLES: dict[str, str] = {
     "shapley_dimensions": f"""WITH {VALUES}, d AS (SELECT * FROM (VALUES ('region', 8), ('product_line', 4), ('channel', 2), ('segment', 1)) t(dimension, bit)), phi AS (
             SELECT dimension, sum([6, 2, 2, 6][bit_count(a.coalition) + 1] / 24 * (b.v - a.v)) AS phi FROM d, v a, v b WHERE a.coalition & bit = 0 AND b.coalition = a.coalition + bit GROUP BY dimension
         ) SELECT dimension, round(100 * phi / sum(phi) OVER (), 2) AS share_pct FROM phi""",
-    "pvm_bridge": f"""WITH {_TOTALS}, k AS (
-            SELECT product_line, coalesce(cast(sum(net_units) FILTER (WHERE week = aw) AS DOUBLE), 0) AS u1, coalesce(cast(sum(revenue) FILTER (WHERE week = aw) AS DOUBLE), 0) AS r1,
-                   coalesce(cast(sum(net_units) FILTER (WHERE week < aw) AS DOUBLE) / nullif(count(DISTINCT week) FILTER (WHERE week < aw), 0), 0) AS u0,
-                   coalesce(cast(sum(revenue) FILTER (WHERE week < aw) AS DOUBLE) / nullif(count(DISTINCT week) FILTER (WHERE week < aw), 0), 0) AS r0
-            FROM recent GROUP BY product_line
-        ), t AS (SELECT sum(u0) AS tu0, sum(u1) AS tu1, sum(r0) AS tr0, sum(r1) AS tr1 FROM k), o AS (
-            SELECT (any_value(tu1) - any_value(tu0)) * any_value(tr0) / any_value(tu0) AS volume, sum((u1 - u0 * tu1 / tu0) * (coalesce(r0 / nullif(u0, 0), 0) - tr0 / tu0)) AS mix,
-                   sum(u1 * (coalesce(r1 / nullif(u1, 0), 0) - coalesce(r0 / nullif(u0, 0), 0))) AS price, any_value(tr1 - tr0) AS total_change FROM k, t
-        ) SELECT round(volume, 2) AS volume, round(price, 2) AS price, round(mix, 2) AS mix, round(total_change, 2) AS total_change,
-                 CASE greatest(abs(volume), abs(price), abs(mix)) WHEN abs(volume) THEN 'volume' WHEN abs(price) THEN 'price' ELSE 'mix' END AS dominant FROM o""",
-    "funnel_split": f"""WITH {_TOTALS}, k AS (
-            SELECT cast(sum(gross_orders) FILTER (WHERE week = aw) AS DOUBLE) AS g1, cast(sum(cancellations) FILTER (WHERE week = aw) AS DOUBLE) / cast(sum(gross_orders) FILTER (WHERE week = aw) AS DOUBLE) AS c1,
-                   cast(sum(gross_orders) FILTER (WHERE week < aw) AS DOUBLE) / count(DISTINCT week) FILTER (WHERE week < aw) AS g0,
-                   cast(sum(cancellations) FILTER (WHERE week < aw) AS DOUBLE) / cast(sum(gross_orders) FILTER (WHERE week < aw) AS DOUBLE) AS c0 FROM recent
-        ), o AS (SELECT (g1 - g0) * (1 - c0) AS a, -g0 * (c1 - c0) AS b, -(g1 - g0) * (c1 - c0) AS c FROM k)
-        SELECT round(a, 4) AS orders_effect, round(b, 4) AS cancellation_effect, round(c, 4) AS interaction,
-               CASE greatest(abs(a), abs(b), abs(c)) WHEN abs(a) THEN 'orders' WHEN abs(b) THEN 'cancellations' ELSE 'interaction' END AS dominant FROM o""",
+    "pvm_bridge": _pvm(_TOTALS),
+    "pvm_bridge_slice": _pvm(_SLICED),
+    "funnel_split": _funnel(_TOTALS),
+    "funnel_split_slice": _funnel(_SLICED),
     "top_leaves": f"""WITH {LEAVES} SELECT {LEAF}, round(gap, 4) AS gap, round(gap / (SELECT sum(gap) FROM leaves), 6) AS share FROM leaves ORDER BY abs(round(gap, 4)) DESC, {LEAF} LIMIT 10""",
     "shortfall_80": f"""WITH {LEAVES}, c AS (
             SELECT sum(round(gap, 4)) OVER (ORDER BY gap, {LEAF} ROWS UNBOUNDED PRECEDING) / sum(round(gap, 4)) OVER () AS cum FROM leaves WHERE round(gap, 4) < 0
@@ -118,8 +134,9 @@ ORACLES: dict[str, str] = {
         ORDER BY share >= 0.45 DESC, CASE WHEN share >= 0.45 THEN depth ELSE 0 END DESC, share DESC, open LIMIT 1""",
 }
 
+_FLOOR = METRICS.metric("revenue").impact_floor
 RESIDUALS = f"""{LATTICE}, moves AS (
-    SELECT level, {LEAF}, week, cast(revenue AS DOUBLE) - lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS residual FROM slices WHERE level IN (3, 7, 11, 13, 14, 15)
+    SELECT level, {LEAF}, week, cast(revenue AS DOUBLE) - lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS residual FROM slices
 ), residuals AS (
     SELECT *, row_number() OVER (PARTITION BY level, {LEAF} ORDER BY week DESC) - 1 AS back FROM moves WHERE residual IS NOT NULL
 )"""
@@ -140,8 +157,7 @@ UNITS = f"""{PANEL}, units AS (
     UNION ALL SELECT *, TRUE FROM units WHERE week >= DATE '2000-06-04' QUALIFY row_number() OVER (PARTITION BY unit ORDER BY week) <= 5
 )"""
 
-EDGES = """edges AS (SELECT * FROM (VALUES ('delivery_sla', 'cancellation_rate'), ('delivery_sla', 'ticket_volume'), ('price_change', 'gross_orders'), ('price_change', 'asp'), ('competitor_promo', 'gross_orders'),
-    ('ticket_volume', 'nps'), ('cancellation_rate', 'net_units'), ('gross_orders', 'net_units'), ('net_units', 'revenue'), ('asp', 'revenue'), ('stockout', 'gross_orders'), ('marketing_spend', 'gross_orders'), ('nps', 'gross_orders')) t(src, dst)
+EDGES = f"""edges AS (SELECT * FROM (VALUES {", ".join(map(str, METRICS.edges))}) t(src, dst)
 ), walk AS (
     SELECT src, dst, [src, dst] AS path FROM edges
     UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON w.dst = e.src WHERE len(w.path) <= 6 AND NOT list_contains(w.path, e.dst)
@@ -149,16 +165,19 @@ EDGES = """edges AS (SELECT * FROM (VALUES ('delivery_sla', 'cancellation_rate')
     SELECT src, dst, len(path) - 1 AS n_edges, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY len(path), array_to_string(path, '>')) = 1
 )"""
 
-BUNDLES = """levers AS (SELECT * FROM (VALUES (0, 'L1', 4.0e6, 1, 1, 'operational'), (1, 'L2', 2.5e6, 2, 1, 'operational'), (2, 'L3', 3.0e6, 4, 0, 'operational'), (3, 'L4', 1.2e6, 8, 1, 'operational'),
-    (4, 'L5', 5.5e6, 7, 2, 'structural'), (5, 'L6', 8.5e6, 5, 2, 'operational'), (6, 'L7', 0.4e6, 2, 0, 'goal_modifying')) t(k, lever, cost, relieves, level, family)
+# the example portfolio's gates: slots (4) need suppliers (2); express (16) needs carriers (1) and realised slots
+_REALISED = "(relieved & 11) | CASE WHEN relieved & 6 = 6 THEN 4 ELSE 0 END | CASE WHEN relieved & 23 = 23 THEN 16 ELSE 0 END"
+_VALUE = "((realised & 1) * 310000 + ((realised >> 1) & 1) * 145000 + ((realised >> 2) & 1) * 220000 + ((realised >> 3) & 1) * 95000 + ((realised >> 4) & 1) * 130000)::DOUBLE"
+_LEVERS = ", ".join(str((k, v.id, v.label, v.cost, PORTFOLIO.mask(v.relieves), v.authority, PORTFOLIO.rank_of(v.authority), v.family)) for k, v in enumerate(PORTFOLIO.levers))
+BUNDLES = f"""levers AS (SELECT * FROM (VALUES {_LEVERS}) t(k, lever, label, cost, relieves, authority, level, family)
 ), picks AS (
-    SELECT b.bundle, l.* FROM range(128) b(bundle) LEFT JOIN levers l ON (b.bundle >> l.k) & 1 = 1
+    SELECT b.bundle, l.* FROM range({1 << len(PORTFOLIO.levers)}) b(bundle) LEFT JOIN levers l ON (b.bundle >> l.k) & 1 = 1
 ), sums AS (
     SELECT bundle, coalesce(string_agg(lever, '+' ORDER BY k), '') AS levers, coalesce(sum(cost), 0)::DOUBLE AS cost, coalesce(bit_or(relieves), 0)::INT AS relieved, count(DISTINCT family)::INT AS n_families, coalesce(max(level), 0) AS level FROM picks GROUP BY bundle
 ), gated AS (
-    SELECT *, CASE WHEN relieved & 1 = 1 THEN relieved ELSE relieved & 8 END AS realised FROM sums
+    SELECT *, {_REALISED} AS realised FROM sums
 ), bundles AS (
-    SELECT *, ((realised & 1) * 1.9e6 + ((realised >> 1) & 1) * 0.6e6 + ((realised >> 2) & 1) * 0.8e6 + ((realised >> 3) & 1) * 0.25e6)::DOUBLE AS value, cost <= 7.0e6 AS feasible FROM gated
+    SELECT *, {_VALUE} AS value, cost <= {PORTFOLIO.budget} AS feasible FROM gated
 )"""
 
 CASES = """cases AS (SELECT * FROM (VALUES ('A', -100.0, 80.0, 2, 2, 0, 0, 120, 1, TRUE), ('B', -100.0, 10.0, 0, 0, 0, 0, 120, 0, TRUE), ('C', 50.0, 45.0, 1, 0, 0, 0, 80, 1, TRUE), ('D', -100.0, 90.0, 1, 0, 1, 0, 30, 0, FALSE), ('E', 0.0, 0.0, 1, 0, 0, 3, 200, 0, TRUE))
@@ -178,11 +197,15 @@ ORACLES |= {
     "conformal_quantile": f"""WITH {RESIDUALS}, s AS (
             SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY level, {LEAF}) AS n FROM residuals WHERE back > 0 WINDOW w AS (PARTITION BY level, {LEAF} ORDER BY abs(residual))
         ) SELECT level, {LEAF}, max(n) AS n_calibration, round(max(abs(residual)) FILTER (WHERE r = ceil((n + 1) * 0.9::DOUBLE)), 4) AS half_width, max(ceil((n + 1) * 0.9::DOUBLE)) <= max(n) AS valid FROM s GROUP BY level, {LEAF}""",
+    "median_half_width": f"""WITH {RESIDUALS}, s AS (
+            SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY level, {LEAF}) AS n FROM residuals WHERE back > 0 WINDOW w AS (PARTITION BY level, {LEAF} ORDER BY abs(residual))
+        ), h AS (SELECT level, max(abs(residual)) FILTER (WHERE r = ceil((n + 1) * 0.9::DOUBLE)) AS half_width, max(ceil((n + 1) * 0.9::DOUBLE)) <= max(n) AS valid FROM s GROUP BY level, {LEAF}
+        ) SELECT level, round(median(half_width), 4) AS median_half_width, count(*) AS n FROM h WHERE valid GROUP BY level""",
     "empirical_pvalue": f"WITH {TESTS} SELECT level, {LEAF}, round(p_value, 9) AS p_value, n FROM tests",
     "bh_fdr": f"WITH {FDR} SELECT level, {LEAF}, round(q_value, 9) AS q_value, q_value <= 0.10 AS survives_fdr FROM found",
-    "materiality": f"WITH {FDR} SELECT level, {LEAF}, round(abs(deviation), 4) AS business_impact, abs(deviation) >= 1500000 AS meets_threshold, q_value <= 0.10 AND abs(deviation) >= 1500000 AS material FROM found",
+    "materiality": f"WITH {FDR} SELECT level, {LEAF}, round(abs(deviation), 4) AS business_impact, abs(deviation) >= {_FLOOR} AS meets_threshold, q_value <= 0.10 AND abs(deviation) >= {_FLOOR} AS material FROM found",
     "detection_diagnostics": f"""WITH {FDR} SELECT count(*) AS n_tests, count(*) FILTER (WHERE p_value <= 0.05) AS naive, count(*) FILTER (WHERE q_value <= 0.10) AS survivors,
-        count(*) FILTER (WHERE q_value <= 0.10 AND abs(deviation) >= 1500000) AS material, count(*) FILTER (WHERE p_value <= 0.05) - count(*) FILTER (WHERE q_value <= 0.10) AS alarms_avoided FROM found""",
+        count(*) FILTER (WHERE q_value <= 0.10 AND abs(deviation) >= {_FLOOR}) AS material, count(*) FILTER (WHERE p_value <= 0.05) - count(*) FILTER (WHERE q_value <= 0.10) AS alarms_avoided FROM found""",
     "dag_reachability": f"WITH RECURSIVE {EDGES} SELECT src, dst, cast(n_edges AS INT) AS n_edges, path FROM short",
     "corroboration_merge": f"""WITH RECURSIVE {EDGES}, c AS (SELECT * FROM (VALUES ('E1', 'event', 'delivery_sla'), ('E2', 'event', 'price_change'), ('T1', 'topic', 'cancellation_rate'), ('T2', 'topic', 'app_usability'), ('T3', 'topic', 'nps'), ('X1', 'feed', 'competitor_promo'), ('X2', 'feed', 'asp')) t(id, source, node)),
         o AS (SELECT c.*, s.path FROM c LEFT JOIN short s ON s.src = node AND s.dst = 'revenue'), m AS (
@@ -197,6 +220,7 @@ ORACLES |= {
         SELECT h.topic, round(pre, 6) AS pre, round(post, 6) AS post, ratio, min(week) FILTER (WHERE back < 6 AND n > pre) AS onset FROM h JOIN b ON b.topic = h.topic WHERE ratio >= 1.05 GROUP BY ALL""",
     "weekly_event_volume": """SELECT cast(date_trunc('week', ts) AS DATE) + 6 AS week, event_type, count(*) AS n, round(cast(sum(cast(value AS DECIMAL(28,6))) AS DOUBLE), 4) AS value FROM events GROUP BY ALL""",
     "unit_series": f"WITH {UNITS} SELECT unit, week, rate, gross_orders FROM units",
+    "unit_series_slice": f"WITH {LINES} SELECT region AS unit, week, cast(coalesce(sum(quantity) FILTER (WHERE returned), 0) AS DOUBLE) / cast(sum(quantity) AS DOUBLE) AS rate, cast(sum(quantity) AS DOUBLE) AS gross_orders FROM lines WHERE channel = '1-URGENT' GROUP BY region, week",
     "onset_changepoint": f"""WITH {UNITS}, i AS (SELECT unit, week, gross_orders AS v, row_number() OVER (PARTITION BY unit ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY unit) AS n FROM units), s AS (
             SELECT *, n - 4 AS stop, greatest(n - 4 - CASE WHEN n >= 31 THEN 26 ELSE greatest(floor(n / 3), 5) END, 0) AS start FROM i
         ), b AS (SELECT *, avg(v) FILTER (WHERE i >= start AND i < stop) OVER (PARTITION BY unit) AS mu, stddev_samp(v) FILTER (WHERE i >= start AND i < stop) OVER (PARTITION BY unit) AS sd FROM s), d AS (
@@ -234,18 +258,28 @@ ORACLES |= {
         ), m AS (SELECT g.*, share, CASE WHEN blocked OR rest AND n_accepted = 0 THEN 'abstain' WHEN many THEN 'competing' WHEN n_accepted > 0 THEN 'confident' ELSE 'abstain' END AS mode FROM g JOIN shares USING ("case"))
         SELECT "case", mode, round(cast(greatest(0, least(CASE WHEN mode = 'abstain' THEN least(share * pow(0.82, k), 0.35) ELSE share * pow(0.82, k) END, 0.99)) AS DOUBLE), 4) AS confidence, n_fired FROM m""",
     "feedback_conflict": "SELECT 'H2' AS id, 'price_change' AS node, 0::BIGINT AS confirmed, 1::BIGINT AS rejected",
-    "feedback_summary": "SELECT * FROM (VALUES ('hypothesis', 'rejected', 2::BIGINT, 'H1,H7'), ('hypothesis', 'confirmed', 1, 'H1'), ('action', 'acted_on', 1, 'L4'), ('action', 'no_effect', 1, 'L5')) t(entity_type, verdict, n, entities)",
+    "feedback_summary": "SELECT * FROM (VALUES ('hypothesis', 'rejected', 2::BIGINT, 'H1,H7'), ('hypothesis', 'confirmed', 1, 'H1'), ('action', 'acted_on', 1, 'night_shift'), ('action', 'no_effect', 1, 'refund_rule')) t(entity_type, verdict, n, entities)",
     "bundle_enumeration": f"WITH {BUNDLES} SELECT bundle, levers, cost, relieved, cast(realised AS INT) AS realised, value, n_families, feasible FROM bundles",
     "bundle_dominance": f"WITH {BUNDLES} SELECT cast(realised AS INT) AS realised, levers, cost, value FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1",
+    "bundle_pruning": f"""WITH {BUNDLES} SELECT bundle, levers, cost, feasible, CASE WHEN NOT feasible THEN 'costs ' || format('{{:,}}', cast(cost - {PORTFOLIO.budget} AS BIGINT)) || ' more than the budget' END AS reason
+        FROM bundles QUALIFY NOT feasible OR row_number() OVER (PARTITION BY realised, feasible ORDER BY cost, bundle) = 1""",
     "bundle_rank": f"""WITH {BUNDLES}, u AS (SELECT * FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1)
         SELECT cast(row_number() OVER (ORDER BY value DESC, cost, bundle) AS INT) AS rank, levers, cost, value, round(cost / nullif(value, 0), 6) AS weeks_to_payback FROM u ORDER BY rank LIMIT 10""",
-    "budget_sweep": f"""WITH {BUNDLES} SELECT budget, levers, cost, value FROM (SELECT (k * 1e6)::DOUBLE AS budget FROM range(1, 13) r(k)) g JOIN bundles ON cost <= budget QUALIFY row_number() OVER (PARTITION BY budget ORDER BY value DESC, cost, bundle) = 1""",
-    "persona_levers": f"""WITH {BUNDLES}, p AS (SELECT * FROM (VALUES ('regional_ops', 0), ('executive', 2)) t(persona, rank))
+    "budget_sweep": f"""WITH {BUNDLES} SELECT budget, levers, cost, value FROM (SELECT (k * 2e5)::DOUBLE AS budget FROM range(1, 16) r(k)) g JOIN bundles ON cost <= budget QUALIFY row_number() OVER (PARTITION BY budget ORDER BY value DESC, cost, bundle) = 1""",
+    "persona_levers": f"""WITH {BUNDLES}, p AS (SELECT * FROM (VALUES ('asia_desk', 1), ('board', 3)) t(persona, rank))
         SELECT persona, levers, cost, value FROM p JOIN bundles ON level <= rank WHERE feasible QUALIFY row_number() OVER (PARTITION BY persona ORDER BY value DESC, cost, bundle) = 1""",
-    "greedy_baselines": "SELECT * FROM (VALUES ('cheapest', 'L2+L4+L7', 4.1e6, 0.25e6), ('value_for_cost', 'L4+L5', 6.7e6, 3.55e6)) t(method, levers, cost, value)",
+    "greedy_baselines": f"""WITH RECURSIVE {BUNDLES}, one AS (
+            SELECT k, cost, value FROM bundles JOIN levers USING (cost) WHERE bit_count(bundle) = 1 AND bundle = 1 << k
+        ), orders AS (
+            SELECT 'cheapest' AS method, k, cost, row_number() OVER (ORDER BY cost, k) AS r FROM one UNION ALL SELECT 'value_for_cost', k, cost, row_number() OVER (ORDER BY value / cost DESC, k) FROM one
+        ), fill(method, r, cost, bundle) AS (
+            SELECT DISTINCT method, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT FROM orders
+            UNION ALL SELECT o.method, o.r, (CASE WHEN f.cost + o.cost <= {PORTFOLIO.budget} THEN f.cost + o.cost ELSE f.cost END)::DOUBLE,
+                             CASE WHEN f.cost + o.cost <= {PORTFOLIO.budget} THEN f.bundle + (1::BIGINT << o.k) ELSE f.bundle END FROM fill f JOIN orders o ON o.method = f.method AND o.r = f.r + 1
+        ) SELECT f.method, b.levers, b.cost, b.value FROM fill f JOIN bundles b USING (bundle) WHERE f.r = {len(PORTFOLIO.levers)}""",
     "optimum_by_bounds": f"WITH {BUNDLES} SELECT levers, value FROM bundles WHERE feasible ORDER BY value DESC, cost LIMIT 1",
-    "lever_recommendations": f"""WITH {BUNDLES}, b AS (SELECT * FROM bundles WHERE feasible ORDER BY value DESC, cost, bundle LIMIT 1), n AS (SELECT * FROM (VALUES ('L4', 'clear support backlog', 'director'), ('L5', 'regional hub', 'vp')) t(lever, label, authority))
-        SELECT n.lever, label, l.cost::DOUBLE AS cost, authority, value AS bundle_value FROM b, n JOIN levers l ON l.lever = n.lever WHERE list_contains(string_split(levers, '+'), n.lever)""",
+    "lever_recommendations": f"""WITH {BUNDLES}, b AS (SELECT * FROM bundles WHERE feasible ORDER BY value DESC, cost, bundle LIMIT 1)
+        SELECT l.lever, label, l.cost::DOUBLE AS cost, authority, value AS bundle_value FROM b, levers l WHERE list_contains(string_split(levers, '+'), l.lever)""",
     "number_tokens": f"WITH t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token",
     "grounding_check": f"""WITH k AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS token FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents), m AS (
             SELECT doc_id, string_agg(token, ',' ORDER BY token) AS missing FROM t WHERE token NOT IN ('0', '1', '2', '3', '100', '95', '90') AND token NOT IN (SELECT token FROM k) GROUP BY doc_id
@@ -254,5 +288,6 @@ ORACLES |= {
         FROM panel WHERE region = 'ASIA'""",
     "telemetry_by_kind": "SELECT * FROM (VALUES ('io', 57.9::DOUBLE, 1::BIGINT, 10::BIGINT), ('deterministic', 98.65, 2, 20), ('statistical', 425.0, 2, 35)) t(kind, latency_ms, n, rows)",
     "model_call_costs": "SELECT * FROM (VALUES ('small', 1000::BIGINT, 200::BIGINT, 1::BIGINT, 0.002::DOUBLE), ('large', 500, 900, 0, 0.015)) t(model, input_tokens, output_tokens, cached, cost)",
+    "run_summary": "SELECT 581.55::DOUBLE AS latency_ms, 5::BIGINT AS stages, round(14.1::DOUBLE / 581.55, 6) AS model_share, 1500::BIGINT AS input_tokens, 1100::BIGINT AS output_tokens, 0.017::DOUBLE AS cost, 1.53::DOUBLE AS cost_other",
     "method_registry": "SELECT * FROM (VALUES ('relational', 3::BIGINT), ('rule', 9), ('statistical', 6), ('ml', 1), ('causal', 5), ('optimisation', 2), ('template', 1)) t(category, n)",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,22 +21,23 @@ FEED = "week date, unit string, node string, label string, intensity double"
 LEAST_DOSES = 4
 
 
-def candidates(events: DataFrame, at: Any, texts: DataFrame | None = None, k: int = 6, feed: DataFrame | None = None, unit: str | None = None) -> DataFrame:
+def candidates(events: DataFrame, at: Any, texts: DataFrame | None = None, feed: DataFrame | None = None, unit: str | None = None, spec: Mapping[str, str | None] | None = None) -> DataFrame:
     """Candidate causes: events that began within ten weeks of the analysis week, nodes that an external feed shows
-    active in them and no such event names (with the unit given), and topics of texts (doc_id, text, week) that
-    spike. id, source, node, label, start, unit, impact_rate."""
+    active in them and no such event names (with the unit given), and topics of a slice's texts (doc_id, text, week
+    and any dimensions) that spike, with that unit as well. id, source, node, label, start, unit, impact_rate."""
     recent = events.where((F.col("start") >= F.date_sub(F.lit(at), 7 * WINDOW_WEEKS)) & (F.col("start") <= F.lit(at)))
     found = recent.select("id", F.lit("event").alias("source"), "node", "label", "start", "unit", "impact_rate")
     if feed is not None:
         active = feed.where((F.col("intensity") > 0) & (F.col("week") >= F.date_sub(F.lit(at), 7 * WINDOW_WEEKS)) & (F.col("week") <= F.lit(at)))
         shown = active.join(recent.select("node").distinct(), "node", "left_anti").groupBy("node").agg(F.min("label").alias("label"), F.min("week").alias("start"))
         found = found.unionByName(shown.select(F.concat(F.lit("X:"), "node").alias("id"), F.lit("feed").alias("source"), "node", "label", "start", F.lit(unit).cast("string").alias("unit"), F.lit(None).cast("double").alias("impact_rate")))
-    if texts is None or texts.limit(40).count() < 40:
+    own = None if texts is None else topics.of_slice(texts, spec)
+    if own is None:
         return found
-    labelled, names = topics.topics(texts, k)
+    labelled, names = topics.topics(own, topics.topic_count(own.count()))
     weekly = topics.zero_filled(labelled.groupBy("topic", "week").agg(F.count("*").alias("n")), "topic")
     spiking = topics.spikes(weekly, "topic").join(F.broadcast(topics.topic_nodes(names)), "topic")
-    return found.unionByName(spiking.select(F.concat(F.lit("T"), "topic").alias("id"), F.lit("topic").alias("source"), "node", F.col("name").alias("label"), F.col("onset").alias("start"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("impact_rate")))
+    return found.unionByName(spiking.select(F.concat(F.lit("T"), "topic").alias("id"), F.lit("topic").alias("source"), "node", F.col("name").alias("label"), F.col("onset").alias("start"), F.lit(unit).cast("string").alias("unit"), F.lit(None).cast("double").alias("impact_rate")))
 
 
 def exposures(feed: DataFrame, node: str, at: Any) -> DataFrame:
@@ -55,9 +56,8 @@ def prosecute(row: Any, series: DataFrame, onset: Any, exposure: DataFrame | Non
     effect = causal.did(series, row["unit"], at).first()
     if effect["estimate"] is None or not effect["se"]:
         return evidence
-    evidence |= {"did": effect["estimate"], "se": effect["se"], "did_p": 2 * student_sf(abs(effect["estimate"] / effect["se"]), max(effect["n"] - 2, 1))}
-    trend = causal.pretrend(series, row["unit"], at).first()
-    evidence["parallel"] = trend["n"] > 10 and trend["t"] is not None and 2 * student_sf(abs(trend["t"]), trend["n"] - 2) > 0.05
+    evidence |= {"did": effect["estimate"], "se": effect["se"], "did_p": 2 * student_sf(abs(effect["estimate"] / effect["se"]), max(effect["free"], 1))}
+    evidence["parallel"] = causal.parallel_trends(series, row["unit"], at).first()["parallel"]
     if causal.verdict(evidence | {"placebo_p": 0})[0] != "accepted":
         return evidence
     units = sorted(r["unit"] for r in series.select("unit").distinct().collect())
@@ -79,11 +79,11 @@ def prosecute(row: Any, series: DataFrame, onset: Any, exposure: DataFrame | Non
 
 def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: DataFrame | None = None, feedback: DataFrame | None = None, catalog: Catalog = METRICS, portfolio: Portfolio = PORTFOLIO, feed: DataFrame | None = None) -> dict:
     """Runs all stages on the sources' last week and writes findings (Parquet), the method registry (CSV), the
-    report (JSON) and released narratives (text) under `out`. Returns the report. What is collected are single
+    report (JSON), hypotheses (Parquet) and released narratives (text) under `out`, a path or URI that Spark can write
+    to. Bridge, funnel and topics are those of the slice that is blamed. Returns the report. What is collected are single
     rows, contracts and candidates, never panels or findings."""
     spark: SparkSession = events.sparkSession
     t, report = Telemetry(), {}
-    Path(out).mkdir(parents=True, exist_ok=True)
     with t.stage("align") as info:
         p = panel.align(given).persist()
         info["rows"] = p.count()
@@ -100,12 +100,13 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
         report["gap"], report["gap_pct"] = gap["gap"], 100 * gap["gap"] / gap["expected"] if gap["expected"] else 0.0
         report["shapley"] = {r["dimension"]: r["share_pct"] for r in attribution.shapley(attribution.explained(leaves)).collect()}
         report["slice"] = attribution.best_slice(leaves).first().asDict()
-        report["bridge"], report["funnel"] = attribution.price_volume_mix(p).first().asDict(), attribution.funnel(p).first().asDict()
+        blamed = {d: report["slice"][d] for d in DIMENSIONS}
+        report["bridge"], report["funnel"] = attribution.price_volume_mix(p, spec=blamed).first().asDict(), attribution.funnel(p, spec=blamed).first().asDict()
     with t.stage("causes", "causal"):
-        series = causal.unit_series(p).persist()
+        series = causal.unit_series(p).persist()  # of all sales: a slice is noisier, and trends then part by chance
         onset = {r["unit"]: r["onset"] for r in causal.onsets(series).collect()}
         accused = report["slice"]["region"] if report["slice"]["region"] in onset else None  # of feeds, which name no unit
-        found = candidates(events, at, texts, feed=feed, unit=accused)
+        found = candidates(events, at, texts, feed, accused, blamed)
         judged = graph.corroborated(found.select("id", "source", "node"), catalog.edge_table(spark), "revenue").join(found.drop("source", "node"), "id")
         hypotheses = []
         for row in judged.collect():
@@ -113,18 +114,19 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
             verdict, reason = ("merged", f"part of {row['merged_into']}") if row["fate"] == "merged" else causal.verdict(evidence)
             hypotheses.append({"id": row["id"], "label": row["label"][:58], "node": row["node"], "unit": row["unit"], "start": row["start"], "verdict": verdict, "reason": reason[:90], "evidence": evidence})
         report["hypotheses"] = hypotheses
+        hypothesis_table(spark, hypotheses).coalesce(1).write.mode("overwrite").parquet(f"{out}/hypotheses")
     with t.stage("abstain"):
         accepted = [h for h in hypotheses if h["verdict"] == "accepted"]
         effects = spark.createDataFrame([(h["id"], h["evidence"]["low"], h["evidence"]["high"]) for h in accepted], "id string, low double, high double")
         weeks = p.agg(F.count_distinct("week")).first()[0]
         case = [("week", float(report["gap"]), float(sum(h["evidence"]["impact"] for h in accepted)), len(accepted), policy.overlaps(effects).count(), sum(r["status"] == "stale" for r in report["freshness"]), report["conflicts"]["n_conflicts"], weeks, len(report["excluded"]), bool(report["detection"]["out_of_sample"]))]
         fired = policy.triggers(spark.createDataFrame(case, "case string, total_gap double, explained double, n_accepted int, n_overlaps int, n_stale int, n_conflicts int, n_weeks int, n_excluded int, out_of_sample boolean"))
-        report["triggers"] = [r.asDict() for r in fired.select("code", "fired", "detail").collect()]
+        report["triggers"] = [r.asDict() for r in fired.select("code", "fired", "detail", "test").collect()]
         report |= policy.verdicts(fired).first().asDict()
         if feedback is not None:
             rows = spark.createDataFrame([(h["id"], h["node"], h["verdict"]) for h in hypotheses], "id string, node string, verdict string")
             conflicts = [r["id"] for r in policy.feedback_conflicts(policy.feedback_history(rows, feedback)).collect()]
-            report["triggers"].append({"code": "FEEDBACK_CONFLICT", "fired": bool(conflicts), "detail": ",".join(conflicts)})
+            report["triggers"].append({"code": "FEEDBACK_CONFLICT", "fired": bool(conflicts), "detail": ",".join(conflicts), "test": "review the rejected cause with the analyst" if conflicts else None})
     with t.stage("decide", "optimisation"):
         best = {a: decision.ranked(decision.bundles(spark, portfolio, authority=a), 1).first().asDict() for a in {x.authority for x in portfolio.personas}}
         report |= {"bundles": best, "optimum": decision.best_by_bounds(portfolio)}
@@ -134,18 +136,31 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
         for who in portfolio.personas:
             b = best[who.authority]
             evidence = {"metric": "revenue", "week": str(at), "gap": report["gap"], "gap_pct": report["gap_pct"], "mode": report["mode"], "confidence": report["confidence"], "slice": "/".join(str(report["slice"][d]) for d in DIMENSIONS),
-                        "causes": [{"label": h["label"], "impact": h["evidence"]["impact"]} for h in accepted], "bundle_cost": b["cost"], "bundle_value": b["value"], "actions": b["levers"].split("+") if b["levers"] else []}
+                        "bridge": report["bridge"], "funnel": report["funnel"]["dominant"], "tests": [t["test"] for t in report["triggers"] if t["fired"] and t["code"] in policy.BLOCKING + ("UNEXPLAINED_RESIDUAL",)],
+                        "causes": [{"label": h["label"], **{k: h["evidence"][k] for k in ("impact", "low", "high")}} for h in accepted], "ruled_out": [{"label": h["label"], "reason": h["reason"]} for h in hypotheses if h["verdict"] == "rejected"],
+                        "payback": b["weeks_to_payback"], "unreleased": [c.label for c in portfolio.constraints if b["relieved"] & ~b["realised"] & portfolio.bit(c.id)], "bundle_cost": b["cost"], "bundle_value": b["value"], "actions": b["levers"].split("+") if b["levers"] else []}
             told.append(narrative.released(evidence, who, regions))
         report["narratives"] = told
     report["latency_ms"] = {r["kind"]: r["latency_ms"] for r in by_kind(t.stage_table(spark)).collect()}
     tables.write_json(f"{out}/report.json", report)
     tables.write_csv(registry(spark), f"{out}/methods")
-    Path(out, "narratives.txt").write_text("\n\n".join(f"[{x['persona']}] {x['text'] or 'withheld: ' + ', '.join(x['missing'])}" for x in told))
+    tables.write_text(f"{out}/narratives.txt", "\n\n".join(f"[{x['persona']}] {x['text'] or 'withheld: ' + ', '.join(x['missing'])}" for x in told))
     for df in (p, leaves, series):
         df.unpersist()
     return report
 
 
+HYPOTHESES = "id string, label string, node string, unit string, start date, verdict string, reason string, path string, did double, se double, did_p double, placebo_p double, dose double, impact double, low double, high double"
+
+
+def hypothesis_table(spark: SparkSession, hypotheses: list[dict]) -> DataFrame:
+    """One row a hypothesis: what it is, its verdict with the reason, and the figures that were reached."""
+    figures = ("did", "se", "did_p", "placebo_p", "dose", "impact", "low", "high")
+    number = lambda v: None if v is None else float(v)
+    rows = [(h["id"], h["label"], h["node"], h["unit"], h["start"], h["verdict"], h["reason"], h["evidence"].get("path"), *(number(h["evidence"].get(f)) for f in figures)) for h in hypotheses]
+    return spark.createDataFrame(rows, HYPOTHESES)
+
+
 def worst_slices(findings: DataFrame, n: int = 5) -> DataFrame:
     """The n material findings of largest impact of each metric."""
     w = Window.partitionBy("metric").orderBy(F.desc("business_impact"), "level", *DIMENSIONS)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import attribution, causal, decision, detect, graph, lattice, narrative, panel, policy, telemetry, topics
@@ -24,6 +25,24 @@ def double(*columns: str):
     return [F.col(c).cast("double").alias(c) for c in columns]
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """df with columns rounded; the engine's operators don't round what others compute with."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _lines(spark, d) -> DataFrame:
+    """Order lines with their measures, for sums at a coarser grain than the panel's."""
+    return tables.measured(tables.order_lines(spark, d))
+
+
+def _recent(spark, d, weeks: int) -> tuple[DataFrame, Column | None]:
+    """The panel of the analysis week and so many weeks before it, and that week: older orders aren't read."""
+    at = tables.last_week(spark, d)
+    if at is None:
+        return panel.panel_of(spark, d), None
+    return panel.panel_of(spark, d, at - timedelta(days=7 * weeks + 6)), F.lit(at)
+
+
 # ---- panel -----------------------------------------------------------------------------------------------------
 
 
@@ -35,8 +54,7 @@ def panel_align(spark, d):
 
 @query
 def ratio_weighted(spark, d):
-    sums = panel.panel_of(spark, d).groupBy("week", "region").agg(*(F.sum(m).alias(m) for m in panel.MEASURES))
-    return panel.with_ratios(sums).where("cancellations > 0").select("week", "region", "cancellation_rate", "delivery_sla_pct")
+    return panel.summed(_lines(spark, d), "week", "region").where("cancellations > 0").select("week", "region", "cancellation_rate", "delivery_sla_pct")
 
 
 @query
@@ -64,7 +82,7 @@ def slice_lattice(spark, d):
 
 @query
 def lattice_wow(spark, d):
-    return lattice.wow(lattice.lattice(panel.panel_of(spark, d)).where("level IN (7, 15)"), "revenue").select("week", "region", "level", "wow_pct")
+    return lattice.wow(lattice.lattice(panel.panel_of(spark, d)), "revenue").select("week", *DIMENSIONS, "level", "wow_pct")
 
 
 @query
@@ -76,7 +94,8 @@ def eligible_series(spark, d):
 
 
 def _leaves(spark, d):
-    return attribution.leaf_expectations(panel.panel_of(spark, d))
+    p, at = _recent(spark, d, attribution.FURTHEST)
+    return attribution.leaf_expectations(p, at=at)
 
 
 @query
@@ -96,12 +115,25 @@ def shapley_dimensions(spark, d):
 
 @query
 def pvm_bridge(spark, d):
-    return attribution.price_volume_mix(panel.panel_of(spark, d))
+    return attribution.price_volume_mix(*_recent(spark, d, attribution.LOOKBACK))
 
 
 @query
 def funnel_split(spark, d):
-    return attribution.funnel(panel.panel_of(spark, d))
+    return attribution.funnel(*_recent(spark, d, attribution.LOOKBACK))
+
+
+SLICE = {"region": "ASIA", "channel": "1-URGENT", "segment": "ALL"}
+
+
+@query
+def pvm_bridge_slice(spark, d):
+    return attribution.price_volume_mix(*_recent(spark, d, attribution.LOOKBACK), SLICE)
+
+
+@query
+def funnel_split_slice(spark, d):
+    return attribution.funnel(*_recent(spark, d, attribution.LOOKBACK), SLICE)
 
 
 @query
@@ -121,11 +153,9 @@ def best_slice_rule(spark, d):
 
 # ---- detection -------------------------------------------------------------------------------------------------
 
-SHALLOW = "level IN (7, 11, 13, 14, 15, 3)"
-
 
 def _residuals(spark, d):
-    return detect.naive_residuals(lattice.lattice(panel.panel_of(spark, d)).where(SHALLOW), "revenue")
+    return detect.naive_residuals(lattice.lattice(panel.panel_of(spark, d)), "revenue")
 
 
 def _tests(spark, d):
@@ -137,6 +167,12 @@ def conformal_quantile(spark, d):
     return detect.conformal_quantiles(_residuals(spark, d), 0.10).select("level", *DIMENSIONS, "n_calibration", F.round("half_width", 4).alias("half_width"), "valid")
 
 
+@query
+def median_half_width(spark, d):
+    found = detect.median_half_widths(detect.conformal_quantiles(_residuals(spark, d), 0.10))
+    return rounded(found, median_half_width=4)
+
+
 @query
 def empirical_pvalue(spark, d):
     return _tests(spark, d).select("level", *DIMENSIONS, F.round("p_value", 9).alias("p_value"), "n")
@@ -235,7 +271,7 @@ START = "2000-06-04"
 
 
 def _units(spark, d):
-    return causal.unit_series(panel.panel_of(spark, d))
+    return causal.unit_series(_lines(spark, d))
 
 
 def _nations(spark, d):
@@ -249,6 +285,11 @@ def unit_series(spark, d):
     return _units(spark, d).select("unit", "week", "rate", "gross_orders")
 
 
+@query
+def unit_series_slice(spark, d):
+    return causal.unit_series(_lines(spark, d), "region", SLICE | {"region": "ALL"}).select("unit", "week", "rate", "gross_orders")
+
+
 @query
 def onset_changepoint(spark, d):
     return causal.onsets(_units(spark, d), "gross_orders").select("unit", "onset", "n_weeks")
@@ -257,12 +298,23 @@ def onset_changepoint(spark, d):
 @query
 def did_twfe(spark, d):
     at = F.lit(START).cast("date")
-    return causal.did(causal.full_weeks(_units(spark, d), at), "ASIA", at)  # its SQL keeps the weeks of all units only
+    found = causal.did(causal.full_weeks(_units(spark, d), at), "ASIA", at)  # its SQL keeps the weeks of all units only
+    return rounded(found.select("estimate", "se", "n"), estimate=6, se=6)
+
+
+@query
+def did_twfe_all_weeks(spark, d):
+    return rounded(causal.did(_units(spark, d), "ASIA", F.lit(START).cast("date")), estimate=6, se=6)
+
+
+@query
+def parallel_trends(spark, d):
+    return rounded(causal.parallel_trends(_units(spark, d), "ASIA", F.lit(START).cast("date")), slope=8, t=4, p=6)
 
 
 @query
 def pretrend_slope(spark, d):
-    return causal.pretrend(_units(spark, d), "ASIA", F.lit(START).cast("date"))
+    return rounded(causal.pretrend(_units(spark, d), "ASIA", F.lit(START).cast("date")), slope=8, t=4)
 
 
 @query
@@ -305,7 +357,7 @@ CASES = [("A", -100.0, 80.0, 2, 2, 0, 0, 120, 1, True), ("B", -100.0, 10.0, 0, 0
 CASE = "case string, total_gap double, explained double, n_accepted int, n_overlaps int, n_stale int, n_conflicts int, n_weeks int, n_excluded int, out_of_sample boolean"
 FEEDBACK_ROWS = [
     ("hypothesis", "H1", "rejected", "delivery_sla", "", "ana", "2026-01-01T00:00:00"), ("hypothesis", "H1", "confirmed", "delivery_sla", "", "ben", "2026-01-02T00:00:00"), ("hypothesis", "H7", "rejected", "price_change", "", "ana", "2026-01-03T00:00:00"),
-    ("action", "L4", "acted_on", "", "", "ana", "2026-01-04T00:00:00"), ("action", "L5", "no_effect", "", "", "ana", "2026-01-05T00:00:00"),
+    ("action", "night_shift", "acted_on", "", "", "ana", "2026-01-04T00:00:00"), ("action", "refund_rule", "no_effect", "", "", "ana", "2026-01-05T00:00:00"),
 ]
 HYPOTHESES = [("H1", "delivery_sla", "accepted"), ("H2", "price_change", "accepted"), ("H3", "stockout", "accepted"), ("H4", "price_change", "rejected")]
 
@@ -352,6 +404,11 @@ def bundle_dominance(spark, d):
     return decision.undominated(decision.bundles(spark)).select("realised", "levers", "cost", "value")
 
 
+@query
+def bundle_pruning(spark, d):
+    return decision.undominated(decision.bundles(spark), infeasible=True).select("bundle", "levers", "cost", "feasible", "reason")
+
+
 @query
 def bundle_rank(spark, d):
     return decision.ranked(decision.bundles(spark)).select("rank", "levers", "cost", "value", F.round("weeks_to_payback", 6).alias("weeks_to_payback"))
@@ -359,7 +416,7 @@ def bundle_rank(spark, d):
 
 @query
 def budget_sweep(spark, d):
-    return decision.budget_sweep(decision.bundles(spark), [k * 1e6 for k in range(1, 13)])
+    return decision.budget_sweep(decision.bundles(spark), [k * 2e5 for k in range(1, 16)])
 
 
 @query
@@ -384,7 +441,7 @@ def optimum_by_bounds(spark, d):
 
 @query
 def lever_recommendations(spark, d):
-    return decision.recommendations(decision.ranked(decision.bundles(spark), 1), PORTFOLIO, "delivery_sla", 0.63).select("lever", "label", "cost", "authority", "bundle_value")
+    return decision.recommendations(decision.ranked(decision.bundles(spark), 1), PORTFOLIO, "delivery_sla", 0.71).select("lever", "label", "cost", "authority", "bundle_value")
 
 
 # ---- narratives, access, telemetry -----------------------------------------------------------------------------
@@ -399,9 +456,8 @@ def number_tokens(spark, d):
 @query
 def grounding_check(spark, d):
     docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("case"), "text")
-    known = tables.table(spark, d, "benchmark").select(F.explode(narrative.number_tokens(F.col("text"))).alias("token")).distinct()
-    vocabulary = docs.select("case").join(F.broadcast(known))
-    return narrative.ungrounded(docs, vocabulary)
+    known = tables.table(spark, d, "benchmark").select(F.explode(narrative.number_tokens(F.col("text"))).alias("token"))
+    return narrative.ungrounded(docs, known)
 
 
 @query
@@ -424,6 +480,12 @@ def model_call_costs(spark, d):
     return telemetry.call_costs(spark.createDataFrame(CALLS, telemetry.CALL), {"small": (1.0, 5.0), "large": (3.0, 15.0)}).select("model", "input_tokens", "output_tokens", "cached", F.round("cost", 9).alias("cost"))
 
 
+@query
+def run_summary(spark, d):
+    found = telemetry.summary(spark.createDataFrame(STAGES, telemetry.STAGE), spark.createDataFrame(CALLS, telemetry.CALL), {"small": (1.0, 5.0), "large": (3.0, 15.0)}, 90.0)
+    return rounded(found, latency_ms=3, model_share=6, cost=9, cost_other=6)
+
+
 @query
 def method_registry(spark, d):
     return telemetry.registry(spark).groupBy("category").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from importlib.resources import files
+from importlib.resources.abc import Traversable
 from pathlib import Path
 from typing import Any
 
@@ -80,36 +82,6 @@ class Catalog:
         return spark.createDataFrame(rows, "metric string, source string, unit string, aggregation string, grain string, refresh_minutes double, tolerance_hours double, impact_floor double, impact_scale double, weekly boolean")
 
 
-#: The metric contracts and the causal graph.
-METRICS = Catalog(
-    {
-        m.name: m
-        for m in (
-            Metric("revenue", "warehouse", "inr", "sum", "daily", 1440, 36, 1_500_000, restricted=("asp",), roles=("analyst", "manager", "director", "vp")),
-            Metric("cancellation_rate", "order_system", "pp", "ratio", "transaction", 5, 2, 1.5, weight="gross_orders", numerator="cancellations", denominator="gross_orders"),
-            Metric("delivery_sla_pct", "logistics", "pp", "ratio", "hourly", 60, 6, 2.0, weight="deliveries", numerator="in_time", denominator="deliveries"),
-            Metric("ticket_volume", "tickets", "count", "sum", "daily", 1440, 36, 150),
-            Metric("nps", "survey", "points", "mean", "monthly", 43200, 1080, 3.0, weekly=False),
-        )
-    },
-    (
-        ("delivery_sla", "cancellation_rate"),
-        ("delivery_sla", "ticket_volume"),
-        ("price_change", "gross_orders"),
-        ("price_change", "asp"),
-        ("competitor_promo", "gross_orders"),
-        ("ticket_volume", "nps"),
-        ("cancellation_rate", "net_units"),
-        ("gross_orders", "net_units"),
-        ("net_units", "revenue"),
-        ("asp", "revenue"),
-        ("stockout", "gross_orders"),
-        ("marketing_spend", "gross_orders"),
-        ("nps", "gross_orders"),
-    ),
-)
-
-
 @dataclass(frozen=True)
 class Constraint:
     id: str
@@ -143,10 +115,11 @@ class Portfolio:
     levers: tuple[Lever, ...]
     budget: float
     personas: tuple[Persona, ...] = ()
-    authorities: tuple[str, ...] = ("manager", "director", "vp", "cxo")
+    authorities: tuple[str, ...] = ("lead", "manager", "director", "vp")
 
     def rank_of(self, authority: str) -> int:
-        return self.authorities.index(authority) if authority in self.authorities else 9
+        """The authority's place from the least; unknown ones may do nothing that is not for them alone."""
+        return self.authorities.index(authority) if authority in self.authorities else len(self.authorities)
 
     def bit(self, constraint: str) -> int:
         return 1 << [c.id for c in self.constraints].index(constraint)
@@ -163,42 +136,31 @@ class Portfolio:
         return spark.createDataFrame(rows, "constraint string, bit int, blocked_value double, requires int")
 
 
-#: Constraints, levers, budget and personas.
-PORTFOLIO = Portfolio(
-    (Constraint("C1", "delivery capacity", 1.9e6), Constraint("C2", "stock placement", 0.6e6, ("C1",)), Constraint("C3", "partner onboarding", 0.8e6, ("C1",)), Constraint("C4", "support backlog", 0.25e6)),
-    (
-        Lever("L1", "add carrier capacity", 4.0e6, ("C1",), "director"),
-        Lever("L2", "move stock forward", 2.5e6, ("C2",), "director"),
-        Lever("L3", "onboard partners", 3.0e6, ("C3",), "manager"),
-        Lever("L4", "clear support backlog", 1.2e6, ("C4",), "director"),
-        Lever("L5", "regional hub", 5.5e6, ("C1", "C2", "C3"), "vp", "structural"),
-        Lever("L6", "carrier alliance", 8.5e6, ("C1", "C3"), "vp"),
-        Lever("L7", "relax the target", 0.4e6, ("C2",), "manager", "goal_modifying"),
-    ),
-    7.0e6,
-    (Persona("regional_ops", "manager", ("ASIA",), "operational", ("asp",)), Persona("executive", "vp", (), "strategic")),
-)
+def _text(path: str | Path | Traversable) -> str:
+    return (Path(path) if isinstance(path, str) else path).read_text()
 
 
 def _known(kind: type, given: dict[str, Any], where: str) -> dict[str, Any]:
     extra = set(given) - set(kind.__dataclass_fields__)
     if extra:
         raise ValueError(f"{where}: unknown fields {sorted(extra)}")
-    return {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
+    plain = {list: tuple, int: float}
+    return {k: plain.get(type(v), lambda x: x)(v) for k, v in given.items()}
 
 
-def load_catalog(path: str | Path) -> Catalog:
+def load_catalog(path: str | Path | Traversable) -> Catalog:
     """A catalog from YAML: `metrics` (name -> fields of Metric) and `edges` (pairs)."""
-    spec = yaml.safe_load(Path(path).read_text())
+    spec = yaml.safe_load(_text(path))
     metrics = {n: Metric(name=n, **_known(Metric, f, n)) for n, f in spec["metrics"].items()}
     return Catalog(metrics, tuple((a, b) for a, b in spec.get("edges", [])))
 
 
-def load_portfolio(path: str | Path) -> Portfolio:
-    """A portfolio from YAML: lists `constraints`, `levers`, `personas` and the number `budget`."""
-    spec = yaml.safe_load(Path(path).read_text())
+def load_portfolio(path: str | Path | Traversable) -> Portfolio:
+    """A portfolio from YAML: lists `constraints`, `levers`, `personas`, the number `budget` and, if others than the
+    usual ones, `authorities` from the least to the highest."""
+    spec = yaml.safe_load(_text(path))
     of = lambda kind, key: tuple(kind(**_known(kind, x, key)) for x in spec.get(key, []))
-    p = Portfolio(of(Constraint, "constraints"), of(Lever, "levers"), float(spec["budget"]), of(Persona, "personas"))
+    p = Portfolio(of(Constraint, "constraints"), of(Lever, "levers"), float(spec["budget"]), of(Persona, "personas"), tuple(spec.get("authorities", Portfolio.authorities)))
     ids = {c.id for c in p.constraints}
     for x in [c for v in p.levers for c in v.relieves] + [c for v in p.constraints for c in v.requires]:
         if x not in ids:
@@ -206,11 +168,6 @@ def load_portfolio(path: str | Path) -> Portfolio:
     return p
 
 
-@dataclass
-class Freshness:
-    source: str
-    grain: str
-    latest: str
-    age_hours: float
-    tolerance_hours: float
-    status: str = field(default="")
+#: The contracts of the example, for queries and as defaults.
+METRICS = load_catalog(files(__package__) / "example_metrics.yaml")
+PORTFOLIO = load_portfolio(files(__package__) / "example_portfolio.yaml")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime, time, timedelta
 from pathlib import Path
 from typing import Any
 
+import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,13 @@ def week_end(date):
     return F.next_day(F.date_sub(date.cast("date"), 1), "Sun")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with the analysis dimensions; amounts are decimals, so sums do not depend on order."""
+def order_lines(spark: SparkSession, sf_dir: str, since: date | None = None) -> DataFrame:
+    """One row per order line with the analysis dimensions, of orders since a date if one is given (the scan gets
+    that as a filter); amounts are decimals, so sums do not depend on order."""
     t = lambda name: table(spark, sf_dir, name)
+    orders = t("orders") if since is None else t("orders").where(F.col("o_orderdate") >= F.lit(datetime.combine(since, time())).cast("timestamp_ntz"))
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(places, F.col("o_custkey") == F.col("c_custkey"))
     return lines.select(
         week_end(F.col("o_orderdate")).alias("week"),
@@ -45,6 +49,34 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def last_week(spark: SparkSession, sf_dir: str) -> date | None:
+    """The last week with order lines, looked for from the last order date backwards, so that few orders are read."""
+    first, last = table(spark, sf_dir, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    days = 28
+    while last is not None:
+        since = (last - timedelta(days=days)).date()
+        found = order_lines(spark, sf_dir, since).agg(F.max("week")).first()[0]
+        if found is not None or since < first.date():
+            return found
+        days *= 8
+    return None
+
+
+def measured(lines: DataFrame) -> DataFrame:
+    """order_lines with what sources report of each line as columns to sum, at whatever grain is wanted."""
+    none = F.lit(0).cast("decimal(18,4)")
+    columns = {
+        "revenue": F.when(F.col("returned"), none).otherwise(F.col("amount")),
+        "net_units": F.when(F.col("returned"), none.cast("decimal(18,2)")).otherwise(F.col("quantity")),
+        "gross_orders": F.col("quantity"),
+        "cancellations": F.when(F.col("returned"), F.col("quantity")).otherwise(none.cast("decimal(18,2)")),
+        "deliveries": F.lit(1).cast("bigint"),
+        "in_time": F.col("in_time").cast("bigint"),
+        "returns": F.col("returned").cast("bigint"),
+    }
+    return lines.select(*KEYS, "nation", *(c.alias(n) for n, c in columns.items()))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """warehouse, order_system and logistics at leaf grain; tickets without segment."""
     lines = order_lines(spark, sf_dir)
@@ -81,8 +113,8 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
         found = spark.read.schema(FEEDBACK).json(path)
         found.schema  # noqa: B018  (resolves the path)
         return found.where("entity_id IS NOT NULL")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], FEEDBACK)
         raise
 
@@ -98,8 +130,27 @@ def finite(value: Any) -> Any:
     return value
 
 
+def write_text(path: str | Path, text: str) -> None:
+    """A small file of the driver's, at any path or URI that Spark can write to."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(path).write_text(text)
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_json(path: str | Path, value: Any) -> None:
-    Path(path).write_text(json.dumps(finite(value), indent=2, default=str, allow_nan=False))
+    write_text(path, json.dumps(finite(value), indent=2, default=str, allow_nan=False))
+
+
+def write_yaml(path: str | Path, value: Any) -> None:
+    """As write_json does, in YAML: plain values only, keys in their order."""
+    write_text(path, yaml.safe_dump(json.loads(json.dumps(finite(value), default=str)), sort_keys=False, allow_unicode=True))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
