@@ -86,6 +86,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """df.mapInArrow(fn, schema), after which the worker trims its memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # the one that _trim() can give back
         try:
             yield from fn(batches)
         finally:
@@ -108,7 +109,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+def short_batches(spark: SparkSession, rows: int = 400) -> None:
     """Lets Arrow batches have at most so many rows in this session, unless it has a setting of its own: texts are
     long, and a batch is held by the JVM and by Python at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -264,15 +264,20 @@ def _hot_tokens(docs: DataFrame, slots: int) -> tuple[int, np.ndarray, np.ndarra
                 by_slot.setdefault(slot, []).append((once, more, times))
         for slot in list(by_slot):
             rows = by_slot.pop(slot)
-            keys = np.frombuffer(b"".join([r[0] for r in rows] + [r[1] for r in rows]), np.uint32)
-            more = np.frombuffer(b"".join(r[2] for r in rows), np.uint32)
-            order = np.argsort(keys, kind="stable")
-            weights = np.concatenate([np.ones(len(keys) - len(more), np.int64), more])[order]
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            df = np.add.reduceat(weights, first) if len(first) else weights
-            hot = df >= HOT_DF
-            yield pa.RecordBatch.from_arrays([pa.array((keys[first][hot].astype(np.uint64) + starts[slot]).view(np.int64)), pa.array(df[hot])], ["key", "df"])
+            every = np.frombuffer(b"".join([r[0] for r in rows] + [r[1] for r in rows]), np.uint32)
+            times = np.frombuffer(b"".join(r[2] for r in rows), np.uint32)
+            del rows
+            once = len(every) - len(times)
+            for k in range(SUBSLOTS):  # a part of the slot's range of keys at a time
+                mine = every & np.uint32(SUBSLOTS - 1) == k
+                keys, more = every[mine], times[mine[once:]]
+                order = np.argsort(keys, kind="stable")
+                weights = np.concatenate([np.ones(len(keys) - len(more), np.int64), more])[order]
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                df = np.add.reduceat(weights, first) if len(first) else weights
+                hot = df >= HOT_DF
+                yield pa.RecordBatch.from_arrays([pa.array((keys[first][hot].astype(np.uint64) + starts[slot]).view(np.int64)), pa.array(df[hot])], ["key", "df"])
 
     runs = arrow_map(docs, count, "slot int, once binary, more binary, times binary").repartitionById(slots, F.col("slot"))
     hot = arrow_map(runs, total, "key long, df long").orderBy(F.desc("df"), "key").limit(HOT_TOKENS).toPandas().sort_values("key")
