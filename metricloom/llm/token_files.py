@@ -9,6 +9,7 @@ reader takes the table from the end of the file and decompresses only the frames
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, partitions, scratch, written
+from .common import batch, open_fs, partitions, scratch, written
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
@@ -32,7 +33,17 @@ INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CACHE_WORDS, COUNTED_WORDS = 600_000, 200_000
 GROUP = 64
 BATCH_BYTES = 4 << 20
-MANIFEST = "part int, file string, docs long, tokens long, least long, most long"
+FILE_TOKENS, FILE_DOCS = 64 << 20, 1 << 20
+MANIFEST = "part int, piece int, file string, docs long, tokens long, least long, most long"
+#: What a tokenizer file must say of normalisation and pre-tokens for WordEncoder's own splitting.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class TokenFileWriter:
@@ -42,12 +53,13 @@ class TokenFileWriter:
         self.ids: list[int | None] = []
         self.counts: list[int] = []
         self.parts: list[bytes] = []
-        self.held = 0
+        self.held = self.tokens = 0
         self.zstd = zstandard.ZstdCompressor(level=LEVEL)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(ids))
+        self.tokens += len(ids)
         if len(ids) and int(ids.max()) >= 1 << 8 * self.width:
             raise ValueError(f"token id {int(ids.max())} does not fit into {self.width} bytes")
         data = ids.astype(self.kind).tobytes()
@@ -137,9 +149,11 @@ class TokenFile:
 class WordEncoder:
     """Whole texts to little-endian uint32 ids, as the tokenizers library encodes them.
 
-    The library encodes each pre-token on its own, so for texts whose normalisation is plain (below U+0250, where
-    it is lower-casing and white space) words are looked up, and the library encodes unknown ones only, many
-    together with spaces between. All other texts go to the library whole.
+    The library encodes each pre-token on its own, so for texts whose normalisation is plain (below U+0250 before
+    and after lower-casing, where it is lower-casing and white space) words are looked up, and the library encodes
+    unknown ones only, many together with spaces between. All other texts go to the library whole, and so does
+    every text if the tokenizer file normalises or splits in another way (NORMALIZER, PRE_TOKENIZER) or has added
+    tokens that don't begin with "<|".
     """
 
     def __init__(self, path: str):
@@ -149,6 +163,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        rules = json.loads(self.tokenizer.to_str())
+        self.own = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"])
         low = [chr(c) for c in range(0x250)]
         letters = "".join(c for c in low if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in low if unicodedata.category(c)[0] == "N")
@@ -185,12 +201,12 @@ class WordEncoder:
         out: list[bytes | list[str]] = []
         seen: set[str] = set()
         for text in texts:
-            plain = text.isascii()
-            if "<|" in text or not plain and ("\u0130" in text or self.wide(text)):
+            plain, low = text.isascii(), text.lower()
+            if not self.own or "<|" in text or not plain and (self.wide(text) or self.wide(low)):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
             else:
-                out.append((self.ascii_words if plain else self.words)(text.lower()))
+                out.append((self.ascii_words if plain else self.words)(low))
                 seen.update(out[-1])
         return out, seen
 
@@ -231,32 +247,43 @@ def id_width(tokenizer: str, end_id: int | None) -> int:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2) -> DataFrame:
-    """Writes the ids of all documents under path in ascending doc_id order (nulls first, ties by text), a file
-    per range of doc_id, and returns the manifest: part, file, docs, tokens, least and most doc_id. Null texts are empty; each document
-    ends with end_id. Only files in the manifest count, whatever failed tasks leave behind."""
+    """Writes the ids of all documents under path in ascending doc_id order (nulls first, ties by a hash of the text,
+    by which rows of one id are dealt as well), a file for at most FILE_TOKENS ids and FILE_DOCS documents of a range
+    (a longer document has a file of its own), and returns the manifest: part, piece, file, docs, tokens, least and
+    most doc_id. Null texts are empty; each document ends with end_id. Only files in the manifest count, whatever
+    failed tasks leave behind."""
     fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
     width = id_width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
-        encoder, out, name = load(tokenizer), None, ""
+        encoder, out, name, piece = load(tokenizer), None, "", 0
         end = b"" if end_id is None else struct.pack("<I", end_id)
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            known = [i for i in out.ids if i is not None]
+            ends = (pa.array([f(known, default=None)], pa.int64()) for f in (min, max))
+            return batch(part=pa.array([TaskContext.get().partitionId()], pa.int32()), piece=pa.array([piece], pa.int32()), file=[name], docs=[len(out.counts)], tokens=[out.tokens], least=next(ends), most=next(ends))
+
         for b in batches:
-            if out is None and b.num_rows:
-                name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
-                out = TokenFileWriter(fs.open_output_stream(f"{root}/{name}", compression=None), width)
             for lo in range(0, b.num_rows, GROUP):
                 keys, texts = (c.to_pylist() for c in b.slice(lo, GROUP).columns)
                 for key, ids in zip(keys, encoder.encode_all([t or "" for t in texts]), strict=True):
-                    out.add(key, np.frombuffer(ids + end, "<u4"))
+                    ids = np.frombuffer(ids + end, "<u4")
+                    if out is not None and (out.tokens + len(ids) > FILE_TOKENS or len(out.ids) >= FILE_DOCS):
+                        yield closed()
+                        out, piece = None, piece + 1
+                    if out is None:
+                        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
+                        out = TokenFileWriter(fs.open_output_stream(f"{root}/{name}", compression=None), width)
+                    out.add(key, ids)
         if out is not None:
-            out.close()
-            known = [i for i in out.ids if i is not None]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "docs": [len(out.counts)], "tokens": [int(sum(out.counts))], "least": pa.array([min(known, default=None)], pa.int64()), "most": pa.array([max(known, default=None)], pa.int64())})
+            yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     manifest = written(rows.mapInArrow(run, MANIFEST), "manifest")
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
     return manifest
@@ -266,7 +293,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian uint32) of the documents under
     path; with doc_ids only of those: files without any are not opened, and frames without any not decompressed."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    before = F.sum("tokens").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"), "least", "most")
     if doc_ids is not None:
         ids = F.array(*(F.lit(int(i)) for i in sorted(doc_ids))).cast("array<bigint>")

@@ -8,6 +8,10 @@ Reading: each archive is a partition. Filters on record type and other header co
 A record's header is parsed first; if a pushed filter rejects it, or payloads aren't wanted, its payload isn't
 decoded: the scan jumps to the next member ("SL", or Content-Length in a plain file) or, in foreign gzip files
 without lengths, inflates past it without keeping it.
+
+Load the source anew (spark.read.format("warc").load(path)) for each set of filters: Spark 4.1 keeps what was pushed
+into a loaded Python source, so one that was filtered once gives later queries, and other branches of the same
+query, the filtered records only.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, written
+from .common import open_fs, scratch
 
 RECORD = (
     "file string, offset long, record_id string, record_type string, date string, target_uri string, "
@@ -383,17 +387,35 @@ def archive_pages(pages: DataFrame, path: str) -> None:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and url of each page record under path. What
-    a revisit says of its payload is taken from the response that it refers to."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and url of each page record under path, a row
+    a record whatever ids repeat, and whether it is intact: a response's digest is computed from its payload and held
+    against the one it names (null for revisits and for digests that aren't in hexadecimal). A revisit has its payload's length and digest in its own header, and stays whether or
+    not its response is in these archives; unresolved() finds those whose isn't."""
+    register(spark)
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
+    found = spark.read.format("warc").load(path).where("record_type IN ('response', 'revisit')")
+    revisit = F.col("record_type") == "revisit"
+    own = F.sha1(F.coalesce("payload", F.lit(b"")))
+    said = F.regexp_replace("payload_digest", "^sha1:", "")
+    return found.select(
+        page("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")).alias("payload_bytes"),
+        F.when(revisit, said).otherwise(own).alias("payload_digest"),
+        "record_type",
+        F.when(revisit, page("refers_to")).alias("refers_to"),
+        F.col("target_uri").alias("url"),
+        F.when(~revisit & said.rlike("^[0-9a-f]{40}$"), said == own).alias("intact"),
+    )
+
+
+def unresolved(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, refers_to and payload_digest of the revisits under path whose response, of that page_id and digest,
+    isn't there. Reads headers only. (A loaded source keeps the filters pushed into it: each side loads its own.)"""
     register(spark)
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
-    responses = spark.read.format("warc").load(path).where("record_type = 'response'")
-    responses = responses.select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), F.col("target_uri").alias("url"))
-    responses = written(responses, "responses")
-    revisits = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
-    revisits = revisits.select(page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
-    full = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    return responses.unionByName(revisits.join(full, "refers_to"))
+    headers = lambda kind: spark.read.format("warc").option("payload", "false").load(path).where(F.col("record_type") == kind)
+    held = headers("response").select(page("record_id").alias("refers_to"), "payload_digest").distinct()
+    return headers("revisit").select(page("record_id").alias("page_id"), page("refers_to").alias("refers_to"), "payload_digest").join(held, ["refers_to", "payload_digest"], "left_anti").select("page_id", "refers_to", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"))
 
 
 def pages_by_way_of_archives(pages: DataFrame) -> DataFrame:

@@ -74,6 +74,44 @@ def test_pages_by_way_of_archives(spark):
     assert warc.pages_by_way_of_archives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_page_ids_and_lost_responses(spark, tmp_path):
+    a, b = "a" * 1200, "b" * 1300
+    rows = [(3, "u", a), (5, "u", a), (5, "u", b), (9, "u", b), (9, "v", b), (4, "u", b)]
+    path = f"file://{tmp_path}/pages"
+    warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.read_pages(spark, path)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found.collect())
+    want = [(3, 1200, sha(a), "revisit", 5), (4, 1300, sha(b), "revisit", 9), (5, 1200, sha(a), "response", None), (5, 1300, sha(b), "revisit", 9), (9, 1300, sha(b), "response", None), (9, 1300, sha(b), "response", None)]
+    assert got == sorted(want, key=str) or got == sorted(want, key=lambda r: r[:4])
+    assert warc.unresolved(spark, path).count() == 0 and {r["intact"] for r in found.collect()} == {True, None}
+    lone = f"file://{tmp_path}/lone"
+    records = [("urn:page:7", "revisit", "urn:page:1", "sha1:" + sha(a), 1200), ("urn:page:8", "response", None, "sha1:" + sha(b), None)]
+    spark.createDataFrame(records, "record_id string, record_type string, refers_to string, payload_digest string, http_length long").write.format("warc").mode("append").save(lone)
+    found = warc.read_pages(spark, lone)
+    kept = {r["page_id"]: r for r in found.collect()}
+    assert kept[7]["payload_bytes"] == 1200 and kept[7]["payload_digest"] == sha(a) and kept[7]["refers_to"] == 1
+    assert kept[8]["payload_bytes"] == 0 and kept[8]["intact"] is False
+    assert [r["page_id"] for r in warc.unresolved(spark, lone).collect()] == [7]
+
+
+def test_pages_equal_their_sql_where_payloads_repeat(spark, tmp_path):
+    import duckdb
+
+    from metricloom.llm import queries
+
+    texts = ["p" * 1000, "p" * 999, "ä" * 500, None, "", "q" * 5000]
+    rows = [(k, f"http://h/{k}", texts[k % 6]) for k in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.op1_warc(spark, str(tmp_path)).toPandas()
+    want = duck.sql(queries.ORACLES["op1_warc"]).df()[list(got.columns)]
+    plain = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    assert len(got) == 40 and [x.replace(".0", "") for x in plain(got)] == [x.replace(".0", "") for x in plain(want)]
+    assert (got["record_type"] == "revisit").sum() > 10
+
+
 def test_filters_reach_the_reader_and_payloads_are_skipped(spark, tmp_path):
     warc.register(spark)
     rows = [(f"urn:r:{k}", "response" if k % 2 else "metadata", f"http://h{k % 3}/", b"z" * 3000) for k in range(50)]
@@ -110,6 +148,51 @@ def random_texts(n=800, seed=2):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
+def test_words_equal_the_library_for_all_letters():
+    """Every code point below U+0300 and those that lower-casing takes across the border, in pairs with letters and
+    digits on each side; and strings over the whole plane."""
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(WORD_BPE), token_files.WordEncoder(WORD_BPE)
+    rng = random.Random(5)
+    near = [*map(chr, range(0x300)), "\u1e9e", "\u212a", "\u212b", "\u2126", "\u2c65", "\u2c6f"]
+    texts = [f"{a}{c}{b}" for c in near for a, b in (("b", "a"), ("Z", "É"), ("1", "x"), ("ß", "2"), ("'", "s"), (" ", "."), ("ø", " "))]
+    texts += ["Ɓala ƐWE Ɔkan", "İstanbul ǅ Ǆ", "".join(near)]
+    plane = lambda: chr(rng.choice([rng.randrange(0x300), rng.randrange(0x300), rng.randrange(0xD800), rng.randrange(0xE000, 0x10000)]))
+    texts += ["".join(plane() for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(near) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    found, counts = own.encode_all(texts), own.counts(texts)
+    for t, ids, n in zip(texts, found, counts, strict=True):
+        want = tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want), ascii(t)
+
+
+def test_other_tokenizer_files_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(BYTE_BPE), token_files.WordEncoder(BYTE_BPE)
+    assert not own.own and token_files.WordEncoder(WORD_BPE).own
+    for t, ids in zip(random_texts(), own.encode_all(random_texts()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files_roll_by_size(spark, tmp_path, monkeypatch):
+    rows = [(k % 3 if k < 30 else None, f"word{k} " * (k % 7)) for k in range(40)]
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    manifest = token_files.write_token_files(docs, WORD_BPE, str(tmp_path / "t")).toPandas()
+    found = token_files.read_token_files(spark, str(tmp_path / "t")).toPandas().sort_values("start")
+    want = sorted(((i, tokenizer.encode(t, add_special_tokens=False).ids + [2]) for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert found["n_tokens"].sum() == manifest["tokens"].sum() == sum(len(ids) for _, ids in want)
+    assert found["start"].tolist() == np.concatenate(([0], np.cumsum(found["n_tokens"])[:-1])).tolist()
+    keys = [None if k != k else int(k) for k in found["doc_id"]]
+    assert keys == [k for k, _ in want]
+    assert sorted((str(k), np.frombuffer(b, "<u4").tolist()) for k, b in zip(keys, found["ids"])) == sorted((str(k), ids) for k, ids in want)
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
