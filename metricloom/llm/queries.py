@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fill_middle, fingerprints, licenses, ngram_join, packing, token_counts, token_files, toxicity, warc
+from . import bpe, fill_middle, fingerprints, licenses, ngram_join, packing, sharding, token_counts, token_files, toxicity, warc
 from .exact_dedup import exact_dedup
 
 
@@ -58,6 +58,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.resharded(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op12_sharding": op12_sharding,
     "op13_fill_middle": op13_fill_middle,
 }
 
