@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fill_middle, fingerprints, licenses, ngram_join, packing, sharding, token_counts, token_files, toxicity, warc
+from . import bpe, conversation_trie, fill_middle, fingerprints, licenses, ngram_join, packing, sharding, token_counts, token_files, toxicity, warc
 from .exact_dedup import exact_dedup
 
 
@@ -58,6 +58,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt_paths(_table(spark, sf_dir, "conversations")))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.resharded(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_sharding": op12_sharding,
     "op13_fill_middle": op13_fill_middle,
 }
@@ -112,6 +117,35 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, n_shingles, min(y) AS component_id FROM n JOIN reach ON x = doc_id GROUP BY doc_id, n_shingles
     """,
+    "op11_conversation_trie": """
+        WITH t AS (
+            SELECT conv_id, turn, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS size FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list({'k': k, 'size': size} ORDER BY turn NULLS FIRST, k) AS turns FROM t GROUP BY conv_id
+        ), h AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+            FROM own
+        ), p AS (
+            SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns FROM h c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), x AS (
+            SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM p
+        ), m AS (
+            SELECT conv_id, depth, sha256(array_to_string(list_transform(turns[1:depth], lambda t: t.k), '')) AS node, CASE WHEN depth > 0 THEN sha256(array_to_string(list_transform(turns[1:depth - 1], lambda t: t.k), '')) END AS parent,
+                   CASE WHEN depth > 0 THEN turns[depth].size ELSE 0 END AS size, depth = len(turns) AS ends
+            FROM x
+        ), n AS (
+            SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM m GROUP BY node
+        ), k AS (
+            SELECT n.*, (SELECT count(*) FROM n c WHERE c.parent = n.node) AS n_children FROM n
+        ), a AS (
+            SELECT DISTINCT u.node AS top, d.node FROM m u JOIN m d ON d.conv_id = u.conv_id AND d.depth >= u.depth
+        ), s AS (
+            SELECT a.top, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * k.size)::BIGINT AS saved_tokens FROM a JOIN k ON k.node = a.node GROUP BY a.top
+        )
+        SELECT k.conv_id, k.depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256 FROM k JOIN s ON s.top = k.node LEFT JOIN k up ON up.node = k.parent
+    """,
     "op13_fill_middle": r"""
         WITH l AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
