@@ -163,8 +163,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        rules = json.loads(self.tokenizer.to_str())
-        self.own = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"])
+        rules = lambda part: part and json.loads(part.__getstate__())
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.own = rules(self.tokenizer.normalizer) == NORMALIZER and rules(self.tokenizer.pre_tokenizer) == PRE_TOKENIZER and all(t.content.startswith("<|") and not t.normalized for t in added)
         low = [chr(c) for c in range(0x250)]
         letters = "".join(c for c in low if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in low if unicodedata.category(c)[0] == "N")
