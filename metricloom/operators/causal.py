@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics
 from .panel import ratio, within
+from .two_way import two_way
 
 BASELINE, GUARD, SIGMAS = 26, 2, 3.0
 PRE_WEEKS, POST_WEEKS = 52, 5
@@ -40,25 +41,6 @@ def onsets(series: DataFrame, value: str = "rate") -> DataFrame:
     return rows.groupBy("unit").agg(F.min(F.when(hit, F.col("week"))).alias("onset"), F.max("n").alias("n_weeks"))
 
 
-def _two_way(rows: list[tuple]) -> tuple[float, float, float, int]:
-    """Least squares of y on d, units and weeks over rows (unit, week, y, d): the residual d's sum of squares, its
-    product with y, the residual sum of squares of y and the rank of the dummies. Balanced or not, this is exact:
-    the weeks' dummies are taken out, and the units' normal equations solved."""
-    units, u = np.unique([r[0] for r in rows], return_inverse=True)
-    weeks, w = np.unique([r[1] for r in rows], return_inverse=True)
-    v = np.array([[r[2], r[3]] for r in rows], float)
-    cells = np.zeros((len(weeks), len(units)))
-    np.add.at(cells, (w, u), 1.0)
-    have = cells.sum(axis=1)
-    by_week, by_unit = np.zeros((len(weeks), 2)), np.zeros((len(units), 2))
-    np.add.at(by_week, w, v)
-    np.add.at(by_unit, u, v)
-    normal = np.diag(cells.sum(axis=0)) - cells.T @ (cells / have[:, None])
-    effect = np.linalg.pinv(normal, hermitian=True) @ (by_unit - cells.T @ (by_week / have[:, None]))
-    left = v - effect[u] - ((by_week - cells @ effect) / have[:, None])[w]
-    return float(left[:, 1] @ left[:, 1]), float(left[:, 0] @ left[:, 1]), float(left[:, 0] @ left[:, 0]), len(weeks) + int(np.linalg.matrix_rank(normal, hermitian=True))
-
-
 def full_weeks(series: DataFrame, start: Column) -> DataFrame:
     """Rows of the weeks from the year before the start on that all units of the series have."""
     units = series.agg(F.count_distinct("unit").alias("units"))
@@ -66,26 +48,13 @@ def full_weeks(series: DataFrame, start: Column) -> DataFrame:
     return rows.withColumn("have", F.count("*").over(Window.partitionBy("week"))).where("have = units").drop("have", "units")
 
 
-def did(series: DataFrame, treated: str, start: Column, value: str = "rate") -> DataFrame:
+def did(series: DataFrame, treated: str | Column, start: Column, value: str = "rate") -> DataFrame:
     """Two-way fixed effects difference in differences over the year before and all weeks after: estimate, standard
-    error, n and degrees of freedom. All rows with a value count, also of weeks that some units lack. The rows of one
-    case, units times weeks, are fitted in one task."""
-    rows = series.where((F.col("week") >= F.date_sub(start, 7 * PRE_WEEKS)) & F.col(value).isNotNull() & F.col("unit").isNotNull())
-    rows = rows.select(F.col("unit").cast("string").alias("unit"), F.col("week").cast("string").alias("week"), F.col(value).cast("double").alias("y"), ((F.col("unit") == treated) & (F.col("week") >= start)).cast("double").alias("d"))
-    case = rows.agg(F.sort_array(F.collect_list(F.struct("unit", "week", "y", "d"))).alias("rows"))
-
-    @F.udf("estimate double, se double, n long, free long")
-    def fit(given):
-        n = len(given)
-        if not n:
-            return None, None, 0, 0
-        dd, yd, yy, rank = _two_way([tuple(r) for r in given])
-        if dd <= 1e-9:
-            return None, None, n, 0
-        free = n - rank - 1
-        return yd / dd, (max(yy - yd * yd / dd, 0.0) / (free * dd)) ** 0.5 if free > 0 else None, n, free
-
-    return case.select(fit("rows").alias("f")).select("f.*")
+    error, n and degrees of freedom. treated is a unit, or a condition on rows that units of any number may meet. All
+    rows with a value count, also of weeks that some units lack."""
+    rows = series.where(F.col("week") >= F.date_sub(start, 7 * PRE_WEEKS))
+    on = (F.col("unit") == treated) if isinstance(treated, str) else treated
+    return two_way(rows.select("unit", "week", F.col(value).cast("double").alias("y"), (on & (F.col("week") >= start)).cast("double").alias("d")))
 
 
 def pretrend(series: DataFrame, treated: str, start: Column, value: str = "rate") -> DataFrame:
