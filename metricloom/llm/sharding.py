@@ -154,7 +154,7 @@ def _split(spark: SparkSession, path: str, needs: dict[str, list[tuple[int, int]
 
     rows = _rows(spark, path, sorted(needs))
     where = rows.select("file", "row_index", "size").groupBy("file").applyInPandas(deal, "file string, row_index long, shard int")
-    rows.join(where, ["file", "row_index"]).select("doc_id", "text", "size", "shard").repartition("shard").write.partitionBy("shard").parquet(f"{path}/{folder}")
+    rows.join(where, ["file", "row_index"]).select("file", "doc_id", "text", "size", "shard").repartition(partitions(spark), "file", "shard").drop("file").write.partitionBy("shard").parquet(f"{path}/{folder}")
     return _listed(_rows(spark, path, [folder]))
 
 
