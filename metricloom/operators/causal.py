@@ -41,13 +41,6 @@ def onsets(series: DataFrame, value: str = "rate") -> DataFrame:
     return rows.groupBy("unit").agg(F.min(F.when(hit, F.col("week"))).alias("onset"), F.max("n").alias("n_weeks"))
 
 
-def full_weeks(series: DataFrame, start: Column) -> DataFrame:
-    """Rows of the weeks from the year before the start on that all units of the series have."""
-    units = series.agg(F.count_distinct("unit").alias("units"))
-    rows = series.where(F.col("week") >= F.date_sub(start, 7 * PRE_WEEKS)).join(F.broadcast(units))
-    return rows.withColumn("have", F.count("*").over(Window.partitionBy("week"))).where("have = units").drop("have", "units")
-
-
 def did(series: DataFrame, treated: str | Column, start: Column, value: str = "rate") -> DataFrame:
     """Two-way fixed effects difference in differences over the year before and all weeks after: estimate, standard
     error, n and degrees of freedom. treated is a unit, or a condition on rows that units of any number may meet. All

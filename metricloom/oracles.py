@@ -9,7 +9,7 @@ LEAF = "region, product_line, channel, segment"
 LINES = """
 lines AS (
     SELECT cast(date_trunc('week', o_orderdate) AS DATE) + 6 AS week, r_name AS region, p_type AS product_line, o_orderpriority AS channel,
-           c_mktsegment AS segment, n_name AS nation, cast(l_quantity AS DECIMAL(18,2)) AS quantity,
+           c_mktsegment AS segment, n_name AS nation, p_brand AS brand, cast(l_quantity AS DECIMAL(18,2)) AS quantity,
            cast(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amount, l_returnflag = 'R' AS returned,
            cast(l_shipdate AS DATE) <= cast(o_orderdate AS DATE) + 30 AS in_time
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
@@ -86,6 +86,37 @@ def _funnel(totals: str) -> str:
         SELECT round(a, 4) AS orders_effect, round(b, 4) AS cancellation_effect, round(c, 4) AS interaction,
                CASE greatest(abs(a), abs(b), abs(c)) WHEN abs(a) THEN 'orders' WHEN abs(b) THEN 'cancellations' ELSE 'interaction' END AS dominant FROM o"""
 
+ASIA = """
+    SELECT unit, week, rate AS y, CASE WHEN unit = 'ASIA' AND week >= DATE '2000-06-04' THEN 1.0::DOUBLE ELSE 0.0 END AS d FROM units WHERE week >= DATE '2000-06-04' - 364 AND rate IS NOT NULL
+"""
+MANY_UNITS = """
+    SELECT nation || '|' || brand AS unit, week, coalesce(sum(quantity) FILTER (WHERE returned), 0)::DOUBLE / sum(quantity)::DOUBLE AS y,
+           CASE WHEN nation = 'NATION_7' AND week >= DATE '2000-06-04' THEN 1.0::DOUBLE ELSE 0.0 END AS d
+    FROM lines WHERE week >= DATE '2000-06-04' - 364 GROUP BY nation, brand, week
+"""
+
+
+def _two_way(rows: str, rounds: int = 120) -> str:
+    """fit(e, se, n, free): y on d with effects of units and weeks, by projecting alternately on what units' and weeks'
+    means leave; the rank of the dummies is units + weeks - components."""
+    return f"""r AS ({rows}), it(k, unit, week, y, d) AS (
+        SELECT 0, unit, week, y, d FROM r
+        UNION ALL
+        SELECT k + 1, unit, week, y - avg(y) OVER (PARTITION BY k, week), d - avg(d) OVER (PARTITION BY k, week)
+        FROM (SELECT k, unit, week, y - avg(y) OVER (PARTITION BY k, unit) AS y, d - avg(d) OVER (PARTITION BY k, unit) AS d FROM it WHERE k < {rounds})
+    ), near AS (
+        SELECT DISTINCT a.week AS x, b.week AS z FROM r a JOIN r b USING (unit)
+    ), reach(x, z) AS (
+        SELECT x, z FROM near UNION SELECT reach.x, near.z FROM reach JOIN near ON near.x = reach.z
+    ), rank AS (
+        SELECT (SELECT count(DISTINCT unit) + count(DISTINCT week) FROM r) - (SELECT count(DISTINCT least) FROM (SELECT x, min(z) AS least FROM reach GROUP BY x)) AS rank
+    ), s AS (
+        SELECT sum(y * d) / sum(d * d) AS e, sum(y * y) - sum(y * d) * sum(y * d) / sum(d * d) AS rss, sum(d * d) AS dd, count(*) AS n FROM it WHERE k = {rounds}
+    ), fit AS (
+        SELECT e, sqrt(rss / ((n - rank - 1) * dd)) AS se, n, n - rank - 1 AS free FROM s, rank
+    )"""
+
+
 
 ORACLES: dict[str, str] = {
     "panel_align": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
@@ -227,12 +258,9 @@ ORACLES |= {
             SELECT *, CASE WHEN v > mu + 3 * sd THEN 1 WHEN v < mu - 3 * sd THEN -1 ELSE 0 END AS side FROM b
         ), l AS (SELECT *, lead(side) OVER (PARTITION BY unit ORDER BY week) AS next_side FROM d)
         SELECT unit, min(week) FILTER (WHERE i >= start AND side <> 0 AND side = next_side) AS onset, max(n) AS n_weeks FROM l GROUP BY unit""",
-    "did_twfe": f"""WITH {UNITS}, r AS (
-            SELECT unit, week, rate AS y, CASE WHEN unit = 'ASIA' AND week >= DATE '2000-06-04' THEN 1.0::DOUBLE ELSE 0.0 END AS d FROM units WHERE week >= DATE '2000-06-04' - 364 QUALIFY count(*) OVER (PARTITION BY week) = (SELECT count(DISTINCT unit) FROM units)
-        ), c AS (
-            SELECT unit, week, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY week) + avg(y) OVER () AS y, d - avg(d) OVER (PARTITION BY unit) - avg(d) OVER (PARTITION BY week) + avg(d) OVER () AS d FROM r
-        ), s AS (SELECT sum(y * d) / sum(d * d) AS e, sum(y * y) - sum(y * d) * sum(y * d) / sum(d * d) AS rss, sum(d * d) AS dd, count(*) AS n, count(DISTINCT week) AS weeks, count(DISTINCT unit) AS units FROM c)
-        SELECT round(e, 6) AS estimate, round(sqrt(rss / ((n - units - weeks) * dd)), 6) AS se, n FROM s""",
+    "did_twfe": f"WITH RECURSIVE {UNITS}, {_two_way(ASIA)} SELECT round(e, 6) AS estimate, round(se, 6) AS se, n FROM fit",
+    "did_twfe_all_weeks": f"WITH RECURSIVE {UNITS}, {_two_way(ASIA)} SELECT round(e, 6) AS estimate, round(se, 6) AS se, n, free FROM fit",
+    "did_many_units": f"WITH RECURSIVE {LINES}, {_two_way(MANY_UNITS, 40)} SELECT round(e, 6) AS estimate, round(se, 6) AS se, n, free FROM fit",
     "pretrend_slope": f"""WITH {UNITS}, g AS (
             SELECT week, max(rate) FILTER (WHERE unit = 'ASIA') - avg(rate) FILTER (WHERE unit <> 'ASIA') AS y, (week - DATE '2000-06-04') / 7 AS t FROM sided WHERE NOT post GROUP BY week
         ), f AS (SELECT regr_slope(y, t) AS slope, regr_r2(y, t) AS r2, count(*) AS n FROM g WHERE y IS NOT NULL)

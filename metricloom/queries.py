@@ -297,9 +297,7 @@ def onset_changepoint(spark, d):
 
 @query
 def did_twfe(spark, d):
-    at = F.lit(START).cast("date")
-    found = causal.did(causal.full_weeks(_units(spark, d), at), "ASIA", at)  # its SQL keeps the weeks of all units only
-    return rounded(found.select("estimate", "se", "n"), estimate=6, se=6)
+    return did_twfe_all_weeks(spark, d).select("estimate", "se", "n")
 
 
 @query
@@ -307,6 +305,17 @@ def did_twfe_all_weeks(spark, d):
     return rounded(causal.did(_units(spark, d), "ASIA", F.lit(START).cast("date")), estimate=6, se=6)
 
 
+@query
+def did_many_units(spark, d):
+    """Nations times brands as units, those of one nation treated."""
+    lines = tables.order_lines(spark, d)
+    unit = F.concat_ws("|", "nation", "brand").alias("unit")
+    returned = F.sum(F.when(F.col("returned"), F.col("quantity")).otherwise(0)).cast("double")
+    rates = lines.groupBy(unit, "week").agg((returned / F.sum("quantity").cast("double")).alias("rate"))
+    found = causal.did(rates, F.col("unit").startswith("NATION_7|"), F.lit(START).cast("date"))
+    return rounded(found, estimate=6, se=6)
+
+
 @query
 def parallel_trends(spark, d):
     return rounded(causal.parallel_trends(_units(spark, d), "ASIA", F.lit(START).cast("date")), slope=8, t=4, p=6)

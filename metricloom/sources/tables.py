@@ -42,6 +42,7 @@ def order_lines(spark: SparkSession, sf_dir: str, since: date | None = None) ->
         F.col("o_orderpriority").alias("channel"),
         F.col("c_mktsegment").alias("segment"),
         F.col("n_name").alias("nation"),
+        F.col("p_brand").alias("brand"),
         F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("amount"),
         (F.col("l_returnflag") == "R").alias("returned"),
