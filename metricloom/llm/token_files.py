@@ -171,7 +171,8 @@ class WordEncoder:
         numbers = "".join(c for c in low if unicodedata.category(c)[0] == "N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\x0b\x0c\r \x85\xa0{letters}{numbers}]+").findall
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+").findall
-        self.wide = re.compile("[^\u0000-\u024f]").search
+        plain = "".join(c for c in low if max(map(ord, c.lower())) < 0x250)
+        self.wide = re.compile(f"[^{re.escape(plain)}]").search
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.sizes: dict[str, int] = {}
@@ -202,12 +203,12 @@ class WordEncoder:
         out: list[bytes | list[str]] = []
         seen: set[str] = set()
         for text in texts:
-            plain, low = text.isascii(), text.lower()
-            if not self.own or "<|" in text or not plain and (self.wide(text) or self.wide(low)):
+            plain = text.isascii()
+            if not self.own or "<|" in text or not plain and self.wide(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
             else:
-                out.append((self.ascii_words if plain else self.words)(low))
+                out.append((self.ascii_words if plain else self.words)(text.lower()))
                 seen.update(out[-1])
         return out, seen
 
