@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics
+from . import synthetic
 from .panel import ratio, within
+from .synthetic import synthetic_controls
 from .two_way import two_way
 
 BASELINE, GUARD, SIGMAS = 26, 2, 3.0
-PRE_WEEKS, POST_WEEKS = 52, 5
+PRE_WEEKS, POST_WEEKS = synthetic.PRE_WEEKS, synthetic.POST_WEEKS
 
 
 def unit_series(panel: DataFrame, unit: str = "region", spec: Mapping[str, str | None] | None = None) -> DataFrame:
@@ -93,44 +94,6 @@ def two_donor_synthetic(series: DataFrame, treated: str, donors: tuple[str, str]
     return gaps.agg(F.round(F.max("w"), 6).alias("weight"), F.round(F.avg(F.when(F.col("post"), F.col("g") * F.col("my"))), 6).alias("gap"), F.round(F.sqrt(F.avg(F.when(~F.col("post"), F.col("g") * F.col("g")))), 6).alias("pre_rmse"))
 
 
-SYNTHETIC = "unit string, gap double, gap_pct double, pre_rmse double, gap_ratio double, weights map<string,double>"
-
-
-def _synthetic(unit: str, wide: pd.DataFrame, post: np.ndarray) -> tuple | None:
-    donors = [c for c in wide.columns if c != unit]
-    scaled = wide / wide[~post].mean()
-    if (~post).sum() < 20 or not post.any() or len(donors) < 2:
-        return None
-    x, y = scaled[donors].to_numpy(), scaled[unit].to_numpy()
-    w = numerics.simplex_weights(x[~post], y[~post])
-    off = y - x @ w
-    gap = float(off[post].mean())
-    rmse = float(np.sqrt((off[~post] ** 2).mean()))
-    return (unit, gap * float(wide[unit][~post].mean()), gap * 100, rmse, abs(gap) / max(rmse, 1e-9), dict(zip(donors, map(float, w), strict=True)))
-
-
-def synthetic_controls(series: DataFrame, units: list[str], start: Column, value: str = "rate", leave_out: list[list[str]] | None = None, noise: float = 0.0) -> DataFrame:
-    """The synthetic control of each unit against all others; units run as parallel tasks, each with the windows of
-    the units it needs (a year and five weeks of a handful of units). gap_ratio is the mean gap over the error
-    before the start. leave_out: donors to leave out, one more run for each list; noise adds a random donor."""
-    runs = [(u, []) for u in units] + [(units[0], out) for out in leave_out or []]
-    spark = series.sparkSession
-    plan = spark.createDataFrame([(k, u, out) for k, (u, out) in enumerate(runs)], "run int, target string, out array<string>")
-    rows = _windows(series, start).select("unit", "week", "post", F.col(value).alias("v"))
-    jobs = rows.join(F.broadcast(plan)).where("NOT array_contains(out, unit)")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = pdf["target"].iloc[0]
-        wide = pdf.pivot(index="week", columns="unit", values="v").dropna()
-        post = pdf.groupby("week")["post"].max().reindex(wide.index).to_numpy(bool)
-        if noise:
-            wide["_noise"] = wide.mean(axis=1) * (1 + np.random.default_rng(11).normal(0, noise, len(wide)))
-        found = _synthetic(target, wide, post) if target in wide else None
-        return pd.DataFrame([found] if found else [], columns=[c.split()[0] for c in SYNTHETIC.split(", ")])
-
-    return jobs.groupBy("run").applyInPandas(one, SYNTHETIC)
-
-
 def placebo_ranks(controls: DataFrame, treated: str) -> DataFrame:
     """The treated unit's rank among all units by gap ratio, and its p-value; null with fewer than four placebos."""
     real = controls.where(F.col("unit") == treated).select(F.col("gap_ratio").alias("real"))
@@ -180,18 +143,20 @@ def verdict(evidence: dict) -> tuple[str, str]:
 def refutations(series: DataFrame, treated: str, start: str, value: str = "rate", draws: int = 5) -> DataFrame:
     """Three tests of a synthetic control: the same 26 weeks earlier, with a random donor, and without 30 % of the
     donors five times. Each with how far the gap moved and whether that is little enough."""
-    at = F.lit(start).cast("date")
-    donors = sorted(r["unit"] for r in series.select("unit").distinct().where(F.col("unit") != treated).collect())
+    spark, at = series.sparkSession, F.lit(start).cast("date")
+    held = synthetic.cases(series, [at, F.date_sub(at, 7 * 26)], value)
+    noisy = synthetic.cases(series, [at], value, noise=0.05)
+    donors = [u for u in held[0].units if u != treated] if 0 in held else []
     rng = np.random.default_rng(23)
     out = [sorted(rng.choice(donors, max(1, round(0.3 * len(donors))), replace=False).tolist()) for _ in range(draws)] if len(donors) > 2 else []
-    real = synthetic_controls(series, [treated], at, value, out)
-    gaps = [r["gap"] for r in real.collect()]
-    early = [r["gap"] for r in synthetic_controls(series, [treated], F.date_sub(at, 7 * 26), value).collect()]
-    noisy = [r["gap"] for r in synthetic_controls(series, [treated], at, value, noise=0.05).collect()]
-    if not gaps:
-        return series.sparkSession.createDataFrame([], "test string, moved double, passed boolean")
-    scale = max(abs(gaps[0]), 1e-12)
-    rows = [("placebo_in_time", abs(early[0]) / scale if early else None, 0.35), ("random_donor", abs(noisy[0] - gaps[0]) / scale if noisy else None, 0.30)]
-    rows.append(("leave_donors_out", float(np.mean([abs(g - gaps[0]) / scale for g in gaps[1:]])) if gaps[1:] else None, 0.30))
-    return series.sparkSession.createDataFrame([(n, m, m is not None and m < limit) for n, m, limit in rows], "test string, moved double, passed boolean")
-
+    if noisy:
+        held[2] = noisy[0]
+    problems = [(0, 0, treated, []), (1, 1, treated, []), (2, 2, treated, [])] + [(3 + k, 0, treated, o) for k, o in enumerate(out)]
+    gaps = {r["problem"]: r["gap"] for r in synthetic.controls(spark.createDataFrame(problems, synthetic.PROBLEM).coalesce(1), held).select("problem", "gap").collect()}
+    if 0 not in gaps:
+        return spark.createDataFrame([], "test string, moved double, passed boolean")
+    real, scale = gaps[0], max(abs(gaps[0]), 1e-12)
+    others = [abs(g - real) / scale for k, g in gaps.items() if k > 2]
+    rows = [("placebo_in_time", abs(gaps[1]) / scale if 1 in gaps else None, 0.35), ("random_donor", abs(gaps[2] - real) / scale if 2 in gaps else None, 0.30)]
+    rows.append(("leave_donors_out", float(np.mean(others)) if others else None, 0.30))
+    return spark.createDataFrame([(n, m, m is not None and m < limit) for n, m, limit in rows], "test string, moved double, passed boolean")

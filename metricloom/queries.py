@@ -354,6 +354,29 @@ def placebo_inference(spark, d):
     return causal.placebo_ranks(causal.synthetic_controls(_units(spark, d), units, F.lit(START).cast("date")), "ASIA")
 
 
+def _placed(series, value="rate", fill=None):
+    return causal.synthetic.placed(causal.synthetic_controls(series, None, F.lit(START).cast("date"), value, fill=fill))
+
+
+@query
+def placebo_nations(spark, d):
+    """Every nation as if it had been treated, among all; weeks without orders count as its mean."""
+    return _placed(_nations(spark, d), fill="mean")
+
+
+@query
+def placebo_product_lines(spark, d):
+    return _placed(causal.unit_series(_lines(spark, d), "product_line"), fill="mean")
+
+
+@query
+def placebo_many_units(spark, d):
+    """Every nation's every brand among all, by the quantity ordered; weeks without orders count as 0."""
+    lines = tables.order_lines(spark, d)
+    sold = lines.groupBy(F.concat_ws("|", "nation", "brand").alias("unit"), "week").agg(F.sum("quantity").cast("double").alias("quantity"))
+    return _placed(sold, "quantity", 0.0)
+
+
 @query
 def refutations(spark, d):
     return causal.refutations(_units(spark, d), "ASIA", START)
