@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlapping
+
 BLOCKING = ("STALE_SOURCE", "SOURCE_CONFLICT", "CALIBRATION_INTEGRITY")
 LEAST_HISTORY = 60
 #: What would settle a trigger that fired.
@@ -20,14 +22,10 @@ TESTS = {
 
 
 def overlaps(effects: DataFrame, limit: float = 0.60) -> DataFrame:
-    """All pairs of accepted effects (id, low, high) whose intervals overlap by more than `limit` of their union.
-    Effects are a handful of hypotheses per case; pairs are joined within a case if there is that column."""
-    a, b = effects.alias("a"), effects.alias("b")
-    same = F.col("a.case") == F.col("b.case") if "case" in effects.columns else F.lit(True)
-    both = a.join(b, same & (F.col("a.id") < F.col("b.id")))
-    shared = F.greatest(F.least("a.high", "b.high") - F.greatest("a.low", "b.low"), F.lit(0.0))
-    union = F.greatest("a.high", "b.high") - F.least("a.low", "b.low")
-    return both.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.round(F.try_divide(shared, union), 6).alias("overlap")).where(F.col("overlap") > limit)
+    """All pairs of accepted effects (id, low, high) whose intervals overlap by more than `limit` of their union, within
+    a case if there is that column."""
+    by = ["case"] if "case" in effects.columns else []
+    return overlapping(effects, limit, by).select("first", "second", F.round("overlap", 6).alias("overlap"))
 
 
 def triggers(case: DataFrame) -> DataFrame:

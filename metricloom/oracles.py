@@ -280,6 +280,13 @@ ORACLES |= {
     "competing_overlap": """WITH e AS (SELECT * FROM (VALUES ('A', 'H1', 0.0, 10.0), ('A', 'H2', 1.0, 9.0), ('A', 'H3', 8.0, 30.0), ('B', 'H4', -5.0, -1.0), ('B', 'H5', -4.9, -1.2)) t("case", id, low, high)), p AS (
             SELECT a.id AS first, b.id AS second, greatest(least(a.high, b.high) - greatest(a.low, b.low), 0)::DOUBLE / (greatest(a.high, b.high) - least(a.low, b.low))::DOUBLE AS overlap FROM e a JOIN e b ON a."case" = b."case" AND a.id < b.id
         ) SELECT first, second, round(overlap, 6) AS overlap FROM p WHERE overlap > 0.6""",
+    "shipping_overlaps": """WITH i AS (
+            SELECT o_custkey, o_orderkey AS id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS low, date_diff('day', DATE '1970-01-01', max(l_shipdate)::DATE) AS high
+            FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, o_orderdate
+        ), p AS (
+            SELECT a.o_custkey, a.id AS first, b.id AS second, (least(a.high, b.high) - greatest(a.low, b.low))::DOUBLE / (greatest(a.high, b.high) - least(a.low, b.low)) AS overlap
+            FROM i a JOIN i b ON a.o_custkey = b.o_custkey AND a.id < b.id AND a.high > a.low AND b.high > b.low
+        ) SELECT o_custkey, first, second, round(overlap, 6) AS overlap FROM p WHERE overlap > 0.6""",
     "abstention_triggers": f'WITH {CASES} SELECT "case", code, fired FROM fired',
     "abstention_mode": f"""WITH {CASES}, g AS (SELECT "case", bool_or(fired AND code IN ('STALE_SOURCE', 'SOURCE_CONFLICT', 'CALIBRATION_INTEGRITY')) AS blocked, bool_or(fired AND code = 'UNEXPLAINED_RESIDUAL') AS rest, bool_or(fired AND code = 'COMPETING_EXPLANATIONS') AS many,
             count(*) FILTER (WHERE fired AND code <> 'GRAIN_POLICY') AS k, count(*) FILTER (WHERE fired) AS n_fired FROM fired GROUP BY "case"

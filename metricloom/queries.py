@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attribution, causal, decision, detect, graph, lattice, narrative, panel, policy, telemetry, topics
+from .operators import attribution, causal, decision, detect, graph, intervals, lattice, narrative, panel, policy, telemetry, topics
 from .sources import tables
 from .sources.contracts import DIMENSIONS, METRICS, PORTFOLIO
 from .streaming import weekly
@@ -399,6 +399,17 @@ def competing_overlap(spark, d):
     return policy.overlaps(spark.createDataFrame(EFFECTS, "case string, id string, low double, high double"))
 
 
+@query
+def shipping_overlaps(spark, d):
+    """Orders of a customer whose times from order to last shipment overlap by more than 60 %."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+    shipped = tables.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    orders = tables.table(spark, d, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = orders.select("o_custkey", F.col("o_orderkey").alias("id"), day("o_orderdate").alias("low"), day("shipped").alias("high"))
+    found = intervals.overlapping(rows, by=["o_custkey"])
+    return found.select("o_custkey", "first", "second", F.round("overlap", 6).alias("overlap"))
+
+
 @query
 def abstention_triggers(spark, d):
     return policy.triggers(spark.createDataFrame(CASES, CASE)).select("case", "code", "fired")
