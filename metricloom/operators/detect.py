@@ -90,63 +90,75 @@ def _share(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return 100 * x / np.where(of > 1e-12, of, np.nan)
 
 
-def _findings(y: np.ndarray, alpha: float, gamma: float) -> dict[str, np.ndarray] | None:
-    """The findings' columns of series of one length, a row each; None if they are too short to calibrate."""
+def _findings(y: np.ndarray, have: int, alpha: float, gamma: float) -> dict[str, np.ndarray] | None:
+    """The findings' columns of series of one length, a row each, that have values in `have` of its weeks (NaN in the
+    rest); None if they are too short to calibrate."""
     m, n = y.shape
-    split = numerics.split_of(n, SEASONAL_WEEKS)
-    r = numerics.residuals_of(y, split)
+    if have == n:
+        split = numerics.split_of(n, SEASONAL_WEEKS)
+        f = numerics.Gapped(y[:, -1], y[:, -2], numerics.forecasts_of(y, split)[:, -1], numerics.residuals_of(y, split), split.seasonal, split.out_of_sample)
+    else:
+        f = numerics.gapped_forecasts(y, have, SEASONAL_WEEKS)
+    r, actual, forecast = f.residuals, f.actual, f.forecast
     k = r.shape[1]
     if k < LEAST_RESIDUALS:
         return None
-    actual, forecast = y[:, -1], numerics.forecasts_of(y, split)[:, -1]
     deviation = actual - forecast
     level = numerics.adaptive_levels(r, alpha, gamma)
     half, valid = numerics.half_widths(r, level)
     p, tail = numerics.tail_p_values(r, deviation)
     hits, holdouts = np.zeros(m, int), 0
-    if k >= 16 and split.out_of_sample:
+    if k >= 16 and f.out_of_sample:
         width, _ = numerics.half_widths(r[:, : k // 2], np.full(m, alpha))
         hits, holdouts = (np.abs(r[:, k // 2 :]) <= width[:, None]).sum(axis=1), k - k // 2
     return {
-        "n_history": np.full(m, n), "seasonal": np.full(m, split.seasonal), "actual": actual, "forecast": forecast, "lo": forecast - half, "hi": forecast + half,
-        "deviation": deviation, "deviation_pct": _share(deviation, forecast), "wow_pct": _share(y[:, -1] - y[:, -2], y[:, -2]), "outside_interval": np.abs(deviation) > half,
-        "p_value": p, "p_method": np.where(tail, "tail", "empirical"), "adapted_alpha": level, "sparse": np.full(m, n < SEASONAL_WEEKS), "out_of_sample": np.full(m, split.out_of_sample),
+        "n_history": np.full(m, have), "seasonal": np.full(m, f.seasonal), "actual": actual, "forecast": forecast, "lo": forecast - half, "hi": forecast + half,
+        "deviation": deviation, "deviation_pct": _share(deviation, forecast), "wow_pct": _share(actual - f.before, f.before), "outside_interval": np.abs(deviation) > half,
+        "p_value": p, "p_method": np.where(tail, "tail", "empirical"), "adapted_alpha": level, "sparse": np.full(m, have < SEASONAL_WEEKS), "out_of_sample": np.full(m, f.out_of_sample),
         "interval_valid": valid, "width_pct": _share(2 * half, forecast), "n_calibration": np.full(m, k), "hits": hits, "holdouts": np.full(m, holdouts),
     }
 
 
-def series_findings(long: DataFrame, alpha: float = 0.10, gamma: float = 0.05) -> DataFrame:
+def series_findings(long: DataFrame, alpha: float = 0.10, gamma: float = 0.05, calendar: bool = False) -> DataFrame:
     """One finding per series (level, dimensions, metric) that is long enough, varies and has the last of all weeks.
-    A series travels as two sorted arrays, so each Arrow batch carries many and no task starts a frame per series."""
+    A series travels as two sorted arrays, so each Arrow batch carries many and no task starts a frame per series.
+    With calendar, weeks that a series lacks keep their place in time; without, its weeks close up."""
     last = long.agg(F.max("week").alias("last_week"))
     pairs = F.array_sort(F.collect_list(F.struct("week", "value")))
     grouped = long.groupBy(*SERIES).agg(pairs.alias("s"), F.max("week").alias("latest"), F.stddev_pop("value").alias("spread"))
     usable = grouped.join(F.broadcast(last), F.col("latest") == F.col("last_week")).where((F.size("s") >= LEAST_WEEKS) & (F.col("spread") > 1e-8))
-    rows = usable.select(*SERIES, F.col("s.value").alias("values"))
+    week = F.floor(F.datediff(F.col("s")[F.size("s") - 1]["week"], F.col("s")[0]["week"]) / 7) + 1
+    places = F.transform("s", lambda p: F.floor(F.datediff(p["week"], F.col("s")[0]["week"]) / 7).cast("int"))
+    rows = usable.select(*SERIES, F.col("s.value").alias("values"), *([week.cast("int").alias("span"), places.alias("places")] if calendar else []))
 
     names = [c.split()[0] for c in FINDING.split(", ")]
     whole = dict.fromkeys(("level", "n_history", "n_calibration", "hits", "holdouts"), "int32")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, part in b.groupby(b["values"].str.len(), sort=False):
-                found = _findings(np.stack(part["values"].to_list()).astype(float), alpha, gamma)
+            have = b["values"].str.len()
+            for (n, span), part in b.groupby([have, b["span"] if calendar else have], sort=False):
+                y = np.stack(part["values"].to_list()).astype(float)
+                if span != n:
+                    y, closed = np.full((len(part), span), np.nan), y
+                    y[np.arange(len(part))[:, None], np.stack(part["places"].to_list())] = closed
+                found = _findings(y, n, alpha, gamma)
                 if found is not None:
                     yield part[list(SERIES)].assign(**found)[names].astype(whole)
 
     return rows.mapInPandas(run, FINDING)
 
 
-def detect(panel: DataFrame, metrics: list[str] | None = None, alpha: float = 0.10, q: float = 0.10, catalog: Catalog = METRICS) -> DataFrame:
+def detect(panel: DataFrame, metrics: list[str] | None = None, alpha: float = 0.10, q: float = 0.10, catalog: Catalog = METRICS, calendar: bool = False) -> DataFrame:
     """Findings of all slices and metrics: forecast, interval, p-value and q-value over all tests, impact against
     the contract, and material (survives and reaches the floor). Without metrics given, all that contracts
-    allow weekly; those that contracts keep from weekly use are refused."""
+    allow weekly; those that contracts keep from weekly use are refused. calendar: see series_findings()."""
     for m in metrics or []:
         ok, why = catalog.metric(m).supports_weeks()
         if not ok:
             raise ValueError(why)
     chosen = metrics or [m.name for m in catalog.weekly()[0]]
-    found = benjamini_hochberg(series_findings(long_metrics(lattice(panel), chosen), alpha), q)
+    found = benjamini_hochberg(series_findings(long_metrics(lattice(panel), chosen), alpha, calendar=calendar), q)
     return with_impact(labelled(found), catalog).withColumn("material", F.col("survives_fdr") & F.col("meets_threshold"))
 
 

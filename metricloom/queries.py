@@ -204,6 +204,12 @@ def forecast_findings(spark, d):
     return detect.detect(panel.panel_of(spark, d))
 
 
+@query
+def calendar_findings(spark, d):
+    """forecast_findings() with time by the calendar, for slices that have no value in some weeks."""
+    return detect.detect(panel.panel_of(spark, d), calendar=True)
+
+
 @query
 def interval_coverage(spark, d):
     return forecast_findings(spark, d).agg(F.round(detect.coverage(), 4).alias("coverage"), F.sum("holdouts").alias("holdouts"))
