@@ -109,9 +109,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def short_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Lets Arrow batches have at most so many rows in this session, unless it has a setting of its own: texts are
-    long, and a batch is held by the JVM and by Python at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def short_batches(spark: SparkSession, rows: int = 400, size: int = 4 << 20) -> None:
+    """Lets Arrow batches have at most so many rows and about so many bytes in this session, unless it has settings of
+    its own: texts and packed lists are long, and a batch is held by the JVM (outside its heap) and by Python at once."""
+    for name, usual, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, written
+from .common import arrow_map, partitions, short_batches, written
 from .token_files import GROUP, WordEncoder
 
 BUCKETS = 16
@@ -98,7 +98,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     ends = boundaries(rows, "n_tokens", buckets)
     rows = rows.withColumn("bucket", F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e < F.col("n_tokens"))) if ends else F.lit(0))
     dealt = rows.repartitionByRange(partitions(spark), "bucket", "n_tokens", "doc_id").sortWithinPartitions("bucket", "n_tokens", "doc_id")
-    numbered = written(dealt.mapInArrow(_numbered, "doc_id long, n_tokens long, bucket int, part int, number long"), "numbered")
+    numbered = written(arrow_map(dealt, _numbered, "doc_id long, n_tokens long, bucket int, part int, number long"), "numbered")
     counts = numbered.groupBy("bucket", "part").agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select("bucket", "part", before.alias("before"))  # at most a row for each bucket and task
@@ -131,4 +131,5 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def pack_tokens(docs: DataFrame, tokenizer: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """pack() of documents by their number of tokens."""
+    short_batches(docs.sparkSession)
     return pack(token_counts(docs, tokenizer), buckets, budget)

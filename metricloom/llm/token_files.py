@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, open_fs, partitions, scratch, written
+from .common import batch, open_fs, partitions, scratch, short_batches, written
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
@@ -256,6 +256,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     failed tasks leave behind."""
     fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
+    short_batches(docs.sparkSession)
     width = id_width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
