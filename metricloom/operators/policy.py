@@ -25,7 +25,7 @@ def overlaps(effects: DataFrame, limit: float = 0.60) -> DataFrame:
     """All pairs of accepted effects (id, low, high) whose intervals overlap by more than `limit` of their union, within
     a case if there is that column."""
     by = ["case"] if "case" in effects.columns else []
-    return overlapping(effects, limit, by).select("first", "second", F.round("overlap", 6).alias("overlap"))
+    return overlapping(effects, limit, by).select(*by, "first", "second", F.round("overlap", 6).alias("overlap"))
 
 
 def triggers(case: DataFrame) -> DataFrame:

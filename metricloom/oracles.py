@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators.topics import NODE_WORDS
 from .sources.contracts import METRICS, PORTFOLIO
 
 LEAF = "region, product_line, channel, segment"
@@ -188,7 +189,11 @@ UNITS = f"""{PANEL}, units AS (
     UNION ALL SELECT *, TRUE FROM units WHERE week >= DATE '2000-06-04' QUALIFY row_number() OVER (PARTITION BY unit ORDER BY week) <= 5
 )"""
 
-EDGES = f"""edges AS (SELECT * FROM (VALUES {", ".join(map(str, METRICS.edges))}) t(src, dst)
+EDGES = f"""sold AS (
+    SELECT s_nationkey, c_nationkey, sum(cast(l_quantity AS DECIMAL(18,2))) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    WHERE s_nationkey < c_nationkey GROUP BY ALL
+), edges AS (
+    SELECT 'NATION_' || s_nationkey AS src, 'NATION_' || c_nationkey AS dst FROM sold QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY n DESC, c_nationkey) <= 2
 ), walk AS (
     SELECT src, dst, [src, dst] AS path FROM edges
     UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON w.dst = e.src WHERE len(w.path) <= 6 AND NOT list_contains(w.path, e.dst)
@@ -211,17 +216,37 @@ BUNDLES = f"""levers AS (SELECT * FROM (VALUES {_LEVERS}) t(k, lever, label, cos
     SELECT *, {_VALUE} AS value, cost <= {PORTFOLIO.budget} AS feasible FROM gated
 )"""
 
-CASES = """cases AS (SELECT * FROM (VALUES ('A', -100.0, 80.0, 2, 2, 0, 0, 120, 1, TRUE), ('B', -100.0, 10.0, 0, 0, 0, 0, 120, 0, TRUE), ('C', 50.0, 45.0, 1, 0, 0, 0, 80, 1, TRUE), ('D', -100.0, 90.0, 1, 0, 1, 0, 30, 0, FALSE), ('E', 0.0, 0.0, 1, 0, 0, 3, 200, 0, TRUE))
-    t("case", total_gap, explained, n_accepted, n_overlaps, n_stale, n_conflicts, n_weeks, n_excluded, out_of_sample)
+CASES = f"""{LINES}, dated AS (SELECT *, max(week) OVER () AS last_week FROM lines), sides AS (
+    SELECT *, week = last_week AS is_now, week BETWEEN last_week - 56 AND last_week - 7 AS is_before FROM dated
+), cases AS (
+    SELECT nation AS "case", coalesce(sum(amount) FILTER (NOT returned AND is_now), 0)::DOUBLE - coalesce(sum(amount) FILTER (NOT returned AND is_before), 0)::DOUBLE / 8 AS total_gap,
+           -(coalesce(sum(amount) FILTER (returned AND is_now), 0)::DOUBLE - coalesce(sum(amount) FILTER (returned AND is_before), 0)::DOUBLE / 8) AS explained,
+           count(DISTINCT product_line) FILTER (returned AND is_now) AS n_accepted, count(*) FILTER (is_now AND NOT in_time AND returned) AS n_overlaps, (max(last_week) - max(week)) // 7 AS n_stale,
+           count(*) FILTER (is_now AND NOT in_time AND quantity > 45) AS n_conflicts, count(DISTINCT week) AS n_weeks, count(DISTINCT segment) FILTER (is_now AND quantity < 5) AS n_excluded, count(DISTINCT week) >= 20 AS out_of_sample
+    FROM sides GROUP BY nation
 ), shares AS (SELECT *, least(coalesce(abs(explained) / nullif(abs(total_gap), 0), 0), 1) AS share FROM cases), fired AS (
-    SELECT "case", unnest([{'code': 'UNEXPLAINED_RESIDUAL', 'fired': 1 - share > 0.40}, {'code': 'COMPETING_EXPLANATIONS', 'fired': n_overlaps > 0}, {'code': 'STALE_SOURCE', 'fired': n_stale > 0}, {'code': 'SOURCE_CONFLICT', 'fired': n_conflicts > 0},
-        {'code': 'SPARSE_HISTORY', 'fired': n_weeks < 60}, {'code': 'GRAIN_POLICY', 'fired': n_excluded > 0}, {'code': 'CALIBRATION_INTEGRITY', 'fired': NOT out_of_sample}], recursive := TRUE) FROM shares
+    SELECT "case", unnest([{{'code': 'UNEXPLAINED_RESIDUAL', 'fired': 1 - share > 0.40}}, {{'code': 'COMPETING_EXPLANATIONS', 'fired': n_overlaps > 0}}, {{'code': 'STALE_SOURCE', 'fired': n_stale > 0}}, {{'code': 'SOURCE_CONFLICT', 'fired': n_conflicts > 0}},
+        {{'code': 'SPARSE_HISTORY', 'fired': n_weeks < 60}}, {{'code': 'GRAIN_POLICY', 'fired': n_excluded > 0}}, {{'code': 'CALIBRATION_INTEGRITY', 'fired': NOT out_of_sample}}], recursive := TRUE) FROM shares
 )"""
 
 _RETURNS = f"""{LINES}, counts AS (SELECT nation AS topic, week, count(*) AS n FROM lines WHERE returned GROUP BY ALL), filled AS (
     SELECT t.topic, cast(w.week AS DATE) AS week, coalesce(n, 0) AS n FROM (SELECT DISTINCT topic FROM counts) t CROSS JOIN (SELECT unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS week FROM counts) w LEFT JOIN counts c ON c.topic = t.topic AND c.week = cast(w.week AS DATE)
 )"""
 
+FEEDBACK = """feedback AS (
+    SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'hypothesis' ELSE 'action' END AS entity_type, 'H' || user_id AS entity_id,
+           CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'acted_on' ELSE 'no_effect' END AS verdict, 'cause' || user_id % 20 AS cause_node, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts
+    FROM events WHERE event_type IN ('purchase', 'error', 'click', 'view')
+)"""
+STAGES = """stages AS (
+    SELECT value AS latency_ms, CASE event_type WHEN 'signup' THEN 'io' WHEN 'view' THEN 'deterministic' WHEN 'purchase' THEN 'template' ELSE 'statistical' END AS kind, (props->>'$.k')::BIGINT AS rows FROM events
+)"""
+CALLS = """calls AS (
+    SELECT CASE WHEN user_id % 3 = 0 THEN 'large' ELSE 'small' END AS model, event_id % 7 = 0 AS cached, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 1000 + 100 END AS input_tokens,
+           CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id % 300 END AS output_tokens, value AS latency_ms, CASE WHEN user_id % 3 = 0 THEN 3 ELSE 1 END AS input_price, CASE WHEN user_id % 3 = 0 THEN 15 ELSE 5 END AS output_price
+    FROM events WHERE event_type = 'purchase'
+)"""
+
 _TOKENS = "list_transform(regexp_extract_all({}, '-?[0-9][0-9,]*\\.?[0-9]*'), lambda t: regexp_replace(replace(t, ',', ''), '\\.$', ''))"
 
 ORACLES |= {
@@ -238,12 +263,15 @@ ORACLES |= {
     "detection_diagnostics": f"""WITH {FDR} SELECT count(*) AS n_tests, count(*) FILTER (WHERE p_value <= 0.05) AS naive, count(*) FILTER (WHERE q_value <= 0.10) AS survivors,
         count(*) FILTER (WHERE q_value <= 0.10 AND abs(deviation) >= {_FLOOR}) AS material, count(*) FILTER (WHERE p_value <= 0.05) - count(*) FILTER (WHERE q_value <= 0.10) AS alarms_avoided FROM found""",
     "dag_reachability": f"WITH RECURSIVE {EDGES} SELECT src, dst, cast(n_edges AS INT) AS n_edges, path FROM short",
-    "corroboration_merge": f"""WITH RECURSIVE {EDGES}, c AS (SELECT * FROM (VALUES ('E1', 'event', 'delivery_sla'), ('E2', 'event', 'price_change'), ('T1', 'topic', 'cancellation_rate'), ('T2', 'topic', 'app_usability'), ('T3', 'topic', 'nps'), ('X1', 'feed', 'competitor_promo'), ('X2', 'feed', 'asp')) t(id, source, node)),
-        o AS (SELECT c.*, s.path FROM c LEFT JOIN short s ON s.src = node AND s.dst = 'revenue'), m AS (
+    "corroboration_merge": f"""WITH RECURSIVE {EDGES}, c AS (SELECT 'C' || n_nationkey AS id, ['event', 'topic', 'feed'][n_nationkey % 3 + 1] AS source, n_name AS node FROM nation),
+        o AS (SELECT c.*, s.path FROM c LEFT JOIN short s ON s.src = node AND s.dst = 'NATION_24'), m AS (
             SELECT o.*, (SELECT min(e.id) FROM o e WHERE e.source = 'event' AND o.source <> 'event' AND list_contains(string_split(e.path, '>'), o.node)) AS merged_into FROM o
         ) SELECT *, CASE WHEN merged_into IS NOT NULL THEN 'merged' WHEN path IS NULL THEN 'rejected' ELSE 'kept' END AS fate FROM m""",
-    "metric_exclusions": "SELECT 'nps' AS metric",
-    "topic_node_map": "SELECT * FROM (VALUES (0, 'late courier box day', 'delivery_sla'), (1, 'price discount card sale', 'price_change'), (2, 'happy thanks good nice', 'unmapped_topic'), (3, 'refund invoice late price', 'billing_error'), (4, 'login app page error', 'app_usability')) t(topic, name, node)",
+    "metric_exclusions": f"""WITH {PANEL} SELECT unnest([{{'metric': 'revenue', 'n': count(revenue), 'excluded': FALSE}}, {{'metric': 'cancellation_rate', 'n': count(cancellation_rate), 'excluded': FALSE}}, {{'metric': 'delivery_sla_pct', 'n': count(delivery_sla_pct), 'excluded': FALSE}},
+            {{'metric': 'ticket_volume', 'n': count(ticket_volume), 'excluded': FALSE}}, {{'metric': 'nps', 'n': 0, 'excluded': TRUE}}], recursive := TRUE) FROM panel""",
+    "topic_node_map": f"""WITH w AS (SELECT doc_id AS topic, list_distinct(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+')) AS words FROM documents), n AS (
+            SELECT topic, [{", ".join(f"len(list_intersect(words, {list(ws)}))" for _, ws in NODE_WORDS)}] AS hits FROM w
+        ) SELECT topic, CASE WHEN list_max(hits) > 0 THEN {[node for node, _ in NODE_WORDS]}[list_position(hits, list_max(hits))] ELSE 'unmapped_topic' END AS node FROM n""",
     "date_spine_zero_fill": f"WITH {_RETURNS} SELECT topic, week, n FROM filled",
     "topic_spike": f"""WITH {_RETURNS}, b AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY week DESC) - 1 AS back FROM filled), m AS (
             SELECT topic, avg(n) FILTER (WHERE back < 6) AS post, avg(n) FILTER (WHERE back BETWEEN 6 AND 31) AS pre FROM b GROUP BY topic
@@ -277,9 +305,12 @@ ORACLES |= {
         SELECT round(corr(exposure, effect), 6) AS correlation, (SELECT unit FROM t) AS most_affected, (SELECT exposure FROM t) < 0.85 * max(exposure) AS inverted, count(*) AS n FROM j""",
     "effect_translation": f"""WITH {UNITS}, b AS (SELECT avg(gross_orders) * avg(revenue / nullif(net_units, 0)) AS base FROM sided WHERE unit = 'ASIA' AND NOT post)
         SELECT round(-0.05::DOUBLE * base, 2) AS impact, round(-(0.05::DOUBLE + 1.96 * 0.01) * base, 2) AS impact_low, round(-(0.05::DOUBLE - 1.96 * 0.01) * base, 2) AS impact_high FROM b""",
-    "competing_overlap": """WITH e AS (SELECT * FROM (VALUES ('A', 'H1', 0.0, 10.0), ('A', 'H2', 1.0, 9.0), ('A', 'H3', 8.0, 30.0), ('B', 'H4', -5.0, -1.0), ('B', 'H5', -4.9, -1.2)) t("case", id, low, high)), p AS (
-            SELECT a.id AS first, b.id AS second, greatest(least(a.high, b.high) - greatest(a.low, b.low), 0)::DOUBLE / (greatest(a.high, b.high) - least(a.low, b.low))::DOUBLE AS overlap FROM e a JOIN e b ON a."case" = b."case" AND a.id < b.id
-        ) SELECT first, second, round(overlap, 6) AS overlap FROM p WHERE overlap > 0.6""",
+    "competing_overlap": f"""WITH {LINES}, w AS (SELECT nation, product_line, week, sum(amount)::DOUBLE AS v FROM lines WHERE NOT returned GROUP BY ALL), e AS (
+            SELECT nation AS "case", product_line AS id, avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)) AS low, avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)) AS high FROM w GROUP BY ALL
+        ), p AS (
+            SELECT a."case", a.id AS first, b.id AS second, (least(a.high, b.high) - greatest(a.low, b.low)) / (greatest(a.high, b.high) - least(a.low, b.low)) AS overlap
+            FROM e a JOIN e b ON a."case" = b."case" AND a.id < b.id AND a.high > a.low AND b.high > b.low
+        ) SELECT "case", first, second, round(overlap, 6) AS overlap FROM p WHERE overlap > 0.6""",
     "shipping_overlaps": """WITH i AS (
             SELECT o_custkey, o_orderkey AS id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS low, date_diff('day', DATE '1970-01-01', max(l_shipdate)::DATE) AS high
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, o_orderdate
@@ -292,8 +323,11 @@ ORACLES |= {
             count(*) FILTER (WHERE fired AND code <> 'GRAIN_POLICY') AS k, count(*) FILTER (WHERE fired) AS n_fired FROM fired GROUP BY "case"
         ), m AS (SELECT g.*, share, CASE WHEN blocked OR rest AND n_accepted = 0 THEN 'abstain' WHEN many THEN 'competing' WHEN n_accepted > 0 THEN 'confident' ELSE 'abstain' END AS mode FROM g JOIN shares USING ("case"))
         SELECT "case", mode, round(cast(greatest(0, least(CASE WHEN mode = 'abstain' THEN least(share * pow(0.82, k), 0.35) ELSE share * pow(0.82, k) END, 0.99)) AS DOUBLE), 4) AS confidence, n_fired FROM m""",
-    "feedback_conflict": "SELECT 'H2' AS id, 'price_change' AS node, 0::BIGINT AS confirmed, 1::BIGINT AS rejected",
-    "feedback_summary": "SELECT * FROM (VALUES ('hypothesis', 'rejected', 2::BIGINT, 'H1,H7'), ('hypothesis', 'confirmed', 1, 'H1'), ('action', 'acted_on', 1, 'night_shift'), ('action', 'no_effect', 1, 'refund_rule')) t(entity_type, verdict, n, entities)",
+    "feedback_conflict": f"""WITH {FEEDBACK}, c AS (
+            SELECT cause_node, count(*) FILTER (verdict = 'confirmed') AS confirmed, count(*) FILTER (verdict = 'rejected') AS rejected, arg_max(verdict, ts || verdict) AS latest FROM feedback WHERE entity_type = 'hypothesis' GROUP BY cause_node
+        ), h AS (SELECT DISTINCT user_id, 'H' || user_id AS id, 'cause' || user_id % 20 AS node FROM events)
+        SELECT id, node, confirmed, rejected FROM h JOIN c ON cause_node = node WHERE user_id % 2 = 0 AND latest = 'rejected'""",
+    "feedback_summary": f"WITH {FEEDBACK} SELECT entity_type, verdict, count(*) AS n, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS entities FROM feedback GROUP BY ALL",
     "bundle_enumeration": f"WITH {BUNDLES} SELECT bundle, levers, cost, relieved, cast(realised AS INT) AS realised, value, n_families, feasible FROM bundles",
     "bundle_dominance": f"WITH {BUNDLES} SELECT cast(realised AS INT) AS realised, levers, cost, value FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1",
     "bundle_pruning": f"""WITH {BUNDLES} SELECT bundle, levers, cost, feasible, CASE WHEN NOT feasible THEN 'costs ' || format('{{:,}}', cast(cost - {PORTFOLIO.budget} AS BIGINT)) || ' more than the budget' END AS reason
@@ -321,8 +355,9 @@ ORACLES |= {
         ) SELECT d.doc_id AS "case", coalesce(missing, '') AS missing, missing IS NULL AS passed FROM documents d LEFT JOIN m USING (doc_id)""",
     "rls_filtered_panel": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders, cast(cancellations AS DOUBLE) AS cancellations, cancellation_rate, delivery_sla_pct
         FROM panel WHERE region = 'ASIA'""",
-    "telemetry_by_kind": "SELECT * FROM (VALUES ('io', 57.9::DOUBLE, 1::BIGINT, 10::BIGINT), ('deterministic', 98.65, 2, 20), ('statistical', 425.0, 2, 35)) t(kind, latency_ms, n, rows)",
-    "model_call_costs": "SELECT * FROM (VALUES ('small', 1000::BIGINT, 200::BIGINT, 1::BIGINT, 0.002::DOUBLE), ('large', 500, 900, 0, 0.015)) t(model, input_tokens, output_tokens, cached, cost)",
-    "run_summary": "SELECT 581.55::DOUBLE AS latency_ms, 5::BIGINT AS stages, round(14.1::DOUBLE / 581.55, 6) AS model_share, 1500::BIGINT AS input_tokens, 1100::BIGINT AS output_tokens, 0.017::DOUBLE AS cost, 1.53::DOUBLE AS cost_other",
+    "telemetry_by_kind": f"WITH {STAGES} SELECT kind, round(sum(latency_ms), 3) AS latency_ms, count(*) AS n, sum(rows)::BIGINT AS rows FROM stages GROUP BY kind",
+    "model_call_costs": f"WITH {CALLS} SELECT model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) FILTER (cached) AS cached, round((sum(input_tokens) * any_value(input_price) + sum(output_tokens) * any_value(output_price)) / 1e6, 9)::DOUBLE AS cost FROM calls GROUP BY model",
+    "run_summary": f"""WITH {STAGES}, {CALLS}, c AS (SELECT sum(latency_ms) AS waited, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(input_tokens * input_price + output_tokens * output_price)::DOUBLE / 1e6 AS cost FROM calls), t AS (SELECT sum(latency_ms) AS latency_ms, count(*) AS stages FROM stages)
+        SELECT round(latency_ms, 3) AS latency_ms, stages, round(waited / latency_ms, 6) AS model_share, input_tokens, output_tokens, round(cost, 6) AS cost, round(cost * 90, 4) AS cost_other FROM c, t""",
     "method_registry": "SELECT * FROM (VALUES ('relational', 3::BIGINT), ('rule', 9), ('statistical', 6), ('ml', 1), ('causal', 5), ('optimisation', 2), ('template', 1)) t(category, n)",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import attribution, causal, decision, detect, graph, intervals, lattice, narrative, panel, policy, telemetry, topics
@@ -218,30 +218,43 @@ def interval_coverage(spark, d):
 # ---- graph and topics ------------------------------------------------------------------------------------------
 
 
-@query
-def dag_reachability(spark, d):
-    return graph.shortest_paths(METRICS.edge_table(spark))
+def _flows(spark, d):
+    """A graph of nations: from each supplier's nation to the two nations of a higher number that buy most from it."""
+    t = lambda name: tables.table(spark, d, name)
+    lines = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sold = lines.where("s_nationkey < c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("n"))
+    most = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("n"), "c_nationkey"))
+    name = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string"))
+    return sold.withColumn("r", most).where("r <= 2").select(name("s_nationkey").alias("src"), name("c_nationkey").alias("dst"))
 
 
-CANDIDATES = [("E1", "event", "delivery_sla"), ("E2", "event", "price_change"), ("T1", "topic", "cancellation_rate"), ("T2", "topic", "app_usability"), ("T3", "topic", "nps"), ("X1", "feed", "competitor_promo"), ("X2", "feed", "asp")]
+@query
+def dag_reachability(spark, d):
+    return graph.shortest_paths(_flows(spark, d))
 
 
 @query
 def corroboration_merge(spark, d):
-    return graph.corroborated(spark.createDataFrame(CANDIDATES, "id string, source string, node string"), METRICS.edge_table(spark), "revenue")
+    """Nations as candidates of three sources, against the one of the highest number."""
+    key = F.col("n_nationkey")
+    source = F.element_at(F.array(*map(F.lit, ("event", "topic", "feed"))), (key % 3 + 1).cast("int"))
+    found = tables.table(spark, d, "nation").select(F.concat(F.lit("C"), key.cast("string")).alias("id"), source.alias("source"), F.col("n_name").alias("node"))
+    return graph.corroborated(found, _flows(spark, d), "NATION_24")
 
 
 @query
 def metric_exclusions(spark, d):
-    return panel.excluded_metrics(spark).select("metric")
-
-
-TOPIC_NAMES = [(0, "late courier box day"), (1, "price discount card sale"), (2, "happy thanks good nice"), (3, "refund invoice late price"), (4, "login app page error")]
+    """Leaf weeks with a value of each metric that contracts allow weekly, and the metrics that they exclude."""
+    allowed = [m.name for m in METRICS.weekly()[0]]
+    counts = panel.panel_of(spark, d).agg(*(F.count(m).alias(m) for m in allowed)).unpivot([], allowed, "metric", "n")
+    return counts.withColumn("excluded", F.lit(False)).unionByName(panel.excluded_metrics(spark).select("metric", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("excluded")))
 
 
 @query
 def topic_node_map(spark, d):
-    return topics.topic_nodes(spark.createDataFrame(TOPIC_NAMES, "topic int, name string"))
+    """Every document as a topic's name: the node of the causal graph that its words point to."""
+    names = tables.table(spark, d, "documents").select(F.col("doc_id").alias("topic"), F.coalesce("text", F.lit("")).alias("name"))
+    return topics.topic_nodes(names).select("topic", "node")
 
 
 @query
@@ -390,19 +403,34 @@ def refutations(spark, d):
 
 # ---- policy ----------------------------------------------------------------------------------------------------
 
-EFFECTS = [("A", "H1", 0.0, 10.0), ("A", "H2", 1.0, 9.0), ("A", "H3", 8.0, 30.0), ("B", "H4", -5.0, -1.0), ("B", "H5", -4.9, -1.2)]
-CASES = [("A", -100.0, 80.0, 2, 2, 0, 0, 120, 1, True), ("B", -100.0, 10.0, 0, 0, 0, 0, 120, 0, True), ("C", 50.0, 45.0, 1, 0, 0, 0, 80, 1, True), ("D", -100.0, 90.0, 1, 0, 1, 0, 30, 0, False), ("E", 0.0, 0.0, 1, 0, 0, 3, 200, 0, True)]
-CASE = "case string, total_gap double, explained double, n_accepted int, n_overlaps int, n_stale int, n_conflicts int, n_weeks int, n_excluded int, out_of_sample boolean"
-FEEDBACK_ROWS = [
-    ("hypothesis", "H1", "rejected", "delivery_sla", "", "ana", "2026-01-01T00:00:00"), ("hypothesis", "H1", "confirmed", "delivery_sla", "", "ben", "2026-01-02T00:00:00"), ("hypothesis", "H7", "rejected", "price_change", "", "ana", "2026-01-03T00:00:00"),
-    ("action", "night_shift", "acted_on", "", "", "ana", "2026-01-04T00:00:00"), ("action", "refund_rule", "no_effect", "", "", "ana", "2026-01-05T00:00:00"),
-]
-HYPOTHESES = [("H1", "delivery_sla", "accepted"), ("H2", "price_change", "accepted"), ("H3", "stockout", "accepted"), ("H4", "price_change", "rejected")]
+FEEDBACK_OF = {"purchase": ("hypothesis", "confirmed"), "error": ("hypothesis", "rejected"), "click": ("action", "acted_on"), "view": ("action", "no_effect")}
+
+
+def _cases(spark, d):
+    """Each nation as a case: its last week's revenue against the eight weeks before, explained by what was returned."""
+    lines = tables.order_lines(spark, d)
+    rows = lines.join(F.broadcast(lines.agg(F.max("week").alias("at"))))
+    now, before = F.col("week") == F.col("at"), F.col("week").between(F.date_sub("at", 56), F.date_sub("at", 7))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(0)).cast("double")
+    gap = lambda when: total(when & now) - total(when & before) / 8
+    return rows.groupBy(F.col("nation").alias("case")).agg(
+        gap(~F.col("returned")).alias("total_gap"), (-gap(F.col("returned"))).alias("explained"),
+        F.count_distinct(F.when(F.col("returned") & now, F.col("product_line"))).cast("int").alias("n_accepted"), F.count_if(now & ~F.col("in_time") & F.col("returned")).cast("int").alias("n_overlaps"),
+        F.floor(F.datediff(F.max("at"), F.max("week")) / 7).cast("int").alias("n_stale"), F.count_if(now & ~F.col("in_time") & (F.col("quantity") > 45)).cast("int").alias("n_conflicts"),
+        F.count_distinct("week").cast("int").alias("n_weeks"), F.count_distinct(F.when(now & (F.col("quantity") < 5), F.col("segment"))).cast("int").alias("n_excluded"), (F.count_distinct("week") >= 20).alias("out_of_sample"),
+    )
+
+
+def _effects(spark, d):
+    """Each nation's product lines with the 95 % interval of their mean weekly revenue."""
+    weekly_ = tables.order_lines(spark, d).where("NOT returned").groupBy("nation", "product_line", "week").agg(F.sum("amount").cast("double").alias("v"))
+    half = 1.96 * F.stddev_samp("v") / F.sqrt(F.count("*"))
+    return weekly_.groupBy(F.col("nation").alias("case"), F.col("product_line").alias("id")).agg((F.avg("v") - half).alias("low"), (F.avg("v") + half).alias("high"))
 
 
 @query
 def competing_overlap(spark, d):
-    return policy.overlaps(spark.createDataFrame(EFFECTS, "case string, id string, low double, high double"))
+    return policy.overlaps(_effects(spark, d))
 
 
 @query
@@ -418,26 +446,33 @@ def shipping_overlaps(spark, d):
 
 @query
 def abstention_triggers(spark, d):
-    return policy.triggers(spark.createDataFrame(CASES, CASE)).select("case", "code", "fired")
+    return policy.triggers(_cases(spark, d)).select("case", "code", "fired")
 
 
 @query
 def abstention_mode(spark, d):
-    return policy.verdicts(policy.triggers(spark.createDataFrame(CASES, CASE)))
+    return policy.verdicts(policy.triggers(_cases(spark, d)))
 
 
-def _feedback(spark):
-    return spark.createDataFrame(FEEDBACK_ROWS, tables.FEEDBACK)
+def _feedback(spark, d):
+    """Events as feedback: their type says what is told, their user of which hypothesis and which cause."""
+    said = F.create_map(*(F.lit(x) for k, v in FEEDBACK_OF.items() for x in (k, f"{v[0]} {v[1]}")))[F.col("event_type")]
+    rows = tables.table(spark, d, "events").withColumn("said", F.split(said, " ")).where("said IS NOT NULL")
+    user = F.col("user_id")
+    return rows.select(F.col("said")[0].alias("entity_type"), F.concat(F.lit("H"), user.cast("string")).alias("entity_id"), F.col("said")[1].alias("verdict"), F.concat(F.lit("cause"), (user % 20).cast("string")).alias("cause_node"), F.lit("").alias("note"), F.lit("log").alias("user"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @query
 def feedback_conflict(spark, d):
-    return policy.feedback_conflicts(policy.feedback_history(spark.createDataFrame(HYPOTHESES, "id string, node string, verdict string"), _feedback(spark)))
+    """Users as hypotheses, every second one accepted."""
+    user = F.col("user_id")
+    rows = tables.table(spark, d, "events").select("user_id").distinct().select(F.concat(F.lit("H"), user.cast("string")).alias("id"), F.concat(F.lit("cause"), (user % 20).cast("string")).alias("node"), F.when(user % 2 == 0, "accepted").otherwise("rejected").alias("verdict"))
+    return policy.feedback_conflicts(policy.feedback_history(rows, _feedback(spark, d)))
 
 
 @query
 def feedback_summary(spark, d):
-    return policy.feedback_summary(_feedback(spark)).select("entity_type", "verdict", "n", F.array_join("entities", ",").alias("entities"))
+    return policy.feedback_summary(_feedback(spark, d)).select("entity_type", "verdict", "n", F.array_join("entities", ",").alias("entities"))
 
 
 # ---- decisions -------------------------------------------------------------------------------------------------
@@ -515,24 +550,37 @@ def rls_filtered_panel(spark, d):
     return p.select(*(c if c in ("week", *DIMENSIONS, "cancellation_rate", "delivery_sla_pct") else F.col(c).cast("double").alias(c) for c in p.columns if c not in ("ticket_volume", "deliveries", "in_time")))
 
 
-STAGES = [("load", 57.9, "io", "", 10), ("align", 96.6, "deterministic", "", 20), ("detect", 340.2, "statistical", "", 30), ("attribute", 84.8, "statistical", "", 5), ("render", 2.05, "deterministic", "", None)]
-CALLS = [("render", "small", 1000, 200, 5.0, False), ("render", "small", 0, 0, 0.1, True), ("render", "large", 500, 900, 9.0, False)]
+KINDS = {"signup": "io", "view": "deterministic", "click": "statistical", "error": "statistical", "purchase": "template"}
+PRICES = {"small": (1.0, 5.0), "large": (3.0, 15.0)}
+
+
+def _stages(spark, d):
+    """The event log as a log of stages: each event is one of its type that took `value` ms over props.k rows."""
+    kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("event_type")]
+    return tables.table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("latency_ms"), kind.alias("kind"), F.lit("").alias("notes"), F.get_json_object("props", "$.k").cast("bigint").alias("rows"))
+
+
+def _calls(spark, d):
+    """Purchases as model calls: by user, model; by event, tokens; every seventh is answered from a cache."""
+    rows = tables.table(spark, d, "events").where("event_type = 'purchase'")
+    cached = F.col("event_id") % 7 == 0
+    tokens = lambda n: F.when(cached, F.lit(0)).otherwise(n).cast("bigint")
+    return rows.select(F.col("event_type").alias("stage"), F.when(F.col("user_id") % 3 == 0, "large").otherwise("small").alias("model"), tokens(F.col("event_id") % 1000 + 100).alias("input_tokens"), tokens(F.col("user_id") % 300).alias("output_tokens"), F.col("value").alias("latency_ms"), cached.alias("cached"))
 
 
 @query
 def telemetry_by_kind(spark, d):
-    return telemetry.by_kind(spark.createDataFrame(STAGES, telemetry.STAGE))
+    return telemetry.by_kind(_stages(spark, d))
 
 
 @query
 def model_call_costs(spark, d):
-    return telemetry.call_costs(spark.createDataFrame(CALLS, telemetry.CALL), {"small": (1.0, 5.0), "large": (3.0, 15.0)}).select("model", "input_tokens", "output_tokens", "cached", F.round("cost", 9).alias("cost"))
+    return telemetry.call_costs(_calls(spark, d), PRICES).select("model", "input_tokens", "output_tokens", "cached", F.round("cost", 9).alias("cost"))
 
 
 @query
 def run_summary(spark, d):
-    found = telemetry.summary(spark.createDataFrame(STAGES, telemetry.STAGE), spark.createDataFrame(CALLS, telemetry.CALL), {"small": (1.0, 5.0), "large": (3.0, 15.0)}, 90.0)
-    return rounded(found, latency_ms=3, model_share=6, cost=9, cost_other=6)
+    return rounded(telemetry.summary(_stages(spark, d), _calls(spark, d), PRICES, 90.0), latency_ms=3, model_share=6, cost=6, cost_other=4)
 
 
 @query
