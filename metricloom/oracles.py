@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.topics import NODE_WORDS
-from .sources.contracts import METRICS, PORTFOLIO
+from .sources.contracts import METRICS
 
 LEAF = "region, product_line, channel, segment"
 
@@ -201,19 +201,29 @@ EDGES = f"""sold AS (
     SELECT src, dst, len(path) - 1 AS n_edges, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY len(path), array_to_string(path, '>')) = 1
 )"""
 
-# the example portfolio's gates: slots (4) need suppliers (2); express (16) needs carriers (1) and realised slots
+# regions in order are bits 1, 2, 4, 8, 16: the third needs the second; the fifth the first and the realised third
 _REALISED = "(relieved & 11) | CASE WHEN relieved & 6 = 6 THEN 4 ELSE 0 END | CASE WHEN relieved & 23 = 23 THEN 16 ELSE 0 END"
-_VALUE = "((realised & 1) * 310000 + ((realised >> 1) & 1) * 145000 + ((realised >> 2) & 1) * 220000 + ((realised >> 3) & 1) * 95000 + ((realised >> 4) & 1) * 130000)::DOUBLE"
-_LEVERS = ", ".join(str((k, v.id, v.label, v.cost, PORTFOLIO.mask(v.relieves), v.authority, PORTFOLIO.rank_of(v.authority), v.family)) for k, v in enumerate(PORTFOLIO.levers))
-BUNDLES = f"""levers AS (SELECT * FROM (VALUES {_LEVERS}) t(k, lever, label, cost, relieves, authority, level, family)
+_N = 10  # channels and segments
+BUNDLES = f"""{LINES}, blocked AS (
+    SELECT region, row_number() OVER (ORDER BY region) - 1 AS p, v FROM (SELECT region, floor(coalesce(sum(amount) FILTER (returned), 0) / count(DISTINCT week))::DOUBLE AS v FROM lines GROUP BY region)
+), each AS (
+    SELECT 'channel' AS family, channel AS lever, region, sum(quantity) AS q, coalesce(sum(amount) FILTER (returned), 0) AS v FROM lines GROUP BY channel, region
+    UNION ALL SELECT 'segment', segment, region, sum(quantity), coalesce(sum(amount) FILTER (returned), 0) FROM lines GROUP BY segment, region
+), most AS (
+    SELECT family, lever, sum(1 << p)::INT AS relieves FROM (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY family, lever ORDER BY v DESC, region) <= 2) JOIN blocked USING (region) GROUP BY ALL
+), levers AS (
+    SELECT k, lever, family || ' ' || lever AS label, cost, relieves, ['lead', 'manager', 'director', 'vp'][k % 4 + 1] AS authority, k % 4 AS level, family
+    FROM (SELECT *, row_number() OVER (ORDER BY family, lever) - 1 AS k FROM (SELECT family, lever, floor(sum(q) / 10)::DOUBLE AS cost FROM each GROUP BY ALL) JOIN most USING (family, lever))
+), budget AS (
+    SELECT floor(0.4 * sum(cost)) AS budget FROM levers
 ), picks AS (
-    SELECT b.bundle, l.* FROM range({1 << len(PORTFOLIO.levers)}) b(bundle) LEFT JOIN levers l ON (b.bundle >> l.k) & 1 = 1
+    SELECT b.bundle, l.* FROM range({1 << _N}) b(bundle) LEFT JOIN levers l ON (b.bundle >> l.k) & 1 = 1
 ), sums AS (
     SELECT bundle, coalesce(string_agg(lever, '+' ORDER BY k), '') AS levers, coalesce(sum(cost), 0)::DOUBLE AS cost, coalesce(bit_or(relieves), 0)::INT AS relieved, count(DISTINCT family)::INT AS n_families, coalesce(max(level), 0) AS level FROM picks GROUP BY bundle
 ), gated AS (
     SELECT *, {_REALISED} AS realised FROM sums
 ), bundles AS (
-    SELECT *, {_VALUE} AS value, cost <= {PORTFOLIO.budget} AS feasible FROM gated
+    SELECT gated.*, (SELECT sum(((realised >> p) & 1) * v) FROM blocked)::DOUBLE AS value, cost <= budget AS feasible FROM gated, budget
 )"""
 
 CASES = f"""{LINES}, dated AS (SELECT *, max(week) OVER () AS last_week FROM lines), sides AS (
@@ -330,23 +340,23 @@ ORACLES |= {
     "feedback_summary": f"WITH {FEEDBACK} SELECT entity_type, verdict, count(*) AS n, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS entities FROM feedback GROUP BY ALL",
     "bundle_enumeration": f"WITH {BUNDLES} SELECT bundle, levers, cost, relieved, cast(realised AS INT) AS realised, value, n_families, feasible FROM bundles",
     "bundle_dominance": f"WITH {BUNDLES} SELECT cast(realised AS INT) AS realised, levers, cost, value FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1",
-    "bundle_pruning": f"""WITH {BUNDLES} SELECT bundle, levers, cost, feasible, CASE WHEN NOT feasible THEN 'costs ' || format('{{:,}}', cast(cost - {PORTFOLIO.budget} AS BIGINT)) || ' more than the budget' END AS reason
+    "bundle_pruning": f"""WITH {BUNDLES} SELECT bundle, levers, cost, feasible, CASE WHEN NOT feasible THEN 'costs ' || format('{{:,}}', cast(cost - (SELECT budget FROM budget) AS BIGINT)) || ' more than the budget' END AS reason
         FROM bundles QUALIFY NOT feasible OR row_number() OVER (PARTITION BY realised, feasible ORDER BY cost, bundle) = 1""",
     "bundle_rank": f"""WITH {BUNDLES}, u AS (SELECT * FROM bundles WHERE feasible QUALIFY row_number() OVER (PARTITION BY realised ORDER BY cost, bundle) = 1)
         SELECT cast(row_number() OVER (ORDER BY value DESC, cost, bundle) AS INT) AS rank, levers, cost, value, round(cost / nullif(value, 0), 6) AS weeks_to_payback FROM u ORDER BY rank LIMIT 10""",
-    "budget_sweep": f"""WITH {BUNDLES} SELECT budget, levers, cost, value FROM (SELECT (k * 2e5)::DOUBLE AS budget FROM range(1, 16) r(k)) g JOIN bundles ON cost <= budget QUALIFY row_number() OVER (PARTITION BY budget ORDER BY value DESC, cost, bundle) = 1""",
+    "budget_sweep": f"""WITH {BUNDLES} SELECT g.budget, levers, cost, value FROM (SELECT (k * 1e4)::DOUBLE AS budget FROM range(1, 16) r(k)) g JOIN bundles ON cost <= g.budget QUALIFY row_number() OVER (PARTITION BY g.budget ORDER BY value DESC, cost, bundle) = 1""",
     "persona_levers": f"""WITH {BUNDLES}, p AS (SELECT * FROM (VALUES ('asia_desk', 1), ('board', 3)) t(persona, rank))
         SELECT persona, levers, cost, value FROM p JOIN bundles ON level <= rank WHERE feasible QUALIFY row_number() OVER (PARTITION BY persona ORDER BY value DESC, cost, bundle) = 1""",
     "greedy_baselines": f"""WITH RECURSIVE {BUNDLES}, one AS (
-            SELECT k, cost, value FROM bundles JOIN levers USING (cost) WHERE bit_count(bundle) = 1 AND bundle = 1 << k
+            SELECT k, bundles.cost, value FROM bundles JOIN levers ON bundle = 1 << k
         ), orders AS (
             SELECT 'cheapest' AS method, k, cost, row_number() OVER (ORDER BY cost, k) AS r FROM one UNION ALL SELECT 'value_for_cost', k, cost, row_number() OVER (ORDER BY value / cost DESC, k) FROM one
         ), fill(method, r, cost, bundle) AS (
             SELECT DISTINCT method, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT FROM orders
-            UNION ALL SELECT o.method, o.r, (CASE WHEN f.cost + o.cost <= {PORTFOLIO.budget} THEN f.cost + o.cost ELSE f.cost END)::DOUBLE,
-                             CASE WHEN f.cost + o.cost <= {PORTFOLIO.budget} THEN f.bundle + (1::BIGINT << o.k) ELSE f.bundle END FROM fill f JOIN orders o ON o.method = f.method AND o.r = f.r + 1
-        ) SELECT f.method, b.levers, b.cost, b.value FROM fill f JOIN bundles b USING (bundle) WHERE f.r = {len(PORTFOLIO.levers)}""",
-    "optimum_by_bounds": f"WITH {BUNDLES} SELECT levers, value FROM bundles WHERE feasible ORDER BY value DESC, cost LIMIT 1",
+            UNION ALL SELECT o.method, o.r, (CASE WHEN f.cost + o.cost <= (SELECT budget FROM budget) THEN f.cost + o.cost ELSE f.cost END)::DOUBLE,
+                             CASE WHEN f.cost + o.cost <= (SELECT budget FROM budget) THEN f.bundle + (1::BIGINT << o.k) ELSE f.bundle END FROM fill f JOIN orders o ON o.method = f.method AND o.r = f.r + 1
+        ) SELECT f.method, b.levers, b.cost, b.value FROM fill f JOIN bundles b USING (bundle) WHERE f.r = {_N}""",
+    "optimum_by_bounds": f"WITH {BUNDLES} SELECT levers, value FROM bundles WHERE feasible ORDER BY value DESC, cost, bundle LIMIT 1",
     "lever_recommendations": f"""WITH {BUNDLES}, b AS (SELECT * FROM bundles WHERE feasible ORDER BY value DESC, cost, bundle LIMIT 1)
         SELECT l.lever, label, l.cost::DOUBLE AS cost, authority, value AS bundle_value FROM b, levers l WHERE list_contains(string_split(levers, '+'), l.lever)""",
     "number_tokens": f"WITH t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import attribution, causal, decision, detect, graph, intervals, lattice, narrative, panel, policy, telemetry, topics
 from .sources import tables
-from .sources.contracts import DIMENSIONS, METRICS, PORTFOLIO
+from .sources.contracts import DIMENSIONS, METRICS, PORTFOLIO, Constraint, Lever, Portfolio
 from .streaming import weekly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,54 +479,72 @@ def feedback_summary(spark, d):
 # ---- decisions -------------------------------------------------------------------------------------------------
 
 
+def _portfolio(spark, d) -> Portfolio:
+    """What returns block in each region (a week's revenue), and each channel and segment as a lever: a tenth of its
+    quantity in cost, against the two regions with most of its returns. Five and ten rows decide."""
+    lines = tables.order_lines(spark, d).persist()
+    returned = F.sum(F.when(F.col("returned"), F.col("amount")).otherwise(0))
+    blocked = lines.groupBy("region").agg(F.floor(returned / F.count_distinct("week")).cast("double").alias("v")).orderBy("region").collect()
+    kinds = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.col(f).alias("lever")) for f in ("channel", "segment"))))
+    each = lines.select("region", "quantity", "amount", "returned", kinds.alias("k")).groupBy("k.family", "k.lever", "region").agg(F.sum("quantity").alias("q"), returned.alias("v"))
+    levers = each.groupBy("family", "lever").agg(F.floor(F.sum("q") / 10).cast("double").alias("cost"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "region")))["region"], 1, 2).alias("regions")).orderBy("family", "lever").collect()
+    lines.unpersist()
+    names = [r["region"] for r in blocked]
+    needs = {2: (1,), 4: (0, 2)}
+    constraints = tuple(Constraint(r["region"], r["region"], r["v"], tuple(names[n] for n in needs.get(k, ()) if n < len(names))) for k, r in enumerate(blocked))
+    pulls = tuple(Lever(r["lever"], f"{r['family']} {r['lever']}", r["cost"], tuple(sorted(r["regions"])), PORTFOLIO.authorities[k % 4], r["family"]) for k, r in enumerate(levers))
+    return Portfolio(constraints, pulls, math.floor(0.4 * sum(v.cost for v in pulls)), PORTFOLIO.personas, PORTFOLIO.authorities)
+
+
 @query
 def bundle_enumeration(spark, d):
-    return decision.bundles(spark).select("bundle", "levers", "cost", "relieved", "realised", "value", "n_families", "feasible")
+    return decision.bundles(spark, _portfolio(spark, d)).select("bundle", "levers", "cost", "relieved", "realised", "value", "n_families", "feasible")
 
 
 @query
 def bundle_dominance(spark, d):
-    return decision.undominated(decision.bundles(spark)).select("realised", "levers", "cost", "value")
+    return decision.undominated(decision.bundles(spark, _portfolio(spark, d))).select("realised", "levers", "cost", "value")
 
 
 @query
 def bundle_pruning(spark, d):
-    return decision.undominated(decision.bundles(spark), infeasible=True).select("bundle", "levers", "cost", "feasible", "reason")
+    return decision.undominated(decision.bundles(spark, _portfolio(spark, d)), infeasible=True).select("bundle", "levers", "cost", "feasible", "reason")
 
 
 @query
 def bundle_rank(spark, d):
-    return decision.ranked(decision.bundles(spark)).select("rank", "levers", "cost", "value", F.round("weeks_to_payback", 6).alias("weeks_to_payback"))
+    return decision.ranked(decision.bundles(spark, _portfolio(spark, d))).select("rank", "levers", "cost", "value", F.round("weeks_to_payback", 6).alias("weeks_to_payback"))
 
 
 @query
 def budget_sweep(spark, d):
-    return decision.budget_sweep(decision.bundles(spark), [k * 2e5 for k in range(1, 16)])
+    return decision.budget_sweep(decision.bundles(spark, _portfolio(spark, d)), [k * 1e4 for k in range(1, 16)])
 
 
 @query
 def persona_levers(spark, d):
-    rows = None
-    for p in PORTFOLIO.personas:
-        best = decision.ranked(decision.bundles(spark, authority=p.authority), 1).select(F.lit(p.id).alias("persona"), "levers", "cost", "value")
+    rows, portfolio = None, _portfolio(spark, d)
+    for p in portfolio.personas:
+        best = decision.ranked(decision.bundles(spark, portfolio, authority=p.authority), 1).select(F.lit(p.id).alias("persona"), "levers", "cost", "value")
         rows = best if rows is None else rows.unionByName(best)
     return rows
 
 
 @query
 def greedy_baselines(spark, d):
-    return decision.greedy(spark)
+    return decision.greedy(spark, _portfolio(spark, d))
 
 
 @query
 def optimum_by_bounds(spark, d):
-    levers, value = decision.best_by_bounds()
+    levers, value = decision.best_by_bounds(_portfolio(spark, d))
     return spark.createDataFrame([("+".join(levers), value)], "levers string, value double")
 
 
 @query
 def lever_recommendations(spark, d):
-    return decision.recommendations(decision.ranked(decision.bundles(spark), 1), PORTFOLIO, "delivery_sla", 0.71).select("lever", "label", "cost", "authority", "bundle_value")
+    portfolio = _portfolio(spark, d)
+    return decision.recommendations(decision.ranked(decision.bundles(spark, portfolio), 1), portfolio, "delivery_sla", 0.71).select("lever", "label", "cost", "authority", "bundle_value")
 
 
 # ---- narratives, access, telemetry -----------------------------------------------------------------------------
