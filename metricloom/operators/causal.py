@@ -120,10 +120,12 @@ def effect_in_revenue(series: DataFrame, treated: str, start: Column, delta_rate
 
 
 def verdict(evidence: dict) -> tuple[str, str]:
-    """The cascade, cheapest test first: path, precedence, effect, placebo, dose, refutations. A cause without an
-    onset to compare with is inconclusive, not rejected."""
+    """The cascade, cheapest test first: path, precedence, effect, placebo, dose, refutations. A cause without a unit
+    or an onset to compare with is inconclusive, not rejected."""
     if not evidence.get("path"):
         return "rejected", "no path to the outcome in the causal graph"
+    if evidence.get("unit", "") is None:
+        return "inconclusive", "names no unit, and the blamed slice is of none"
     if evidence.get("onset") is None:
         return "inconclusive", "the outcome has no onset"
     if evidence["start"] > evidence["onset"]:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import release, stored
 from .panel import within
 
 FEATURES = 400
@@ -43,21 +43,17 @@ def topic_count(n: int) -> int:
     return min(6, max(n // 20, 2))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once for several uses: in the checkpoint folder, or on local disks where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
-
-
 def topics(docs: DataFrame, k: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) with `topic`, and (topic, name) with each centre's four heaviest terms. Texts are read and
     cut into words once; all fits are on term vectors."""
     words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}]+", minTokenLength=2).transform(docs)
     words = StopWordsRemover(inputCol="_words", outputCol="_kept").transform(words)
-    words = kept(words.select(*docs.columns, "_kept"))
+    words = stored(words.select(*docs.columns, "_kept"), "words")
     counter = CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=FEATURES, minDF=3).fit(words)
     counts = counter.transform(words).select(*docs.columns, "_tf")
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
-    vectors = kept(Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted).select(*docs.columns, "features"))
+    vectors = stored(Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted).select(*docs.columns, "features"), "vectors")
+    release(words)
     model = KMeans(k=k, seed=seed).fit(vectors)
     names = [(t, " ".join(counter.vocabulary[i] for i in sorted(range(len(c)), key=lambda i: (-c[i], i))[:4])) for t, c in enumerate(model.clusterCenters())]
     found = model.transform(vectors).withColumnRenamed("prediction", "topic")

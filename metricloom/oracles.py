@@ -119,7 +119,14 @@ def _two_way(rows: str, rounds: int = 120) -> str:
 
 
 
+_ELIGIBLE = f"""WITH {LATTICE}, s AS (
+            SELECT level, {LEAF}, count(*) AS n_weeks, max(week) AS latest, stddev_pop(cast(revenue AS DOUBLE)) AS spread FROM slices GROUP BY level, {LEAF}
+        ) SELECT level, {LEAF}, n_weeks FROM s WHERE n_weeks >= 10 AND spread > 1e-8 AND latest = (SELECT max(week) FROM slices)"""
+
 ORACLES: dict[str, str] = {
+    "panel_from_sources": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
+        cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct, round(ticket_volume, 6) AS ticket_volume FROM panel""",
+    "iceberg_series": _ELIGIBLE,
     "panel_align": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
         cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct FROM panel""",
     "ratio_weighted": f"""WITH {LINES} SELECT week, region, cast(sum(quantity) FILTER (WHERE returned) AS DOUBLE) / cast(sum(quantity) AS DOUBLE) AS cancellation_rate,
@@ -142,9 +149,7 @@ ORACLES: dict[str, str] = {
     "lattice_wow": f"""WITH {LATTICE}, w AS (
             SELECT *, lag(cast(revenue AS DOUBLE)) OVER (PARTITION BY level, {LEAF} ORDER BY week) AS before FROM slices
         ) SELECT week, {LEAF}, level, (cast(revenue AS DOUBLE) - before) / nullif(abs(before), 0) * 100 AS wow_pct FROM w""",
-    "eligible_series": f"""WITH {LATTICE}, s AS (
-            SELECT level, {LEAF}, count(*) AS n_weeks, max(week) AS latest, stddev_pop(cast(revenue AS DOUBLE)) AS spread FROM slices GROUP BY level, {LEAF}
-        ) SELECT level, {LEAF}, n_weeks FROM s WHERE n_weeks >= 10 AND spread > 1e-8 AND latest = (SELECT max(week) FROM slices)""",
+    "eligible_series": _ELIGIBLE,
     "leaf_expectation": f"WITH {LEAVES} SELECT {LEAF}, actual, expected, gap FROM leaves",
     "shapley_value_fn": f"WITH {VALUES} SELECT cast(coalition AS INT) AS coalition, round(v, 6) AS v FROM v",
     "shapley_dimensions": f"""WITH {VALUES}, d AS (SELECT * FROM (VALUES ('region', 8), ('product_line', 4), ('channel', 2), ('segment', 1)) t(dimension, bit)), phi AS (

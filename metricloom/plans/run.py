@@ -46,34 +46,35 @@ def exposures(feed: DataFrame, node: str, at: Any) -> DataFrame:
     return active.groupBy("unit").agg(F.max("intensity").cast("double").alias("exposure"))
 
 
-def prosecute(row: Any, series: DataFrame, onset: Any, exposure: DataFrame | None = None) -> dict:
-    """The evidence for and against one candidate, cheapest first; tests that can't change the verdict don't run. With
-    exposure (unit, exposure) of four units or more that varies, the unit on trial must be among the most exposed."""
-    evidence: dict = {"path": row["path"], "onset": onset, "start": row["start"]}
-    if causal.verdict(evidence | {"did_p": 0, "parallel": True, "placebo_p": 0})[0] != "accepted" or row["unit"] is None:
+def prosecute(row: Any, series: DataFrame, onset: Any, exposure: DataFrame | None = None, accused: str | None = None) -> dict:
+    """The evidence for and against one candidate, cheapest first; tests that can't change the verdict don't run. A
+    cause that names no unit is tried on the accused one, that of the blamed slice; without either there is nothing to
+    compare. With exposure (unit, exposure) of four units or more that varies, the unit on trial must be among the most exposed."""
+    unit = row["unit"] if row["unit"] is not None else accused
+    evidence: dict = {"path": row["path"], "unit": unit, "onset": onset, "start": row["start"]}
+    if causal.verdict(evidence | {"did_p": 0, "parallel": True, "placebo_p": 0})[0] != "accepted":
         return evidence
     at = F.lit(row["start"]).cast("date")
-    effect = causal.did(series, row["unit"], at).first()
+    effect = causal.did(series, unit, at).first()
     if effect["estimate"] is None or not effect["se"]:
         return evidence
     evidence |= {"did": effect["estimate"], "se": effect["se"], "did_p": 2 * student_sf(abs(effect["estimate"] / effect["se"]), max(effect["free"], 1))}
-    evidence["parallel"] = causal.parallel_trends(series, row["unit"], at).first()["parallel"]
+    evidence["parallel"] = causal.parallel_trends(series, unit, at).first()["parallel"]
     if causal.verdict(evidence | {"placebo_p": 0})[0] != "accepted":
         return evidence
-    units = sorted(r["unit"] for r in series.select("unit").distinct().collect())
-    placebo = causal.placebo_ranks(causal.synthetic_controls(series, units, at), row["unit"]).first()
+    placebo = causal.placebo_ranks(causal.synthetic_controls(series, None, at), unit).first()
     evidence |= {"placebo_p": placebo["p_value"]}
     if causal.verdict(evidence)[0] != "accepted":
         return evidence
     if exposure is not None:
         dose = causal.dose_response(exposure, series, at).first()
-        most = exposure.agg(F.max("exposure").alias("top"), F.coalesce(F.max(F.when(F.col("unit") == row["unit"], F.col("exposure"))), F.lit(0.0)).alias("own")).first()
+        most = exposure.agg(F.max("exposure").alias("top"), F.coalesce(F.max(F.when(F.col("unit") == unit, F.col("exposure"))), F.lit(0.0)).alias("own")).first()
         if dose["n"] >= LEAST_DOSES and dose["correlation"] is not None and dose["correlation"] == dose["correlation"]:
             evidence |= {"dose": dose["correlation"], "inverted": most["own"] < 0.85 * most["top"]}
             if causal.verdict(evidence)[0] != "accepted":
                 return evidence
-    evidence["refutations"] = {r["test"]: r["passed"] for r in causal.refutations(series, row["unit"], str(row["start"])).collect()}
-    money = causal.effect_in_revenue(series, row["unit"], at, effect["estimate"], effect["se"]).first()
+    evidence["refutations"] = {r["test"]: r["passed"] for r in causal.refutations(series, unit, str(row["start"])).collect()}
+    money = causal.effect_in_revenue(series, unit, at, effect["estimate"], effect["se"]).first()
     return evidence | {"impact": money["impact"], "low": money["impact_low"], "high": money["impact_high"]}
 
 
@@ -110,9 +111,9 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
         judged = graph.corroborated(found.select("id", "source", "node"), catalog.edge_table(spark), "revenue").join(found.drop("source", "node"), "id")
         hypotheses = []
         for row in judged.collect():
-            evidence = prosecute(row, series, onset.get(row["unit"]), None if feed is None else exposures(feed, row["node"], at)) if row["fate"] == "kept" else {"path": row["path"]}
+            evidence = prosecute(row, series, onset.get(row["unit"] or accused), None if feed is None else exposures(feed, row["node"], at), accused) if row["fate"] == "kept" else {"path": row["path"]}
             verdict, reason = ("merged", f"part of {row['merged_into']}") if row["fate"] == "merged" else causal.verdict(evidence)
-            hypotheses.append({"id": row["id"], "label": row["label"][:58], "node": row["node"], "unit": row["unit"], "start": row["start"], "verdict": verdict, "reason": reason[:90], "evidence": evidence})
+            hypotheses.append({"id": row["id"], "label": row["label"], "node": row["node"], "unit": row["unit"], "start": row["start"], "verdict": verdict, "reason": reason, "evidence": evidence})
         report["hypotheses"] = hypotheses
         hypothesis_table(spark, hypotheses).coalesce(1).write.mode("overwrite").parquet(f"{out}/hypotheses")
     with t.stage("abstain"):

@@ -148,10 +148,28 @@ def _known(kind: type, given: dict[str, Any], where: str) -> dict[str, Any]:
     return {k: plain.get(type(v), lambda x: x)(v) for k, v in given.items()}
 
 
+FLOOR = "impact_floor"
+
+
+def _with_unit(fields: dict[str, Any], where: str) -> dict[str, Any]:
+    """The fields of a metric whose floor may name its unit in the key, as in impact_floor_pp: one floor, and no other
+    unit beside it."""
+    floors = [k for k in fields if k == FLOOR or k.startswith(f"{FLOOR}_")]
+    if len(floors) > 1:
+        raise ValueError(f"{where}: several floors {sorted(floors)}")
+    if not floors or floors[0] == FLOOR:
+        return fields
+    unit = floors[0].removeprefix(f"{FLOOR}_")
+    if fields.get("unit", unit) != unit:
+        raise ValueError(f"{where}: the floor is in {unit}, the metric in {fields['unit']}")
+    return {k: v for k, v in fields.items() if k != floors[0]} | {FLOOR: fields[floors[0]], "unit": unit}
+
+
 def load_catalog(path: str | Path | Traversable) -> Catalog:
-    """A catalog from YAML: `metrics` (name -> fields of Metric) and `edges` (pairs)."""
+    """A catalog from YAML: `metrics` (name -> fields of Metric, the floor's key with or without its unit) and `edges`
+    (pairs)."""
     spec = yaml.safe_load(_text(path))
-    metrics = {n: Metric(name=n, **_known(Metric, f, n)) for n, f in spec["metrics"].items()}
+    metrics = {n: Metric(name=n, **_known(Metric, _with_unit(f, n), n)) for n, f in spec["metrics"].items()}
     return Catalog(metrics, tuple((a, b) for a, b in spec.get("edges", [])))
 
 
