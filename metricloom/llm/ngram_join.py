@@ -495,6 +495,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     final = _roots(nodes.select("node", "digest", "first"), links.union(more))
     best = F.min(F.struct(F.col("first").isNull(), "first", "digest")).alias("best")
     smallest = written(final.groupBy("comp").agg(best).select("comp", F.col("best.first").alias("component_id"), F.col("best.digest").alias("chosen")), "smallest")
+    hot.unpersist()  # all that needs it is written
     of_digest = final.join(smallest, "comp").select("digest", "component_id", "chosen")
     return profiles.select("id", "seal", "n", "digest").join(of_digest, "digest", "left")
 
