@@ -259,14 +259,18 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Machine | float:
     """A machine from docs (doc_id, text) and labels (doc_id, toxic): of the labels outside the held-out fold, at
-    most max_docs. Repeated labels of a document count as toxic if one does; null labels don't count. Without
+    most max_docs, and of rows that have them as many at most (rows of one id and text count once). Repeated labels of a document count as toxic if one does; null labels don't count. Without
     both kinds of labels the result is the share of toxic ones."""
     short_batches(docs.sparkSession)
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
     apart = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATION_SHARE)) == 0
-    whole = written(texts.withColumn("apart", apart).select("toxic", "text", "apart"), "labelled")
+    whole = written(texts.withColumn("apart", apart).select("doc_id", "toxic", "text", "apart"), "labelled")
+    if whole.count() > max_docs:  # ids repeat: the bound is on rows, equal ones once
+        sealed = whole.withColumn("seal", F.xxhash64("text")).dropDuplicates(["doc_id", "seal"])
+        few = sealed.select("doc_id", "seal").orderBy(F.xxhash64("doc_id", "seal"), "doc_id", "seal").limit(max_docs)
+        whole = written(sealed.join(F.broadcast(few), ["doc_id", "seal"], "left_semi").drop("seal"), "labelled")
     count = {(r["toxic"], r["apart"]): r["count"] for r in whole.groupBy("toxic", "apart").count().collect()}
     if len({t for t, _ in count}) < 2:
         return float(any(t for t, _ in count))

@@ -582,3 +582,15 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert sorted(map(str, got["doc_id"])) == sorted(keep)
     assert len(corpus_pipeline.STAGES) == 4
+
+
+def test_training_is_bounded_by_rows(spark, monkeypatch):
+    """A labelled id that many rows repeat, alike or with other texts, brings no more rows than the bound."""
+    rng = random.Random(3)
+    rows = [(k % 20, text(rng, 12) + (" blorgface" if k % 20 < 8 else ""), "en", "x", 1) for k in range(1500)] + [(1, "again blorgface", "en", "x", 1)] * 300
+    labels = spark.createDataFrame([(k, int(k < 8)) for k in range(20)], "doc_id long, toxic int")
+    sizes = []
+    real = toxicity._scored
+    monkeypatch.setattr(toxicity, "_scored", lambda docs, machine, keep: sizes.append(docs.count()) or real(docs, machine, keep))
+    machine = toxicity.train(spark.createDataFrame(rows, SCHEMA), labels, max_docs=200)
+    assert not isinstance(machine, float) and sizes and max(sizes) <= 200
