@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.contracts import Persona
+from ..sources.scratch import stored
 
 NUMBER = r"-?\d[\d,]*\.?\d*"
 _NUMBER = re.compile(NUMBER)
@@ -136,3 +137,45 @@ def released(evidence: dict, persona: Persona, regions: tuple[str, ...], rendere
     text = (renderer or Templates()).render(own, persona)
     missing = grounded(text, own)
     return {"persona": persona.id, "text": None if missing else text, "missing": missing, "passed": not missing, "evidence": own}
+
+
+# ---- evidence as data ------------------------------------------------------------------------------------------
+
+
+def evidence_leaves(rows: DataFrame, evidence: str, key: str = "case", most: int = 64) -> DataFrame:
+    """key, path ($.a[0].b), names (the fields on it) and value (variant) of every value in JSON evidence that is neither
+    object nor array, at any depth: a round unpacks one level of what is still packed. Texts that aren't JSON, and empty objects and arrays, have
+    none. Evidence deeper than `most` levels is an error, not cut."""
+    spark = rows.sparkSession
+    level = rows.select(F.col(key).alias("case"), F.lit("$").alias("path"), F.array().cast("array<string>").alias("names"), F.try_parse_json(F.col(evidence)).alias("v")).where("v IS NOT NULL")
+    packed = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<") | F.schema_of_variant("v").isin("OBJECT", "ARRAY")
+    found = None
+    for depth in range(most + 1):
+        level = stored(level.withColumn("packed", packed), "evidence")
+        own = level.where("NOT packed").select("case", "path", "names", "v")
+        found = own if found is None else found.unionByName(own)
+        rest = level.where("packed")
+        if rest.isEmpty():
+            return found.select(F.col("case").alias(key), "path", "names", F.col("v").alias("value"))
+        if depth < most:
+            level = spark.sql("SELECT case, concat(path, CASE WHEN key IS NULL THEN concat('[', pos, ']') ELSE concat('.', key) END) AS path, CASE WHEN key IS NULL THEN names ELSE array_append(names, key) END AS names, value AS v FROM {rest}, LATERAL variant_explode({rest}.v)", rest=rest)
+    raise ValueError(f"evidence is deeper than {most} levels")
+
+
+def number_form_columns(x: Column) -> Column:
+    """How a number may be written (see number_forms()), as an array of distinct texts; null for what is not finite."""
+    ways = F.array(x, F.abs(x), *(F.abs(x) / s for s in SCALES), F.abs(x) * 100)
+    plain = lambda v, n: F.replace(F.format_number(v, n), F.lit(","), F.lit(""))
+    forms = F.flatten(F.transform(ways, lambda v: F.array(plain(v, 0), plain(v, 1), plain(v, 2))))
+    return F.when(F.abs(x) < float("inf"), F.array_distinct(forms))
+
+
+def evidence_vocabulary(rows: DataFrame, evidence: str, key: str = "case") -> DataFrame:
+    """key and token, distinct: every number that a text on JSON evidence may use. Numbers give all forms they may be
+    written in, texts and names of fields the numbers in them; truth values and nulls give none."""
+    leaves = evidence_leaves(rows, evidence, key)
+    kind = F.schema_of_variant("value")
+    number = F.try_variant_get("value", "$", "double")
+    told = F.when(kind == "STRING", number_tokens(F.try_variant_get("value", "$", "string"))).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number_form_columns(number))
+    names = F.flatten(F.transform("names", number_tokens))
+    return leaves.select(key, F.explode(F.array_union(F.coalesce(told, F.array().cast("array<string>")), names)).alias("token")).distinct()

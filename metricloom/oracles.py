@@ -368,6 +368,17 @@ ORACLES |= {
     "grounding_check": f"""WITH k AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS token FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents), m AS (
             SELECT doc_id, string_agg(token, ',' ORDER BY token) AS missing FROM t WHERE token NOT IN ('0', '1', '2', '3', '100', '95', '90') AND token NOT IN (SELECT token FROM k) GROUP BY doc_id
         ) SELECT d.doc_id AS "case", coalesce(missing, '') AS missing, missing IS NULL AS passed FROM documents d LEFT JOIN m USING (doc_id)""",
+    "evidence_leaves": """WITH l AS (
+            SELECT '$.measure.value' AS path, value::VARCHAR AS v, value AS x FROM events UNION ALL SELECT '$.measure.props.k', props->>'$.k', (props->>'$.k')::DOUBLE FROM events
+            UNION ALL SELECT '$.of[0]', event_type, NULL FROM events UNION ALL SELECT '$.of[1].user', user_id::VARCHAR, user_id::DOUBLE FROM events
+        ) SELECT path, count(*) AS n, round(sum(x), 4) AS total, count(DISTINCT v) AS n_distinct FROM l GROUP BY path""",
+    "evidence_vocabulary": """WITH l AS (
+            SELECT event_id, unnest([value, (props->>'$.k')::DOUBLE, user_id::DOUBLE]) AS x FROM events
+        ), w AS (
+            SELECT event_id, unnest([x, abs(x), abs(x) / 1e5, abs(x) / 1e7, abs(x) / 1e3, abs(x) / 1e6, abs(x) * 100]) AS v FROM l
+        ), f AS (
+            SELECT DISTINCT event_id, unnest([format('{:.0f}', v), format('{:.1f}', v), format('{:.2f}', v)]) AS token FROM w
+        ) SELECT token, count(*) AS n FROM f GROUP BY token""",
     "rls_filtered_panel": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders, cast(cancellations AS DOUBLE) AS cancellations, cancellation_rate, delivery_sla_pct
         FROM panel WHERE region = 'ASIA'""",
     "telemetry_by_kind": f"WITH {STAGES} SELECT kind, round(sum(latency_ms), 3) AS latency_ms, count(*) AS n, sum(rows)::BIGINT AS rows FROM stages GROUP BY kind",

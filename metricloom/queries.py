@@ -576,6 +576,24 @@ def grounding_check(spark, d):
     return narrative.ungrounded(docs, known)
 
 
+def _evidence(spark, d):
+    """Events as evidence in JSON: what was measured, with the properties that came along packed one level deeper."""
+    measured = F.format_string('{"measure":{"value":%s,"props":%s},"of":["%s",{"user":%d}]}', F.col("value").cast("string"), F.col("props"), F.col("event_type"), F.col("user_id"))
+    return tables.table(spark, d, "events").select(F.col("event_id").alias("case"), measured.alias("evidence"))
+
+
+@query
+def evidence_leaves(spark, d):
+    found = narrative.evidence_leaves(_evidence(spark, d), "evidence")
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum(F.try_variant_get("value", "$", "double")), 4).alias("total"), F.count_distinct(F.try_variant_get("value", "$", "string")).alias("n_distinct"))
+
+
+@query
+def evidence_vocabulary(spark, d):
+    """How many events' evidence lets a narrative use each number."""
+    return narrative.evidence_vocabulary(_evidence(spark, d), "evidence").groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query
 def rls_filtered_panel(spark, d):
     p = panel.scoped(panel.panel_of(spark, d), PORTFOLIO.personas[0])
