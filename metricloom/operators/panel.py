@@ -58,7 +58,12 @@ def panel_of(spark: SparkSession, sf_dir: str, since: date | None = None) -> Dat
     """The weekly panel of the star schema, of orders since a date if one is given: what align() gives of its
     sources, from one pass over the lines. Tickets are counted by leaf, summed over the leaves that share them and
     allocated by revenue; without any there they are null."""
-    leaves = summed(measured(order_lines(spark, sf_dir, since)), *KEYS)
+    return with_tickets(measured(order_lines(spark, sf_dir, since)).groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in (*MEASURES, "returns"))))
+
+
+def with_tickets(leaves: DataFrame) -> DataFrame:
+    """Leaf weeks' sums with ratios, and the returns of leaves that share tickets allocated by revenue."""
+    leaves = with_ratios(leaves)
     together = Window.partitionBy(*KEYS[:-1])
     share = F.coalesce(ratio(F.col("revenue"), F.sum("revenue").over(together)), F.lit(0.0))
     tickets = F.nullif(F.sum("returns").over(together), F.lit(0).cast("bigint")) * share

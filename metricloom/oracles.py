@@ -119,13 +119,16 @@ def _two_way(rows: str, rounds: int = 120) -> str:
 
 
 
+_WHOLE_PANEL = f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
+        cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct, round(ticket_volume, 6) AS ticket_volume FROM panel"""
+
 _ELIGIBLE = f"""WITH {LATTICE}, s AS (
             SELECT level, {LEAF}, count(*) AS n_weeks, max(week) AS latest, stddev_pop(cast(revenue AS DOUBLE)) AS spread FROM slices GROUP BY level, {LEAF}
         ) SELECT level, {LEAF}, n_weeks FROM s WHERE n_weeks >= 10 AND spread > 1e-8 AND latest = (SELECT max(week) FROM slices)"""
 
 ORACLES: dict[str, str] = {
-    "panel_from_sources": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
-        cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct, round(ticket_volume, 6) AS ticket_volume FROM panel""",
+    "panel_from_sources": _WHOLE_PANEL,
+    "panel_maintained": _WHOLE_PANEL,
     "iceberg_series": _ELIGIBLE,
     "panel_align": f"""WITH {PANEL} SELECT week, {LEAF}, cast(revenue AS DOUBLE) AS revenue, cast(net_units AS DOUBLE) AS net_units, cast(gross_orders AS DOUBLE) AS gross_orders,
         cast(cancellations AS DOUBLE) AS cancellations, asp, cancellation_rate, delivery_sla_pct FROM panel""",

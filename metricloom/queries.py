@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import attribution, causal, decision, detect, graph, intervals, lattice, narrative, panel, policy, telemetry, topics
-from .sources import tables
+from .operators import attribution, causal, decision, detect, graph, intervals, lattice, maintained, narrative, panel, policy, telemetry, topics
+from .sources import scratch, tables
 from .sources.contracts import DIMENSIONS, METRICS, PORTFOLIO, Constraint, Lever, Portfolio
 from .streaming import weekly
 
@@ -60,6 +61,15 @@ def panel_from_sources(spark, d):
     return p.select("week", *DIMENSIONS, *double("revenue", "net_units", "gross_orders", "cancellations"), "asp", "cancellation_rate", "delivery_sla_pct", F.round("ticket_volume", 6).alias("ticket_volume"))
 
 
+@query
+def panel_maintained(spark, d):
+    """The panel as a table that a second delivery (lines shipped late) was merged into."""
+    lines, path = _lines(spark, d), f"{scratch.shared_dir(spark)}/panel-{uuid.uuid4().hex}"
+    maintained.merge_lines(path, lines.where("in_time = 1"))
+    maintained.merge_lines(path, lines.where("in_time = 0"))
+    return maintained.read_panel(spark, path).select("week", *DIMENSIONS, *double("revenue", "net_units", "gross_orders", "cancellations"), "asp", "cancellation_rate", "delivery_sla_pct", F.round("ticket_volume", 6).alias("ticket_volume"))
+
+
 @query
 def ratio_weighted(spark, d):
     return panel.summed(_lines(spark, d), "week", "region").where("cancellations > 0").select("week", "region", "cancellation_rate", "delivery_sla_pct")
