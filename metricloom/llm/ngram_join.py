@@ -442,7 +442,8 @@ def _candidates(docs: DataFrame, nodes: DataFrame, slots: int, hot: Broadcast) -
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
 
     own = arrow_map(docs, prefixes, "id long, digest binary, prefix binary")
-    joined = own.join(nodes, (own.digest == nodes.digest) & own.id.eqNullSafe(nodes["first"])).select("star", "comp", "n", "prefix")
+    # a shuffle between the two Arrow maps, whatever the sizes: in one task they would need two Python workers
+    joined = own.join(nodes.hint("merge"), (own.digest == nodes.digest) & own.id.eqNullSafe(nodes["first"])).select("star", "comp", "n", "prefix")
     dealt = arrow_map(joined, postings, "slot int, entries binary").repartitionById(slots, F.col("slot"))
     return arrow_map(dealt, lists, "a long, b long").distinct()
 

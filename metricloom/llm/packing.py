@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, short_batches, written
-from .token_files import GROUP, WordEncoder
+from .token_files import GROUP, load
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -118,13 +118,15 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     of its own around it. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)  # of this task alone, so that workers don't hold it for later ones
+        encoder = load(tokenizer)  # once a worker: reading the file takes three times the memory of what is read
+        encoder.forget()
         for b in batches:
             counts: list[int] = []
             for lo in range(0, b.num_rows, GROUP):
                 texts = [t or "" for t in b.column(1).slice(lo, GROUP).to_pylist()]
                 counts += encoder.counts(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+        encoder.forget()
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long")
 

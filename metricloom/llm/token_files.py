@@ -212,6 +212,10 @@ class WordEncoder:
                 seen.update(out[-1])
         return out, seen
 
+    def forget(self) -> None:
+        """Gives up the counts of words."""
+        self.sizes, self.old_sizes = {}, {}
+
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids each text has. Only counts of words are kept."""
         out, seen = self._parts(texts)
