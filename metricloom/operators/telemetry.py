@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 STAGE = "name string, latency_ms double, kind string, notes string, rows bigint"
@@ -46,6 +47,12 @@ class Telemetry:
         return spark.createDataFrame(self.calls, CALL)
 
 
+def observed(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """df, and what tells how many rows it had (`get["rows"]`) when the next action on it has run: no job of its own."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def by_kind(stages: DataFrame) -> DataFrame:
     return stages.groupBy("kind").agg(F.round(F.sum("latency_ms"), 3).alias("latency_ms"), F.count("*").alias("n"), F.sum("rows").alias("rows"))
 

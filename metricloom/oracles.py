@@ -388,5 +388,6 @@ ORACLES |= {
     "model_call_costs": f"WITH {CALLS} SELECT model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) FILTER (cached) AS cached, round((sum(input_tokens) * any_value(input_price) + sum(output_tokens) * any_value(output_price)) / 1e6, 9)::DOUBLE AS cost FROM calls GROUP BY model",
     "run_summary": f"""WITH {STAGES}, {CALLS}, c AS (SELECT sum(latency_ms) AS waited, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(input_tokens * input_price + output_tokens * output_price)::DOUBLE / 1e6 AS cost FROM calls), t AS (SELECT sum(latency_ms) AS latency_ms, count(*) AS stages FROM stages)
         SELECT round(latency_ms, 3) AS latency_ms, stages, round(waited / latency_ms, 6) AS model_share, input_tokens, output_tokens, round(cost, 6) AS cost, round(cost * 90, 4) AS cost_other FROM c, t""",
+    "stage_rows": f"WITH {LATTICE} SELECT 'panel' AS name, count(*) AS rows FROM panel UNION ALL SELECT 'lattice', count(*) FROM slices",
     "method_registry": "SELECT * FROM (VALUES ('relational', 3::BIGINT), ('rule', 9), ('statistical', 6), ('ml', 1), ('causal', 5), ('optimisation', 2), ('template', 1)) t(category, n)",
 }

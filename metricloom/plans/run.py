@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import student_sf
 from ..operators import attribution, causal, decision, detect, graph, narrative, panel, policy, topics
-from ..operators.telemetry import Telemetry, by_kind, registry
+from ..operators.telemetry import Telemetry, by_kind, observed, registry
 from ..sources import tables
 from ..sources.contracts import DIMENSIONS, METRICS, PORTFOLIO, Catalog, Portfolio
 
@@ -87,14 +87,16 @@ def analyse(given: dict[str, DataFrame], out: str, events: DataFrame, texts: Dat
     t, report = Telemetry(), {}
     with t.stage("align") as info:
         p = panel.align(given).persist()
-        info["rows"] = p.count()
-        at = p.agg(F.max("week")).first()[0]
+        counted, seen = observed(p, "panel")
+        at = counted.agg(F.max("week")).first()[0]
+        info["rows"] = seen.get["rows"]
         report |= {"week": at, "excluded": catalog.weekly()[1], "freshness": [r.asDict() for r in panel.freshness(given, F.lit(at).cast("date"), catalog).collect()], "conflicts": panel.conflicts(given["warehouse"]).first().asDict()}
     with t.stage("detect", "statistical") as info:
-        detect.detect(p, catalog=catalog).write.mode("overwrite").parquet(f"{out}/findings")
+        counted, seen = observed(detect.detect(p, catalog=catalog), "findings")
+        counted.write.mode("overwrite").parquet(f"{out}/findings")
         findings = spark.read.parquet(f"{out}/findings")
         report["detection"] = detect.diagnostics(findings).first().asDict() | findings.agg(F.round(detect.coverage(), 4).alias("coverage"), F.bool_and(F.col("sparse") | F.col("out_of_sample")).alias("out_of_sample")).first().asDict()
-        info["rows"] = report["detection"]["n_tests"]
+        info["rows"] = seen.get["rows"]
     with t.stage("attribute", "statistical"):
         leaves = attribution.leaf_expectations(p).persist()
         gap = leaves.agg(F.sum("gap").alias("gap"), F.sum("expected").alias("expected")).first()

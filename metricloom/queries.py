@@ -643,6 +643,18 @@ def run_summary(spark, d):
     return rounded(telemetry.summary(_stages(spark, d), _calls(spark, d), PRICES, 90.0), latency_ms=3, model_share=6, cost=6, cost_other=4)
 
 
+@query
+def stage_rows(spark, d):
+    """The rows of two stages of a run, seen as they pass."""
+    t, p = telemetry.Telemetry(), panel.panel_of(spark, d)
+    for name, df in (("panel", p), ("lattice", lattice.lattice(p))):
+        with t.stage(name) as info:
+            counted, seen = telemetry.observed(df, name)
+            counted.write.format("noop").mode("overwrite").save()
+            info["rows"] = seen.get["rows"]
+    return t.stage_table(spark).select("name", "rows")
+
+
 @query
 def method_registry(spark, d):
     return telemetry.registry(spark).groupBy("category").agg(F.count("*").alias("n"))

@@ -240,3 +240,41 @@ def test_stream_equals_batch(spark, tmp_path):
     weekly.write_weekly(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "ck"), "60 days").awaitTermination(120)
     batch = weekly.weekly_events(spark.read.parquet(source)).where("week < '2024-02-01'")
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_rows_are_observed_without_a_job_of_their_own(spark):
+    from metricloom.operators import telemetry
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("observed", "")
+    counted, seen = telemetry.observed(spark.range(1000).where("id % 3 = 0"))
+    assert counted.agg({"id": "max"}).first()[0] == 999 and seen.get["rows"] == 334
+    jobs = len(tracker.getJobIdsForGroup("observed"))
+    spark.sparkContext.setJobGroup("plain", "")
+    spark.range(1000).where("id % 3 = 0").agg({"id": "max"}).first()
+    assert jobs == len(tracker.getJobIdsForGroup("plain"))
+
+
+def test_floors_may_name_their_unit(tmp_path):
+    import pytest
+
+    from metricloom.sources.contracts import load_catalog
+
+    def load(floor, unit="unit: pp"):
+        text = f"metrics:\n  rate: {{source: s, {unit}, aggregation: mean, grain: weekly, refresh_minutes: 60, tolerance_hours: 24, {floor}}}\nedges: []\n".replace(", ,", ",")
+        (tmp_path / "c.yaml").write_text(text)
+        return load_catalog(str(tmp_path / "c.yaml")).metric("rate")
+
+    assert (load("impact_floor: 1.5").impact_floor, load("impact_floor_pp: 2").impact_floor) == (1.5, 2.0)
+    named = load("impact_floor_pp: 2", "numerator: a")
+    assert named.unit == "pp" and named.impact_scale == 100
+    for wrong in ("impact_floor_usd: 2", "impact_floor: 1, impact_floor_pp: 2"):
+        with pytest.raises(ValueError):
+            load(wrong)
+
+
+def test_causes_without_a_unit():
+    from metricloom.operators import causal
+
+    known = {"path": "a>b", "onset": 5, "start": 3, "did_p": 0.01, "parallel": True, "placebo_p": 0.1}
+    assert causal.verdict(known | {"unit": "North"})[0] == "accepted" and causal.verdict(known | {"unit": None})[0] == "inconclusive"
