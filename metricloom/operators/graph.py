@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 MAX_DEPTH = 6
 
 
 def paths(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All simple paths of at most max_depth edges: src, dst, path. The graph is a contract of a few edges."""
+    """All simple paths of at most max_depth edges: src, dst, path. The graph is a contract of a few edges, stored first:
+    every level of the walk reads it, whatever it was computed from."""
+    edges = stored(edges.select("src", "dst"), "edges")
     text = """
         WITH RECURSIVE walk(src, dst, path) AS (
             SELECT src, dst, array(src, dst) FROM {edges}

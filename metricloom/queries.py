@@ -245,7 +245,8 @@ def interval_coverage(spark, d):
 def _flows(spark, d):
     """A graph of nations: from each supplier's nation to the two nations of a higher number that buy most from it."""
     t = lambda name: tables.table(spark, d, name)
-    lines = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    lines = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
     sold = lines.where("s_nationkey < c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("n"))
     most = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("n"), "c_nationkey"))
     name = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string"))
