@@ -33,7 +33,7 @@ def shortest_paths(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 def corroborated(candidates: DataFrame, edges: DataFrame, target: str) -> DataFrame:
     """candidates (id, source, node) with what happens to each: 'merged' into the first event whose path to the
     target passes its node (if it is no event itself), 'rejected' without a path to the target, else 'kept'."""
-    reach = shortest_paths(edges).where(F.col("dst") == target).select(F.col("src").alias("node"), "path")
+    reach = stored(shortest_paths(edges).where(F.col("dst") == target).select(F.col("src").alias("node"), "path"), "reach")
     own = candidates.join(F.broadcast(reach), "node", "left")
     events = own.where("source = 'event' AND path IS NOT NULL").select(F.col("id").alias("event_id"), F.col("node").alias("event_node"), F.split("path", ">").alias("event_path"))
     hits = own.where("source <> 'event'").join(F.broadcast(events), F.expr("array_contains(event_path, node)")).groupBy("id").agg(F.min("event_id").alias("merged_into"))
