@@ -506,13 +506,14 @@ def feedback_summary(spark, d):
 def _portfolio(spark, d) -> Portfolio:
     """What returns block in each region (a week's revenue), and each channel and segment as a lever: a tenth of its
     quantity in cost, against the two regions with most of its returns. Five and ten rows decide."""
-    lines = tables.order_lines(spark, d).persist()
-    returned = F.sum(F.when(F.col("returned"), F.col("amount")).otherwise(0))
-    blocked = lines.groupBy("region").agg(F.floor(returned / F.count_distinct("week")).cast("double").alias("v")).orderBy("region").collect()
+    lost = F.sum(F.when(F.col("returned"), F.col("amount")).otherwise(0)).cast("decimal(28,4)")
+    sums = tables.order_lines(spark, d).groupBy("region", "channel", "segment", "week").agg(F.sum("quantity").alias("quantity"), lost.alias("lost")).persist()
+    returned = F.sum("lost").cast("decimal(28,4)")
+    blocked = sums.groupBy("region").agg(F.floor(returned / F.count_distinct("week")).cast("double").alias("v")).orderBy("region").collect()
     kinds = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.col(f).alias("lever")) for f in ("channel", "segment"))))
-    each = lines.select("region", "quantity", "amount", "returned", kinds.alias("k")).groupBy("k.family", "k.lever", "region").agg(F.sum("quantity").alias("q"), returned.alias("v"))
+    each = sums.select("region", "quantity", "lost", kinds.alias("k")).groupBy("k.family", "k.lever", "region").agg(F.sum("quantity").alias("q"), returned.alias("v"))
     levers = each.groupBy("family", "lever").agg(F.floor(F.sum("q") / 10).cast("double").alias("cost"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "region")))["region"], 1, 2).alias("regions")).orderBy("family", "lever").collect()
-    lines.unpersist()
+    sums.unpersist()
     names = [r["region"] for r in blocked]
     needs = {2: (1,), 4: (0, 2)}
     constraints = tuple(Constraint(r["region"], r["region"], r["v"], tuple(names[n] for n in needs.get(k, ()) if n < len(names))) for k, r in enumerate(blocked))
