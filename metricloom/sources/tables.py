@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contracts import DIMENSIONS
+from .scratch import stored
 
 KEYS = ("week", *DIMENSIONS)
 
@@ -89,15 +90,31 @@ def measured(lines: DataFrame) -> DataFrame:
     return lines.select(*KEYS, "nation", *(c.alias(n) for n, c in columns.items()))
 
 
+def reported(lines: DataFrame) -> DataFrame:
+    """What all sources report of order_lines, from one pass: sums per leaf week, with how many lines each is of."""
+    kept = lambda c: F.when(~F.col("returned"), c)
+    return lines.groupBy(*KEYS).agg(
+        F.count_if(~F.col("returned")).alias("n_kept"),
+        F.count_if("returned").alias("n_returned"),
+        F.sum(kept(F.col("amount"))).alias("revenue"),
+        F.sum(kept(F.col("quantity"))).alias("net_units"),
+        F.avg(kept(F.try_divide("amount", "quantity")).cast("double")).alias("quoted_price"),
+        F.sum("quantity").alias("gross_orders"),
+        F.sum(F.when(F.col("returned"), F.col("quantity")).otherwise(0)).cast("decimal(28,2)").alias("cancellations"),
+        F.count("*").alias("deliveries"),
+        F.count_if("in_time").alias("in_time"),
+    )
+
+
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """warehouse, order_system and logistics at leaf grain; tickets without segment."""
-    lines = order_lines(spark, sf_dir)
-    kept = lines.where("NOT returned")
+    """warehouse, order_system and logistics at leaf grain; tickets without segment. The lines are read and joined once:
+    their sums are stored, and each source is a part of them."""
+    leaves = stored(reported(order_lines(spark, sf_dir)), "leaves")
     return {
-        "warehouse": kept.groupBy(*KEYS).agg(F.sum("amount").alias("revenue"), F.sum("quantity").alias("net_units"), F.avg((F.col("amount") / F.col("quantity")).cast("double")).alias("quoted_price")),
-        "order_system": lines.groupBy(*KEYS).agg(F.sum("quantity").alias("gross_orders"), F.sum(F.when(F.col("returned"), F.col("quantity")).otherwise(0)).cast("decimal(28,2)").alias("cancellations")),
-        "logistics": lines.groupBy(*KEYS).agg(F.count("*").alias("deliveries"), F.count_if("in_time").alias("in_time")),
-        "tickets": lines.where("returned").groupBy(*KEYS[:-1]).agg(F.count("*").alias("tickets")),
+        "warehouse": leaves.where("n_kept > 0").select(*KEYS, "revenue", "net_units", "quoted_price"),
+        "order_system": leaves.select(*KEYS, "gross_orders", "cancellations"),
+        "logistics": leaves.select(*KEYS, "deliveries", "in_time"),
+        "tickets": leaves.where("n_returned > 0").groupBy(*KEYS[:-1]).agg(F.sum("n_returned").alias("tickets")),
     }
 
 

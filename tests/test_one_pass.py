@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from metricloom import queries
 from metricloom.operators import graph
 from metricloom.sources import tables
@@ -60,3 +62,12 @@ def test_portfolio_keeps_sums_not_lines(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(type(tables.table(spark, sf_dir, "nation")), "persist", lambda df, *a: held.append(df.columns) or persist(df, *a))
     assert queries._portfolio(spark, sf_dir).levers
     assert held == [["region", "channel", "segment", "week", "quantity", "lost"]]
+
+
+def test_sources_share_one_pass_over_the_lines(spark, sf_dir):
+    given = tables.sources(spark, sf_dir)
+    assert set(given) == {"warehouse", "order_system", "logistics", "tickets"}
+    assert not any("l_orderkey" in df._jdf.queryExecution().optimizedPlan().toString() for df in given.values())
+    lines = tables.order_lines(spark, sf_dir)
+    assert given["warehouse"].count() == lines.where("NOT returned").select(*tables.KEYS).distinct().count()
+    assert given["tickets"].agg(F.sum("tickets")).first()[0] == lines.where("returned").count()
