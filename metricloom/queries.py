@@ -433,16 +433,21 @@ FEEDBACK_OF = {"purchase": ("hypothesis", "confirmed"), "error": ("hypothesis",
 
 def _cases(spark, d):
     """Each nation as a case: its last week's revenue against the eight weeks before, explained by what was returned."""
-    lines = tables.order_lines(spark, d)
-    rows = lines.join(F.broadcast(lines.agg(F.max("week").alias("at"))))
+    weeks = tables.order_lines(spark, d).groupBy("nation", "week").agg(
+        F.sum(F.when(~F.col("returned"), F.col("amount"))).alias("kept"), F.sum(F.when(F.col("returned"), F.col("amount"))).alias("lost"),
+        F.collect_set(F.when(F.col("returned"), F.col("product_line"))).alias("lines"), F.collect_set(F.when(F.col("quantity") < 5, F.col("segment"))).alias("segments"),
+        F.count_if(~F.col("in_time") & F.col("returned")).alias("overlaps"), F.count_if(~F.col("in_time") & (F.col("quantity") > 45)).alias("conflicts"),
+    )
+    rows = weeks.withColumn("at", F.max("week").over(Window.partitionBy()))  # nations times weeks, so few
     now, before = F.col("week") == F.col("at"), F.col("week").between(F.date_sub("at", 56), F.date_sub("at", 7))
-    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(0)).cast("double")
-    gap = lambda when: total(when & now) - total(when & before) / 8
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("double")
+    gap = lambda c: total(c, now) - total(c, before) / 8
+    last = lambda c: F.coalesce(F.sum(F.when(now, c)), F.lit(0)).cast("int")
     return rows.groupBy(F.col("nation").alias("case")).agg(
-        gap(~F.col("returned")).alias("total_gap"), (-gap(F.col("returned"))).alias("explained"),
-        F.count_distinct(F.when(F.col("returned") & now, F.col("product_line"))).cast("int").alias("n_accepted"), F.count_if(now & ~F.col("in_time") & F.col("returned")).cast("int").alias("n_overlaps"),
-        F.floor(F.datediff(F.max("at"), F.max("week")) / 7).cast("int").alias("n_stale"), F.count_if(now & ~F.col("in_time") & (F.col("quantity") > 45)).cast("int").alias("n_conflicts"),
-        F.count_distinct("week").cast("int").alias("n_weeks"), F.count_distinct(F.when(now & (F.col("quantity") < 5), F.col("segment"))).cast("int").alias("n_excluded"), (F.count_distinct("week") >= 20).alias("out_of_sample"),
+        gap("kept").alias("total_gap"), (-gap("lost")).alias("explained"),
+        last(F.size("lines")).alias("n_accepted"), last(F.col("overlaps")).alias("n_overlaps"),
+        F.floor(F.datediff(F.max("at"), F.max("week")) / 7).cast("int").alias("n_stale"), last(F.col("conflicts")).alias("n_conflicts"),
+        F.count("week").cast("int").alias("n_weeks"), last(F.size("segments")).alias("n_excluded"), (F.count("week") >= 20).alias("out_of_sample"),
     )
 
 

@@ -71,3 +71,10 @@ def test_sources_share_one_pass_over_the_lines(spark, sf_dir):
     lines = tables.order_lines(spark, sf_dir)
     assert given["warehouse"].count() == lines.where("NOT returned").select(*tables.KEYS).distinct().count()
     assert given["tickets"].agg(F.sum("tickets")).first()[0] == lines.where("returned").count()
+
+
+def test_cases_compute_the_lines_once(spark, sf_dir, monkeypatch):
+    lines, seen = counted(tables.order_lines(spark, sf_dir))
+    monkeypatch.setattr(tables, "order_lines", lambda spark, d: lines)
+    assert queries._cases(spark, sf_dir).count() > 0
+    assert seen.value == tables.table(spark, sf_dir, "lineitem").count()
