@@ -652,13 +652,17 @@ def run_summary(spark, d):
 
 @query
 def stage_rows(spark, d):
-    """The rows of two stages of a run, seen as they pass."""
-    t, p = telemetry.Telemetry(), panel.panel_of(spark, d)
-    for name, df in (("panel", p), ("lattice", lattice.lattice(p))):
-        with t.stage(name) as info:
-            counted, seen = telemetry.observed(df, name)
-            counted.write.format("noop").mode("overwrite").save()
-            info["rows"] = seen.get["rows"]
+    """The rows of two stages of a run, seen as they pass; the second reads what the first has stored."""
+    t = telemetry.Telemetry()
+    with t.stage("panel") as info:
+        counted, seen = telemetry.observed(panel.panel_of(spark, d), "panel")
+        p = scratch.stored(counted, "panel")
+        info["rows"] = seen.get["rows"]
+    with t.stage("lattice") as info:
+        counted, seen = telemetry.observed(lattice.lattice(p), "lattice")
+        counted.write.format("noop").mode("overwrite").save()
+        info["rows"] = seen.get["rows"]
+    scratch.release(p)
     return t.stage_table(spark).select("name", "rows")
 
 

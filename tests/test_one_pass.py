@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom import queries
-from metricloom.operators import graph
+from metricloom.operators import graph, panel
 from metricloom.sources import tables
 
 
@@ -78,3 +78,10 @@ def test_cases_compute_the_lines_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "order_lines", lambda spark, d: lines)
     assert queries._cases(spark, sf_dir).count() > 0
     assert seen.value == tables.table(spark, sf_dir, "lineitem").count()
+
+
+def test_stages_compute_the_panel_once(spark, sf_dir, monkeypatch):
+    rows, seen = counted(panel.panel_of(spark, sf_dir))
+    monkeypatch.setattr(panel, "panel_of", lambda spark, d: rows)
+    found = {r["name"]: r["rows"] for r in queries.stage_rows(spark, sf_dir).collect()}
+    assert found["panel"] == seen.value > 0 and found["lattice"] > found["panel"]
