@@ -148,7 +148,7 @@ def evidence_leaves(rows: DataFrame, evidence: str, key: str = "case", most: int
     none. Evidence deeper than `most` levels is an error, not cut."""
     spark = rows.sparkSession
     level = rows.select(F.col(key).alias("case"), F.lit("$").alias("path"), F.array().cast("array<string>").alias("names"), F.try_parse_json(F.col(evidence)).alias("v")).where("v IS NOT NULL")
-    packed = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<") | F.schema_of_variant("v").isin("OBJECT", "ARRAY")
+    packed = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)(<|$)")
     found = None
     for depth in range(most + 1):
         level = stored(level.withColumn("packed", packed), "evidence")
@@ -164,18 +164,20 @@ def evidence_leaves(rows: DataFrame, evidence: str, key: str = "case", most: int
 
 def number_form_columns(x: Column) -> Column:
     """How a number may be written (see number_forms()), as an array of distinct texts; null for what is not finite."""
-    ways = F.array(x, F.abs(x), *(F.abs(x) / s for s in SCALES), F.abs(x) * 100)
-    plain = lambda v, n: F.replace(F.format_number(v, n), F.lit(","), F.lit(""))
-    forms = F.flatten(F.transform(ways, lambda v: F.array(plain(v, 0), plain(v, 1), plain(v, 2))))
+    ways = F.concat(F.when(x > 0, F.array().cast("array<double>")).otherwise(F.array(x)), F.array(F.abs(x), *(F.abs(x) / s for s in SCALES), F.abs(x) * 100))
+    forms = F.flatten(F.transform(ways, lambda v: F.array(*(F.call_function("format_number", v, F.lit(p)) for p in ("0", "0.0", "0.00")))))
     return F.when(F.abs(x) < float("inf"), F.array_distinct(forms))
 
 
 def evidence_vocabulary(rows: DataFrame, evidence: str, key: str = "case") -> DataFrame:
     """key and token, distinct: every number that a text on JSON evidence may use. Numbers give all forms they may be
-    written in, texts and names of fields the numbers in them; truth values and nulls give none."""
-    leaves = evidence_leaves(rows, evidence, key)
-    kind = F.schema_of_variant("value")
-    number = F.try_variant_get("value", "$", "double")
-    told = F.when(kind == "STRING", number_tokens(F.try_variant_get("value", "$", "string"))).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number_form_columns(number))
-    names = F.flatten(F.transform("names", number_tokens))
-    return leaves.select(key, F.explode(F.array_union(F.coalesce(told, F.array().cast("array<string>")), names)).alias("token")).distinct()
+    written in, texts and names of fields the numbers in them; truth values and nulls give none. A case's numbers meet
+    before they are written out, so that they move once each and not in all their forms."""
+    leaves = evidence_leaves(rows, evidence, key).withColumn("kind", F.schema_of_variant("value"))
+    none, kind = F.array().cast("array<string>"), F.col("kind")
+    number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get("value", "$", "double"))
+    told = F.coalesce(F.when(kind == "STRING", number_tokens(F.try_variant_get("value", "$", "string"))), none)
+    texts = F.array_union(told, F.flatten(F.transform("names", number_tokens)))
+    cases = leaves.select(key, number.alias("number"), F.when(F.size(texts) > 0, texts).alias("texts")).groupBy(key).agg(F.collect_list("number").alias("numbers"), F.flatten(F.collect_list("texts")).alias("texts"))
+    forms = F.flatten(F.transform("numbers", lambda x: F.coalesce(number_form_columns(x), none)))
+    return cases.select(key, F.explode(F.array_distinct(F.concat("texts", forms))).alias("token"))

@@ -60,3 +60,12 @@ def test_too_deep_is_an_error(spark, rows):
     with pytest.raises(ValueError, match="deeper"):
         narrative.evidence_leaves(deep, "evidence", most=3)
     assert narrative.evidence_leaves(rows.limit(0), "evidence").count() == 0
+
+
+def test_vocabulary_moves_numbers_not_their_forms(spark):
+    rows = spark.createDataFrame([(1, '{"a": [1234567.5, -0.005], "b": {"c": "4,200 of 7."}}'), (1, '{"d2": 1234567.5}'), (2, '{"a": null, "b": true}')], "case long, evidence string")
+    found = narrative.evidence_vocabulary(rows, "evidence")
+    want = narrative.number_forms(1234567.5) | narrative.number_forms(-0.005) | {"4200", "7", "2"}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((1, t) for t in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")
