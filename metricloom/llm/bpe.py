@@ -7,11 +7,12 @@ A vocabulary file is read once per worker process from the path given; it is nev
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 from itertools import chain
 
 import numpy as np
@@ -73,6 +74,7 @@ class Bpe(dict):
         for token, i in chain(vocab.items(), self.added.items()):
             self.bytes_of[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
         self.old: dict[str, tuple[int, ...]] = {}
+        self.packed = Packed(self)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word)
@@ -88,34 +90,43 @@ class Bpe(dict):
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Merges the pair of least rank, leftmost first, until no pair is in the table. An entry of the queue is
-        a rank and the place of its left symbol; it is stale if that place now starts another pair, or none."""
-        of, merges = self.of_byte, self.merges
-        ids = [of[b] for b in word]
+        a rank and the place of its left symbol; it is stale if that place now starts another pair, or none. Each
+        place knows the pair it starts, and a merge's new pair takes its entry's place in the queue."""
+        get = self.merges.get
+        ids = list(map(self.of_byte.__getitem__, word))
         n = len(ids)
-        if n == 1:
-            return (ids[0],)
+        pairs = [get(a << 20 | b) for a, b in zip(ids, ids[1:])]
+        queue = [m >> 20 << 32 | i for i, m in enumerate(pairs) if m is not None]
+        if not queue:
+            return tuple(ids)
+        heapify(queue)
+        pairs.append(None)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m >> 20) << 32 | i for i in range(n - 1) if (m := merges.get(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(queue)
         while queue:
-            entry = heapq.heappop(queue)
+            entry = queue[0]
             left = entry & 0xFFFFFFFF
-            right = following[left]
-            if ids[left] < 0 or right >= n:
-                continue
-            m = merges.get(ids[left] << 20 | ids[right])
+            m = pairs[left]
             if m is None or m >> 20 != entry >> 32:
+                heappop(queue)
                 continue
+            right = following[left]
             merged = ids[left] = m & 0xFFFFF
-            ids[right] = -1
+            ids[right], pairs[right] = -1, None
             after = following[left] = following[right]
+            m = None
             if after < n:
                 before[after] = left
-                if (m := merges.get(merged << 20 | ids[after])) is not None:
-                    heapq.heappush(queue, (m >> 20) << 32 | left)
-            if (b := before[left]) >= 0 and (m := merges.get(ids[b] << 20 | merged)) is not None:
-                heapq.heappush(queue, (m >> 20) << 32 | b)
-        return tuple(i for i in ids if i >= 0)
+                m = get(merged << 20 | ids[after])
+            pairs[left] = m
+            if m is None:
+                heappop(queue)
+            else:
+                heapreplace(queue, m >> 20 << 32 | left)
+            if (b := before[left]) >= 0:
+                m = pairs[b] = get(ids[b] << 20 | merged)
+                if m is not None:
+                    heappush(queue, m >> 20 << 32 | b)
+        return tuple([i for i in ids if i >= 0])
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text between added tokens, and the added tokens with their ids."""
@@ -135,10 +146,41 @@ class Bpe(dict):
                 out.extend(chain.from_iterable(map(self.__getitem__, pretokens(part))))
         return out
 
+    def encode_bytes(self, text: str) -> bytes:
+        """What encode() gives, as 32-bit integers in native order: words already merged are only put together."""
+        packed, out = self.packed, []
+        for part, added in self.parts(text):
+            if added is not None:
+                out.append(array("i", (added,)).tobytes())
+            else:
+                out.extend(map(packed.__getitem__, pretokens(part)))
+        return b"".join(out)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Packed(dict):
+    """pre-token -> its ids as 32-bit integers, computed where lacking and kept as Bpe keeps its own."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe = bpe
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("i", self.bpe.merge(word.encode())).tobytes()
+            if len(word) > LONG_WORD:
+                return ids
+        if len(self) >= GENERATION:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     return Bpe(path)
@@ -153,16 +195,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = load(path)
 
         def flush() -> pa.RecordBatch:
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
 
         for b in batches:
             keys, ids, held = [], [], 0
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 keys.append(key)
-                ids.append(np.array(bpe.encode(text.as_py() or ""), np.int32))
-                held += len(ids[-1])
+                ids.append(bpe.encode_bytes(text.as_py() or ""))
+                held += len(ids[-1]) // 4
                 if held >= IDS_PER_BATCH:
                     yield flush()
                     keys, ids, held = [], [], 0
