@@ -13,7 +13,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush, heapreplace
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,11 @@ LOOKAHEAD = 2
 GENERATION = 300_000
 LONG_WORD = 256
 IDS_PER_BATCH = 1 << 20
+#: Words of at most so many bytes are counted side by side: so many at once, if there are so many at least.
+SHORT_WORD = 32
+SIDE_BY_SIDE = 4096
+FEW_WORDS = 8
+NO_PAIR, NO_SYMBOL = 1 << 60, (1 << 20) - 1
 
 
 def _latin_pattern() -> re.Pattern:
@@ -47,6 +52,11 @@ def pretokens(text: str) -> list[str]:
     return (_ANY if _WIDE.search(text) else _LATIN).findall(text)
 
 
+def each_pretoken(text: str) -> Iterator[str]:
+    """pretokens(), found one by one."""
+    return (m[0] for m in (_ANY if _WIDE.search(text) else _LATIN).finditer(text))
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files, mapped to the byte."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -75,6 +85,7 @@ class Bpe(dict):
             self.bytes_of[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
         self.old: dict[str, tuple[int, ...]] = {}
         self.packed = Packed(self)
+        self.counts = Counts(self)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word)
@@ -181,6 +192,79 @@ class Packed(dict):
         return ids
 
 
+class Counts:
+    """pre-token -> the number of its tokens, kept as Bpe keeps its own; words that lack are merged side by side."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        pairs = np.array([*bpe.merges, 1 << 62], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], np.array([*bpe.merges.values(), NO_PAIR], np.int64)[order]
+        self.of_byte = np.array(bpe.of_byte, np.int64)
+        self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def __getitem__(self, word: str) -> int:
+        n = self.known.get(word)
+        return self.learn({word})[word] if n is None else n
+
+    def learn(self, words: set[str]) -> dict[str, int]:
+        """The numbers of tokens of words that are not in `known`, which then has them."""
+        found = {w: self.old[w] for w in words if w in self.old}
+        fresh = [w for w in words if w not in found]
+        found.update(zip(fresh, self.merged([w.encode() for w in fresh]), strict=True))
+        if len(self.known) + len(found) > GENERATION:
+            self.known, self.old = {}, self.known
+        self.known.update(islice(((w, n) for w, n in found.items() if len(w) <= LONG_WORD), GENERATION))
+        return found
+
+    def merged(self, words: list[bytes]) -> list[int]:
+        """How many tokens Bpe.merge() makes of each word. Many short words are merged together, those of like length
+        at a time; few words and long ones by the queue."""
+        if len(words) < FEW_WORDS:
+            return [len(self.bpe.merge(w)) for w in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        counts = np.empty(len(words), np.int64)
+        short = int(np.searchsorted(sizes[order], SHORT_WORD, "right"))
+        for lo in range(0, short, SIDE_BY_SIDE):
+            own = order[lo : min(lo + SIDE_BY_SIDE, short)]
+            counts[own] = self._merged([words[k] for k in own.tolist()], sizes[own])
+        for k in order[short:].tolist():
+            counts[k] = len(self.bpe.merge(words[k]))
+        return counts.tolist()
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 20 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.ranks[at], NO_PAIR)
+
+    def _merged(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """One round merges in each word the pair of least rank, leftmost first; a word without one is done. Symbols
+        are doubly linked places of one array, a row a word, with a place that pairs with nothing at both ends."""
+        width = int(sizes.max()) + 2
+        ids = np.full((len(words), width), NO_SYMBOL, np.int64)
+        ids[:, 1:-1][np.arange(width - 2) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        ids = ids.ravel()
+        ranks = np.append(self._rank(ids[:-1], ids[1:]), NO_PAIR)
+        by_word, counts = ranks.reshape(-1, width), sizes.copy()
+        following, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        rows = np.arange(len(words))
+        while True:
+            left = rows * width + by_word[rows].argmin(axis=1)
+            m = ranks[left]
+            some = m != NO_PAIR
+            rows, left, m = rows[some], left[some], m[some]
+            if not len(rows):
+                return counts
+            counts[rows] -= 1
+            right, first = following[left], before[left]
+            after = following[right]
+            ids[left] = merged = m & 0xFFFFF
+            following[left], before[after], ranks[right] = after, left, NO_PAIR
+            ranks[left], ranks[first] = self._rank(merged, ids[after]), self._rank(ids[first], merged)
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     return Bpe(path)

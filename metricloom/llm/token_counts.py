@@ -10,21 +10,24 @@ tokens are one token, as in encoding.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LOOKAHEAD, Bpe, load, pretokens
-from .common import arrow_map, written
+from .bpe import LOOKAHEAD, Bpe, each_pretoken, load, pretokens
+from .common import arrow_map, short_batches, written
 
 LEAF = 64
 CONTEXT = 8
 STORED = "text string, widths array<int>, counts array<int>, chars array<int>, tokens array<int>"
 Piece = tuple[str, int]
 Row = tuple[str, np.ndarray, np.ndarray, list[int], list[int]]
+Leaf = tuple[str, list[int], list[int]]
 
 
 def pieces_of(text: str, bpe: Bpe) -> list[Piece]:
@@ -45,20 +48,37 @@ def _sums(leaves: np.ndarray) -> list[int]:
     return [0, *np.concatenate([level, *reversed(levels)]).tolist()]
 
 
-def _row(text: str, widths: list[int], counts: list[int]) -> Row:
-    widths, counts = np.array(widths, np.int32), np.array(counts, np.int32)
+def _row(text: str, widths: np.ndarray, counts: np.ndarray) -> Row:
     edges = np.arange(0, max(len(widths), 1), LEAF)
     by_leaf = lambda v: _sums(np.add.reduceat(v, edges, dtype=np.int64) if len(v) else np.zeros(1, np.int64))
     return text, widths, counts, by_leaf(widths), by_leaf(counts)
 
 
+def rows_of(texts: list[str], bpe: Bpe) -> list[Row]:
+    """The stored trees of texts, each of which is encoded once as a whole. Pre-tokens that no earlier text had are
+    merged together for all of them."""
+    cut, known = [], bpe.counts.known
+    for text in texts:
+        words, added_at = [], []
+        for part, added in bpe.parts(text):
+            if added is None:
+                words += pretokens(part)
+            else:
+                added_at.append(len(words))
+                words.append(part)
+        counts = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+        counts[added_at] = 1
+        lacking = np.flatnonzero(counts < 0)
+        cut.append((np.fromiter(map(len, words), np.int32, len(words)), counts, lacking, [words[k] for k in lacking.tolist()]))
+    learned = bpe.counts.learn(set().union(*(words for *_, words in cut)))
+    for _, counts, lacking, words in cut:
+        counts[lacking] = [learned[w] for w in words]
+    return [_row(text, widths, counts) for text, (widths, counts, *_) in zip(texts, cut, strict=True)]
+
+
 def row_of(text: str, bpe: Bpe) -> Row:
-    """The stored tree of a text, which is encoded once as a whole."""
-    if bpe.special is not None and bpe.special.search(text):
-        pieces = pieces_of(text, bpe)
-        return _row(text, [len(p) for p, _ in pieces], [n for _, n in pieces])
-    plain = pretokens(text)
-    return _row(text, list(map(len, plain)), list(map(len, map(bpe.__getitem__, plain))))
+    """The stored tree of one text."""
+    return rows_of([text], bpe)[0]
 
 
 class TokenTree:
@@ -68,8 +88,8 @@ class TokenTree:
         self.text, self.widths, self.counts, self.chars, self.tokens, self.bpe = text, widths, counts, chars, tokens, bpe
         self.n_leaves = max(-(-len(widths) // LEAF), 1)
         self.size = len(chars) // 2
-        self.first = np.concatenate(([0], np.cumsum(chars[self.size :])))
-        self.held: dict[int, list[Piece]] = {}
+        self.first = [0, *accumulate(chars[self.size :])]
+        self.held: dict[int, Leaf] = {}
         self.encoded_chars = 0
         self.context = LOOKAHEAD + max(map(len, bpe.added), default=0)
 
@@ -82,8 +102,8 @@ class TokenTree:
         """The row of a tree: of the edited text, in leaves of full length again if an edit has changed any."""
         if not self.held:
             return self.text, self.widths, self.counts, self.chars, self.tokens
-        pieces = [p for k in range(self.n_leaves) for p in self.leaf(k)]
-        return _row("".join(p for p, _ in pieces), [len(p) for p, _ in pieces], [n for _, n in pieces])
+        text, widths, counts = zip(*map(self._leaf, range(self.n_leaves)), strict=True)
+        return _row("".join(text), *(np.array(list(chain.from_iterable(x)), np.int32) for x in (widths, counts)))
 
     @property
     def count(self) -> int:
@@ -94,12 +114,15 @@ class TokenTree:
         return self.chars[1]
 
     def leaf(self, k: int) -> list[Piece]:
+        text, widths, counts = self._leaf(k)
+        return [(text[end - w : end], n) for end, w, n in zip(accumulate(widths), widths, counts, strict=True)]
+
+    def _leaf(self, k: int) -> Leaf:
+        """The text of a leaf, and the widths and token counts of its pieces."""
         if k in self.held:
             return self.held[k]
         own = slice(k * LEAF, (k + 1) * LEAF)
-        ends = int(self.first[k]) + np.cumsum(self.widths[own])
-        starts = ends - self.widths[own]
-        return [(self.text[a:b], n) for a, b, n in zip(starts.tolist(), ends.tolist(), self.counts[own].tolist(), strict=True)]
+        return self.text[self.first[k] : self.first[k + 1]], self.widths[own].tolist(), self.counts[own].tolist()
 
     def _locate(self, at: int) -> tuple[int, int]:
         """The leaf that has character `at` (the last leaf at the end), and where the leaf starts."""
@@ -115,10 +138,10 @@ class TokenTree:
                 k += 1
         return k - self.size, start
 
-    def _set(self, k: int, pieces: list[Piece]) -> None:
-        self.held[k] = pieces
+    def _set(self, k: int, leaf: Leaf) -> None:
+        self.held[k] = leaf
         k += self.size
-        self.chars[k], self.tokens[k] = sum(len(p) for p, _ in pieces), sum(n for _, n in pieces)
+        self.chars[k], self.tokens[k] = sum(leaf[1]), sum(leaf[2])
         while k > 1:
             k //= 2
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -132,50 +155,50 @@ class TokenTree:
         while first and base + self.context > start:
             first -= 1
             base -= self.chars[self.size + first]
-        pieces, kept, at = self.leaf(first), 0, base
-        for piece, _ in pieces:
-            if at + len(piece) + self.context > start:
-                break
-            kept += 1
-            at += len(piece)
-        stale, leaf = pieces[kept:], first
-        old_end = at + sum(len(p) for p, _ in stale)
-        while old_end < end and leaf + 1 < self.n_leaves:
+        before, widths, counts = self._leaf(first)
+        starts = list(accumulate(widths, initial=base))
+        kept = max(bisect_right(starts, start - self.context) - 1, 0)
+        at = starts[kept]
+        stale, stale_widths, stale_counts, leaf = before[at - base :], widths[kept:], counts[kept:], first
+
+        def further() -> None:
+            nonlocal stale, leaf
             leaf += 1
-            stale = stale + self.leaf(leaf)
-            old_end += self.chars[self.size + leaf]
+            more, more_widths, more_counts = self._leaf(leaf)
+            stale += more
+            stale_widths.extend(more_widths)
+            stale_counts.extend(more_counts)
+
+        while at + len(stale) < end and leaf + 1 < self.n_leaves:
+            further()
         behind, shift = CONTEXT, len(replacement) - (end - start)
         while True:
-            text = "".join(p for p, _ in stale)
-            changed = text[: start - at] + replacement + text[end - at :]
+            changed = stale[: start - at] + replacement + stale[end - at :]
             whole = leaf + 1 == self.n_leaves
-            bounds, p = {}, 0
-            for k, (piece, _) in enumerate(stale):
-                p += len(piece)
-                bounds[p + shift] = k + 1
+            bounds = dict(zip(accumulate(stale_widths), count(1)))
             fresh, p, met = [], 0, None
             for piece, added in self._cut(changed):
                 p += len(piece)
                 if not whole and p + self.context > len(changed):
                     break
                 fresh.append((piece, added))
-                if p >= start - at + len(replacement) and p in bounds:
-                    met = p
+                if p >= start - at + len(replacement) and p - shift in bounds:
+                    met = bounds[p - shift]
                     break
             if met is not None or whole:
                 break
             for _ in range(behind):
                 if leaf + 1 < self.n_leaves:
-                    leaf += 1
-                    stale = stale + self.leaf(leaf)
+                    further()
             behind *= 2
         self.encoded_chars += sum(len(p) for p, _ in fresh)
-        again = [(p, 1 if added else len(self.bpe[p])) for p, added in fresh]
-        new = pieces[:kept] + again + (stale[bounds[met] :] if met is not None else [])
+        unchanged = slice(len(stale_widths) if met is None else met, None)
+        new_widths = widths[:kept] + [len(p) for p, _ in fresh] + stale_widths[unchanged]
+        new_counts = counts[:kept] + [1 if added else self.bpe.counts[p] for p, added in fresh] + stale_counts[unchanged]
         for k in range(first + 1, leaf + 1):
-            self._set(k, [])
-        self._set(first, new)
-        if len(new) > 16 * LEAF:
+            self._set(k, ("", [], []))
+        self._set(first, (before[: at - base] + changed, new_widths, new_counts))
+        if len(new_widths) > 16 * LEAF:
             chars = self.encoded_chars
             self.__init__(*self.stored(), self.bpe)
             self.encoded_chars = chars
@@ -185,7 +208,7 @@ class TokenTree:
             if added is not None:
                 yield part, True
             else:
-                yield from ((p, False) for p in pretokens(part))
+                yield from ((p, False) for p in each_pretoken(part))
 
 
 EDITS = "array<struct<start: bigint, end: bigint, replacement: string>>"
@@ -207,7 +230,7 @@ def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataF
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                rows = [row_of(t or "", bpe) for t in part.column(part.num_columns - 1).to_pylist()]
+                rows = rows_of([t or "" for t in part.column(part.num_columns - 1).to_pylist()], bpe)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_columns(rows)], [*part.schema.names[:-1], "text", "widths", "counts", "chars", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), *keep, "text")
@@ -250,6 +273,7 @@ def apply_edits(trees: DataFrame, path: str, new_trees: bool = False) -> DataFra
 def edited_counts(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text, edits) by way of stored trees: each text is encoded once, its tree is written, and edits
     are applied to the trees. Columns and odd inputs as in apply_edits."""
+    short_batches(docs.sparkSession)
     return apply_edits(written(build_trees(docs, path, ("edits",)), "trees", compression="zstd"), path)
 
 
